@@ -1 +1 @@
-from plumbline.catalog import evaluation  # noqa: F401
+from plumbline.catalog import evaluation, quality  # noqa: F401

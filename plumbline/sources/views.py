@@ -43,6 +43,7 @@ SELECT case_id,
        'state ' || {_str("j")} AS base_state,
        CASE WHEN kind LIKE 'ctx%' AND case_id % 2 = 1 THEN 'then ' ELSE '' END || 'state ' || {_str("j")} AS state_summary,
        CASE WHEN kind LIKE 'ctx%' AND case_id % 2 = 1 THEN intent END AS recent_activity,
+       'turn ' || {_str("j")} AS dialogue,
        kind AS pair_kind,
        CAST(floor(case_id / 4) AS BIGINT) AS scenario_id,
        j AS contrast_id,
