@@ -1 +1 @@
-from plumbline.catalog import evaluation, quality  # noqa: F401
+from plumbline.catalog import comparison, evaluation, quality  # noqa: F401
