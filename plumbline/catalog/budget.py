@@ -131,7 +131,7 @@ def a24(t):
 
 @query("a25_distributions", f"SELECT arm, stage, {dist('total_tokens', 'tokens')} FROM calls GROUP BY 1, 2", "calls")
 def a25(t):
-    return t.calls.groupBy("arm", "stage").agg(*B.distribution("total_tokens", "tokens"))
+    return B.distribution(t.calls, ["arm", "stage"], "total_tokens", "tokens")
 
 
 CASE_SQL = f"""cb AS (SELECT arm, case_id, count(*) AS calls, {SUMS}, round(sum(latency_ms), 6) AS latency_ms FROM calls GROUP BY 1, 2)"""
@@ -306,8 +306,8 @@ SUMMARY_SQL = f""", dt AS (SELECT arm, label, count(*) FILTER (decision = label
 
 
 def known_usage(t):
-    """Arm C has usage for every call, so that one run is complete."""
-    kept = F.when((F.col("arm") == "C") & F.col("total_tokens").isNull(), 0).otherwise(F.col("total_tokens"))
+    """Arms A and C have usage for every call; arm B stays incomplete."""
+    kept = F.when((F.col("arm") != "B") & F.col("total_tokens").isNull(), 0).otherwise(F.col("total_tokens"))
     return t.predictions.withColumn("total_tokens", kept)
 
 
@@ -316,7 +316,7 @@ def summaries(t):
     return M.run_summaries(rows, ["A", "B", "C"], INTENTS, "B")
 
 
-KNOWN = """SELECT * REPLACE (CASE WHEN arm = 'C' AND status IS NOT NULL AND total_tokens IS NULL THEN 0 ELSE total_tokens END AS total_tokens) FROM """
+KNOWN = """SELECT * REPLACE (CASE WHEN arm <> 'B' AND status IS NOT NULL AND total_tokens IS NULL THEN 0 ELSE total_tokens END AS total_tokens) FROM """
 SUMMARY_BODY = (BAD_SQL + SUMMARY_SQL).replace("FROM gp JOIN df", f"FROM ({KNOWN} gp) gp JOIN df")
 
 
@@ -333,12 +333,31 @@ def t12(t):
         INTERVAL_SQL
         + """, s2 AS (SELECT arm, count(*) FILTER (pair_kind LIKE 'ctx%' AND case_id % 2 = 1 AND hit = 0) AS ctx,
        count(*) FILTER (status = 'schema_invalid') AS sch,
-       arm = 'C' OR count(*) FILTER (status IS NOT NULL AND total_tokens IS NULL) = 0 AS known, CAST(sum(total_tokens) AS BIGINT) AS tok
+       CASE WHEN arm <> 'B' OR count(*) FILTER (status IS NOT NULL AND total_tokens IS NULL) = 0 THEN sum(total_tokens) END AS tok
      FROM gp GROUP BY 1),
-   w2 AS (SELECT left_arm, right_arm, min(cluster_count) AS k FROM iv GROUP BY 1, 2)
-   SELECT w2.left_arm, w2.right_arm, 'inconclusive' AS verdict,
-     concat_ws(',', 'missing_token_totals', 'incomplete_usage_metadata', 'incomplete_cost', CASE WHEN k < 8 THEN 'required_ci_unavailable' END) AS reasons
-   FROM w2 JOIN s2 a ON a.arm = left_arm JOIN s2 b ON b.arm = right_arm WHERE NOT (a.known AND b.known)""",
+   w2 AS (SELECT left_arm, right_arm, min(cluster_count) AS k,
+       any_value(coalesce(lower, point)) FILTER (domain = 'full_hem') AS hl, any_value(coalesce(upper, point)) FILTER (domain = 'full_hem') AS hu,
+       any_value(coalesce(lower, point)) FILTER (domain LIKE '%f1') AS il, any_value(coalesce(upper, point)) FILTER (domain LIKE '%f1') AS iu,
+       any_value(coalesce(lower, point)) FILTER (domain LIKE 'near%') AS nl, any_value(coalesce(upper, point)) FILTER (domain LIKE 'near%') AS nu,
+       any_value(point) FILTER (domain LIKE 'near%') AS np,
+       any_value(coalesce(lower, point)) FILTER (domain LIKE 'no%') AS ql, any_value(coalesce(upper, point)) FILTER (domain LIKE 'no%') AS qu
+     FROM iv GROUP BY 1, 2),
+   x AS (SELECT w2.*, concat_ws(',',
+       CASE WHEN a.tok IS NULL OR b.tok IS NULL THEN 'missing_token_totals,incomplete_usage_metadata,incomplete_cost'
+            WHEN abs(b.tok - a.tok) / greatest(a.tok, 1) > 0.1 THEN 'budget_confounded' END,
+       CASE WHEN k < 8 THEN 'required_ci_unavailable' END) AS blocked,
+     concat_ws(',', CASE WHEN hu <= 0 THEN 'hem_not_improved' END, CASE WHEN iu < -0.03 THEN 'id_intent_regressed' END,
+       CASE WHEN nu < -0.05 THEN 'near_oos_regressed' END, CASE WHEN qu < -0.05 THEN 'no_intent_regressed' END,
+       CASE WHEN b.ctx > a.ctx THEN 'more_context_distractor_errors' END,
+       CASE WHEN b.sch > a.sch THEN 'more_schema_invalid_predictions' END) AS worse,
+     concat_ws(',', CASE WHEN hl <= 0 THEN 'hem_ci_crosses_zero' END, CASE WHEN il < -0.03 THEN 'id_intent_noninferiority_unproven' END,
+       CASE WHEN nl < -0.05 THEN 'near_oos_noninferiority_unproven' END,
+       CASE WHEN ql < -0.05 THEN 'no_intent_noninferiority_unproven' END, CASE WHEN np < 0 THEN 'near_oos_point_regressed' END) AS unsure
+     FROM w2 JOIN s2 a ON a.arm = left_arm JOIN s2 b ON b.arm = right_arm)
+   SELECT left_arm, right_arm, CASE WHEN blocked <> '' THEN 'inconclusive' WHEN worse <> '' THEN 'negative'
+       WHEN unsure <> '' THEN 'inconclusive' ELSE 'promising' END AS verdict,
+     CASE WHEN blocked <> '' THEN blocked WHEN worse <> '' THEN worse WHEN unsure <> '' THEN unsure
+       ELSE 'all_pre_registered_gates_passed' END AS reasons FROM x""",
     ),
     "gold gp",
 )

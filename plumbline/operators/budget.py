@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import labels as L
+from plumbline.functions.quantiles import exact_quantiles
 
 TOKEN_FIELDS = ["input_tokens", "output_tokens", "retry_input_tokens", "retry_output_tokens", "total_tokens"]
 
@@ -31,26 +32,29 @@ def usage_totals(calls: DataFrame, by: list[str]) -> DataFrame:
 
 def latency_summary(predictions: DataFrame, by: list[str]) -> DataFrame:
     """Exact P50 and P95, or null when any latency is missing."""
-    q = F.percentile("latency_ms", F.array(F.lit(0.5), F.lit(0.95)))
-    return predictions.groupBy(*by).agg(complete("latency_ms").alias("c"), q.alias("q")).select(
-        *by,
-        L.as_flag(F.col("c")).alias("latency_complete"),
-        F.when(F.col("c"), F.col("q")[0]).alias("p50"),
-        F.when(F.col("c"), F.col("q")[1]).alias("p95"),
+    known = predictions.groupBy(*by).agg(L.as_flag(complete("latency_ms")).alias("latency_complete"))
+    q = exact_quantiles(predictions, by, "latency_ms", [0.5, 0.95], ["p50", "p95"])
+    whole = F.col("latency_complete") == 1
+    return known.join(q, by, "left").select(
+        *by, "latency_complete", F.when(whole, F.col("p50")).alias("p50"), F.when(whole, F.col("p95")).alias("p95")
     )
 
 
-def distribution(value: str, name: str, digits: int = 6) -> list[Column]:
-    """Count, minimum, mean, P50, P95 and maximum of a column, as aggregates of one pass."""
-    q = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95)))
-    return [
+def distribution(df: DataFrame, by: list[str], value: str, name: str, digits: int = 6) -> DataFrame:
+    """Count, minimum, mean, P50, P95 and maximum; works for signed values too."""
+    keyed = df.select(*by, value) if by else df.select(F.lit(0).alias("_all"), value)
+    keys = by or ["_all"]
+    basic = keyed.groupBy(*keys).agg(
         F.count(value).alias(f"{name}_count"),
         F.min(F.col(value).cast("double")).alias(f"{name}_min"),
         F.round(F.avg(value), digits).alias(f"{name}_mean"),
-        F.round(q[0], digits).alias(f"{name}_p50"),
-        F.round(q[1], digits).alias(f"{name}_p95"),
         F.max(F.col(value).cast("double")).alias(f"{name}_max"),
-    ]
+    )
+    q = exact_quantiles(keyed, keys, value, [0.5, 0.95], ["_p50", "_p95"])
+    out = basic.join(q, keys, "left").withColumns(
+        {f"{name}_p50": F.round("_p50", digits), f"{name}_p95": F.round("_p95", digits)}
+    )
+    return out.drop("_p50", "_p95", "_all")
 
 
 def case_budgets(calls: DataFrame, rates: tuple[float, float]) -> DataFrame:
@@ -69,9 +73,10 @@ def stage_summary(calls: DataFrame, rates: tuple[float, float]) -> DataFrame:
         won.alias("success_count"),
         (F.count("*") - won).alias("failure_count"),
         *[F.sum(c).alias(c) for c in TOKEN_FIELDS],
-        *distribution("latency_ms", "latency"),
         F.round(F.avg("total_tokens"), 6).alias("tokens_mean"),
-    ).withColumn("cost", F.round(L.token_cost(*[F.lit(r) for r in rates]), 9))
+    ).withColumn("cost", F.round(L.token_cost(*[F.lit(r) for r in rates]), 9)).join(
+        distribution(calls, ["arm", "stage"], "latency_ms", "latency"), ["arm", "stage"]
+    )
 
 
 def arm_summary(calls: DataFrame, rates: tuple[float, float]) -> DataFrame:
@@ -84,10 +89,14 @@ def arm_summary(calls: DataFrame, rates: tuple[float, float]) -> DataFrame:
     )
     per_case = cases.groupBy("arm").agg(
         *[F.sum(c).alias(c) for c in TOKEN_FIELDS],
-        *distribution("total_tokens", "case_tokens"),
-        *distribution("latency_ms", "case_latency"),
     ).withColumn("cost", F.round(L.token_cost(*[F.lit(r) for r in rates]), 9))
-    return per_case.join(per_call, "arm").join(incremental, "arm", "left").fillna(0, ["incremental_calls"])
+    return (
+        per_case.join(distribution(cases, ["arm"], "total_tokens", "case_tokens"), "arm")
+        .join(distribution(cases, ["arm"], "latency_ms", "case_latency"), "arm")
+        .join(per_call, "arm")
+        .join(incremental, "arm", "left")
+        .fillna(0, ["incremental_calls"])
+    )
 
 
 def stage_gaps(calls: DataFrame, left: str, right: str, rates: tuple[float, float]) -> DataFrame:
@@ -107,7 +116,7 @@ def latency_gap(calls: DataFrame, left: str, right: str) -> DataFrame:
     paired = calls.filter(F.col("arm").isin(left, right)).groupBy("case_id").agg(
         F.round(side(right) - side(left), 6).alias("gap")
     )
-    return paired.filter("gap IS NOT NULL").agg(*distribution("gap", "gap"))
+    return distribution(paired.filter("gap IS NOT NULL"), [], "gap", "gap")
 
 
 def fairness(totals: DataFrame, maximum: float) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import hashing as H
 from plumbline.functions import labels as L
 from plumbline.functions.lineage import cut
+from plumbline.functions.quantiles import exact_quantiles
 from plumbline.schemas import CONFIDENCE, MIN_CLUSTERS
 
 DOMAINS = ["full_hem", "gold_in_scope_intent_macro_f1", "near_oos_recall", "no_intent_recall"]
@@ -176,10 +177,7 @@ def compare_domains(
 
 def type7_quantiles(df: DataFrame, by: list[str], value: str, probabilities: list[float]) -> DataFrame:
     """Exact quantiles with linear interpolation at h = (n - 1)q."""
-    q = F.percentile(value, F.array(*[F.lit(p) for p in probabilities]))
-    return df.groupBy(*by).agg(q.alias("_q")).select(
-        *by, *[F.col("_q")[i].alias(f"q{int(p * 1000):03d}") for i, p in enumerate(probabilities)]
-    )
+    return exact_quantiles(df, by, value, probabilities, [f"q{int(p * 1000):03d}" for p in probabilities])
 
 
 # ---- verdict ---------------------------------------------------------------------------------------------------
