@@ -1 +1 @@
-from plumbline.catalog import budget, comparison, evaluation, quality  # noqa: F401
+from plumbline.catalog import budget, comparison, evaluation, quality, review  # noqa: F401

@@ -18,15 +18,15 @@ def bucket(text: Column, modulus: int) -> Column:
 
 
 def running_total(
-    df: DataFrame, by: list[str], key: str, tie: str, value: str, name: str, digits: int = 3
+    df: DataFrame, by: list[str], key: str, tie: str, value: str, name: str, bucket_of: Column | None = None
 ) -> DataFrame:
     """Running sum of ``value`` in (key, tie) order inside each ``by`` group.
 
-    ``key`` is a uniform hex hash, so its first digits are an order-preserving bucket: a group of any size is
-    summed by 16**digits tasks, and only the bucket totals are put in one line.
+    ``key`` is a uniform hex hash, so its first three digits are an order-preserving bucket: a group of any size is
+    summed in 4096 parts, and only the bucket totals are put in one line. ``bucket_of`` replaces that bucket for
+    keys that are not hashes; it must rise with the key.
     """
-    prefix = F.substring(F.col(key), 1, digits)
-    slots = df.withColumn("_bucket", prefix)
+    slots = df.withColumn("_bucket", F.substring(F.col(key), 1, 3) if bucket_of is None else bucket_of)
     totals = slots.groupBy(*by, "_bucket").agg(F.sum(value).alias("_total"))
     before = totals.withColumn(
         "_before",
@@ -54,3 +54,12 @@ def hash_rank(df: DataFrame, by: list[str], key: str, tie: str, name: str) -> Da
     base = df if by else df.withColumn("_all", F.lit(0))
     out = running_total(base.withColumn("_one", F.lit(1).cast("bigint")), whole, key, tie, "_one", name)
     return out.drop("_one", "_all")
+
+
+def number_rank(df: DataFrame, by: list[str], key: str, name: str, parts: int = 4096) -> DataFrame:
+    """1-based rank by a unique whole number, in ``parts`` equal ranges between the least and the largest."""
+    ends = df.agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    low, high = ends.select("low").scalar(), ends.select("high").scalar()
+    part = F.floor((F.col(key) - F.col("_low")) * F.lit(float(parts)) / (F.col("_high") - F.col("_low") + 1))
+    base = df.withColumns({"_low": low, "_high": high, "_one": F.lit(1).cast("bigint")})
+    return running_total(base, by, key, key, "_one", name, bucket_of=part).drop("_one", "_low", "_high")

@@ -105,46 +105,49 @@ def split_statistics(cases: DataFrame) -> DataFrame:
 # ---- samples that never take two cases of a cluster ------------------------------------------------------------
 
 
-def _fold(candidates: DataFrame, phases: int, order: list[str], quota: str, taken: str, item: str) -> DataFrame:
+def _fold(candidates: DataFrame, limit: int | None) -> DataFrame:
     """Greedy choice over a short list: in (phase, rank) order take an item unless its phase is full or its unit taken.
 
     ``candidates`` holds at most (phases x total sample) rows, whatever the table's size, so one small array is enough.
     """
-    row = F.struct(*[F.col(c) for c in ["phase", *order, item, taken, quota]])
-    listed = candidates.agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    entry = f"struct<phase:int,item:{dict(candidates.dtypes)[item]},unit:{dict(candidates.dtypes)[taken]}>"
-    start = F.array().cast(f"array<{entry}>")
+    listed = candidates.agg(
+        F.array_sort(F.collect_list(F.struct("phase", "rank", "item", "unit", "quota"))).alias("rows")
+    )
+    types = dict(candidates.dtypes)
+    start = F.array().cast(f"array<struct<phase:int,item:{types['item']},unit:{types['unit']}>>")
 
     def step(state, r):
-        used = F.exists(state, lambda s: s["unit"] == r[taken])
-        full = F.size(F.filter(state, lambda s: s["phase"] == r["phase"])) >= r[quota]
-        add = F.array(F.struct(r["phase"].alias("phase"), r[item].alias("item"), r[taken].alias("unit")))
-        return F.when(used | full, state).otherwise(F.concat(state, add))
+        used = F.exists(state, lambda s: s["unit"] == r["unit"])
+        full = F.size(F.filter(state, lambda s: s["phase"] == r["phase"])) >= r["quota"]
+        done = F.size(state) >= limit if limit is not None else F.lit(False)
+        add = F.array(F.struct(r["phase"].alias("phase"), r["item"].alias("item"), r["unit"].alias("unit")))
+        return F.when(used | full | done, state).otherwise(F.concat(state, add))
 
-    return listed.select(F.inline(F.aggregate("rows", start, step))).select("phase", F.col("item").alias(item))
+    chosen = listed.select(F.posexplode(F.aggregate("rows", start, step)).alias("position", "c"))
+    return chosen.select("position", "c.phase", "c.item")
 
 
 def phased_sample(
-    rows: DataFrame, phases: list[tuple[Column, int]], order: list[str], unit: str, item: str
+    rows: DataFrame, phases: list[tuple[Column, int]], order: list[str], unit: str, item: str, limit: int | None = None
 ) -> DataFrame:
     """Phase after phase, the first ``quota`` items in order whose unit is not taken yet.
 
     At most ``total`` units can be taken before a phase, so its best ``total`` units decide it: each phase is cut to
     that many rows by a grouped minimum and a top-k, then the short lists are folded together.
     """
-    total = sum(quota for _, quota in phases)
+    total = sum(quota for _, quota in phases)  # also with a limit: no phase can need more rows than this
     member = F.array_compact(
         F.array(*[F.when(condition, F.struct(F.lit(i).alias("phase"), F.lit(q).alias("quota"))) for i, (condition, q) in enumerate(phases)])
     )
-    spread = rows.select(*order, unit, item, F.inline(member))
+    spread = rows.select(*order, F.col(unit).alias("unit"), F.col(item).alias("item"), F.inline(member))
     best = (
-        spread.groupBy("phase", "quota", unit)
-        .agg(F.min(F.struct(*order, item)).alias("b"))
-        .select("phase", "quota", unit, *[F.col(f"b.{c}").alias(c) for c in dict.fromkeys([*order, item])])
+        spread.groupBy("phase", "quota", "unit")
+        .agg(F.min(F.struct(*order, "item")).alias("b"))
+        .select("phase", "quota", "unit", *[F.col(f"b.{c}").alias(c) for c in [*order, "item"]])
     )
     rank = F.row_number().over(Window.partitionBy("phase").orderBy(*order))
     short = best.withColumn("rank", rank).filter(F.col("rank") <= total)
-    return _fold(short, len(phases), ["rank"], "quota", unit, item)
+    return _fold(short, limit).withColumnRenamed("item", item)
 
 
 def audit_sample(cases: DataFrame, intents: list[str], namespace: str) -> DataFrame:
@@ -152,4 +155,4 @@ def audit_sample(cases: DataFrame, intents: list[str], namespace: str) -> DataFr
     rows = cases.withColumns({"neg_risk": -L.audit_risk(), "key": H.stable_key(namespace, "case_id")})
     phases = [(F.col("target_intent") == intent, 1) for intent in intents]
     phases += [(F.col("decision") == d, 4) for d in ["in_scope", "oos", "no_intent", "ambiguous"]]
-    return phased_sample(rows, phases, ["neg_risk", "key"], "cluster_id", "case_id")
+    return phased_sample(rows, phases, ["neg_risk", "key"], "cluster_id", "case_id").drop("position")

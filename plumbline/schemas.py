@@ -62,6 +62,12 @@ AUDIT_SAMPLE_TAGS = [
     "single_turn",
     "slot_required",
 ]
+# The stored names of adjudication actions.
+CONFIRM = "确认一致标签"
+ACCEPT = "接受人工标签"
+KEEP = "保留草稿标签"
+RULE_CHANGE = "修改分类规则"
+REWRITE = "重写或删除样本"
 MIN_CLUSTERS = 8
 CONFIDENCE = 0.95
 

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.schemas import ACCEPT, CONFIRM, KEEP, REWRITE, RULE_CHANGE
+
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 ARMS = ["A", "B", "C"]
 INTENTS = [f"intent_{i}" for i in range(5)]
@@ -163,29 +165,27 @@ LEFT JOIN {{predictions}} p ON p.arm = a.arm AND p.case_id = g.case_id"""
 
 
 def _resolutions(b, arms):
-    """One resolution per disagreeing or sampled review item."""
+    """One resolution per hierarchical disagreement, and for a sample of the agreements."""
+    act = b("'act|' || " + _str("item_id"), 10)
+    human = f"action IN ('{CONFIRM}', '{ACCEPT}')"
     return f"""
-SELECT item_id, action, recommendation,
-       CASE WHEN action IN ('confirm_agreement', 'accept_human') THEN human_decision
-            WHEN action = 'keep_draft' THEN draft_decision END AS final_decision,
-       CASE WHEN action IN ('confirm_agreement', 'accept_human') THEN human_target
-            WHEN action = 'keep_draft' THEN draft_target END AS final_target,
-       CASE WHEN action IN ('confirm_agreement', 'accept_human') THEN human_horizon
-            WHEN action = 'keep_draft' THEN draft_horizon END AS final_horizon,
-       CASE WHEN action = 'taxonomy_change' THEN 'note' END AS note
+SELECT item_id, action, recommendation, near_oos, same,
+       CASE WHEN {human} THEN human_decision WHEN action = '{KEEP}' THEN draft_decision
+            WHEN action = '{RULE_CHANGE}' THEN 'oos' END AS final_decision,
+       CASE WHEN {human} THEN human_target WHEN action = '{KEEP}' THEN draft_target END AS final_target,
+       CASE WHEN {human} THEN human_horizon WHEN action = '{KEEP}' THEN draft_horizon
+            WHEN action = '{RULE_CHANGE}' THEN 'now' END AS final_horizon,
+       CASE WHEN action = '{RULE_CHANGE}' THEN 'note' END AS note
 FROM (SELECT r.*,
-        CASE WHEN same = 1 THEN 'confirm_agreement'
-             WHEN {b("'act|' || " + _str("item_id"), 10)} < 5 THEN 'accept_human'
-             WHEN {b("'act|' || " + _str("item_id"), 10)} < 8 THEN 'keep_draft'
-             WHEN {b("'act|' || " + _str("item_id"), 10)} < 9 THEN 'rewrite'
-             ELSE 'taxonomy_change' END AS action,
+        CASE WHEN same = 1 THEN '{CONFIRM}' WHEN {act} < 5 THEN '{ACCEPT}' WHEN {act} < 8 THEN '{KEEP}'
+             WHEN {act} < 9 THEN '{REWRITE}' ELSE '{RULE_CHANGE}' END AS action,
         CASE WHEN same = 1 THEN 'confirm_agreement'
              WHEN near_oos = 1 THEN 'grounding_evidence_required'
              WHEN human_decision = draft_decision THEN 'likely_reviewer_input_error'
              ELSE 'current_rule_lean_keep_draft' END AS recommendation
-      FROM (SELECT v.*, CASE WHEN human_decision = draft_decision AND coalesce(human_target, '') = coalesce(draft_target, '')
-                              AND human_horizon = draft_horizon THEN 1 ELSE 0 END AS same FROM {{reviews}} v) r
-      WHERE same = 0 OR item_id % 11 = 0) x"""
+      FROM (SELECT v.*, CASE WHEN human_decision = draft_decision AND (draft_decision <> 'in_scope' OR human_target = draft_target)
+                             THEN 1 ELSE 0 END AS same FROM {{reviews}} v) r
+      WHERE same = 0 OR {b("'smp|' || " + _str("item_id"), 11)} = 0) x"""
 
 
 _BUILDERS = {
