@@ -1,16 +1,16 @@
 """Text and context expressions."""
 
+import unicodedata
+
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@F.arrow_udf(T.StringType())
-def _nfkc(text: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(text, form="NFKC")
+@F.pandas_udf(T.StringType())
+def _nfkc(text: pd.Series) -> pd.Series:
+    return text.map(lambda value: None if value is None else unicodedata.normalize("NFKC", value))
 
 
 @F.pandas_udf(T.StringType())
@@ -23,9 +23,9 @@ def one_newline(text: Column) -> Column:
 
 
 def normalise_evidence(text: Column) -> Column:
-    """NFKC, then LF line ends. Pure ASCII needs no normal form and stays in the JVM."""
+    """NFKC, then LF line ends. Pure ASCII needs no normal form; only the other texts are sent to Python."""
     ascii_only = F.octet_length(text) == F.char_length(text)
-    return one_newline(F.when(ascii_only, text).otherwise(_nfkc(text)))
+    return one_newline(F.when(ascii_only, text).otherwise(_nfkc(F.when(~ascii_only, text))))
 
 
 def normal_space(text: Column) -> Column:
@@ -60,3 +60,20 @@ def flat_conversation(conversation: Column) -> Column:
 def quote_in_carriers(quote: Column, carriers: Column) -> Column:
     """V07 on one row: the normalised quote is part of some normalised carrier (carriers already normalised)."""
     return F.exists(carriers, lambda c: F.contains(c, quote))
+
+
+def contexts_from_turns(turns: DataFrame, by: str) -> DataFrame:
+    """Turns to nested contexts. A context is one value of one row by its data model, so its turns must meet there."""
+    said = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    return turns.groupBy(by).agg(said.alias("t")).select(
+        by,
+        F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("conversation"),
+    )
+
+
+def decision_text_from_turns(turns: DataFrame, by: str, state: Column) -> DataFrame:
+    """P05 on a table of turns, combined before the shuffle."""
+    assistant = F.when(F.col("role") == "assistant", F.col("turn"))
+    return turns.groupBy(by).agg(F.max_by("text", assistant).alias("said"), F.min_by("text", "turn").alias("state")).select(
+        by, F.coalesce("said", state).alias("decision_text")
+    )
