@@ -1 +1 @@
-from plumbline.catalog import budget, comparison, evaluation, quality, review, routing  # noqa: F401
+from plumbline.catalog import budget, comparison, evaluation, quality, review, routing, scans  # noqa: F401

@@ -61,5 +61,6 @@ def number_rank(df: DataFrame, by: list[str], key: str, name: str, parts: int =
     ends = df.agg(F.min(key).alias("low"), F.max(key).alias("high"))
     low, high = ends.select("low").scalar(), ends.select("high").scalar()
     part = F.floor((F.col(key) - F.col("_low")) * F.lit(float(parts)) / (F.col("_high") - F.col("_low") + 1))
-    base = df.withColumns({"_low": low, "_high": high, "_one": F.lit(1).cast("bigint")})
-    return running_total(base, by, key, key, "_one", name, bucket_of=part).drop("_one", "_low", "_high")
+    base = df.withColumns({"_low": low, "_high": high, "_one": F.lit(1).cast("bigint"), "_all": F.lit(0)})
+    out = running_total(base, by or ["_all"], key, key, "_one", name, bucket_of=part)
+    return out.drop("_one", "_low", "_high", "_all")

@@ -145,3 +145,28 @@ def pilot_verdicts(intervals: DataFrame, summaries: DataFrame) -> DataFrame:
         }
     )
     return C.decide(evidence)
+
+
+def robustness_report(
+    matrix: DataFrame, role: str, reference: str, calls: DataFrame, cap: int, audit_rows: DataFrame
+) -> DataFrame:
+    """Deltas of one role against its reference, pressure on the output cap, and audit coverage."""
+    def tall(df, part, name, metrics):
+        entries = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]
+        return df.select(F.lit(part).alias("part"), F.col(name).alias("name"), F.inline(F.array(*entries)))
+
+    fields = ["hem", "success_count"]
+    deltas = B.run_deltas(matrix, role, reference, fields).select("arm", *[F.col(f"{f}_delta").alias(f) for f in fields])
+    coverage = audit_rows.groupBy("role", "stage_status").agg(F.count("*").alias("n"))
+    return E.union(
+        [
+            tall(deltas, "delta", "arm", fields),
+            tall(B.cap_pressure(calls, cap), "cap", "arm", ["incomplete_calls", "within_one_of_cap"]),
+            coverage.select(
+                F.lit("audit").alias("part"),
+                F.col("role").alias("name"),
+                F.col("stage_status").alias("metric"),
+                F.col("n").cast("double").alias("value"),
+            ),
+        ]
+    ).withColumn("value", F.round("value", 9))
