@@ -7,6 +7,7 @@ from plumbline.catalog.evaluation import BASIC
 from plumbline.catalog.registry import query
 from plumbline.functions import labels as L
 from plumbline.functions import text as X
+from plumbline.functions.lineage import cut
 from plumbline.operators import evaluate as E
 from plumbline.operators import prototype as P
 from plumbline.operators import route as Rt
@@ -180,7 +181,7 @@ def j12(t):
         )
     )
     rows = E.join_predictions(marked, t.predictions, ARMS, BASIC).withColumn("held", F.explode("held"))
-    counts = E.outcome_counts(rows, ["held", "arm"])
+    counts = cut(E.outcome_counts(rows, ["held", "arm"]))
     f1 = E.macro_f1(E.label_counts(counts, ["held", "arm"], "decision", "pred_decision", DECISIONS), ["held", "arm"], "macro_f1")
     return E.hit_rate(counts, ["held", "arm"]).join(f1, ["held", "arm"]).select("held", "arm", "n", "hem", "macro_f1")
 

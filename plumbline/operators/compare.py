@@ -15,6 +15,7 @@ from plumbline.schemas import CONFIDENCE, MIN_CLUSTERS
 
 DOMAINS = ["full_hem", "gold_in_scope_intent_macro_f1", "near_oos_recall", "no_intent_recall"]
 BROADCAST_BYTES = 64 * 1024 * 1024
+DRAWS_PER_TASK = 2_000_000
 
 
 def domains() -> Column:
@@ -100,15 +101,15 @@ def slots(statistics: DataFrame) -> DataFrame:
     return H.hash_rank(keyed, ["domain"], "key", "cluster_id", "slot").drop("key")
 
 
-def draw(numbered: DataFrame, iterations: int, seed: int) -> DataFrame:
+def draw(numbered: DataFrame, iterations: int, seed: int, parts: int) -> DataFrame:
     """(domain, iteration, slot): as many draws with replacement as the domain has clusters, the same for every arm.
 
-    One hash per (iteration, position) serves all domains, and is made where the cluster rows already are.
+    One hash per (iteration, position) serves all domains. The positions are dealt out first: few rows become many.
     """
     sizes = numbered.groupBy("domain").agg(F.count("*").alias("clusters"))
     packed = sizes.agg(F.collect_list(F.struct("domain", "clusters")).alias("sizes"))
     position = numbered.groupBy("slot").agg(F.lit(1).alias("one")).select(F.col("slot").alias("position"))
-    spread = position.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    spread = position.repartition(parts, "position").withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
     text = F.concat_ws("|", F.lit(str(seed)), F.col("iteration").cast("string"), (F.col("position") - 1).cast("string"))
     hashed = spread.withColumn("h", H.hex_int(text, 15)).withColumn("sizes", packed.scalar())
     open_domains = F.filter("sizes", lambda s: s["clusters"] >= F.col("position"))
@@ -122,8 +123,10 @@ def resampled_sums(statistics: DataFrame, iterations: int, seed: int) -> tuple[D
     numbered = cut(slots(statistics))
     columns = [c for c in numbered.columns if c not in ("domain", "cluster_id", "slot")]
     values = numbered.select("domain", "slot", *columns)
-    small = numbered.count() * 8 * (len(columns) + 2) <= BROADCAST_BYTES
-    drawn = draw(numbered, iterations, seed)
+    rows = numbered.count()
+    small = rows * 8 * (len(columns) + 2) <= BROADCAST_BYTES
+    parts = max(numbered.sparkSession.sparkContext.defaultParallelism, rows * iterations // DRAWS_PER_TASK)
+    drawn = draw(numbered, iterations, seed, parts)
     joined = drawn.join(F.broadcast(values) if small else values, ["domain", "slot"])
     return _summed(joined, ["domain", "iteration"], columns), numbered
 

@@ -5,8 +5,9 @@ aggregation with map-side combine, however many metrics it has.
 """
 
 from functools import reduce
+from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import labels as L
@@ -150,12 +151,16 @@ def in_scope(df: DataFrame) -> DataFrame:
 
 
 def full_grid(counts: DataFrame, by: list[str], keys: dict[str, list[str]]) -> DataFrame:
-    """Sum of n on the complete grid of fixed labels, zero where nothing fell."""
-    grid = counts.select(*by).distinct()
-    for name, values in keys.items():
-        grid = grid.withColumn(name, literal_rows(values))
+    """Sum of n on the complete grid of fixed labels, zero where nothing fell; one aggregation, no join."""
+    cells = []
+    for values in product(*keys.values()):
+        here = F.lit(True)
+        for name, value in zip(keys, values, strict=True):
+            here = here & F.coalesce(F.col(name) == value, F.lit(False))
+        labels = [F.lit(v).alias(k) for k, v in zip(keys, values, strict=True)]
+        cells.append(F.struct(*labels, F.sum(F.when(here, F.col("n")).otherwise(F.lit(0).cast("bigint"))).alias("n")))
     found = counts.groupBy(*by, *keys).agg(F.sum("n").alias("n"))
-    return grid.join(found, [*by, *keys], "left").fillna(0, ["n"])
+    return found.groupBy(*by).agg(F.array(*cells).alias("g")).select(*by, F.inline("g"))
 
 
 def confusion(counts: DataFrame, by: list[str]) -> DataFrame:
@@ -165,12 +170,9 @@ def confusion(counts: DataFrame, by: list[str]) -> DataFrame:
 
 def normalised_confusion(counts: DataFrame, by: list[str]) -> DataFrame:
     """Counts, gold row totals and row fractions."""
-    grid = confusion(counts, by)
-    totals = counts.groupBy(*by, "decision").agg(F.sum("n").alias("gold_count"))
-    return (
-        grid.join(totals, [*by, "decision"], "left")
-        .fillna(0, ["gold_count"])
-        .withColumn("row_fraction", F.round(L.ratio(F.col("n"), F.col("gold_count")), 6))
+    total = F.sum("n").over(Window.partitionBy(*by, "decision"))
+    return confusion(counts, by).withColumn("gold_count", total).withColumn(
+        "row_fraction", F.round(L.ratio(F.col("n"), F.col("gold_count")), 6)
     )
 
 
@@ -272,20 +274,26 @@ def slice_confusion_from(counts: DataFrame, arms: list[str]) -> DataFrame:
     return grid.join(counts.select(*keys, "n"), keys, "left").fillna(0, ["n"])
 
 
+def tag_set() -> Column:
+    """The registered tags of a case in one order, as a grouping key: far fewer sets than cases."""
+    return F.array_sort(F.array_intersect(F.array_distinct("tags"), F.array(*[F.lit(t) for t in SLICE_TAGS])))
+
+
 def slice_overlap(gold: DataFrame) -> DataFrame:
     """Tag by tag co-occurrence with the diagonal, on the complete grid."""
-    known = F.array_intersect("tags", F.array(*[F.lit(t) for t in SLICE_TAGS]))
-    pairs = (
-        gold.groupBy(F.array_sort(known).alias("tagset"))
-        .agg(F.count("*").alias("n"))
-        .select("tagset", "n", F.explode("tagset").alias("left_tag"))
+    return slice_overlap_from(gold.groupBy(tag_set().alias("tagset")).agg(F.count("*").alias("n")))
+
+
+def slice_overlap_from(sets: DataFrame) -> DataFrame:
+    found = (
+        sets.select("tagset", "n", F.explode("tagset").alias("left_tag"))
         .select("n", "left_tag", F.explode("tagset").alias("right_tag"))
+        .groupBy("left_tag", "right_tag")
+        .agg(F.sum("n").alias("n"))
     )
-    spark = gold.sparkSession
-    grid = spark.range(1).select(literal_rows(SLICE_TAGS).alias("left_tag")).withColumn(
+    grid = sets.sparkSession.range(1).select(literal_rows(SLICE_TAGS).alias("left_tag")).withColumn(
         "right_tag", literal_rows(SLICE_TAGS)
     )
-    found = pairs.groupBy("left_tag", "right_tag").agg(F.sum("n").alias("n"))
     return grid.join(found, ["left_tag", "right_tag"], "left").fillna(0, ["n"])
 
 

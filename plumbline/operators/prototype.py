@@ -33,38 +33,38 @@ def stratified_round_robin(cases: DataFrame, strata: list[str], maximum: int, by
     return top.withColumn("position", order).filter(F.col("position") <= maximum)
 
 
-def norm(v: str | Column) -> Column:
-    column = F.col(v) if isinstance(v, str) else v
-    return F.sqrt(F.aggregate(column, F.lit(0.0), lambda s, x: s + x * x))
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once per row, also where the optimiser would copy it into a lambda."""
+    return F.transform(F.array(value), body)[0]
 
 
-def unit(v: str) -> Column:
-    return F.transform(v, lambda x: x / F.col("_norm"))
+def norm(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
 
 
-def normalised(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumn("_norm", norm(column)).withColumn(column, unit(column)).drop("_norm")
+def unit(v: Column) -> Column:
+    return let(norm(v), lambda n: F.transform(v, lambda x: x / n))
 
 
 def centroids(vectors: DataFrame, label: str) -> DataFrame:
     """Unit vectors, averaged by position with map-side combine, made unit again. One row per label."""
-    spread = normalised(vectors, "embedding").select(label, F.posexplode("embedding").alias("pos", "v"))
+    spread = vectors.select(label, F.posexplode_outer(unit(F.col("embedding"))).alias("pos", "v"))
     means = spread.groupBy(label, "pos").agg(F.avg("v").alias("v"))
     lined = means.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("pv"))
-    return normalised(lined.select(label, F.transform("pv", lambda p: p["v"]).alias("embedding")), "embedding")
+    return lined.select(label, let(F.transform("pv", lambda p: p["v"]), unit).alias("embedding"))
 
 
 def scores(queries: DataFrame, centers: DataFrame, label: str, digits: int = 9) -> DataFrame:
     """Cosine with every centroid in one row. The centroids (labels x dimensions) come in as one value."""
     packed = centers.agg(F.collect_list(F.struct(F.col(label).alias("label"), F.col("embedding").alias("e"))).alias("c"))
 
-    def cosine(e):
-        return F.round(F.aggregate(F.zip_with("embedding", e, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x), digits)
+    def cosine(q, e):
+        return F.round(F.aggregate(F.zip_with(q, e, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x), digits)
 
-    both = normalised(queries, "embedding").withColumn("_c", packed.scalar())
-    scored = both.withColumn(
-        "_s", F.transform("_c", lambda c: F.struct((-cosine(c["e"])).alias("neg"), c["label"].alias("label")))
-    )
+    def all_labels(q):
+        return F.transform("_c", lambda c: F.struct((-cosine(q, c["e"])).alias("neg"), c["label"].alias("label")))
+
+    scored = queries.withColumn("_c", packed.scalar()).withColumn("_s", let(unit(F.col("embedding")), all_labels))
     named = lambda name: -F.filter("_s", lambda s: s["label"] == name)[0]["neg"]
     rivals = F.array_sort(F.filter("_s", lambda s: ~s["label"].isin("oos", "no_intent")))
     out = scored.withColumns({"_r": rivals, "no_intent_score": named("no_intent"), "oos_score": named("oos")}).withColumns(

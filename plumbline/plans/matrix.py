@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import labels as L
+from plumbline.functions.lineage import cut
 from plumbline.operators import budget as B
 from plumbline.operators import compare as C
 from plumbline.operators import evaluate as E
@@ -20,13 +21,15 @@ def run_matrix(labelled: DataFrame, expected: list[tuple[str, str]], rates: tupl
     keys = ["role", "arm"]
     got = F.col("status").isNotNull()
     won = L.as_flag(F.col("status") == "success")
-    counts = labelled.groupBy(*keys, "decision", "pred_decision").agg(
-        F.count("*").alias("n"),
-        F.sum("hit").alias("hits"),
-        F.sum(L.as_flag(got)).alias("predictions"),
-        F.sum(won).alias("success"),
-        F.sum(L.as_flag(got & F.col("total_tokens").isNull())).alias("unknown_usage"),
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in B.TOKEN_FIELDS],
+    counts = cut(
+        labelled.groupBy(*keys, "decision", "pred_decision").agg(
+            F.count("*").alias("n"),
+            F.sum("hit").alias("hits"),
+            F.sum(L.as_flag(got)).alias("predictions"),
+            F.sum(won).alias("success"),
+            F.sum(L.as_flag(got & F.col("total_tokens").isNull())).alias("unknown_usage"),
+            *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in B.TOKEN_FIELDS],
+        )
     )
     sums = ["n", "hits", "predictions", "success", "unknown_usage", *B.TOKEN_FIELDS]
     totals = counts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums]).withColumn(
@@ -70,11 +73,13 @@ def run_summaries(labelled: DataFrame, arms: list[str], intents: list[str], auth
         "unknown_usage": L.as_flag(got & F.col("total_tokens").isNull()),
     }
     keys = ["arm", "decision", "target_intent", "pred_decision", "pred_intent"]
-    counts = labelled.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.sum("hit").alias("hits"),
-        F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("tokens"),
-        *[F.sum(c).alias(k) for k, c in sums.items()],
+    counts = cut(
+        labelled.groupBy(*keys).agg(
+            F.count("*").alias("n"),
+            F.sum("hit").alias("hits"),
+            F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("tokens"),
+            *[F.sum(c).alias(k) for k, c in sums.items()],
+        )
     )
     totals = counts.groupBy("arm").agg(*[F.sum(c).alias(c) for c in ["n", "hits", "tokens", *sums]])
     decision = E.label_counts(counts, ["arm"], "decision", "pred_decision", DECISIONS)

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import labels as L
+from plumbline.functions.lineage import cut
 from plumbline.operators import evaluate as E
 from plumbline.schemas import DECISIONS
 
@@ -20,7 +21,7 @@ def _tall(df: DataFrame, slices: str | None, metrics: dict) -> DataFrame:
 def run_report(gold: DataFrame, predictions: DataFrame, arms: list[str], intents: list[str]) -> DataFrame:
     named = E.near_siblings(gold).select("case_id", F.lit(1).alias("sibling"))
     labelled = E.join_predictions(gold.join(named, "case_id", "left"), predictions, arms)
-    # One pass over the joined rows. Every conditional total below, and every fixed-label metric, comes from this.
+    # One pass over the joined rows, down to one small table; every metric but the pairs is read off that.
     required = L.as_flag(L.has_tag("slot_required"))
     missing = E._slot_missing("desired_experience", "p_experience") | E._slot_missing("object_slot", "p_object")
     flags = {
@@ -42,9 +43,11 @@ def run_report(gold: DataFrame, predictions: DataFrame, arms: list[str], intents
         "provider_failure": L.as_flag(F.col("status") == "provider_failure"),
         "schema_invalid": L.as_flag(F.col("status") == "schema_invalid"),
     }
-    keys = ["arm", "decision", "target_intent", "pred_decision", "pred_intent"]
-    counts = labelled.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.sum("hit").alias("hits"), *[F.sum(c).alias(k) for k, c in flags.items()]
+    keys = ["arm", "decision", "target_intent", "pred_decision", "pred_intent", E.tag_set().alias("tagset")]
+    counts = cut(
+        labelled.groupBy(*keys).agg(
+            F.count("*").alias("n"), F.sum("hit").alias("hits"), *[F.sum(c).alias(k) for k, c in flags.items()]
+        )
     )
     totals = counts.groupBy("arm").agg(*[F.sum(k).alias(k) for k in ["n", "hits", *flags]])
     rates = {
@@ -75,13 +78,17 @@ def run_report(gold: DataFrame, predictions: DataFrame, arms: list[str], intents
     pair_need = ["status", "decision", "predicted_intent", "candidate_intents"]
     in_pairs = gold.filter(L.has_tag("context_control") | L.has_tag("context_distractor"))
     pairs = E.context_pairs(E.join_predictions(in_pairs, predictions, arms, pair_need))
-    slices = E.slice_counts(labelled)
+    slices = (
+        counts.withColumn("tag", F.explode("tagset"))
+        .groupBy("arm", "tag", "decision", "pred_decision")
+        .agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    )
     slice_table = E.slice_metrics_from(slices, gold, arms)
     slice_cells = E.slice_confusion_from(slices, arms).withColumn(
         "cell", F.concat_ws(">", "tag", "decision", "pred_decision")
     )
     overlap = (
-        E.slice_overlap(gold)
+        E.slice_overlap_from(counts.filter(F.col("arm") == arms[0]))
         .withColumn("arm", F.lit("-"))
         .withColumn("cell", F.concat_ws(">", "left_tag", "right_tag"))
     )

@@ -249,9 +249,14 @@ class Tables:
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
 
+    def _spread(self, df: DataFrame) -> DataFrame:
+        """A table in fewer pieces than there are cores is dealt out before its columns are derived; others are not."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
     def _view(self, name: str) -> DataFrame:
         text = _BUILDERS[name][0](_spark_bucket, _SPARK_ARMS)
-        inputs = {n: (self.base(n) if n in BASE else getattr(self, n)) for n in _names(text)}
+        inputs = {n: (self._spread(self.base(n)) if n in BASE else getattr(self, n)) for n in _names(text)}
         return self.spark.sql(text, **inputs)
 
     @functools.cached_property
