@@ -60,6 +60,13 @@ def t02(t):
     return C.type7_quantiles(t.predictions, ["arm"], "latency_ms", [0.025, 0.5, 0.95])
 
 
+def duck_mix(x):
+    """The 32-bit mixer in SQL."""
+    a = f"(((xor({x}, ({x}) >> 16)) * {H.MIX_1}) & {H.LOW_32})"
+    b = f"(((xor({a}, {a} >> 15)) * {H.MIX_2}) & {H.LOW_32})"
+    return f"xor({b}, {b} >> 16)"
+
+
 def boot_sql(iterations, seed, final):
     """Long form: one row per (domain, cluster, arm, label); independent of the wide form the Spark job uses."""
     arms = ", ".join(f"('{a}')" for a in ARMS)
@@ -69,7 +76,7 @@ def boot_sql(iterations, seed, final):
  cl AS (SELECT domain, cluster_id, row_number() OVER (PARTITION BY domain ORDER BY sha256(CAST(cluster_id AS VARCHAR)), cluster_id) AS slot,
      count(*) OVER (PARTITION BY domain) AS clusters FROM (SELECT DISTINCT domain, cluster_id FROM dom) z),
  dr AS (SELECT c.domain, i.range AS iteration,
-     CAST('0x' || substr(sha256('{seed}|' || i.range || '|' || (c.slot - 1)), 1, 15) AS BIGINT) % clusters + 1 AS slot
+     ((({duck_mix(f"xor({duck_mix(f'((c.slot + {seed}) & 4294967295)')}, {duck_mix('i.range')})")}) * clusters) >> 32) + 1 AS slot
    FROM cl c, range({iterations}) i),
  w AS (SELECT d.domain, d.iteration, c.cluster_id, count(*) AS m FROM dr d JOIN cl c ON c.domain = d.domain AND c.slot = d.slot GROUP BY 1, 2, 3
    UNION ALL SELECT domain, -1, cluster_id, 1 FROM cl),

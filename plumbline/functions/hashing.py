@@ -17,6 +17,25 @@ def bucket(text: Column, modulus: int) -> Column:
     return hex_int(text) % F.lit(modulus).cast("bigint")
 
 
+# The multipliers of a well-known 32-bit integer mixer; the second is written less 2**32, so that
+# products stay inside a BIGINT and only their low 32 bits are kept.
+MIX_1, MIX_2, LOW_32 = 0x7FEB352D, 0x846CA68B - 2**32, 0xFFFFFFFF
+
+
+def mixed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds ``name``: 32 well-mixed bits of a whole number in [0, 2**32), by integer steps that stay in codegen."""
+
+    def fold(shift):
+        return F.col(name).bitwiseXOR(F.shiftright(F.col(name), shift))
+
+    return (
+        df.withColumn(name, value)
+        .withColumn(name, (fold(16) * F.lit(MIX_1)).bitwiseAND(F.lit(LOW_32)))
+        .withColumn(name, (fold(15) * F.lit(MIX_2)).bitwiseAND(F.lit(LOW_32)))
+        .withColumn(name, fold(16))
+    )
+
+
 def running_total(
     df: DataFrame, by: list[str], key: str, tie: str, value: str, name: str, bucket_of: Column | None = None
 ) -> DataFrame:

@@ -45,28 +45,58 @@ def paired(labelled: DataFrame, left: str, right: str) -> DataFrame:
 
 
 def cluster_statistics(labelled: DataFrame, arms: list[str], intents: list[str]) -> DataFrame:
-    """Additive counts per (domain, cluster). With the arms as columns, one draw serves every pair of arms."""
-    first = F.col("arm") == arms[0]
-    recall = F.col("domain").isin("near_oos_recall", "no_intent_recall")
-    label = F.when(F.col("domain") == "near_oos_recall", "oos").otherwise("no_intent")
-    unit = L.as_flag(~recall | (F.col("decision") == label))
-    right = F.when(recall, L.as_flag((F.col("decision") == label) & (F.col("pred_decision") == label))).otherwise(
-        F.col("hit")
-    )
-    inside = F.col("domain") == "gold_in_scope_intent_macro_f1"
-    sums = {"cases": L.as_flag(first), "n": L.as_flag(first) * unit}
-    for arm in arms:
-        sums[f"hits_{arm}"] = L.as_flag(F.col("arm") == arm) * right
+    """Additive counts per (domain, cluster). With the arms as columns, one draw serves every pair of arms.
+
+    Cases are summed once per (cluster, arm); arms become columns, and domains rows, on what is left.
+    """
+    near, quiet, inside = L.has_tag("near_oos"), F.col("decision") == "no_intent", F.col("decision") == "in_scope"
+    said = F.col("pred_decision")
+    near_unit = near & (F.col("decision") == "oos")
+    sums = {
+        "all_cases": F.lit(1),
+        "all_n": F.lit(1),
+        "all_h": F.col("hit"),
+        "near_cases": L.as_flag(near),
+        "near_n": L.as_flag(near_unit),
+        "near_h": L.as_flag(near_unit & (said == "oos")),
+        "quiet_cases": L.as_flag(quiet),
+        "quiet_n": L.as_flag(quiet),
+        "quiet_h": L.as_flag(quiet & (said == "no_intent")),
+        "in_cases": L.as_flag(inside),
+    }
     for i, intent in enumerate(intents):
         gold = inside & F.col("target_intent").eqNullSafe(F.lit(intent))
         predicted = inside & (F.col("pred_intent") == intent)
-        sums[f"g{i}"] = L.as_flag(first & gold)
-        for arm in arms:
-            here = F.col("arm") == arm
-            sums[f"p{i}_{arm}"] = L.as_flag(here & predicted)
-            sums[f"t{i}_{arm}"] = L.as_flag(here & predicted & gold)
-    spread = labelled.filter(F.col("arm").isin(*arms)).withColumn("domain", F.explode(domains()))
-    return spread.groupBy("domain", "cluster_id").agg(*[F.sum(c).alias(k) for k, c in sums.items()])
+        sums |= {f"g{i}": L.as_flag(gold), f"p{i}": L.as_flag(predicted), f"t{i}": L.as_flag(gold & predicted)}
+    per_arm = labelled.filter(F.col("arm").isin(*arms)).groupBy("cluster_id", "arm").agg(
+        *[F.sum(c).alias(k) for k, c in sums.items()]
+    )
+
+    def of(arm, column):
+        return F.coalesce(F.max(F.when(F.col("arm") == arm, F.col(column))), F.lit(0))
+
+    parts = ["all", "near", "quiet"]
+    wide = {f"{part}_{c}": of(arms[0], f"{part}_{c}") for part in [*parts, "in"] for c in ["cases", "n"] if (part, c) != ("in", "n")}
+    wide |= {f"{part}_h_{arm}": of(arm, f"{part}_h") for part in parts for arm in arms}
+    for i in range(len(intents)):
+        wide[f"g{i}"] = of(arms[0], f"g{i}")
+        wide |= {f"{k}{i}_{arm}": of(arm, f"{k}{i}") for k in "pt" for arm in arms}
+    clusters = per_arm.groupBy("cluster_id").agg(*[c.alias(k) for k, c in wide.items()])
+    zero = F.lit(0).cast("bigint")
+
+    def row(domain, part, tallies):
+        counts = [F.col(f"{part}_n").alias("n") if part != "in" else zero.alias("n")]
+        counts += [(F.col(f"{part}_h_{a}") if part != "in" else zero).alias(f"hits_{a}") for a in arms]
+        counts += [(F.col(k) if tallies else zero).alias(k) for k in tally_columns(arms, intents)]
+        return F.struct(F.lit(domain).alias("domain"), F.col(f"{part}_cases").alias("cases"), *counts)
+
+    rows = F.array(*[row(d, p, p == "in") for d, p in zip(DOMAINS, ["all", "in", "near", "quiet"], strict=True)])
+    return clusters.select("cluster_id", F.inline(rows)).filter("cases > 0")
+
+
+def tally_columns(arms: list[str], intents: list[str]) -> list[str]:
+    names = [f"g{i}" for i in range(len(intents))]
+    return names + [f"{k}{i}_{arm}" for i in range(len(intents)) for k in "pt" for arm in arms]
 
 
 def _metric(arm: str, intents: list[str]) -> Column:
@@ -104,39 +134,60 @@ def slots(statistics: DataFrame) -> DataFrame:
 def draw(numbered: DataFrame, iterations: int, seed: int, parts: int) -> DataFrame:
     """(domain, iteration, slot): as many draws with replacement as the domain has clusters, the same for every arm.
 
-    One hash per (iteration, position) serves all domains. The positions are dealt out first: few rows become many.
+    A draw is 32 mixed bits of its position and iteration, scaled to the number of clusters; one serves all domains.
+    The positions are dealt out before they are multiplied by the iterations.
     """
     sizes = numbered.groupBy("domain").agg(F.count("*").alias("clusters"))
     packed = sizes.agg(F.collect_list(F.struct("domain", "clusters")).alias("sizes"))
     position = numbered.groupBy("slot").agg(F.lit(1).alias("one")).select(F.col("slot").alias("position"))
-    spread = position.repartition(parts, "position").withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    text = F.concat_ws("|", F.lit(str(seed)), F.col("iteration").cast("string"), (F.col("position") - 1).cast("string"))
-    hashed = spread.withColumn("h", H.hex_int(text, 15)).withColumn("sizes", packed.scalar())
-    open_domains = F.filter("sizes", lambda s: s["clusters"] >= F.col("position"))
-    return hashed.select("iteration", "h", F.inline(open_domains)).select(
-        "domain", "iteration", (F.col("h") % F.col("clusters") + 1).alias("slot")
+    fits = F.filter("sizes", lambda s: s["clusters"] >= F.col("position"))
+    dealt = position.withColumn("sizes", packed.scalar()).select("position", fits.alias("open")).repartition(parts, "position")
+    placed = H.mixed(dealt, "hp", (F.col("position") + seed).bitwiseAND(F.lit(H.LOW_32)))
+    spread = placed.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    turned = H.mixed(spread, "hi", F.col("iteration").cast("bigint"))
+    drawn = H.mixed(turned, "h", F.col("hp").bitwiseXOR(F.col("hi")))
+    return drawn.select("iteration", "h", F.inline("open")).select(
+        "domain", "iteration", (F.shiftright(F.col("h") * F.col("clusters"), 32) + 1).alias("slot")
     )
 
 
-def resampled_sums(statistics: DataFrame, iterations: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Per (domain, iteration) sums over the drawn clusters, and the numbered cluster rows they came from."""
-    numbered = cut(slots(statistics))
-    columns = [c for c in numbered.columns if c not in ("domain", "cluster_id", "slot")]
-    values = numbered.select("domain", "slot", *columns)
-    rows = numbered.count()
-    small = rows * 8 * (len(columns) + 2) <= BROADCAST_BYTES
-    parts = max(numbered.sparkSession.sparkContext.defaultParallelism, rows * iterations // DRAWS_PER_TASK)
-    drawn = draw(numbered, iterations, seed, parts)
-    joined = drawn.join(F.broadcast(values) if small else values, ["domain", "slot"])
-    return _summed(joined, ["domain", "iteration"], columns), numbered
+def numbered_clusters(labelled: DataFrame, arms: list[str], intents: list[str]) -> DataFrame:
+    """The cluster rows with their slots, written once: they are small, and every later step reads them."""
+    return cut(slots(cut(cluster_statistics(labelled, arms, intents))))
+
+
+def resampled_differences(
+    numbered: DataFrame, arms: list[str], pairs: list[tuple[str, str]], intents: list[str], iterations: int, seed: int
+) -> DataFrame:
+    """Per (domain, iteration, pair) the metric difference over the drawn clusters.
+
+    The label tallies are only carried for the domain that needs them.
+    """
+    macro = F.col("domain") == "gold_in_scope_intent_macro_f1"
+    rates = ["n", *[f"hits_{arm}" for arm in arms]]
+    clusters = {r["domain"]: r["count"] for r in numbered.groupBy("domain").count().collect()}  # a row per domain
+    found = []
+    for part, columns in [(macro, tally_columns(arms, intents)), (~macro, rates)]:
+        values = numbered.filter(part).select("domain", "slot", *columns)
+        wanted = [d for d in clusters if (d == "gold_in_scope_intent_macro_f1") == (part is macro)]
+        rows = sum(clusters[d] for d in wanted)
+        tasks = max(numbered.sparkSession.sparkContext.defaultParallelism, rows * iterations // DRAWS_PER_TASK)
+        small = rows * 8 * (len(columns) + 2) <= BROADCAST_BYTES
+        drawn = draw(values, iterations, seed, tasks)
+        joined = drawn.join(F.broadcast(values) if small else values, ["domain", "slot"])
+        sums = _summed(joined, ["domain", "iteration"], columns)
+        rest = [c for c in [*rates, *tally_columns(arms, intents)] if c not in columns]
+        sums = sums.select("*", *[F.lit(0).alias(c) for c in rest])
+        found.append(_differences(sums, ["domain", "iteration"], pairs, intents))
+    return found[0].unionByName(found[1])
 
 
 def iteration_differences(
     labelled: DataFrame, pairs: list[tuple[str, str]], intents: list[str], iterations: int, seed: int
 ) -> DataFrame:
     arms = sorted({arm for pair in pairs for arm in pair})
-    sums, _ = resampled_sums(cluster_statistics(labelled, arms, intents), iterations, seed)
-    return _differences(sums, ["domain", "iteration"], pairs, intents)
+    numbered = numbered_clusters(labelled, arms, intents)
+    return resampled_differences(numbered, arms, pairs, intents, iterations, seed)
 
 
 def compare_domains(
@@ -150,7 +201,7 @@ def compare_domains(
 ) -> DataFrame:
     """Point and percentile interval of right minus left per domain; too few clusters give the point only."""
     arms = sorted({arm for pair in pairs for arm in pair})
-    sums, numbered = resampled_sums(cluster_statistics(labelled, arms, intents), iterations, seed)
+    numbered = numbered_clusters(labelled, arms, intents)
     columns = [c for c in numbered.columns if c not in ("domain", "cluster_id", "slot")]
     keys = ["domain", "left_arm", "right_arm"]
     whole = numbered.groupBy("domain").agg(
@@ -161,7 +212,7 @@ def compare_domains(
     ).withColumnRenamed("d", "point")
     alpha = 1 - confidence
     spread = (
-        _differences(sums, ["domain", "iteration"], pairs, intents)
+        resampled_differences(numbered, arms, pairs, intents, iterations, seed)
         .groupBy(*keys)
         .agg(F.percentile("d", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"))
     )

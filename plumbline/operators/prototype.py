@@ -1,7 +1,5 @@
 """Embedding prototypes: selection, centroids, scores, gates and the threshold grid."""
 
-from itertools import product
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,13 +117,10 @@ def grid_scores(scored: DataFrame, grid: dict[str, list[float]]) -> DataFrame:
         .groupBy("decision", "top_right", "k0", "k1", "k2", "k3")
         .agg(F.count("*").alias("n"))
     )
-    points = [
-        F.struct(
-            *[F.lit(i + 1).alias(f"j{a}") for a, (i, _) in enumerate(point)],
-            *[F.lit(v).alias(AXES[a]) for a, (_, v) in enumerate(point)],
-        )
-        for point in product(*[list(enumerate(v)) for v in axes])
-    ]
+    met = cells
+    for i, (axis, levels) in enumerate(zip(AXES, axes, strict=True)):
+        entries = [F.struct(F.lit(j + 1).alias(f"j{i}"), F.lit(v).alias(axis)) for j, v in enumerate(levels)]
+        met = met.select("*", F.inline(F.array(*entries)))
     c = F.col
     predicted = (
         F.when(c("j0") > c("k0"), "no_intent")
@@ -133,7 +128,7 @@ def grid_scores(scored: DataFrame, grid: dict[str, list[float]]) -> DataFrame:
         .when(c("j3") > c("k3"), "ambiguous")
         .otherwise("in_scope")
     )
-    met = cells.select("*", F.inline(F.array(*points))).withColumn("predicted", predicted)
+    met = met.withColumn("predicted", predicted)
     hit = (c("predicted") == c("decision")) & ((c("decision") != "in_scope") | (c("top_right") == 1))
     zero = F.lit(0).cast("bigint")
     count = lambda x: F.sum(F.when(x, c("n")).otherwise(zero))
