@@ -112,13 +112,15 @@ def _metric(arm: str, intents: list[str]) -> Column:
 
 
 def _differences(sums: DataFrame, keys: list[str], pairs: list[tuple[str, str]], intents: list[str]) -> DataFrame:
+    arms = sorted({arm for pair in pairs for arm in pair})
+    scored = sums.select(*keys, *[_metric(arm, intents).alias(f"m_{arm}") for arm in arms])
     entries = [
         F.struct(
-            F.lit(a).alias("left_arm"), F.lit(b).alias("right_arm"), (_metric(b, intents) - _metric(a, intents)).alias("d")
+            F.lit(a).alias("left_arm"), F.lit(b).alias("right_arm"), (F.col(f"m_{b}") - F.col(f"m_{a}")).alias("d")
         )
         for a, b in pairs
     ]
-    return sums.select(*keys, F.inline(F.array(*entries)))
+    return scored.select(*keys, F.inline(F.array(*entries)))
 
 
 def _summed(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -6,6 +6,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CSV_NULL = "\\N"
+
 
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder that all executors can reach; a local one only when Spark itself is local."""
@@ -49,7 +51,7 @@ def write(df: DataFrame, path: str, kind: str) -> None:
     """S06-S08. CSV gets a header; JSON keeps nulls so that every row has the same fields."""
     writer = df.write.mode("errorifexists")
     if kind == "csv":
-        writer.csv(path, header=True, nullValue="~", emptyValue="")
+        writer.csv(path, header=True, nullValue=CSV_NULL)
     elif kind == "json":
         writer.option("ignoreNullFields", "false").json(path)
     else:
@@ -58,7 +60,7 @@ def write(df: DataFrame, path: str, kind: str) -> None:
 
 def read(spark: SparkSession, path: str, kind: str, schema) -> DataFrame:
     if kind == "csv":
-        return spark.read.csv(path, header=True, schema=schema, nullValue="~", emptyValue="")
+        return spark.read.csv(path, header=True, schema=schema, nullValue=CSV_NULL, multiLine=True)
     if kind == "json":
         return spark.read.schema(schema).json(path)
     return spark.read.parquet(path)
