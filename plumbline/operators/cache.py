@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import labels as L
+from plumbline.functions.skew import skew_join
 from plumbline.operators.quality import violation
 
 # The fields of a request's identity, in the order of its canonical JSON.
@@ -84,7 +85,7 @@ def normalised_responses(
 def lookup(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """Each request with whether its key is stored."""
     stored = responses.groupBy("cache_key").agg(F.min("status").alias("stored_status"))
-    return requests.join(stored, "cache_key", "left").withColumn("cached", L.as_flag(F.col("stored_status").isNotNull()))
+    return skew_join(requests, stored, ["cache_key"], "left").withColumn("cached", L.as_flag(F.col("stored_status").isNotNull()))
 
 
 def misses(requests: DataFrame, responses: DataFrame) -> DataFrame:

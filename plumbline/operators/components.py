@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.lineage import cut
+from plumbline.functions.skew import skew_join
 
 RELATIONS = ["scenario_id", "paraphrase_id", "contrast_id"]
 
@@ -14,8 +15,7 @@ def star_edges(cases: DataFrame, relations: list[str]) -> DataFrame:
     for relation in relations:
         least = cases.groupBy(relation).agg(F.min("case_id").alias("v"))
         tied = (
-            cases.select("case_id", relation)
-            .join(least, relation)
+            skew_join(cases.select("case_id", relation), least, [relation])
             .filter("case_id <> v")
             .select(F.col("case_id").alias("u"), "v")
         )
@@ -27,13 +27,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node moves to the node's smallest neighbour."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    return skew_join(both, least, ["u"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node itself, moves to the smallest one."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = skew_join(edges, least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = least.select("u", F.col("m").alias("v"))
     return moved.unionByName(own).filter("u <> v").distinct()
 
@@ -46,8 +46,8 @@ def _state(edges: DataFrame):
 def components(cases: DataFrame, relations: list[str] = RELATIONS, max_rounds: int = 60) -> DataFrame:
     """(case_id, component): the smallest case id that can be reached.
 
-    Alternating large- and small-star steps; every step is a grouped minimum and an equi-join with it, so the larger
-    side of a hot node can be split by adaptive execution. The rounds grow with the logarithm of the longest chain.
+    Alternating large- and small-star steps; every step is a grouped minimum and a join with it that a hot node can be
+    split in. The rounds grow slowly with the longest chain, and each is written before the next one starts.
     """
     nodes = cases.select("case_id", *relations)
     edges = cut(star_edges(nodes, relations))

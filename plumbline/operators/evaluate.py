@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import labels as L
+from plumbline.functions.skew import skew_join
 from plumbline.schemas import DECISIONS, ERROR_PRIORITY, PREDICTED_DECISIONS, SLICE_TAGS
 
 PREDICTION_COLUMNS = [
@@ -93,7 +94,7 @@ def context_pairs(labelled: DataFrame) -> DataFrame:
     distractors = seen.filter(L.has_tag("context_distractor")).select(
         "arm", "contrast_id", "case_id", "signature", "hit"
     )
-    return distractors.join(controls, ["arm", "contrast_id"]).withColumns(
+    return skew_join(distractors, controls, ["arm", "contrast_id"]).withColumns(
         {
             "flip": L.as_flag(F.col("signature") != F.col("control_signature")),
             "adverse": L.as_flag((F.col("control_hit") == 1) & (F.col("hit") == 0)),

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import labels as L
+from plumbline.functions.skew import skew_join
 from plumbline.functions.text import context_text, normalise_evidence
 from plumbline.schemas import PATTERN_TAGS, PROBE_TAGS, SLICE_TAGS
 
@@ -105,16 +106,10 @@ def label_references(gold: DataFrame) -> DataFrame:
 
 def evidence_in_turns(quotes: DataFrame, turns: DataFrame, id_column: str) -> DataFrame:
     """V07 for a table of turns: the longest conversation is still read turn by turn, combined before the shuffle."""
-    found = turns.join(quotes, id_column, "right").groupBy(id_column).agg(
-        F.max(
-            L.as_flag(
-                F.coalesce(
-                    F.contains(normalise_evidence(F.col("text")), normalise_evidence(F.col("quote"))), F.lit(False)
-                )
-            )
-        ).alias("found")
-    )
-    return violation(found.filter("found = 0"), "V07", id_column, "quote_not_in_context")
+    quoted = F.contains(normalise_evidence(F.col("text")), normalise_evidence(F.col("quote")))
+    found = skew_join(turns, quotes, [id_column]).groupBy(id_column).agg(F.max(L.as_flag(quoted)).alias("found"))
+    missing = quotes.join(found.filter("found = 1"), id_column, "left_anti")
+    return violation(missing, "V07", id_column, "quote_not_in_context")
 
 
 def diagnostic_tags(gold: DataFrame) -> DataFrame:
@@ -260,7 +255,7 @@ def near_pair_contract(gold: DataFrame) -> DataFrame:
             )
         ).alias("s"),
     )
-    near = gold.filter(L.has_tag("near_oos")).join(members, "contrast_id")
+    near = skew_join(gold.filter(L.has_tag("near_oos")), members, ["contrast_id"])
     s = F.col("s")
     return violations(
         near,

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import hashing as H
 from plumbline.functions import labels as L
+from plumbline.functions.skew import skew_join
 from plumbline.operators.quality import violation, violations
 from plumbline.operators.split import phased_sample
 from plumbline.schemas import ACCEPT, AUDIT_SAMPLE_TAGS, CONFIRM, DECISIONS, KEEP, REWRITE, RULE_CHANGE
@@ -342,7 +343,7 @@ def carried_labels(new_contexts: DataFrame, old_contexts: DataFrame, old_labels:
         .groupBy("fingerprint")
         .agg(F.min(F.struct("item_id", "label")).alias("o"), F.count("*").alias("sources"))
     )
-    return new_contexts.join(known, "fingerprint", "left").select(
+    return skew_join(new_contexts, known, ["fingerprint"], "left").select(
         "item_id",
         F.col("o.label").alias("label"),
         F.col("o.item_id").alias("source_item"),

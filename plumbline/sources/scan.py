@@ -15,15 +15,23 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumn("file", F.col("_metadata.file_path"))
 
 
-def _keys_known(value: Column, schema: T.StructType, path: str = "$") -> Column:
-    """No undeclared field here or in any nested object (JSON null and absent objects are fine)."""
+def _undeclared(fields: Column, schema: T.StructType) -> Column:
+    """Some field here, or in any nested object, is not declared (JSON null and absent objects are fine).
+
+    ``fields`` maps the names to the raw text of their values, so a nested object is parsed from its own text only.
+    """
     declared = F.array(*[F.lit(f.name) for f in schema.fields])
-    there = value if path == "$" else F.get_json_object(value, path)
-    unknown = F.coalesce(F.size(F.array_except(F.json_object_keys(there), declared)) > 0, F.lit(False))
+    unknown = F.size(F.array_except(F.map_keys(fields), declared)) > 0
     for field in schema.fields:
         if isinstance(field.dataType, T.StructType):
-            unknown = unknown | ~_keys_known(value, field.dataType, f"{path}.{field.name}")
-    return ~unknown
+            inner = fields[field.name]
+            if any(isinstance(f.dataType, T.StructType) for f in field.dataType.fields):
+                unknown = unknown | _undeclared(F.from_json(inner, "map<string,string>"), field.dataType)
+            else:
+                names = F.array(*[F.lit(f.name) for f in field.dataType.fields])
+                unknown = unknown | (F.size(F.array_except(F.json_object_keys(inner), names)) > 0)
+            unknown = F.coalesce(unknown, F.lit(False))
+    return F.coalesce(unknown, F.lit(False))
 
 
 def _required_null(row: str, schema: T.StructType) -> Column:
@@ -52,14 +60,14 @@ def judge_lines(lines: DataFrame, schema: T.StructType, text: str = "value") ->
     with_corrupt = T.StructType([*_open(schema).fields, T.StructField(CORRUPT, T.StringType())])
     parsed = lines.withColumn(
         "row", F.from_json(text, with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    )
+    ).withColumn("_fields", F.from_json(text, "map<string,string>"))
     reason = (
         F.when(F.trim(text) == "", "blank_line")
         .when(F.col("row").isNull() | F.col(f"row.{CORRUPT}").isNotNull(), "invalid_json")
-        .when(~_keys_known(F.col(text), schema), "unknown_field")
+        .when(_undeclared(F.col("_fields"), schema), "unknown_field")
         .when(_required_null("row", schema), "missing_field")
     )
-    return parsed.withColumn("reason", reason).withColumn("row", F.col("row").dropFields(CORRUPT))
+    return parsed.withColumn("reason", reason).withColumn("row", F.col("row").dropFields(CORRUPT)).drop("_fields")
 
 
 def good_rows(judged: DataFrame, carry: list[str] = ()) -> DataFrame:
