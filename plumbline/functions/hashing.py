@@ -77,9 +77,9 @@ def hash_rank(df: DataFrame, by: list[str], key: str, tie: str, name: str) -> Da
 
 def number_rank(df: DataFrame, by: list[str], key: str, name: str, parts: int = 4096) -> DataFrame:
     """1-based rank by a unique whole number, in ``parts`` equal ranges between the least and the largest."""
-    ends = df.agg(F.min(key).alias("low"), F.max(key).alias("high"))
-    low, high = ends.select("low").scalar(), ends.select("high").scalar()
-    part = F.floor((F.col(key) - F.col("_low")) * F.lit(float(parts)) / (F.col("_high") - F.col("_low") + 1))
-    base = df.withColumns({"_low": low, "_high": high, "_one": F.lit(1).cast("bigint"), "_all": F.lit(0)})
+    ends = df.agg(F.struct(F.min(key).alias("low"), F.max(key).alias("high")).alias("ends")).scalar()
+    low, high = F.col("_ends.low"), F.col("_ends.high")
+    part = F.floor((F.col(key) - low) * F.lit(float(parts)) / (high - low + 1))
+    base = df.withColumns({"_ends": ends, "_one": F.lit(1).cast("bigint"), "_all": F.lit(0)})
     out = running_total(base, by or ["_all"], key, key, "_one", name, bucket_of=part)
-    return out.drop("_one", "_low", "_high", "_all")
+    return out.drop("_one", "_ends", "_all")

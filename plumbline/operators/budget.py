@@ -42,19 +42,19 @@ def latency_summary(predictions: DataFrame, by: list[str]) -> DataFrame:
 
 def distribution(df: DataFrame, by: list[str], value: str, name: str, digits: int = 6) -> DataFrame:
     """Count, minimum, mean, P50, P95 and maximum; works for signed values too."""
-    keyed = df.select(*by, value) if by else df.select(F.lit(0).alias("_all"), value)
-    keys = by or ["_all"]
-    basic = keyed.groupBy(*keys).agg(
+    basic = df.groupBy(*by).agg(
         F.count(value).alias(f"{name}_count"),
         F.min(F.col(value).cast("double")).alias(f"{name}_min"),
         F.round(F.avg(value), digits).alias(f"{name}_mean"),
         F.max(F.col(value).cast("double")).alias(f"{name}_max"),
     )
-    q = exact_quantiles(keyed, keys, value, [0.5, 0.95], ["_p50", "_p95"])
-    out = basic.join(q, keys, "left").withColumns(
-        {f"{name}_p50": F.round("_p50", digits), f"{name}_p95": F.round("_p95", digits)}
-    )
-    return out.drop("_p50", "_p95", "_all")
+    q = exact_quantiles(df, by, value, [0.5, 0.95], ["_p50", "_p95"])
+    if by:
+        both = basic.join(q, by, "left")
+    else:
+        both = basic.withColumn("_q", q.select(F.struct("_p50", "_p95").alias("q")).scalar()).select("*", "_q.*").drop("_q")
+    rounded = {f"{name}_p50": F.round("_p50", digits), f"{name}_p95": F.round("_p95", digits)}
+    return both.withColumns(rounded).drop("_p50", "_p95")
 
 
 def case_budgets(calls: DataFrame, rates: tuple[float, float]) -> DataFrame:

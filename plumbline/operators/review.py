@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import hashing as H
 from plumbline.functions import labels as L
+from plumbline.functions.lineage import cut
 from plumbline.functions.skew import skew_join
 from plumbline.operators.quality import violation, violations
 from plumbline.operators.split import phased_sample
@@ -62,14 +63,16 @@ def agreement_sample(compared: DataFrame, count: int) -> DataFrame:
 
 def adjudication_packet(compared: DataFrame, count: int) -> DataFrame:
     """Near-OOS disagreements, other disagreements, then the agreement sample, numbered through."""
-    wrong = compared.filter("hierarchical_matches = 0").select(
-        "item_id", F.when(F.array_contains("tags", "near_oos"), 0).otherwise(1).alias("section")
+    wrong = cut(
+        compared.filter("hierarchical_matches = 0").select(
+            "item_id", F.when(F.array_contains("tags", "near_oos"), 0).otherwise(1).alias("section")
+        )
     )
     ranked = H.number_rank(wrong, ["section"], "item_id", "rank")
     sample = agreement_sample(compared, count).select(
         "item_id", F.lit(2).alias("section"), (F.col("position") + 1).cast("bigint").alias("rank")
     )
-    both = ranked.select("item_id", "section", "rank").unionByName(sample)
+    both = ranked.select("item_id", "section", "rank").unionByName(cut(sample))
     sizes = both.groupBy("section").agg(F.count("*").alias("n"))
     before = sizes.select(
         "section",

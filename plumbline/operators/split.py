@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import hashing as H
 from plumbline.functions import labels as L
+from plumbline.functions.lineage import cut
 
 FEATURES = [
     "near_oos",
@@ -77,7 +78,7 @@ ALL_FEATURES = [*FEATURES, "open_intent_candidate", "horizon_later", "horizon_un
 
 def choose_split(cases: DataFrame, group: str, seeds: int = 8, share: int = 3, whole: int = 10) -> DataFrame:
     """(group_id, split, stratum, cases) of the best seed."""
-    candidates = candidate_splits(group_table(cases, group), seeds, share, whole)
+    candidates = candidate_splits(cut(group_table(cases, group)), seeds, share, whole)
     best = best_seed(score_seeds(candidates, ALL_FEATURES, share, whole)).select("seed")
     chosen = candidates.join(best, "seed", "left_semi")
     return chosen.select("group_id", F.when(F.col("dev") == 1, "dev").otherwise("test").alias("split"), "stratum", "cases")

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.lineage import cut
 from plumbline.operators import quality as Q
 from plumbline.operators import review as R
 
@@ -13,7 +14,7 @@ def materialised(drafts: DataFrame, reviews: DataFrame, resolutions: DataFrame,
 
 def materialise_gold(drafts: DataFrame, reviews: DataFrame, resolutions: DataFrame, policies: DataFrame) -> DataFrame:
     """Counts of the gold rows by source and decision, of what could not be labelled, and of broken labels."""
-    labelled = materialised(drafts, reviews, resolutions, policies)
+    labelled = cut(materialised(drafts, reviews, resolutions, policies))
     gold = labelled.filter("label_source IS NOT NULL").withColumns(
         {"case_id": F.col("item_id"), "siblings": F.array().cast("array<string>")}
     )
