@@ -714,14 +714,17 @@ KINDS = ["plain_in", "near", "far", "quiet", "amb"]
     SELECT 'V30' AS rule, decision || '/' || kind AS key, CAST(n AS VARCHAR) AS detail FROM c WHERE n <> 1500
     UNION ALL SELECT 'V30', a || '+' || b, 'never_together' FROM (VALUES ('in_scope', 'oos'), ('in_scope', 'no_intent'),
       ('in_scope', 'ambiguous'), ('oos', 'no_intent'), ('oos', 'ambiguous'), ('no_intent', 'ambiguous')) w(a, b)
-      WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.a = w.a AND p.b = w.b)""",
-    "gold",
+      WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.a = w.a AND p.b = w.b)
+    UNION ALL SELECT 'V30', tag, 'not_covered' FROM (VALUES """
+    + ", ".join(f"('{x}')" for x in SLICE_TAGS)
+    + """) k(tag) WHERE tag NOT IN (SELECT tag FROM tags)""",
+    "gold tags",
 )
 def v30(t):
     counts = t.gold.groupBy("decision", F.col("pair_kind").alias("kind")).agg(F.count("*").alias("n"))
     return Q.coverage_gaps(counts, DECISIONS, KINDS, 1500).unionByName(
         Q.missing_decision_pairs(t.gold, "scenario_id", DECISIONS)
-    )
+    ).unionByName(Q.uncovered_tags(t.gold, SLICE_TAGS))
 
 
 SHOT_SQL = f"""shots AS (SELECT min(case_id) AS case_id, cluster_id, decision FROM gold GROUP BY 2, 3
@@ -734,10 +737,17 @@ SHOT_SQL = f"""shots AS (SELECT min(case_id) AS case_id, cluster_id, decision FR
       GROUP BY case_id HAVING count(*) > 1
     UNION ALL SELECT 'V31', CAST(cluster_id AS VARCHAR), 'cluster_repeated' FROM shots GROUP BY cluster_id HAVING count(*) > 1
     UNION ALL SELECT 'V31', w.decision, CAST(count(s.case_id) AS VARCHAR) FROM (VALUES ('in_scope', 8), ('oos', 4), ('no_intent', 4),
-      ('ambiguous', 4)) w(decision, k) LEFT JOIN shots s ON s.decision = w.decision GROUP BY w.decision, k HAVING count(s.case_id) <> k""",
+      ('ambiguous', 4)) w(decision, k) LEFT JOIN shots s ON s.decision = w.decision GROUP BY w.decision, k HAVING count(s.case_id) <> k
+    UNION ALL SELECT DISTINCT 'V31', CAST(case_id AS VARCHAR), 'rationale_missing' FROM shots WHERE {mut('V31b', 'case_id')}
+    UNION ALL SELECT DISTINCT 'V31', CAST(case_id + 50000000 AS VARCHAR), 'rationale_not_selected' FROM shots WHERE {mut('V31c', 'case_id')}""",
     "gold",
 )
 def v31(t):
     picked = t.gold.groupBy("cluster_id", "decision").agg(F.min("case_id").alias("case_id"))
     twice = picked.filter(hit("V31", "cluster_id", 5))
-    return Q.selection_contract(picked.unionByName(twice), {"in_scope": 8, "oos": 4, "no_intent": 4, "ambiguous": 4})
+    told = picked.filter(~hit("V31b", "case_id")).select("case_id")
+    other = picked.filter(hit("V31c", "case_id")).select((F.col("case_id") + 50000000).alias("case_id"))
+    required = {"in_scope": 8, "oos": 4, "no_intent": 4, "ambiguous": 4}
+    return Q.selection_contract(picked.unionByName(twice), required).unionByName(
+        Q.rationale_coverage(picked, told.unionByName(other))
+    )

@@ -28,7 +28,7 @@ def drafts(t):
             F.when(F.col("item_id") % 2 == 0, "multi_turn").otherwise("single_turn"),
         )
     )
-    return t.reviews.select("item_id", *DRAFT, tags.alias("tags"))
+    return t.reviews.select("item_id", *DRAFT, tags.alias("tags"), "draft_quote", "draft_experience", "draft_object")
 
 
 def compared(t):
@@ -206,6 +206,7 @@ def entries(t):
     return t.reviews.select(
         "item_id",
         *[c.alias(k) for k, c in shown.items()],
+        *["human_quote", "human_experience", "human_object"],
         F.when(~pending & ~hit("V25b", "item_id", 20), "r1").alias("reviewer_id"),
         F.when(~pending, "at").alias("reviewed_at"),
         F.when(hit("V25c", "item_id", 2), "note").alias("review_note"),
@@ -247,12 +248,17 @@ def v25b(t):
     f"""WITH {ENTRY_SQL}, c AS (SELECT *, human_decision = draft_decision AS d, human_target IS NOT DISTINCT FROM draft_target AS t,
        human_horizon = draft_horizon AS h FROM en),
      s AS (SELECT batch, count(*) AS item_count, CAST(sum(complete) AS BIGINT) AS completed_count, count(*) FILTER (d) AS dm,
-       count(*) FILTER (t AND complete = 1) AS tm, count(*) FILTER (h) AS hm, count(*) FILTER (d AND (draft_decision <> 'in_scope' OR t)) AS xm
+       count(*) FILTER (t AND complete = 1) AS tm, count(*) FILTER (h) AS hm, count(*) FILTER (d AND (draft_decision <> 'in_scope' OR t)) AS xm,
+       count(*) FILTER (human_quote = draft_quote AND complete = 1) AS em,
+       count(*) FILTER (human_experience IS NOT DISTINCT FROM draft_experience AND complete = 1) AS pm,
+       count(*) FILTER (human_object IS NOT DISTINCT FROM draft_object AND complete = 1) AS om
        FROM c GROUP BY 1)
     SELECT batch, item_count, completed_count,
       CASE WHEN item_count = completed_count THEN 'revealed_after_pass_complete' ELSE 'locked_until_pass_complete' END AS agreement_status,
       CASE WHEN item_count = completed_count THEN dm END AS decision_matches, CASE WHEN item_count = completed_count THEN tm END AS target_matches,
-      CASE WHEN item_count = completed_count THEN hm END AS horizon_matches, CASE WHEN item_count = completed_count THEN xm END AS hierarchical_matches
+      CASE WHEN item_count = completed_count THEN hm END AS horizon_matches, CASE WHEN item_count = completed_count THEN xm END AS hierarchical_matches,
+      CASE WHEN item_count = completed_count THEN em END AS evidence_matches, CASE WHEN item_count = completed_count THEN pm END AS experience_matches,
+      CASE WHEN item_count = completed_count THEN om END AS object_matches
     FROM s""",
     "reviews",
 )

@@ -347,8 +347,13 @@ def w11(t):
 
 TEMPLATE = "Labels: {{TAXONOMY_JSON}}\nExamples:\n{{FEW_SHOTS_JSONL}}\nCase: {{CONTEXT_JSON}}\n"
 TAXONOMY = '{"intents":["intent_0","intent_1"],"taxonomy_version":"demo-v1"}'
-SHOT_JSON = """'{"context":{"state_summary":' || CAST(to_json(base_state) AS VARCHAR) || '},"output":{"decision":"' || decision || '","predicted_intent":'
-   || CASE WHEN target_intent IS NULL THEN 'null' ELSE '"' || target_intent || '"' END || '}}'"""
+def _quoted(c):
+    return f"""CASE WHEN {c} IS NULL THEN 'null' ELSE '"' || {c} || '"' END"""
+
+
+SHOT_JSON = f"""'{{"context":{{"state_summary":' || CAST(to_json(base_state) AS VARCHAR) || '}},"output":{{"candidate_intents":[],"decision":"' || decision
+   || '","predicted_intent":' || {_quoted('target_intent')} || ',"reason_short":"first of ' || decision || '","slots":{{"desired_experience":'
+   || {_quoted('desired_experience')} || ',"horizon":"' || horizon || '","object":' || {_quoted('object_slot')} || '}}}}}}'"""
 PROMPT_SQL = f"""sh AS (SELECT string_agg(line, chr(10) ORDER BY decision, case_id) AS shots FROM (SELECT decision, min(case_id) AS case_id,
      arg_min({SHOT_JSON}, case_id) AS line FROM gold GROUP BY decision) z),
  px AS (SELECT doc_id, 'Labels: ' || '{TAXONOMY}' || chr(10) || 'Examples:' || chr(10) || shots || chr(10) || 'Case: ' || text || chr(10) AS prompt
@@ -357,9 +362,23 @@ PROMPT_SQL = f"""sh AS (SELECT string_agg(line, chr(10) ORDER BY decision, case_
 
 def shots(t):
     first = t.gold.groupBy("decision").agg(
-        F.min_by(F.struct("case_id", "target_intent", F.col("base_state").alias("text")), "case_id").alias("s")
+        F.min_by(
+            F.struct(
+                "case_id", "target_intent", "horizon", "desired_experience", "object_slot", F.col("base_state").alias("text")
+            ),
+            "case_id",
+        ).alias("s")
+    )
+    return first.select(
+        "decision",
+        "s.target_intent",
+        "s.text",
+        "s.horizon",
+        "s.desired_experience",
+        "s.object_slot",
+        F.concat(F.lit("first of "), "decision").alias("reason_short"),
+        F.concat_ws("|", "decision", F.lpad(F.col("s.case_id").cast("string"), 12, "0")).alias("position"),
     )
-    return first.select("decision", "s.target_intent", "s.text", F.concat_ws("|", "decision", F.lpad(F.col("s.case_id").cast("string"), 12, "0")).alias("position"))
 
 
 def prompted(t):

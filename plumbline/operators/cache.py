@@ -27,13 +27,15 @@ IDENTITY = [
 
 def few_shot_lines(shots: DataFrame) -> DataFrame:
     """The few shots (at most a dozen rows) as JSON lines in order, one value."""
-    shot = F.to_json(
-        F.struct(
-            F.struct(F.col("text").alias("state_summary")).alias("context"),
-            F.struct("decision", F.col("target_intent").alias("predicted_intent")).alias("output"),
-        ),
-        {"ignoreNullFields": "false"},
+    output = F.struct(
+        F.array().cast("array<string>").alias("candidate_intents"),
+        "decision",
+        F.col("target_intent").alias("predicted_intent"),
+        "reason_short",
+        F.struct("desired_experience", "horizon", F.col("object_slot").alias("object")).alias("slots"),
     )
+    context = F.struct(F.col("text").alias("state_summary"))
+    shot = F.to_json(F.struct(context.alias("context"), output.alias("output")), {"ignoreNullFields": "false"})
     ordered = F.array_sort(F.collect_list(F.struct("position", shot.alias("line"))))
     return shots.agg(F.array_join(F.transform(ordered, lambda s: s["line"]), "\n").alias("few_shots"))
 

@@ -424,6 +424,27 @@ def missing_decision_pairs(members: DataFrame, group: str, decisions: list[str])
     return violation(counts.filter("n = 0"), "V30", "pair", "never_together")
 
 
+def uncovered_tags(members: DataFrame, tags: list[str]) -> DataFrame:
+    """Boundary tags that no example carries; one aggregation over all tags."""
+    counts = members.agg(
+        F.array(
+            *[
+                F.struct(F.lit(t).alias("tag"), F.coalesce(F.sum(L.as_flag(L.has_tag(t))), F.lit(0)).alias("n"))
+                for t in tags
+            ]
+        ).alias("t")
+    ).select(F.inline("t"))
+    return violation(counts.filter("n = 0"), "V30", "tag", "not_covered")
+
+
+def rationale_coverage(selected: DataFrame, rationales: DataFrame) -> DataFrame:
+    """Every selected case has a rationale, and no rationale is for another case."""
+    ids, told = selected.select("case_id").distinct(), rationales.select("case_id").distinct()
+    return violation(ids.join(told, "case_id", "left_anti"), "V31", "case_id", "rationale_missing").unionByName(
+        violation(told.join(ids, "case_id", "left_anti"), "V31", "case_id", "rationale_not_selected")
+    )
+
+
 def selection_contract(selected: DataFrame, required: dict[str, int]) -> DataFrame:
     """Ids and clusters of a selection are unique, and the count per decision is as required."""
     ids = selected.groupBy("case_id").agg(F.count("*").alias("n")).filter("n > 1")

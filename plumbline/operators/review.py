@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import hashing as H
 from plumbline.functions import labels as L
 from plumbline.functions.lineage import cut
+from plumbline.functions.text import normalise_evidence
 from plumbline.functions.skew import skew_join
 from plumbline.operators.quality import violation, violations
 from plumbline.operators.split import phased_sample
@@ -148,9 +149,17 @@ def label_source_counts(labelled: DataFrame) -> DataFrame:
 
 def agreement_report(entries: DataFrame, drafts: DataFrame, by: str) -> DataFrame:
     """Agreement counts of each review pass; nothing is shown while a pass has pending items."""
-    joined = compare_reviews(entries, drafts)
+    quotes = normalise_evidence(F.col("human_quote")) == normalise_evidence(F.col("draft_quote"))
+    joined = compare_reviews(entries, drafts).withColumns(
+        {
+            "evidence_matches": L.as_flag(quotes),
+            "experience_matches": L.as_flag(F.col("human_experience").eqNullSafe(F.col("draft_experience"))),
+            "object_matches": L.as_flag(F.col("human_object").eqNullSafe(F.col("draft_object"))),
+        }
+    )
     done = F.col("complete") == 1
     flags = ["decision_matches", "target_matches", "horizon_matches", "hierarchical_matches"]
+    flags += ["evidence_matches", "experience_matches", "object_matches"]
     sums = joined.groupBy(by).agg(
         F.count("*").alias("item_count"),
         F.sum("complete").alias("completed_count"),

@@ -47,9 +47,11 @@ def check_digests(manifest: DataFrame, actual: DataFrame, key: str) -> DataFrame
     return joined.select(key, state.alias("state"))
 
 
-def write(df: DataFrame, path: str, kind: str) -> None:
-    """S06-S08. CSV gets a header; JSON keeps nulls so that every row has the same fields."""
+def write(df: DataFrame, path: str, kind: str, partitions: list[str] = ()) -> None:
+    """S06-S08, S12. CSV gets a header; JSON keeps nulls so that every row has the same fields."""
     writer = df.write.mode("errorifexists")
+    if partitions:
+        writer = writer.partitionBy(*partitions)
     if kind == "csv":
         writer.csv(path, header=True, nullValue=CSV_NULL)
     elif kind == "json":

@@ -132,6 +132,12 @@ SELECT item_id, human_label, human_flag, draft_label, draft_flag,
        CASE WHEN human_label = 1 THEN 'intent_' || {_str("human_flag")} END AS human_target,
        CASE WHEN draft_label = 1 THEN 'in_scope' WHEN draft_flag = 1 THEN 'oos' ELSE 'no_intent' END AS draft_decision,
        CASE WHEN draft_label = 1 THEN 'intent_' || {_str("draft_flag")} END AS draft_target,
+       'quote ' || {_str("item_id")} AS human_quote,
+       'quote ' || {_str("item_id")} || CASE WHEN {b("'q|' || " + _str("item_id"), 6)} = 0 THEN '!' ELSE '' END AS draft_quote,
+       CASE WHEN item_id % 4 <> 0 THEN 'calm' END AS human_experience,
+       CASE WHEN item_id % 5 <> 0 THEN 'calm' END AS draft_experience,
+       CASE WHEN item_id % 2 = 0 THEN 'book' END AS human_object,
+       CASE WHEN item_id % 2 = 0 THEN CASE WHEN item_id % 7 = 0 THEN 'film' ELSE 'book' END END AS draft_object,
        CASE WHEN item_id % 3 = 0 THEN 1 ELSE 0 END AS near_oos
 FROM (SELECT doc_id AS item_id, quality AS human_label, toxic AS human_flag,
              CASE WHEN {b("'d|' || " + _str("doc_id"), 10)} < 8 THEN quality ELSE 1 - quality END AS draft_label,
