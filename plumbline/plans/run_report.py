@@ -20,36 +20,49 @@ def _tall(df: DataFrame, slices: str | None, metrics: dict) -> DataFrame:
 
 def run_report(gold: DataFrame, predictions: DataFrame, arms: list[str], intents: list[str]) -> DataFrame:
     named = E.near_siblings(gold).select("case_id", F.lit(1).alias("sibling"))
-    labelled = E.join_predictions(gold.join(named, "case_id", "left"), predictions, arms)
-    # One pass over the joined rows, down to one small table; every metric but the pairs is read off that.
-    required = L.as_flag(L.has_tag("slot_required"))
+    need = ["status", "decision", "predicted_intent", "horizon", "desired_experience", "object_slot"]
+    labelled = E.join_predictions(gold.join(named, "case_id", "left"), predictions, arms, need)
+    # One pass over the joined rows, down to one small table; every metric but the pairs is read off that. Only what
+    # the keys do not tell is summed by row.
     missing = E._slot_missing("desired_experience", "p_experience") | E._slot_missing("object_slot", "p_object")
-    flags = {
-        "near_n": L.as_flag(L.has_tag("near_oos")),
-        "near_hit": L.as_flag(L.has_tag("near_oos") & (F.col("pred_decision") == "oos")),
-        "sib_n": F.coalesce("sibling", F.lit(0)),
-        "sib_reject": F.coalesce("sibling", F.lit(0)) * L.as_flag(F.col("pred_decision") == "oos"),
-        "ctx_d": L.as_flag(L.has_tag("context_distractor")) * (1 - F.col("hit")),
-        "ctx_c": L.as_flag(L.has_tag("context_control")) * (1 - F.col("hit")),
-        "hard_n": L.as_flag(L.has_tag("hard_negative")),
-        "hard_hit": L.as_flag(L.has_tag("hard_negative")) * E.competitor_hit(),
-        "slot_n": required,
-        "slot_full": required * L.as_flag(L.ok() & ~missing),
-        "slot_horizon": required * L.as_flag(L.ok() & F.col("horizon").eqNullSafe(F.col("p_horizon"))),
-        "quiet_n": L.as_flag(L.has_tag("quiet_control")),
-        "quiet_hit": L.as_flag(L.has_tag("quiet_control") & (F.col("pred_decision") == "no_intent")),
-        "got": L.as_flag(F.col("status").isNotNull()),
-        "missing": L.as_flag(F.col("status").isNull()),
-        "provider_failure": L.as_flag(F.col("status") == "provider_failure"),
-        "schema_invalid": L.as_flag(F.col("status") == "schema_invalid"),
-    }
-    keys = ["arm", "decision", "target_intent", "pred_decision", "pred_intent", E.tag_set().alias("tagset")]
-    counts = cut(
+    keys = ["arm", "decision", "target_intent", "pred_decision", "pred_intent", "status", E.tag_set().alias("tagset")]
+    cells = cut(
         labelled.groupBy(*keys).agg(
-            F.count("*").alias("n"), F.sum("hit").alias("hits"), *[F.sum(c).alias(k) for k, c in flags.items()]
+            F.count("*").alias("n"),
+            F.sum("hit").alias("hits"),
+            F.sum(F.coalesce("sibling", F.lit(0))).alias("sib_n"),
+            F.sum(E.competitor_hit()).alias("rival"),
+            F.sum(L.as_flag(L.ok() & ~missing)).alias("full"),
+            F.sum(L.as_flag(L.ok() & F.col("horizon").eqNullSafe(F.col("p_horizon")))).alias("on_time"),
         )
     )
-    totals = counts.groupBy("arm").agg(*[F.sum(k).alias(k) for k in ["n", "hits", *flags]])
+
+    def where(condition, value="n"):
+        return F.when(condition, F.col(value)).otherwise(F.lit(0).cast("bigint"))
+
+    tagged = lambda tag: F.array_contains("tagset", tag)
+    wrong = F.col("n") - F.col("hits")
+    none = F.lit(0).cast("bigint")
+    flags = {
+        "near_n": where(tagged("near_oos")),
+        "near_hit": where(tagged("near_oos") & (F.col("pred_decision") == "oos")),
+        "sib_reject": where(F.col("pred_decision") == "oos", "sib_n"),
+        "ctx_d": F.when(tagged("context_distractor"), wrong).otherwise(none),
+        "ctx_c": F.when(tagged("context_control"), wrong).otherwise(none),
+        "hard_n": where(tagged("hard_negative")),
+        "hard_hit": where(tagged("hard_negative"), "rival"),
+        "slot_n": where(tagged("slot_required")),
+        "slot_full": where(tagged("slot_required"), "full"),
+        "slot_horizon": where(tagged("slot_required"), "on_time"),
+        "quiet_n": where(tagged("quiet_control")),
+        "quiet_hit": where(tagged("quiet_control") & (F.col("pred_decision") == "no_intent")),
+        "got": where(F.col("status").isNotNull()),
+        "missing": where(F.col("status").isNull()),
+        "provider_failure": where(F.col("status") == "provider_failure"),
+        "schema_invalid": where(F.col("status") == "schema_invalid"),
+    }
+    counts = cells.withColumns(flags)
+    totals = counts.groupBy("arm").agg(*[F.sum(k).alias(k) for k in ["n", "hits", "sib_n", *flags]])
     rates = {
         "hierarchical_exact_match": ("hits", "n"),
         "near_oos_recall": ("near_hit", "near_n"),
