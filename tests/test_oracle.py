@@ -2,11 +2,10 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from plumbline.catalog.registry import ORACLES, QUERIES
 from tests import harness
 
-QUERIES, ORACLES = queries(), oracle_sql()
-
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, con, name):
