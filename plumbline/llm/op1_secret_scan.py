@@ -99,27 +99,27 @@ def scan(docs: DataFrame, owner: Column, repository: Column, wide: int = 3) -> D
 
 def _sql_spans(pattern: str, kind: int, group: int, least: int) -> str:
     p = pattern.replace("'", "''")
-    return f"""list_filter(list_transform(range(1, len(regexp_extract_all(t, '{p}')) + 1), i -> {{
-        'start': list_sum(list_transform(string_split_regex(t, '{p}')[1:i], x -> length(x))) + coalesce(list_sum(list_transform(regexp_extract_all(t, '{p}')[1:i-1], x -> length(x))), 0),
+    return f"""list_filter(list_transform(range(1, len(regexp_extract_all(t, '{p}')) + 1), lambda i: {{
+        'start': list_sum(list_transform(string_split_regex(t, '{p}')[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(regexp_extract_all(t, '{p}')[1:i-1], lambda x: length(x))), 0),
         'kind': {kind},
-        'stop': list_sum(list_transform(string_split_regex(t, '{p}')[1:i], x -> length(x))) + list_sum(list_transform(regexp_extract_all(t, '{p}')[1:i], x -> length(x))),
-        'v': regexp_extract_all(t, '{p}', {group})[i]}}), x -> length(x.v) >= {least})"""
+        'stop': list_sum(list_transform(string_split_regex(t, '{p}')[1:i], lambda x: length(x))) + list_sum(list_transform(regexp_extract_all(t, '{p}')[1:i], lambda x: length(x))),
+        'v': regexp_extract_all(t, '{p}', {group})[i]}}), lambda x: length(x.v) >= {least})"""
 
 
-_TEXT = "array_to_string(list_transform({0}, x -> ['assign', 'access', 'hex', 'live'][x.kind + 1] || ':' || x.start::BIGINT || ':' || x.stop::BIGINT), ',')"
+_TEXT = "array_to_string(list_transform({0}, lambda x: ['assign', 'access', 'hex', 'live'][x.kind + 1] || ':' || x.start::BIGINT || ':' || x.stop::BIGINT), ',')"
 SQL = f"""
 WITH d AS (SELECT doc_id, source AS owner, source || '/' || lang AS repo, coalesce(text, '') AS t FROM documents),
 b AS (SELECT doc_id, owner, repo, t, list_sort(list_concat(list_concat({_sql_spans(ASSIGN, 0, 1, 12)}, {_sql_spans(ACCESS, 1, 0, 18)}), {_sql_spans(HEX, 2, 0, 16)})) AS base FROM d),
-c AS (SELECT *, list_filter({_sql_spans(OPAQUE, 3, 0, 20)}, x -> regexp_matches(x.v, '[0-9]') AND regexp_matches(x.v, '[a-z]') AND regexp_matches(x.v, '[A-Z]')
-        AND len(list_filter(base, y -> y.start < x.stop AND x.start < y.stop)) = 0) AS opaque FROM b),
+c AS (SELECT *, list_filter({_sql_spans(OPAQUE, 3, 0, 20)}, lambda x: regexp_matches(x.v, '[0-9]') AND regexp_matches(x.v, '[a-z]') AND regexp_matches(x.v, '[A-Z]')
+        AND len(list_filter(base, lambda y: y.start < x.stop AND x.start < y.stop)) = 0) AS opaque FROM b),
 e AS (SELECT doc_id, owner, unnest(list_concat(base, opaque)) AS s FROM c),
 o AS (SELECT s.v AS v, count(DISTINCT owner) AS owners FROM e GROUP BY 1),
 j AS (SELECT doc_id, list({{'start': s.start, 'kind': s.kind, 'stop': s.stop, 'live': owners < 3}} ORDER BY s.start, s.kind) FILTER (s.kind < 3 OR owners < 3) AS found
       FROM e JOIN o ON e.s.v = o.v GROUP BY doc_id)
-SELECT c.doc_id, len(list_filter(base, x -> x.kind = 0)) AS n_assign, len(list_filter(base, x -> x.kind = 1)) AS n_access,
-    len(list_filter(base, x -> x.kind = 2)) AS n_hex, sha256({_TEXT.format('base')}) AS base_sha256,
-    coalesce({_TEXT.format('found')}, '') AS spans, coalesce(len(list_filter(found, x -> x.live)), 0) AS n_live,
-    coalesce(len(list_filter(found, x -> NOT x.live)), 0) AS n_example
+SELECT c.doc_id, len(list_filter(base, lambda x: x.kind = 0)) AS n_assign, len(list_filter(base, lambda x: x.kind = 1)) AS n_access,
+    len(list_filter(base, lambda x: x.kind = 2)) AS n_hex, sha256({_TEXT.format('base')}) AS base_sha256,
+    coalesce({_TEXT.format('found')}, '') AS spans, coalesce(len(list_filter(found, lambda x: x.live)), 0) AS n_live,
+    coalesce(len(list_filter(found, lambda x: NOT x.live)), 0) AS n_example
 FROM c LEFT JOIN j ON c.doc_id = j.doc_id
 """
 
