@@ -1,3 +1,10 @@
 """Operators for training data; importing this registers their queries."""
 
-from plumbline.llm import op1_secret_scan, op5_exact_dedup, op6_sharding, op8_mixing  # noqa: F401
+from plumbline.llm import (  # noqa: F401
+    op1_secret_scan,
+    op3_decontamination,
+    op5_exact_dedup,
+    op6_sharding,
+    op8_mixing,
+    op10_language_id,
+)

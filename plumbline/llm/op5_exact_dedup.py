@@ -11,6 +11,10 @@ from plumbline.llm.common import LOWER, UPPER, ascii_lower, query, table
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Without it each partition's state takes several MB of disk before it holds a row.
+ALLOCATE = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
+#: So many digests (about 100 bytes each) are broadcast at most.
+BROADCAST_ROWS = 250_000
 
 
 def normal_text():
@@ -38,8 +42,9 @@ def keep_largest(stream: DataFrame, folder: str, digest=None) -> DataFrame:
     state = rows.groupBy("digest").agg(
         F.max("doc_id").alias("keep_id"), F.max_by("locator", "doc_id").alias("locator"), F.count("*").alias("group_size")
     )
-    before = spark.conf.get(PROVIDER)
+    before = {k: spark.conf.get(k, None) for k in (PROVIDER, ALLOCATE)}
     spark.conf.set(PROVIDER, ROCKSDB)
+    spark.conf.set(ALLOCATE, "false")
     try:
         run = (
             state.writeStream.outputMode("update")
@@ -50,7 +55,8 @@ def keep_largest(stream: DataFrame, folder: str, digest=None) -> DataFrame:
         )
         run.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     changed = spark.read.parquet(f"{folder}/changed")
     return changed.groupBy("digest").agg(
         F.max("keep_id").alias("keep_id"), F.max_by("locator", "batch").alias("locator"), F.max("group_size").alias("group_size")
@@ -67,7 +73,11 @@ def deduplicate(docs: DataFrame, stream: DataFrame, folder: str, digest=None) ->
     digest = text_digest() if digest is None else digest
     keepers = keep_largest(stream, folder, digest)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), normal_text().alias("text"))
-    hits = skew_join(rows, keepers.filter("group_size > 1").select("digest"), ["digest"], "left_semi")
+    hit = keepers.filter("group_size > 1").select("digest")
+    if hit.count() <= BROADCAST_ROWS:  # then whole texts move only where their digest came twice
+        hits = rows.join(F.broadcast(hit), "digest", "left_semi")
+    else:
+        hits = skew_join(rows, hit, ["digest"], "left_semi")
     mixed = hits.groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b")).filter("a <> b").select("digest")
     mixed = mixed.persist()
     small = rows.select("doc_id", "digest", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))

@@ -75,7 +75,7 @@ def source_targets(sizes: DataFrame, cap: int = 3) -> DataFrame:
     return sources.select("source", "sid", "source_size", F.least(F.col("most").cast("double"), level * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, size: Column, seed: int = 11, fanout: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, size: Column, seed: int = 11, fanout: int = 512) -> DataFrame:
     """(doc_id, _key, copies, size, source_size, target) of each row of ``docs`` (doc_id, source, text).
 
     A source of S words and target T takes each document floor(T / S) times and once more with the probability left
