@@ -3,6 +3,7 @@
 from plumbline.llm import (  # noqa: F401
     op1_secret_scan,
     op3_decontamination,
+    op4_quality,
     op5_exact_dedup,
     op6_sharding,
     op8_mixing,
