@@ -2,6 +2,7 @@
 
 from plumbline.llm import (  # noqa: F401
     op1_secret_scan,
+    op2_jaccard,
     op3_decontamination,
     op4_quality,
     op5_exact_dedup,

@@ -4,13 +4,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.lineage import cut
 from plumbline.functions.skew import skew_join
 from plumbline.llm.common import LOWER, UPPER, query, row_key, table
+from plumbline.llm.words import rolling_hashes, texts
 
 #: Bits of the sieve that goes to every task: half a megabyte, whatever the size of the benchmark.
 SIEVE_BITS = 1 << 22
@@ -25,28 +25,11 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(FOLD).split()
 
 
-def rolling_hashes(words: list[bytes], k: int) -> np.ndarray:
-    """A 64-bit hash of every ``k`` consecutive words, from the hashes of the words."""
-    n = len(words) - k + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    out = np.zeros(n, np.uint64)
-    for i in range(k):
-        out = (out ^ each[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out
-
-
-def _binary(batch: pa.RecordBatch, name: str) -> list:
-    return batch.column(name).cast(pa.binary()).to_pylist()
-
-
 def _windows(window: int, k: int):
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for item, text in zip(batch.column("item").to_pylist(), _binary(batch, "text")):
+            for item, text in zip(batch.column("item").to_pylist(), texts(batch)):
                 words = words_of(text)
                 m = min(window, len(words))
                 if not m:
@@ -68,7 +51,7 @@ def _sieve(sieve: bytes, lengths: list[int], window: int):
         bits = np.frombuffer(sieve, np.uint8)
         for batch in batches:
             counts, hits = [], []
-            for text in _binary(batch, "text"):
+            for text in texts(batch):
                 words = words_of(text)
                 own = []
                 for k in lengths:
