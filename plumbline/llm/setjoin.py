@@ -25,8 +25,8 @@ from plumbline.operators.components import components
 
 #: Tokens of at most so many sets are of the rare class.
 RARE = 16
-#: Pairs for each membership of a bucket that may be left to compare at once, and rounds before that.
-PAIRS, ROUNDS = 8, 8
+#: All pairs left are compared when they are at most so many for each membership of a bucket, or a round has left most of them.
+PAIRS = 8
 #: So many set ids are broadcast at most.
 BROADCAST_ROWS = 400_000
 
@@ -51,7 +51,10 @@ def _ranked(sets: DataFrame) -> DataFrame:
 
 
 def _buckets(ranked: DataFrame) -> DataFrame:
-    """(bucket, node, n): one row for each signature and each of the two bands of sizes a set belongs to."""
+    """(bucket, node, n, u): one row for each signature and each of the two bands of sizes a set belongs to.
+
+    Only buckets with two members or more are kept of which one is light (see ``_light``).
+    """
     reach = F.floor(F.col("n") / 4) + F.floor(F.col("n") / 5) + 2 - F.col("u")
     first = F.slice("shared", 1, F.greatest(reach, F.lit(0)).cast("int"))
     rows = ranked.select("node", "n", "u", first.alias("s"))
@@ -61,9 +64,9 @@ def _buckets(ranked: DataFrame) -> DataFrame:
     ahead = F.slice(frequent, 2, F.greatest(F.size(frequent), F.lit(1)))
     pairs = F.filter(F.zip_with(frequent, ahead, lambda a, b: F.when(b.isNotNull(), F.xxhash64(F.lit(2), a["token"], b["token"]))), lambda x: x.isNotNull())
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(1.25)))
-    rows = rows.select("node", "n", band.alias("band"), F.explode(F.array_distinct(F.concat(singles, pairs))).alias("sig"))
-    rows = rows.select("node", "n", F.explode(F.array(F.xxhash64("sig", "band"), F.xxhash64("sig", F.col("band") + 1))).alias("bucket"))
-    several = rows.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1").select("bucket")
+    rows = rows.select("node", "n", "u", band.alias("band"), F.explode(F.array_distinct(F.concat(singles, pairs))).alias("sig"))
+    rows = rows.select("node", "n", "u", F.explode(F.array(F.xxhash64("sig", "band"), F.xxhash64("sig", F.col("band") + 1))).alias("bucket"))
+    several = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.max(_light()).alias("any")).filter("m > 1 AND any").select("bucket")
     return skew_join(rows, several, ["bucket"])
 
 
@@ -76,8 +79,38 @@ def _verified(pairs: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.col("common") * 100 >= F.col("all") * percent).select("a", "b")
 
 
-def _fits(a: str, b: str) -> Column:
-    return (F.col(a) * 5 >= F.col(b) * 4) & (F.col(b) * 5 >= F.col(a) * 4)
+def _light() -> Column:
+    """Two linked sets differ in a quarter of either's tokens at most, so one has few that no other set has."""
+    return F.col("u") * 8 <= F.col("n")
+
+
+def _fits(percent: int) -> Column:
+    """Whether a pair can link: at best all tokens that either shares with any set are common to both."""
+    best = F.least(F.col("n_a") - F.col("u_a"), F.col("n_b") - F.col("u_b"))
+    return best * 100 >= (F.col("n_a") + F.col("n_b") - best) * percent
+
+
+def _lowered(labels: DataFrame, links: DataFrame, steps: int) -> DataFrame:
+    """Each linked node takes the least label among its own and its neighbours', ``steps`` times."""
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    for _ in range(steps):
+        theirs = skew_join(ends.withColumnRenamed("b", "node"), labels, ["node"], "left")
+        least = theirs.groupBy(F.col("a").alias("node")).agg(F.min(F.coalesce("component", "node")).alias("least"))
+        labels = least.join(labels, "node", "full").select("node", F.least("least", "component", "node").alias("component"))
+    return cut(labels)
+
+
+def _closed(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after which no link joins two; the labels that links still join are usually few, or none."""
+    one = skew_join(links, labels.select(F.col("node").alias("a"), F.col("component").alias("x")), ["a"])
+    two = skew_join(one, labels.select(F.col("node").alias("b"), F.col("component").alias("y")), ["b"])
+    open_links = cut(two.filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    if open_links.isEmpty():
+        return labels
+    name = F.concat_ws("~", F.col("x").cast("string"), F.col("y").cast("string"))
+    ends = open_links.select(F.explode(F.array("x", "y")).alias("case_id"), name.alias("link"))
+    roots = components(ends, ["link"]).distinct().select(F.col("case_id").alias("component"), F.col("component").alias("root"))
+    return skew_join(labels, roots, ["component"], "left").select("node", F.coalesce("root", "component").alias("component"))
 
 
 def linked_components(sets: DataFrame, percent: int = 80) -> DataFrame:
@@ -88,39 +121,36 @@ def linked_components(sets: DataFrame, percent: int = 80) -> DataFrame:
     ranked = cut(_ranked(sets))
     members = cut(_buckets(ranked))
     allowed = PAIRS * members.count()
-    links = found = None
-    last = False
+    labels = members.select("node", F.col("node").alias("component")).filter("false")
+    links = members.select(F.col("node").alias("a"), F.col("node").alias("b")).filter("false")
+    before, last = None, False
     rounds = 0
     while not last:
-        state = members
-        if found is not None:
-            state = skew_join(members, found.withColumnRenamed("case_id", "node"), ["node"], "left")
-        state = state.withColumn("comp", F.coalesce("component", "node") if found is not None else F.col("node")).select("bucket", "node", "n", "comp")
-        sizes = state.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
-        facts = sizes.groupBy("bucket").agg(F.sum("c").alias("all"), F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("main"))
-        facts = cut(facts.filter("comps > 1").select("bucket", "all", F.col("main.c").alias("most"), F.col("main.comp").alias("main")))
-        work = facts.agg(F.sum(F.col("all").cast("double") * (F.col("all") - F.col("most")))).first()[0] or 0.0
+        state = skew_join(members, labels, ["node"], "left").select("bucket", "node", "n", "u", F.coalesce("component", "node").alias("comp"))
+        sizes = state.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.sum(_light().cast("int")).alias("light"))
+        facts = sizes.groupBy("bucket").agg(
+            F.sum("c").alias("all"), F.sum("light").alias("lights"), F.count("*").alias("comps"), F.max(F.struct("c", "light", "comp")).alias("m")
+        )
+        facts = cut(facts.filter("comps > 1").select("bucket", "all", "lights", "m.c", "m.light", F.col("m.comp").alias("main")))
+        pairs_left = "(lights - light) * double(all) + (all - lights - c + light) * double(lights)"
+        work = facts.agg(F.sum(F.expr(pairs_left))).first()[0] or 0.0
         if not work:
             break
         rounds += 1
-        last = work <= allowed or rounds > ROUNDS
+        last = work <= allowed or before is not None and work > 0.8 * before
+        before = work
         open_rows = skew_join(state, facts.select("bucket", "main"), ["bucket"])
+        named = lambda c: [F.col(x).alias(f"{x}_{c}") for x in ("n", "u", "comp")] + [_light().alias(f"light_{c}")]
+        mine = open_rows.select("bucket", "main", F.col("node").alias("a"), *named("a"))
+        other = open_rows.select("bucket", F.col("node").alias("b"), *named("b"))
         if last:
-            rest = open_rows.filter("comp <> main").select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
-            others = open_rows.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"), "main")
-            pairs = rest.join(others, "bucket").filter("comp_a <> comp_b AND (comp_b = main OR a < b)")
+            pairs = mine.filter("comp_a <> main").join(other, "bucket").filter("(comp_b = main OR a < b) AND (light_a OR light_b)")
         else:
-            turn = F.xxhash64("node", F.lit(rounds))
-            pivots = open_rows.groupBy("bucket").agg(F.min(F.struct(turn.alias("turn"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))).alias("p"))
-            pairs = skew_join(open_rows, pivots, ["bucket"]).select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"), "p.b", "p.n_b", "p.comp_b")
-            pairs = pairs.filter("comp_a <> comp_b")
-        pairs = pairs.filter(_fits("n_a", "n_b")).select("a", "b").distinct()
+            turn = F.xxhash64("b", F.lit(rounds)).alias("turn")
+            pivots = other.groupBy("bucket").agg(F.min(F.struct(~F.col("light_b"), turn, "b", "n_b", "u_b", "comp_b")).alias("p"))
+            pairs = skew_join(mine, pivots.select("bucket", "p.b", "p.n_b", "p.u_b", "p.comp_b"), ["bucket"])
+        pairs = pairs.filter("comp_a <> comp_b").filter(_fits(percent)).select("a", "b").distinct()
         new = cut(_verified(pairs, ranked, percent))
-        links = new if links is None else links.unionByName(new)
-        if not new.isEmpty():
-            name = F.concat_ws("~", F.least("a", "b").cast("string"), F.greatest("a", "b").cast("string"))
-            ends = links.select(F.explode(F.array("a", "b")).alias("case_id"), name.alias("link"))
-            found = cut(components(ends, ["link"]).distinct())
-    if found is None:
-        return members.select("node", F.col("node").alias("component")).filter("false")
-    return found.select(F.col("case_id").alias("node"), "component")
+        links = links.unionByName(new)
+        labels = _lowered(labels, links, 1 if last else 2)
+    return _closed(labels, links)
