@@ -7,6 +7,8 @@ from plumbline.llm import (  # noqa: F401
     op4_quality,
     op5_exact_dedup,
     op6_sharding,
+    op7_substring_dedup,
     op8_mixing,
+    op9_line_dedup,
     op10_language_id,
 )
