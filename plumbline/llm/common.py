@@ -1,8 +1,12 @@
 """What the operators of this subpackage share: registration, texts and words."""
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.lineage import checkpoint_folder
+
 QUERIES = {}
 ORACLES = {}
 
@@ -36,3 +40,18 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.concat_ws(
         ":", F.coalesce(doc_id.cast("string"), F.lit("-")), F.hex(F.xxhash64(text)), F.coalesce(F.crc32(text), F.lit(-1))
     )
+
+
+#: Rows of keys that are broadcast at most.
+SMALL = 400_000
+
+
+def if_small(keys: DataFrame) -> DataFrame:
+    """Marks ``keys`` for broadcast where a count shows that they are few; else texts are shuffled to them."""
+    return F.broadcast(keys) if keys.count() <= SMALL else keys
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the checkpoint folder of the session."""
+    checkpoint_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"

@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from plumbline.llm.common import query, table
 
@@ -183,8 +185,8 @@ def fit(labelled: DataFrame, texts_a_language: int = 400, spans_a_text: int = 4,
     return train([(lang, words.split()) for lang, words in zip(spans["lang"], spans["words"])], seed)
 
 
-def _predict(tagger: Tagger | None):
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _predict(tagger: Tagger | None, keep: list[str]):
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         table = np.empty((0, 0), np.float32)
 
@@ -207,16 +209,15 @@ def _predict(tagger: Tagger | None):
 
         for batch in batches:
             found, group, size = [], [], 0
-            for text in batch["text"]:
+            for text in batch.column("_text").to_pylist():
                 group.append(words_of(text))
                 size += len(group[-1])
                 if size >= GROUP_WORDS:
                     found += label(group)
                     group, size = [], 0
             found += label(group) if group else []
-            out = batch.drop(columns="text")
-            out["lang_pred"], out["score"] = [x[0] for x in found], [x[1] for x in found]
-            yield out
+            columns = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *columns], names=[*keep, "lang_pred", "score"])
 
     return predict
 
@@ -226,9 +227,9 @@ def identify(docs: DataFrame, tagger: Tagger | None, keep: list[str]) -> DataFra
 
     Texts that are null or have no letter are ``und`` with score 0, as is every text if there was nothing to learn from.
     """
-    kept = docs.select(*keep, "text")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keep)
-    return kept.mapInPandas(_predict(tagger), f"{kinds}, lang_pred string, score double")
+    rows = docs.select(*keep, F.col("text").alias("_text"))
+    kinds = [f for f in rows.schema if f.name != "_text"] + [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+    return rows.mapInArrow(_predict(tagger, keep), StructType(kinds))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -1,13 +1,10 @@
 """Exact deduplication of a stream by keyed state on disk."""
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.lineage import checkpoint_folder
 from plumbline.functions.skew import skew_join
-from plumbline.llm.common import LOWER, UPPER, ascii_lower, query, table
+from plumbline.llm.common import LOWER, UPPER, ascii_lower, query, shared_folder, table
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -93,12 +90,6 @@ def deduplicate(docs: DataFrame, stream: DataFrame, folder: str, digest=None) ->
     return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the checkpoint folder of the session."""
-    checkpoint_folder(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
-
-
 @query(
     "op5_exact_dedup",
     f"""
