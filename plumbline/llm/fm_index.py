@@ -27,25 +27,31 @@ class Wavelet:
 
     def __init__(self, symbols: np.ndarray, largest: int):
         self.rows = []
-        bits = max(1, int(largest).bit_length())
-        for shift in range(bits - 1, -1, -1):
+        self.start = np.zeros(largest + 1, np.int64)  # where the occurrences of each symbol begin after the last row
+        every = np.arange(largest + 1)
+        for shift in range(max(1, int(largest).bit_length()) - 1, -1, -1):
             bit = (symbols >> shift & 1).astype(np.uint8)
             padded = np.zeros((len(bit) // 64 + 1) * 64, np.uint8)
             padded[: len(bit)] = bit
             packed = np.packbits(padded, bitorder="little").view(np.uint64)
             before = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)])
             self.rows.append((shift, packed, before, int(len(bit) - bit.sum())))
+            self.start = self._step(self.rows[-1], every >> shift & 1 == 1, self.start)
             symbols = np.concatenate([symbols[bit == 0], symbols[bit == 1]])
 
-    def rank(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """For each query, occurrences of ``symbol`` among the first ``place`` ones."""
-        start = np.zeros_like(place)
-        for shift, packed, before, zeros in self.rows:
-            one = (symbol >> shift & 1).astype(bool)
-            ones = [before[p >> 6] + np.bitwise_count(packed[p >> 6] & ((np.uint64(1) << (p & 63).astype(np.uint64)) - np.uint64(1))) for p in (place, start)]
-            place = np.where(one, zeros + ones[0], place - ones[0])
-            start = np.where(one, zeros + ones[1], start - ones[1])
-        return place - start
+    @staticmethod
+    def _step(row: tuple, one: np.ndarray, place: np.ndarray) -> np.ndarray:
+        _, packed, before, zeros = row
+        block = place >> 6
+        ones = before[block] + np.bitwise_count(packed[block] & ((np.uint64(1) << (place & 63).view(np.uint64)) - np.uint64(1)))
+        return np.where(one, ones + zeros, place - ones)
+
+    def rank(self, symbol: np.ndarray, places: list[np.ndarray]) -> list[np.ndarray]:
+        """For each query, occurrences of ``symbol`` among the first ``place`` ones, for each of the ``places``."""
+        for row in self.rows:
+            one = (symbol >> row[0] & 1).astype(bool)
+            places = [self._step(row, one, p) for p in places]
+        return [p - self.start[symbol] for p in places]
 
 
 class FMIndex:
@@ -59,9 +65,9 @@ class FMIndex:
 
     def search(self, text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Backward search of the ``length`` words of ``text`` from each start: the ranges of suffixes they begin."""
-        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), self.size, np.int64)
-        for i in range(length - 1, -1, -1):
+        last = text[starts + length - 1]
+        low, high = self.first[last], self.first[last + 1]
+        for i in range(length - 2, -1, -1):
             c = text[starts + i]
-            low = self.first[c] + self.wavelet.rank(c, low)
-            high = self.first[c] + self.wavelet.rank(c, high)
+            low, high = (self.first[c] + r for r in self.wavelet.rank(c, [low, high]))
         return low, high

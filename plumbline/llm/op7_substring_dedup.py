@@ -6,7 +6,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +20,11 @@ ANCHOR = 6
 #: Words of a shard on average; copies of an anchor above which its windows are dealt out one by one.
 SHARD_WORDS, HOT = 400_000, 5_000
 #: Rows of arrays of places that are broadcast at most, and places in them.
-BROADCAST_ROWS, BROADCAST_PLACES = 400_000, 8_000_000
+BROADCAST_ROWS, BROADCAST_PLACES = 400_000, 20_000_000
 
-ANCHORS = "doc_id long, h long, pos int, anchor long"
-PIECES = "route long, c long, c2 long, doc_id long, h long, start int, words string"
+ANCHORS = "doc_id long, h int, pos int, anchor long"
+PIECES = "route long, c long, c2 long, doc_id long, start int, words string"
+COPIES = "c long, c2 long, doc_id long, h int, start int"
 
 
 def anchors_of(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,31 +48,63 @@ def _anchors(window: int):
             if parts:
                 n = [len(p[2]) for p in parts]
                 docs = pa.array([p[0] for p in parts], pa.int64()).take(pa.array(np.repeat(np.arange(len(parts)), n)))
-                columns = [pa.array(np.repeat(np.array([p[1] for p in parts], np.int64), n)), pa.array(np.concatenate([p[2] for p in parts]).astype(np.int32)), pa.array(np.concatenate([p[3] for p in parts]))]
+                columns = [pa.array(np.repeat(np.array([p[1] for p in parts], np.int32), n)), pa.array(np.concatenate([p[2] for p in parts]).astype(np.int32)), pa.array(np.concatenate([p[3] for p in parts]))]
                 yield pa.RecordBatch.from_arrays([docs, *columns], names=["doc_id", "h", "pos", "anchor"])
 
     return anchors
 
 
-def _pieces(window: int):
-    schema = pa.schema([("route", pa.int64()), ("c", pa.int64()), ("c2", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("start", pa.int32()), ("words", pa.string())])
+def _cut_out(words: list[bytes], cold: list, hot: list, window: int) -> tuple[np.ndarray, ...]:
+    """The pieces of the anchors at ``cold`` and, one for each window, ``hot``: route, two hashes of the words, start, end.
+
+    The windows of an anchor follow each other. A piece is named by a sum of its mixed window hashes, each with its place.
+    """
+    hashes, at, _ = anchors_of(words, window)
+    runs = rolling_hashes(words, window)
+    places = np.sort(np.array(cold, np.int64))
+    low, high = np.searchsorted(at, places), np.searchsorted(at, places, side="right")
+    single = np.flatnonzero(np.isin(at, np.array(hot, np.int64))) if hot else np.empty(0, np.int64)
+    low, high = np.concatenate([low, single]), np.concatenate([high, single + 1])
+    owner = np.repeat(np.arange(len(low)), high - low)
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+    names = []
+    for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        mixed = (runs[low[owner] + inside] + (inside.astype(np.uint64) + np.uint64(1)) * np.uint64(seed)) * np.uint64(seed)
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(29)
+        names.append(np.add.reduceat(mixed, np.cumsum(high - low) - (high - low)).view(np.int64))
+    route = np.concatenate([hashes[places].view(np.int64), names[0][len(places) :]])
+    return route, *names, low, high + window - 1
+
+
+def _pieces(window: int, whole: bool):
+    """``whole``: the distinct pieces of a batch with their words and the first place of each; else the places of all."""
+    schema = pa.schema([("route", pa.int64()), ("c", pa.int64()), ("c2", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("words", pa.string())])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
             columns = [batch.column(c).to_pylist() for c in ("doc_id", "h", "cold", "hot")]
+            first, parts = {}, []
             for doc, h, cold, hot, text in zip(*columns, texts(batch)):
                 words = text.split()
-                hashes, at, _ = anchors_of(words, window)
-                for place in [*cold, *hot]:
-                    low, high = int(np.searchsorted(at, place)), int(np.searchsorted(at, place, side="right"))
-                    alone = place in hot
-                    for start, stop in [(i, i + 1) for i in range(low, high)] if alone else [(low, high)]:
-                        run = b" ".join(words[start : stop + window - 1])
-                        c = np.frombuffer(xxhash.xxh3_128_digest(run), np.int64)
-                        route = c[0] if alone else hashes[place].view(np.int64)
-                        out.append((int(route), int(c[0]), int(c[1]), doc, h, start, run.decode("utf-8", "replace")))
-            yield pa.RecordBatch.from_pydict({f.name: [r[i] for r in out] for i, f in enumerate(schema)}, schema=schema)
+                route, c, c2, low, high = _cut_out(words, cold, hot, window)
+                if not whole:
+                    n = len(c)
+                    parts.append((c, c2, np.full(n, doc), np.full(n, h, np.int32), low.astype(np.int32)))
+                    continue
+                for piece in zip(route.tolist(), c.tolist(), c2.tolist(), low.tolist(), high.tolist()):
+                    name, place = piece[:3], (doc, piece[3])
+                    seen = first.get(name)
+                    if seen is None:
+                        first[name] = place, b" ".join(words[piece[3] : piece[4]])
+                    elif place < seen[0]:
+                        first[name] = place, seen[1]
+            if whole:
+                rows = [(*name, *place, words) for name, (place, words) in first.items()]
+                arrays = [pa.array([r[i] for r in rows], schema.field(i).type) for i in range(5)]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array([r[5] for r in rows], pa.binary()).cast(pa.string())], schema=schema)
+            elif parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in parts])) for i in range(5)], names=["c", "c2", "doc_id", "h", "start"])
 
     return pieces
 
@@ -99,7 +131,7 @@ def _earlier(window: int):
         later = order > least[low]
         cuts = np.cumsum(windows)[:-1]
         offsets = [o[m].tolist() for o, m in zip(np.split(offset, cuts), np.split(later, cuts))]
-        return pd.DataFrame({"route": shard["route"], "c": shard["c"], "c2": shard["c2"], "windows": windows, "later": offsets})
+        return pd.DataFrame({"c": shard["c"], "c2": shard["c2"], "f_doc": shard["doc_id"], "f_start": shard["start"], "windows": windows, "later": offsets})
 
     return earlier
 
@@ -145,22 +177,22 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     Null texts have no words. Rows that repeat id and text are one document. Rows without an id keep all their words.
     Texts are read six times, in place of shuffling them.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("h"), "text")
     named = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     anchors = named.mapInArrow(_anchors(window), ANCHORS)
     counts = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
     repeated = skew_join(anchors, counts, ["anchor"])
     place = lambda hot: F.coalesce(F.collect_set(F.when((F.col("n") > HOT) == F.lit(hot), F.col("pos"))), F.array().cast("array<int>"))
     marked = cut(repeated.groupBy("doc_id", "h").agg(place(False).alias("cold"), place(True).alias("hot")))
-    pieces = _near(named, marked, "size(cold) + size(hot)", "inner").select("doc_id", "h", "cold", "hot", "text").mapInArrow(_pieces(window), PIECES)
-    first = F.min(F.struct("doc_id", "start", "h")).alias("first")
-    distinct = cut(pieces.groupBy("route", "c", "c2", "words").agg(first).select("route", "c", "c2", "words", "first.doc_id", "first.start"))
-    words = distinct.agg(F.sum(F.size(F.split("words", " ")))).first()[0] or 0
-    shards = max(1, math.ceil(words / SHARD_WORDS))
-    found = distinct.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards))).groupBy("shard").applyInPandas(_earlier(window), "route long, c long, c2 long, windows int, later array<int>")
-    found = found.join(distinct.select("route", "c", "c2", F.col("doc_id").alias("f_doc"), F.col("start").alias("f_start")), ["route", "c", "c2"])
-    found = cut(found)
-    copies = skew_join(pieces.drop("words"), found, ["route", "c", "c2"])
+    held = _near(named, marked, "size(cold) + size(hot)", "inner").select("doc_id", "h", "cold", "hot", "text")
+    places = marked.agg(F.sum(F.size("cold") + F.size("hot"))).first()[0] or 0
+    shards = max(1, math.ceil(places * window / 2 / SHARD_WORDS))
+    dealt = held.mapInArrow(_pieces(window, True), PIECES).withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards))).repartition("shard")
+    # grouped where they are: the shuffle by shard serves the reduction to distinct pieces and the indexes
+    first = F.min(F.struct("doc_id", "start")).alias("first")
+    distinct = dealt.groupBy("shard", "route", "c", "c2", "words").agg(first).select("shard", "c", "c2", "words", "first.doc_id", "first.start")
+    found = distinct.groupBy("shard").applyInPandas(_earlier(window), "c long, c2 long, f_doc long, f_start int, windows int, later array<int>")
+    copies = skew_join(held.mapInArrow(_pieces(window, False), COPIES), found, ["c", "c2"])
     is_first = (F.col("doc_id") == F.col("f_doc")) & (F.col("start") == F.col("f_start"))
     offsets = F.when(is_first, F.col("later")).otherwise(F.sequence(F.lit(0), F.col("windows") - 1))
     later = copies.select("doc_id", "h", F.transform(offsets, lambda o: F.col("start") + o).alias("s")).filter(F.size("s") > 0)
