@@ -16,7 +16,7 @@ from plumbline.schemas import DECISIONS
 from plumbline.sources.views import INTENTS
 
 RATES = (0.3, 2.5)
-COST_SQL = "round(((input_tokens + retry_input_tokens) * 0.3::DOUBLE + (output_tokens + retry_output_tokens) * 2.5::DOUBLE) / 1000000, 9)"
+COST_SQL = "round(((input_tokens + coalesce(retry_input_tokens, 0)) * 0.3::DOUBLE + (output_tokens + coalesce(retry_output_tokens, 0)) * 2.5::DOUBLE) / 1000000, 9)"
 SUMS = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in B.TOKEN_FIELDS)
 TOKENS = ", ".join(B.TOKEN_FIELDS)
 
@@ -29,12 +29,12 @@ def dist(value, name):
 
 @query(
     "p12_token_cost",
-    f"SELECT event_id, {COST_SQL} AS cost FROM calls WHERE total_tokens IS NOT NULL",
+    f"SELECT event_id, {COST_SQL} AS cost FROM calls",
     "calls",
 )
 def p12(t):
     cost = L.token_cost(*[F.lit(r) for r in RATES])
-    return t.calls.filter("total_tokens IS NOT NULL").select("event_id", F.round(cost, 9).alias("cost"))
+    return t.calls.select("event_id", F.round(cost, 9).alias("cost"))
 
 
 MERGED_SQL = f"""{PAIRED_SQL}, mg AS (SELECT arm, case_id, count(*) AS calls,

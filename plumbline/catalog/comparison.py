@@ -76,7 +76,7 @@ def boot_sql(iterations, seed, final):
  cl AS (SELECT domain, cluster_id, row_number() OVER (PARTITION BY domain ORDER BY sha256(CAST(cluster_id AS VARCHAR)), cluster_id) AS slot,
      count(*) OVER (PARTITION BY domain) AS clusters FROM (SELECT DISTINCT domain, cluster_id FROM dom) z),
  dr AS (SELECT c.domain, i.range AS iteration,
-     ((({duck_mix(f"xor({duck_mix(f'((c.slot + {seed}) & 4294967295)')}, {duck_mix('i.range')})")}) * clusters) >> 32) + 1 AS slot
+     ((({duck_mix(f"xor(xor({duck_mix('(c.slot & 4294967295)')}, {duck_mix('i.range')}), {duck_mix(f'({(seed & H.LOW_32) ^ C.SEED_SIDE}::BIGINT)')})")}) * clusters) >> 32) + 1 AS slot
    FROM cl c, range({iterations}) i),
  w AS (SELECT d.domain, d.iteration, c.cluster_id, count(*) AS m FROM dr d JOIN cl c ON c.domain = d.domain AND c.slot = d.slot GROUP BY 1, 2, 3
    UNION ALL SELECT domain, -1, cluster_id, 1 FROM cl),
@@ -142,9 +142,9 @@ def t04(t):
 EVIDENCE_SQL = """ev AS (SELECT CAST('0x' || substr(sha256('seg|' || CAST(cluster_id AS VARCHAR)), 1, 8) AS BIGINT) % 300 AS segment,
      avg(CASE WHEN arm = 'A' THEN hit END) - avg(CASE WHEN arm = 'C' THEN hit END) AS hem,
      avg(CASE WHEN arm = 'A' AND decision = 'in_scope' THEN hit END) - avg(CASE WHEN arm = 'B' AND decision = 'in_scope' THEN hit END) AS intent,
-     coalesce(avg(CASE WHEN arm = 'A' AND decision = 'oos' THEN hit END) - avg(CASE WHEN arm = 'C' AND decision = 'oos' THEN hit END), 0) AS near,
-     coalesce(avg(CASE WHEN arm = 'A' AND decision = 'no_intent' THEN hit END)
-        - avg(CASE WHEN arm = 'C' AND decision = 'no_intent' THEN hit END), 0) AS quiet,
+     avg(CASE WHEN arm = 'A' AND decision = 'oos' THEN hit END) - avg(CASE WHEN arm = 'C' AND decision = 'oos' THEN hit END) AS near,
+     avg(CASE WHEN arm = 'A' AND decision = 'no_intent' THEN hit END)
+        - avg(CASE WHEN arm = 'C' AND decision = 'no_intent' THEN hit END) AS quiet,
      count(*) FILTER (arm = 'C' AND hit = 0 AND pair_kind LIKE 'ctx%' AND case_id % 2 = 1) AS lc,
      count(*) FILTER (arm = 'A' AND hit = 0 AND pair_kind LIKE 'ctx%' AND case_id % 2 = 1) AS rc,
      count(*) FILTER (arm = 'C' AND status = 'schema_invalid') AS ls, count(*) FILTER (arm = 'A' AND status = 'schema_invalid') AS rs,
@@ -168,8 +168,8 @@ def evidence(t):
     points = labelled(t, [*BASIC, "total_tokens"]).groupBy(segment.alias("segment")).agg(
         (mean(arm("A")) - mean(arm("C"))).alias("hem_d"),
         (mean(arm("A", decision("in_scope"))) - mean(arm("B", decision("in_scope")))).alias("intent_d"),
-        F.coalesce(mean(arm("A", decision("oos"))) - mean(arm("C", decision("oos"))), F.lit(0.0)).alias("near_d"),
-        F.coalesce(mean(arm("A", decision("no_intent"))) - mean(arm("C", decision("no_intent"))), F.lit(0.0)).alias("quiet_d"),
+        (mean(arm("A", decision("oos"))) - mean(arm("C", decision("oos")))).alias("near_d"),
+        (mean(arm("A", decision("no_intent"))) - mean(arm("C", decision("no_intent")))).alias("quiet_d"),
         count(arm("C", wrong_context)).alias("left_context_errors"),
         count(arm("A", wrong_context)).alias("right_context_errors"),
         count(arm("C", F.col("status") == "schema_invalid")).alias("left_schema_invalid"),
@@ -204,7 +204,7 @@ def evidence(t):
    x AS (SELECT *,
      concat_ws(',', CASE WHEN lt IS NULL OR rt IS NULL THEN 'missing_token_totals' WHEN rate > 0.1 THEN 'budget_confounded' END,
        CASE WHEN NOT usage_ok THEN 'incomplete_usage_metadata,incomplete_cost' END,
-       CASE WHEN NOT estimable THEN 'required_ci_unavailable' END) AS blocked,
+       CASE WHEN NOT estimable OR h IS NULL OR i IS NULL OR n IS NULL OR q IS NULL THEN 'required_ci_unavailable' END) AS blocked,
      concat_ws(',', CASE WHEN h + 0.25 <= 0 THEN 'hem_not_improved' END, CASE WHEN i + 0.125 < -0.03 THEN 'id_intent_regressed' END,
        CASE WHEN n + 0.125 < -0.05 THEN 'near_oos_regressed' END, CASE WHEN q + 0.125 < -0.05 THEN 'no_intent_regressed' END,
        CASE WHEN rc > lc THEN 'more_context_distractor_errors' END, CASE WHEN rs > ls THEN 'more_schema_invalid_predictions' END) AS worse,
@@ -242,7 +242,7 @@ _ERROR = " + ".join(
 )
 SPLIT_SQL = f"""{GROUP_SQL},
  qu AS (SELECT stratum, CAST(floor((sum(cases) * 3 + 5) / 10) AS BIGINT) AS quota FROM gr GROUP BY 1),
- cand AS (SELECT s.range AS seed, gr.*, quota, CASE WHEN sum(cases) OVER (PARTITION BY s.range, gr.stratum
+ cand AS (SELECT s.range AS seed, gr.*, quota, CASE WHEN cases <= quota AND sum(CASE WHEN cases <= quota THEN cases ELSE 0 END) OVER (PARTITION BY s.range, gr.stratum
       ORDER BY sha256(s.range || '|' || group_id), group_id ROWS UNBOUNDED PRECEDING) <= quota THEN 1 ELSE 0 END AS dev
     FROM gr JOIN qu ON qu.stratum = gr.stratum CROSS JOIN range(8) s),
  taken AS (SELECT seed, CAST(sum(u) AS BIGINT) AS unfilled FROM (SELECT seed, stratum, any_value(quota) - sum(dev * cases) AS u

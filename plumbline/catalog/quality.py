@@ -577,7 +577,9 @@ def paired_calls(t):
             "retry_usage": "retries > 0",
             "unknown_case": "case_id NOT IN (SELECT case_id FROM fc)",
         },
-    ),
+    )
+    + """ UNION ALL SELECT 'V19', arm || '|' || case_id, 'no_calls' FROM (SELECT DISTINCT arm, case_id FROM fc) f
+      WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.arm = f.arm AND g.case_id = f.case_id)""",
     "calls",
 )
 def v19(t):

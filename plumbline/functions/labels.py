@@ -57,8 +57,8 @@ def audit_risk() -> Column:
 
 def token_cost(input_rate, output_rate) -> Column:
     """Cost with retries, from rates per million tokens."""
-    tokens_in = F.col("input_tokens") + F.col("retry_input_tokens")
-    tokens_out = F.col("output_tokens") + F.col("retry_output_tokens")
+    tokens_in = F.col("input_tokens") + F.coalesce("retry_input_tokens", F.lit(0))
+    tokens_out = F.col("output_tokens") + F.coalesce("retry_output_tokens", F.lit(0))
     return (tokens_in * input_rate + tokens_out * output_rate) / F.lit(1000000)
 
 

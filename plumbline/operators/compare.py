@@ -4,6 +4,8 @@ All metrics are sums over clusters, so a resample is a weighted sum of one small
 once, and only cluster rows are drawn from.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from plumbline.schemas import CONFIDENCE, MIN_CLUSTERS
 DOMAINS = ["full_hem", "gold_in_scope_intent_macro_f1", "near_oos_recall", "no_intent_recall"]
 BROADCAST_BYTES = 64 * 1024 * 1024
 DRAWS_PER_TASK = 2_000_000
+#: Keeps seeds apart from iterations, which go through the same mixer.
+SEED_SIDE = 0x9E3779B9
 
 
 def domains() -> Column:
@@ -136,7 +140,8 @@ def slots(statistics: DataFrame) -> DataFrame:
 def draw(numbered: DataFrame, iterations: int, seed: int, parts: int) -> DataFrame:
     """(domain, iteration, slot): as many draws with replacement as the domain has clusters, the same for every arm.
 
-    A draw is 32 mixed bits of its position and iteration, scaled to the number of clusters; one serves all domains.
+    A draw is 32 mixed bits of its position, iteration and seed, each mixed by itself first, so neighbouring seeds share
+    no draws; it is scaled to the number of clusters, and one serves all domains. Holds for up to 2^31 clusters.
     The positions are dealt out before they are multiplied by the iterations.
     """
     sizes = numbered.groupBy("domain").agg(F.count("*").alias("clusters"))
@@ -144,10 +149,11 @@ def draw(numbered: DataFrame, iterations: int, seed: int, parts: int) -> DataFra
     position = numbered.groupBy("slot").agg(F.lit(1).alias("one")).select(F.col("slot").alias("position"))
     fits = F.filter("sizes", lambda s: s["clusters"] >= F.col("position"))
     dealt = position.withColumn("sizes", packed.scalar()).select("position", fits.alias("open")).repartition(parts, "position")
-    placed = H.mixed(dealt, "hp", (F.col("position") + seed).bitwiseAND(F.lit(H.LOW_32)))
+    placed = H.mixed(dealt, "hp", F.col("position").bitwiseAND(F.lit(H.LOW_32)))
     spread = placed.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
     turned = H.mixed(spread, "hi", F.col("iteration").cast("bigint"))
-    drawn = H.mixed(turned, "h", F.col("hp").bitwiseXOR(F.col("hi")))
+    seeded = H.mixed(turned, "hs", F.lit((seed & H.LOW_32) ^ SEED_SIDE).cast("bigint"))
+    drawn = H.mixed(seeded, "h", F.col("hp").bitwiseXOR(F.col("hi")).bitwiseXOR(F.col("hs")))
     return drawn.select("iteration", "h", F.inline("open")).select(
         "domain", "iteration", (F.shiftright(F.col("h") * F.col("clusters"), 32) + 1).alias("slot")
     )
@@ -201,7 +207,10 @@ def compare_domains(
     minimum: int = MIN_CLUSTERS,
     confidence: float = CONFIDENCE,
 ) -> DataFrame:
-    """Point and percentile interval of right minus left per domain; too few clusters give the point only."""
+    """Point and percentile interval of right minus left for each of the fixed domains and pairs.
+
+    Too few clusters give the point only; a domain without a case has counts of 0 and no point.
+    """
     arms = sorted({arm for pair in pairs for arm in pair})
     numbered = numbered_clusters(labelled, arms, intents)
     columns = [c for c in numbered.columns if c not in ("domain", "cluster_id", "slot")]
@@ -218,11 +227,14 @@ def compare_domains(
         .groupBy(*keys)
         .agg(F.percentile("d", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"))
     )
-    enough = F.col("cluster_count") >= minimum
-    return point.join(spread, keys, "left").select(
+    enough = F.coalesce(F.col("cluster_count") >= minimum, F.lit(False))
+    named = F.array(*[F.struct(F.lit(a).alias("left_arm"), F.lit(b).alias("right_arm")) for a, b in pairs])
+    every = labelled.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, DOMAINS))).alias("domain"), named.alias("pairs"))
+    every = every.select("domain", F.inline("pairs"))
+    return every.join(point, keys, "left").join(spread, keys, "left").select(
         *keys,
-        "case_count",
-        "cluster_count",
+        F.coalesce("case_count", F.lit(0)).cast("bigint").alias("case_count"),
+        F.coalesce("cluster_count", F.lit(0)).cast("bigint").alias("cluster_count"),
         L.as_flag(enough).alias("estimable"),
         F.round("point", 9).alias("point"),
         F.when(enough, F.round(F.col("q")[0], 9)).alias("lower"),
@@ -261,6 +273,8 @@ def decide(evidence: DataFrame) -> DataFrame:
     c = F.col
     lacking = c("left_tokens").isNull() | c("right_tokens").isNull()
     rate = F.when(~lacking, token_difference_rate())
+    bounds = [c(f"{i}.{b}") for i in ("hem", "intent", "near", "quiet") for b in ("point", "lower", "upper")]
+    unknown = reduce(lambda a, b: a | b, [x.isNull() | F.isnan(x) for x in bounds])
     blocked = _reasons(
         {
             "missing_token_totals": lacking,
@@ -268,7 +282,7 @@ def decide(evidence: DataFrame) -> DataFrame:
             "incomplete_usage_metadata": ~c("usage_complete"),
             "incomplete_cost": ~c("cost_complete"),
             "incomplete_latency": ~c("latency_complete"),
-            "required_ci_unavailable": ~c("estimable"),
+            "required_ci_unavailable": ~F.coalesce(c("estimable"), F.lit(False)) | unknown,
             "comparison_contract_mismatch": ~c("aligned"),
         }
     )

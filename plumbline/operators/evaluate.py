@@ -35,20 +35,34 @@ def literal_rows(values: list[str]) -> Column:
     return F.explode(F.array(*[F.lit(v) for v in values]))
 
 
-def one_per_case(predictions: DataFrame) -> DataFrame:
-    """One prediction per (arm, case); repeats are combined before the shuffle, so a hot id cannot swell the join."""
+def prediction_side(predictions: DataFrame) -> DataFrame:
+    """The columns that metrics need, named apart from those of the gold rows. No row is chosen among repeats."""
     columns = [c for c in PREDICTION_COLUMNS if c in predictions.columns]
-    best = predictions.groupBy("arm", "case_id").agg(F.max(F.struct(*columns)).alias("p"))
     renamed = {"decision": "p_decision", "predicted_intent": "p_intent", "horizon": "p_horizon"}
     renamed |= {"desired_experience": "p_experience", "object_slot": "p_object"}
-    return best.select("arm", "case_id", *[F.col(f"p.{c}").alias(renamed.get(c, c)) for c in columns])
+    return predictions.select("arm", "case_id", *[F.col(c).alias(renamed.get(c, c)) for c in columns])
+
+
+def run_validity(gold: DataFrame, predictions: DataFrame, arms: list[str]) -> DataFrame:
+    """(arm, repeated, unknown, valid): a run that predicts a case twice, or one that gold does not have, is not valid."""
+    counts = predictions.filter(F.col("arm").isin(*arms)).groupBy("arm", "case_id").agg(F.count("*").alias("n"))
+    known = gold.select("case_id", F.lit(True).alias("known")).distinct()
+    per_arm = counts.join(known, "case_id", "left").groupBy("arm").agg(
+        F.sum(L.as_flag(F.col("n") > 1)).alias("repeated"), F.sum(L.as_flag(F.col("known").isNull())).alias("unknown")
+    )
+    every = gold.sparkSession.range(1).select(literal_rows(arms).alias("arm"))
+    rows = every.join(per_arm, "arm", "left").fillna(0, ["repeated", "unknown"])
+    return rows.withColumn("valid", (F.col("repeated") == 0) & (F.col("unknown") == 0))
 
 
 def join_predictions(gold: DataFrame, predictions: DataFrame, arms: list[str], need: list[str] | None = None) -> DataFrame:
-    """Every gold case once per arm, with its prediction if there is one."""
+    """Every gold case of each arm, with its prediction if there is one.
+
+    A case that is predicted twice comes twice; ``run_validity`` tells such runs, whose metrics must not be used.
+    """
     if need is not None:
         predictions = predictions.select("arm", "case_id", *need)
-    joined = gold.withColumn("arm", literal_rows(arms)).join(one_per_case(predictions), ["arm", "case_id"], "left")
+    joined = gold.withColumn("arm", literal_rows(arms)).join(prediction_side(predictions), ["arm", "case_id"], "left")
     return joined.withColumns(
         {"pred_decision": L.predicted_decision(), "pred_intent": L.predicted_intent(), "hit": L.exact_match()}
     )

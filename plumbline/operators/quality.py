@@ -84,7 +84,7 @@ def prediction_truth_table(predictions: DataFrame) -> DataFrame:
 
 
 def usage_totals(usage: DataFrame, key: Column) -> DataFrame:
-    billed = F.col("input_tokens") + F.col("output_tokens") + F.col("retry_input_tokens") + F.col("retry_output_tokens")
+    billed = F.col("input_tokens") + F.col("output_tokens") + sum(F.coalesce(c, F.lit(0)) for c in ("retry_input_tokens", "retry_output_tokens"))
     return violation(usage.filter(F.col("total_tokens") != billed), "V05", key, F.col("total_tokens") - billed)
 
 
@@ -322,7 +322,10 @@ def sibling_relation(edges: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def call_sequences(calls: DataFrame, cases: DataFrame, stages: dict[tuple[str, int], list[str]]) -> DataFrame:
-    """V19 from counts per (arm, case); nothing is collected, so a case with very many calls is no harder."""
+    """V19 from counts per (arm, case); nothing is collected, so a case with very many calls is no harder.
+
+    ``cases`` (arm, case_id) are those that must have been called; one that has no call at all is reported as such.
+    """
     expected = F.lit(None)
     for (arm, index), names in stages.items():
         expected = F.when(
@@ -350,7 +353,8 @@ def call_sequences(calls: DataFrame, cases: DataFrame, stages: dict[tuple[str, i
         },
     )
     extra = grouped.join(cases.select("case_id").distinct(), "case_id", "left_anti")
-    return rows.unionByName(violation(extra, "V19", key, "unknown_case"))
+    silent = cases.select("arm", "case_id").distinct().join(grouped.select("arm", "case_id"), ["arm", "case_id"], "left_anti")
+    return rows.unionByName(violation(extra, "V19", key, "unknown_case")).unionByName(violation(silent, "V19", key, "no_calls"))
 
 
 def differing_fields(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], rule: str) -> DataFrame:

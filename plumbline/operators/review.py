@@ -283,7 +283,7 @@ def policy_alignment(flagged: DataFrame, policies: DataFrame, contexts: DataFram
         policies.select("item_id", F.col("packet_id").alias("policy_packet_id"), "policy_id", "quote"), "item_id", "full_outer"
     )
     both = F.col("packet_id").isNotNull() & F.col("policy_id").isNotNull()
-    quoted = j.filter(both).join(contexts.select("item_id", "text"), "item_id")
+    quoted = j.filter(both).join(contexts.select("item_id", "text"), "item_id", "left")
     return violations(
         j,
         "V27",
@@ -293,7 +293,9 @@ def policy_alignment(flagged: DataFrame, policies: DataFrame, contexts: DataFram
             "policy_not_flagged": F.col("packet_id").isNull(),
             "packet_differs": both & (F.col("packet_id") != F.col("policy_packet_id")),
         },
-    ).unionByName(violation(quoted.filter(~F.contains("text", F.col("quote"))), "V27", "item_id", "quote_not_in_context"))
+    ).unionByName(violation(quoted.filter(~F.contains("text", F.col("quote"))), "V27", "item_id", "quote_not_in_context")).unionByName(
+        violation(quoted.filter("text IS NULL"), "V27", "item_id", "context_missing")
+    )
 
 
 def provenance_lineage(rows: DataFrame) -> DataFrame:
@@ -331,19 +333,18 @@ def audit_row_rules(rows: DataFrame) -> DataFrame:
 
 
 def context_fingerprint(turns: DataFrame, by: str) -> DataFrame:
-    """A 120-bit fingerprint of all turns of a context from sums, so no conversation is gathered in one place."""
+    """A fingerprint of all turns of a context from sums of their whole hashes, so no conversation is gathered in one place."""
     text = F.concat_ws("|", F.col("turn").cast("string"), "role", "text")
     hashed = turns.select(by, F.sha2(text, 256).alias("h"))
 
     def part(start):
-        return F.conv(F.substring("h", start, 15), 16, 10).cast("decimal(20,0)")
+        return F.conv(F.substring("h", start, 16), 16, 10).cast("decimal(20,0)")
 
     return hashed.groupBy(by).agg(
         F.concat_ws(
             "-",
             F.count("*").cast("string"),
-            F.sum(part(1)).cast("string"),
-            F.sum(part(16)).cast("string"),
+            *[F.sum(part(start)).cast("string") for start in (1, 17, 33, 49)],
         ).alias("fingerprint")
     )
 

@@ -39,14 +39,19 @@ def half_up_share(count: Column, share: int, whole: int) -> Column:
 
 
 def candidate_splits(groups: DataFrame, seeds: int, share: int, whole: int) -> DataFrame:
-    """Per seed and stratum, whole groups in hash order while they fit the quota."""
+    """Per seed and stratum, whole groups in hash order while they fit the quota.
+
+    A group larger than the quota can never fit; it stays out of the running sum, so the others still fill it.
+    """
     quota = groups.groupBy("stratum").agg(half_up_share(F.sum("cases"), share, whole).alias("quota"))
-    seeded = groups.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    fits = F.col("cases") <= F.col("quota")
+    sized = groups.join(F.broadcast(quota), "stratum").withColumn("_cases", F.when(fits, F.col("cases")).otherwise(0))
+    seeded = sized.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
     keyed = seeded.withColumn(
         "key", F.sha2(F.concat_ws("|", F.col("seed").cast("string"), F.col("group_id").cast("string")), 256)
     )
-    filled = H.running_total(keyed, ["seed", "stratum"], "key", "group_id", "cases", "running")
-    return filled.join(quota, "stratum").withColumn("dev", L.as_flag(F.col("running") <= F.col("quota")))
+    filled = H.running_total(keyed, ["seed", "stratum"], "key", "group_id", "_cases", "running")
+    return filled.withColumn("dev", L.as_flag(fits & (F.col("running") <= F.col("quota")))).drop("_cases")
 
 
 def score_seeds(candidates: DataFrame, features: list[str], share: int, whole: int) -> DataFrame:

@@ -126,7 +126,7 @@ def pilot_verdicts(intervals: DataFrame, summaries: DataFrame) -> DataFrame:
         domain("gold_in_scope_intent_macro_f1").alias("intent"),
         domain("near_oos_recall").alias("near"),
         domain("no_intent_recall").alias("quiet"),
-        (F.min("estimable") == 1).alias("estimable"),
+        ((F.min("estimable") == 1) & (F.count_distinct("domain") == 4)).alias("estimable"),
     )
 
     def side(name):
