@@ -76,7 +76,7 @@ def source_targets(sizes: DataFrame, cap: int = 3) -> DataFrame:
 
 
 def mix(docs: DataFrame, size: Column, seed: int = 11, fanout: int = 512) -> DataFrame:
-    """(doc_id, _key, copies, size, source_size, target) of each row of ``docs`` (doc_id, source, text).
+    """(doc_id, _key, source, copies, size, source_size, target) of each row of ``docs`` (doc_id, source, text).
 
     A source of S words and target T takes each document floor(T / S) times and once more with the probability left
     over. Those probabilities are settled in chunks of about ``fanout`` documents by pairs; each chunk leaves at most one
@@ -88,6 +88,7 @@ def mix(docs: DataFrame, size: Column, seed: int = 11, fanout: int = 512) -> Dat
     rows = cut(rows)
     targets = cut(source_targets(rows))
     tagged = skew_join(rows.withColumn("_null", F.col("source").isNull()).fillna("", "source"), targets.withColumn("_null", F.col("source").isNull()).fillna("", "source"), ["source", "_null"])
+    tagged = tagged.withColumn("source", F.when(~F.col("_null"), F.col("source"))).drop("_null")
     tagged = tagged.withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     tagged = tagged.withColumn("whole", F.floor(F.col("ratio") + NEAR)).withColumn("p", F.greatest(F.col("ratio") - F.col("whole"), F.lit(0.0)))
     units = tagged.filter("size > 0 AND p > 0").groupBy("sid", F.col("_key").alias("key")).agg(F.sum("size").alias("mass"), F.first("p").alias("p"))
@@ -106,13 +107,13 @@ def mix(docs: DataFrame, size: Column, seed: int = 11, fanout: int = 512) -> Dat
             break
         chunks, level = math.ceil(chunks / fanout), level + 1
     if not settled:
-        return tagged.select("doc_id", "_key", F.lit(0).cast("long").alias("copies"), "size", "source_size", "target")
+        return tagged.select("doc_id", "_key", "source", F.lit(0).cast("long").alias("copies"), "size", "source_size", "target")
     more = settled[0]
     for s in settled[1:]:
         more = more.unionByName(s)
     more = more.select("sid", F.col("key").alias("_key"), F.col("p").cast("long").alias("more"))
     copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("more", F.lit(0))).otherwise(F.lit(0))
-    return tagged.join(more, ["sid", "_key"], "left").select("doc_id", "_key", copies.cast("long").alias("copies"), "size", "source_size", "target")
+    return tagged.join(more, ["sid", "_key"], "left").select("doc_id", "_key", "source", copies.cast("long").alias("copies"), "size", "source_size", "target")
 
 
 def word_count() -> Column:
