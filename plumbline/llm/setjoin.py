@@ -51,21 +51,27 @@ def _ranked(sets: DataFrame) -> DataFrame:
 
 
 def _buckets(ranked: DataFrame) -> DataFrame:
-    """(bucket, node, n, u): one row for each signature and each of the two bands of sizes a set belongs to.
+    """(bucket, node, n, u, i): one row for each signature and each of the two bands of sizes a set belongs to.
+
+    ``i`` is the place of the signature's (first) token among the shared tokens of the set.
 
     Only buckets with two members or more are kept of which one is light (see ``_light``).
     """
     reach = F.floor(F.col("n") / 4) + F.floor(F.col("n") / 5) + 2 - F.col("u")
     first = F.slice("shared", 1, F.greatest(reach, F.lit(0)).cast("int"))
     rows = ranked.select("node", "n", "u", first.alias("s"))
-    rare = F.filter(F.slice("s", 1, F.greatest(F.floor(F.col("n") / 5) + 1 - F.col("u"), F.lit(0)).cast("int")), lambda x: x["df"] <= RARE)
-    frequent = F.filter("s", lambda x: x["df"] > RARE)
-    singles = F.transform(rare, lambda x: F.xxhash64(F.lit(1), x["token"]))
-    ahead = F.slice(frequent, 2, F.greatest(F.size(frequent), F.lit(1)))
-    pairs = F.filter(F.zip_with(frequent, ahead, lambda a, b: F.when(b.isNotNull(), F.xxhash64(F.lit(2), a["token"], b["token"]))), lambda x: x.isNotNull())
+    near = F.floor(F.col("n") / 5) - F.col("u")
+
+    def signature(x: Column, i: Column) -> Column:
+        after = F.get("s", i + 1)
+        single = F.when((x["df"] <= RARE) & (i <= near), F.xxhash64(F.lit(1), x["token"]))
+        pair = F.when((x["df"] > RARE) & after.isNotNull(), F.xxhash64(F.lit(2), x["token"], after["token"]))
+        return F.struct(F.coalesce(single, pair).alias("sig"), (i + 1).alias("i"))
+
+    signed = F.filter(F.transform("s", signature), lambda x: x["sig"].isNotNull())
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(1.25)))
-    rows = rows.select("node", "n", "u", band.alias("band"), F.explode(F.array_distinct(F.concat(singles, pairs))).alias("sig"))
-    rows = rows.select("node", "n", "u", F.explode(F.array(F.xxhash64("sig", "band"), F.xxhash64("sig", F.col("band") + 1))).alias("bucket"))
+    rows = rows.select("node", "n", "u", band.alias("band"), F.inline(signed))
+    rows = rows.select("node", "n", "u", "i", F.explode(F.array(F.xxhash64("sig", "band"), F.xxhash64("sig", F.col("band") + 1))).alias("bucket"))
     several = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.max(_light()).alias("any")).filter("m > 1 AND any").select("bucket")
     return skew_join(rows, several, ["bucket"])
 
@@ -85,8 +91,11 @@ def _light() -> Column:
 
 
 def _fits(percent: int) -> Column:
-    """Whether a pair can link: at best all tokens that either shares with any set are common to both."""
-    best = F.least(F.col("n_a") - F.col("u_a"), F.col("n_b") - F.col("u_b"))
+    """Whether a pair can link: at best, of the tokens that either shares with any set, as many are common before and after
+    the signature as the side with fewer has there."""
+    before = F.least("i_a", "i_b")
+    after = F.least(F.col("n_a") - F.col("u_a") - F.col("i_a"), F.col("n_b") - F.col("u_b") - F.col("i_b"))
+    best = before + after
     return best * 100 >= (F.col("n_a") + F.col("n_b") - best) * percent
 
 
@@ -126,7 +135,7 @@ def linked_components(sets: DataFrame, percent: int = 80) -> DataFrame:
     before, last = None, False
     rounds = 0
     while not last:
-        state = skew_join(members, labels, ["node"], "left").select("bucket", "node", "n", "u", F.coalesce("component", "node").alias("comp"))
+        state = skew_join(members, labels, ["node"], "left").select("bucket", "node", "n", "u", "i", F.coalesce("component", "node").alias("comp"))
         sizes = state.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.sum(_light().cast("int")).alias("light"))
         facts = sizes.groupBy("bucket").agg(
             F.sum("c").alias("all"), F.sum("light").alias("lights"), F.count("*").alias("comps"), F.max(F.struct("c", "light", "comp")).alias("m")
@@ -140,15 +149,17 @@ def linked_components(sets: DataFrame, percent: int = 80) -> DataFrame:
         last = work <= allowed or before is not None and work > 0.8 * before
         before = work
         open_rows = skew_join(state, facts.select("bucket", "main"), ["bucket"])
-        named = lambda c: [F.col(x).alias(f"{x}_{c}") for x in ("n", "u", "comp")] + [_light().alias(f"light_{c}")]
+        named = lambda c: [F.col(x).alias(f"{x}_{c}") for x in ("n", "u", "i", "comp")] + [_light().alias(f"light_{c}")]
         mine = open_rows.select("bucket", "main", F.col("node").alias("a"), *named("a"))
         other = open_rows.select("bucket", F.col("node").alias("b"), *named("b"))
         if last:
             pairs = mine.filter("comp_a <> main").join(other, "bucket").filter("(comp_b = main OR a < b) AND (light_a OR light_b)")
         else:
+            # first the set with the fewest tokens of its own, which an original has among its near copies; then any
             turn = F.xxhash64("b", F.lit(rounds)).alias("turn")
-            pivots = other.groupBy("bucket").agg(F.min(F.struct(~F.col("light_b"), turn, "b", "n_b", "u_b", "comp_b")).alias("p"))
-            pairs = skew_join(mine, pivots.select("bucket", "p.b", "p.n_b", "p.u_b", "p.comp_b"), ["bucket"])
+            own = (F.col("u_b") / F.col("n_b") if rounds == 1 else ~F.col("light_b")).alias("own")
+            pivots = other.groupBy("bucket").agg(F.min(F.struct(own, turn, "b", "n_b", "u_b", "i_b", "comp_b")).alias("p"))
+            pairs = skew_join(mine, pivots.select("bucket", "p.b", "p.n_b", "p.u_b", "p.i_b", "p.comp_b"), ["bucket"])
         pairs = pairs.filter("comp_a <> comp_b").filter(_fits(percent)).select("a", "b").distinct()
         new = cut(_verified(pairs, ranked, percent))
         links = links.unionByName(new)
