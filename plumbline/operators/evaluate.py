@@ -36,11 +36,18 @@ def literal_rows(values: list[str]) -> Column:
 
 
 def prediction_side(predictions: DataFrame) -> DataFrame:
-    """The columns that metrics need, named apart from those of the gold rows. No row is chosen among repeats."""
+    """The columns that metrics need, one row per (arm, case), named apart from those of the gold rows.
+
+    Repeats that say the same are one prediction; where they differ none is chosen, and the case counts as missing.
+    Repeats are combined before the shuffle, so a hot id cannot swell the join.
+    """
     columns = [c for c in PREDICTION_COLUMNS if c in predictions.columns]
     renamed = {"decision": "p_decision", "predicted_intent": "p_intent", "horizon": "p_horizon"}
     renamed |= {"desired_experience": "p_experience", "object_slot": "p_object"}
-    return predictions.select("arm", "case_id", *[F.col(c).alias(renamed.get(c, c)) for c in columns])
+    said = F.struct(*columns)
+    each = predictions.groupBy("arm", "case_id").agg(F.min(said).alias("low"), F.max(said).alias("high"))
+    agreed = each.select("arm", "case_id", F.when(F.col("low").eqNullSafe(F.col("high")), F.col("high")).alias("p"))
+    return agreed.select("arm", "case_id", *[F.col(f"p.{c}").alias(renamed.get(c, c)) for c in columns])
 
 
 def run_validity(gold: DataFrame, predictions: DataFrame, arms: list[str]) -> DataFrame:
@@ -56,9 +63,9 @@ def run_validity(gold: DataFrame, predictions: DataFrame, arms: list[str]) -> Da
 
 
 def join_predictions(gold: DataFrame, predictions: DataFrame, arms: list[str], need: list[str] | None = None) -> DataFrame:
-    """Every gold case of each arm, with its prediction if there is one.
+    """Every gold case once per arm, with its prediction if there is one (see ``prediction_side``).
 
-    A case that is predicted twice comes twice; ``run_validity`` tells such runs, whose metrics must not be used.
+    ``run_validity`` tells the runs that have repeats; their metrics must not be used.
     """
     if need is not None:
         predictions = predictions.select("arm", "case_id", *need)

@@ -324,7 +324,7 @@ def sibling_relation(edges: DataFrame, names: DataFrame) -> DataFrame:
 def call_sequences(calls: DataFrame, cases: DataFrame, stages: dict[tuple[str, int], list[str]]) -> DataFrame:
     """V19 from counts per (arm, case); nothing is collected, so a case with very many calls is no harder.
 
-    ``cases`` (arm, case_id) are those that must have been called; one that has no call at all is reported as such.
+    ``cases`` (case_id, and arm where it matters) must have been called; one that has no call at all is reported as such.
     """
     expected = F.lit(None)
     for (arm, index), names in stages.items():
@@ -353,8 +353,10 @@ def call_sequences(calls: DataFrame, cases: DataFrame, stages: dict[tuple[str, i
         },
     )
     extra = grouped.join(cases.select("case_id").distinct(), "case_id", "left_anti")
-    silent = cases.select("arm", "case_id").distinct().join(grouped.select("arm", "case_id"), ["arm", "case_id"], "left_anti")
-    return rows.unionByName(violation(extra, "V19", key, "unknown_case")).unionByName(violation(silent, "V19", key, "no_calls"))
+    own = [c for c in ("arm", "case_id") if c in cases.columns]
+    silent = cases.select(*own).distinct().join(grouped.select(*own), own, "left_anti")
+    silent = violation(silent, "V19", F.concat_ws("|", *own), "no_calls")
+    return rows.unionByName(violation(extra, "V19", key, "unknown_case")).unionByName(silent)
 
 
 def differing_fields(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str], rule: str) -> DataFrame:
