@@ -40,12 +40,13 @@ def remove_lines(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     line) stays. n_near counts removed lines whose own set differs from that of the line that stays. Blank lines stay.
     A null text is one blank line, rows without an id come first, and rows that repeat id and text get the same result.
     """
-    lines = _lines(docs).select("doc_id", "h", "line", _tokens(F.col("t"), k).alias("s"))
-    keyed = lines.filter(F.size("s") > 0).select("doc_id", "h", "line", F.xxhash64("s").alias("k"), F.xxhash64(F.lit(2), "s").alias("k2"), F.size("s").cast("long").alias("n"))
+    # no filter on the sets, nor one that explode would infer: it would be evaluated below, and the sets made twice
+    lines = _lines(docs).filter(F.btrim("t", F.lit(" \t\x0b\x0c\r")) != "").select("doc_id", "h", "line", _tokens(F.col("t"), k).alias("s"))
+    keyed = lines.select("doc_id", "h", "line", F.xxhash64("s").alias("k"), F.xxhash64(F.lit(2), "s").alias("k2"), F.size("s").cast("long").alias("n"))
     keyed = cut(keyed)
     place = F.struct("doc_id", "line", "h")
     classes = cut(keyed.groupBy("k", "k2", "n").agg(F.min(place).alias("first")))
-    seen = lines.filter(F.size("s") > 3).select(F.xxhash64("s").alias("k"), F.explode(F.filter("s", setjoin.sampled)).alias("token"))
+    seen = lines.select(F.xxhash64("s").alias("k"), F.explode_outer(F.filter("s", setjoin.sampled)).alias("token")).filter("token IS NOT NULL")
     node = F.concat_ws("-", F.hex("k"), F.hex("k2")).alias("node")
     open_sets = classes.filter("n > 3").join(setjoin.unlinked(seen), "k", "left").filter("coalesce(lone, 0) <= floor(n / 5)")
     open_sets = cut(open_sets.select(node, "n", "first.*"))
