@@ -13,7 +13,9 @@ n tokens that links, at most n // 5 are missing in the other, and the two differ
 
 Sets that share a signature and are of fitting size are compared in rounds. While comparing all is much work, each bucket
 compares its members with one of them only; members found in one component need no further comparison. Then every
-pair of different components that is left in a bucket is compared, so no link is lost.
+pair of different components that is left in a bucket is compared, so no link is lost. What two sets differ in at least
+is told before by the tokens that no other set has and by bitmaps: each shared token flips one bit of a set's bitmap, so
+bitmaps of two sets differ in no more bits than the sets do in shared tokens.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +29,8 @@ from plumbline.operators.components import components
 RARE = 16
 #: All pairs left are compared when they are at most so many for each membership of a bucket, or a round has left most of them.
 PAIRS = 8
+#: Words of 64 bits in the bitmap of a set.
+WORDS = 4
 #: So many set ids are broadcast at most.
 BROADCAST_ROWS = 400_000
 
@@ -43,19 +47,23 @@ def unlinked(tokens: DataFrame) -> DataFrame:
 
 
 def _ranked(sets: DataFrame) -> DataFrame:
-    """(node, n, u, shared): the tokens a set shares with others, from rare to frequent; ``u`` it shares with none."""
+    """(node, n, u, shared, b0, ...): the tokens a set shares with others, from rare to frequent, and the bitmap of them; ``u`` it shares with none."""
     each = sets.select("node", "n", F.explode("tokens").alias("token"))
     counts = each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = skew_join(each, counts, ["token"]).groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    bit = F.expr("shiftleft(1L, int(shiftrightunsigned(token, 1) & 63))")
+    word = F.pmod(F.shiftrightunsigned("token", 7), F.lit(WORDS))
+    bitmap = [F.bit_xor(F.when(word == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{w}") for w in range(WORDS)]
+    shared = skew_join(each, counts, ["token"]).groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"), *bitmap)
     return shared.withColumn("u", F.col("n") - F.size("shared")).filter("u <= floor(n / 5)")
 
 
 def _buckets(ranked: DataFrame) -> DataFrame:
-    """(bucket, node, n, u, i): one row for each signature and each of the two bands of sizes a set belongs to.
+    """(bucket, own, node, n, u, i): one row for each signature and each of two bands of sizes, the set's own and the next.
 
-    ``i`` is the place of the signature's (first) token among the shared tokens of the set.
+    ``i`` is the place of the signature's (first) token among the shared tokens of the set. Sets of one band meet in their
+    own, sets of neighbouring bands in the upper one, so of two that are to be compared one is in its own band.
 
-    Only buckets with two members or more are kept of which one is light (see ``_light``).
+    Only buckets with two members or more are kept of which one is light (see ``_light``) and one in its own band.
     """
     reach = F.floor(F.col("n") / 4) + F.floor(F.col("n") / 5) + 2 - F.col("u")
     first = F.slice("shared", 1, F.greatest(reach, F.lit(0)).cast("int"))
@@ -71,8 +79,10 @@ def _buckets(ranked: DataFrame) -> DataFrame:
     signed = F.filter(F.transform("s", signature), lambda x: x["sig"].isNotNull())
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(1.25)))
     rows = rows.select("node", "n", "u", band.alias("band"), F.inline(signed))
-    rows = rows.select("node", "n", "u", "i", F.explode(F.array(F.xxhash64("sig", "band"), F.xxhash64("sig", F.col("band") + 1))).alias("bucket"))
-    several = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.max(_light()).alias("any")).filter("m > 1 AND any").select("bucket")
+    both = [F.struct(F.xxhash64("sig", F.col("band") + up).alias("bucket"), F.lit(up == 0).alias("own")) for up in (0, 1)]
+    rows = rows.select("node", "n", "u", "i", F.inline(F.array(*both)))
+    several = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.max(_light()).alias("any"), F.max("own").alias("home"))
+    several = several.filter("m > 1 AND any AND home").select("bucket")
     return skew_join(rows, several, ["bucket"])
 
 
@@ -99,6 +109,13 @@ def _fits(percent: int) -> Column:
     return best * 100 >= (F.col("n_a") + F.col("n_b") - best) * percent
 
 
+def _near_bitmaps(percent: int) -> Column:
+    """Whether a pair can link: it differs in the tokens of either that no other set has, and in as many shared ones as bits."""
+    bits = sum((F.bit_count(F.col(f"b{w}_a").bitwiseXOR(F.col(f"b{w}_b"))) for w in range(WORDS)), F.lit(0))
+    both, apart = F.col("n_a") + F.col("n_b"), F.col("u_a") + F.col("u_b") + bits
+    return (both - apart) * 100 >= (both + apart) * percent
+
+
 def _lowered(labels: DataFrame, links: DataFrame, steps: int) -> DataFrame:
     """Each linked node takes the least label among its own and its neighbours', ``steps`` times."""
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -135,7 +152,7 @@ def linked_components(sets: DataFrame, percent: int = 80) -> DataFrame:
     before, last = None, False
     rounds = 0
     while not last:
-        state = skew_join(members, labels, ["node"], "left").select("bucket", "node", "n", "u", "i", F.coalesce("component", "node").alias("comp"))
+        state = skew_join(members, labels, ["node"], "left").select("bucket", "own", "node", "n", "u", "i", F.coalesce("component", "node").alias("comp"))
         sizes = state.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.sum(_light().cast("int")).alias("light"))
         facts = sizes.groupBy("bucket").agg(
             F.sum("c").alias("all"), F.sum("light").alias("lights"), F.count("*").alias("comps"), F.max(F.struct("c", "light", "comp")).alias("m")
@@ -149,11 +166,17 @@ def linked_components(sets: DataFrame, percent: int = 80) -> DataFrame:
         last = work <= allowed or before is not None and work > 0.8 * before
         before = work
         open_rows = skew_join(state, facts.select("bucket", "main"), ["bucket"])
-        named = lambda c: [F.col(x).alias(f"{x}_{c}") for x in ("n", "u", "i", "comp")] + [_light().alias(f"light_{c}")]
+        columns = ["own", "n", "u", "i", "comp"]
+        if last:
+            bitmap = [f"b{w}" for w in range(WORDS)]
+            open_rows = skew_join(open_rows, ranked.select("node", *bitmap), ["node"])
+            columns += bitmap
+        named = lambda c: [F.col(x).alias(f"{x}_{c}") for x in columns] + [_light().alias(f"light_{c}")]  # noqa: E731,B023
         mine = open_rows.select("bucket", "main", F.col("node").alias("a"), *named("a"))
         other = open_rows.select("bucket", F.col("node").alias("b"), *named("b"))
         if last:
             pairs = mine.filter("comp_a <> main").join(other, "bucket").filter("(comp_b = main OR a < b) AND (light_a OR light_b)")
+            pairs = pairs.filter("own_a OR own_b").filter(_near_bitmaps(percent))
         else:
             # first the set with the fewest tokens of its own, which an original has among its near copies; then any
             turn = F.xxhash64("b", F.lit(rounds)).alias("turn")
