@@ -328,7 +328,7 @@ def v11(t):
 @query(
     "v12_duplicate_contexts",
     """SELECT 'V12' AS rule, CAST(min(doc_id) AS VARCHAR) AS key, CAST(count(*) AS VARCHAR) AS detail FROM documents
-    GROUP BY lower(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) HAVING count(*) > 1""",
+    GROUP BY replace(lower(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))), 'ß', 'ss') HAVING count(*) > 1""",
 )
 def v12(t):
     return Q.duplicate_contexts(t.documents, "doc_id", "text")

@@ -56,7 +56,7 @@ def p06(t):
 
 @query(
     "p07_context_signature",
-    """SELECT doc_id, sha256(lower(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')))) AS signature FROM documents""",
+    """SELECT doc_id, sha256(replace(lower(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))), 'ß', 'ss')) AS signature FROM documents""",
 )
 def p07(t):
     return t.documents.select("doc_id", F.sha2(X.context_text(F.col("text")), 256).alias("signature"))

@@ -14,8 +14,8 @@ def _nfkc(text: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.StringType())
-def _fold(text: pd.Series) -> pd.Series:
-    return text.map(lambda value: None if value is None else value.casefold())
+def _context(text: pd.Series) -> pd.Series:
+    return text.map(lambda value: None if value is None else " ".join(unicodedata.normalize("NFKC", value).split()).casefold())
 
 
 def one_newline(text: Column) -> Column:
@@ -29,12 +29,14 @@ def normalise_evidence(text: Column) -> Column:
 
 
 def normal_space(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, "\\s+", " "))
+    """ASCII blanks, the four separator controls included, collapsed."""
+    return F.trim(F.regexp_replace(text, "[\\s\\x1C-\\x1F]+", " "))
 
 
-def context_text(text: Column, exact: bool = False) -> Column:
-    """P07 for one carrier: white space collapsed, case removed; ``exact`` uses full case folding."""
-    return _fold(normal_space(text)) if exact else F.lower(normal_space(text))
+def context_text(text: Column) -> Column:
+    """P07 for one carrier: NFKC, white space collapsed, case folded. Only texts that are not pure ASCII are sent to Python."""
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_only, F.lower(normal_space(text))).otherwise(_context(F.when(~ascii_only, text)))
 
 
 def serialise_context(state: Column, conversation: Column, recent: Column) -> Column:

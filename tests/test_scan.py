@@ -68,10 +68,16 @@ def test_evidence_normal_form(spark):
     assert all(r["n"] == r["b"] for r in df.collect())
 
 
-def test_exact_case_folding(spark):
-    df = spark.createDataFrame([("  Straße\n X ",)], "a string")
-    assert df.select(X.context_text(F.col("a"), exact=True)).first()[0] == "strasse x"
-    assert df.select(X.context_text(F.col("a"))).first()[0] == "straße x"
+def test_context_normal_form(spark):
+    rows = [("  Straße\n X ", "strasse x"), ("STRASSE X", "strasse x"), ("a\u3000b", "a b"), ("\u2028ﬁ\x85A ", "fi a"), ("a\x1c\x0b B\t", "a b"), ("\u00a0", ""), ("", ""), (None, None)]
+    df = spark.createDataFrame(rows, "a string, b string").select(X.context_text(F.col("a")).alias("n"), "b")
+    assert all(r["n"] == r["b"] for r in df.collect())
+
+
+def test_copies_of_contexts_across_forms(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "A\u3000b"), (3, "STRASSE"), (4, "straße"), (5, "c")], "id long, t string")
+    got = Q.duplicate_contexts(df, "id", "t").collect()
+    assert sorted((r["key"], r["detail"]) for r in got) == [("1", "2"), ("3", "2")]
 
 
 def test_context_json_sorts_keys_and_keeps_nulls(spark):
