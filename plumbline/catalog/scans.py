@@ -25,38 +25,63 @@ from plumbline.sources.views import INTENTS, duck_bucket
 # ---- strict scans ----------------------------------------------------------------------------------------------
 
 
-def broken_lines(df, rule, key, row, required):
-    """One JSON line per row, with known slices blank, cut, with an extra field, or with a null required field."""
-    whole = F.to_json(row, {"ignoreNullFields": "false"})
+def broken_lines(df, rule, key, row, required, wrong, absent):
+    """One JSON line per row, with known slices blank, cut, with an extra field, with a null required field, with a value
+    that its field may not hold (``wrong``: two fields and such values), or without a field that has a default."""
+    text = lambda r: F.to_json(r, {"ignoreNullFields": "false"})
+    whole = text(row)
     extra = F.concat(F.substring(whole, F.lit(1), F.length(whole) - 1), F.lit(',"extra":1}'))
-    null = F.to_json(row.withField(required, F.lit(None).cast("string")), {"ignoreNullFields": "false"})
+    (one, bad_one), (two, bad_two) = wrong.items()
     return df.withColumn(
         "value",
         F.when(hit(f"{rule}a", key), "  ")
         .when(hit(f"{rule}b", key), F.substring(whole, F.lit(1), F.length(whole) - 7))
         .when(hit(f"{rule}c", key), extra)
-        .when(hit(f"{rule}d", key), null)
+        .when(hit(f"{rule}d", key), text(row.withField(required, F.lit(None).cast("string"))))
+        .when(hit(f"{rule}e", key), text(row.withField(one, F.lit(bad_one))))
+        .when(hit(f"{rule}f", key), text(row.withField(two, F.lit(bad_two))))
+        .when(hit(f"{rule}g", key), text(row.dropFields(absent)))
         .otherwise(whole),
     )
 
 
 def reason_sql(rule, key):
     return f"""CASE WHEN {mut(rule + 'a', key)} THEN 'blank_line' WHEN {mut(rule + 'b', key)} THEN 'invalid_json'
-      WHEN {mut(rule + 'c', key)} THEN 'unknown_field' WHEN {mut(rule + 'd', key)} THEN 'missing_field' END"""
+      WHEN {mut(rule + 'c', key)} THEN 'unknown_field' WHEN {mut(rule + 'd', key)} THEN 'missing_field'
+      WHEN {mut(rule + 'e', key)} OR {mut(rule + 'f', key)} THEN 'bad_value' END"""
+
+
+def digest(*parts):
+    return F.sha2(F.concat_ws("|", *[F.col(p).cast("string") for p in parts]), 256)
 
 
 @query(
     "s01_gold_scan",
     f"""WITH r AS (SELECT *, {reason_sql('S01', 'case_id')} AS reason FROM gold)
     SELECT case_id, reason, CASE WHEN reason IS NULL THEN decision END AS decision, CASE WHEN reason IS NULL THEN target_intent END AS target_intent,
-      CASE WHEN reason IS NULL THEN horizon END AS horizon, CASE WHEN reason IS NULL THEN state_summary END AS state_summary FROM r""",
+      CASE WHEN reason IS NULL THEN horizon END AS horizon, CASE WHEN reason IS NULL THEN state_summary END AS state_summary,
+      CASE WHEN reason IS NULL THEN CASE WHEN {mut('S01g', 'case_id')} OR recent_activity IS NULL THEN 0 ELSE 1 END END AS n_activities FROM r""",
     "gold",
 )
 def s01(t):
     text = lambda c: F.col(c).cast("string")
     turn = F.struct(F.lit("assistant").alias("role"), F.col("dialogue").alias("content"))
+    case = F.concat(F.lit("case-"), text("case_id"))
+    perturbation = F.struct(case.alias("id"), F.lit("before").alias("state_summary_prefix"), F.array(F.lit("walk")).alias("recent_activities_added"))
+    candidate = F.struct(
+        F.lit("fly_kite").alias("name"),
+        F.col("base_state").alias("evidence_quote"),
+        "horizon",
+        F.lit("not_in_catalog").alias("catalog_status"),
+    )
+    provenance = F.struct(
+        F.lit("review-initial-0001").alias("review_item_id"),
+        F.lit("r1").alias("reviewer_id"),
+        F.lit("2026-01-01T00:00:00+08:00").alias("reviewed_at"),
+        F.lit("blind_human_review").alias("routing_label_source"),
+    )
     row = F.struct(
-        F.concat(F.lit("case-"), text("case_id")).alias("id"),
+        case.alias("id"),
         F.lit("dev").alias("split"),
         F.struct(
             "state_summary",
@@ -72,13 +97,21 @@ def s01(t):
         ).alias("gold"),
         "tags",
         "hard_negative_against",
+        F.when(F.col("case_id") % 3 == 0, perturbation).alias("context_perturbation"),
         text("scenario_id").alias("scenario_family_id"),
         text("contrast_id").alias("contrast_group_id"),
         text("paraphrase_id").alias("paraphrase_cluster_id"),
         text("cluster_id").alias("split_group_id"),
         text("cluster_id").alias("bootstrap_cluster_id"),
+        F.when(F.col("case_id") % 5 == 0, candidate).alias("open_intent_candidate"),
+        provenance.alias("review_provenance"),
+        F.lit("llm_assisted_human_reviewed").alias("source"),
+        F.lit("a1").alias("annotator_id"),
+        F.lit("reviewed").alias("adjudication_status"),
+        F.lit("note").alias("annotation_note"),
     )
-    lines = broken_lines(t.gold, "S01", "case_id", row, "gold.decision").select("case_id", "value")
+    wrong = {"gold.decision": "maybe", "id": "Case 1"}
+    lines = broken_lines(t.gold, "S01", "case_id", row, "gold.decision", wrong, "context.recent_activities").select("case_id", "value")
     judged = S.judge_lines(lines, schemas.CASE)
     good = F.col("reason").isNull()
     return judged.select(
@@ -88,13 +121,15 @@ def s01(t):
             F.when(good, F.col(f"row.{path}")).alias(path.split(".")[-1])
             for path in ["gold.decision", "gold.target_intent", "gold.slots.horizon", "context.state_summary"]
         ],
+        F.when(good, F.size("row.context.recent_activities").cast("bigint")).alias("n_activities"),
     )
 
 
 @query(
     "s02_prediction_scan",
     f"""WITH r AS (SELECT *, {reason_sql('S02', 'case_id')} AS reason FROM predictions)
-    SELECT arm AS run_id, case_id, reason, CASE WHEN reason IS NULL THEN status END AS status, CASE WHEN reason IS NULL THEN decision END AS decision,
+    SELECT arm AS run_id, case_id, reason, CASE WHEN reason IS NULL THEN CASE WHEN {mut('S02g', 'case_id')} THEN 'success' ELSE status END END AS status,
+      CASE WHEN reason IS NULL THEN decision END AS decision,
       CASE WHEN reason IS NULL THEN latency_ms END AS latency_ms, CASE WHEN reason IS NULL THEN total_tokens END AS total_tokens FROM r""",
     "predictions",
 )
@@ -112,9 +147,10 @@ def s02(t):
         "error_type",
         "latency_ms",
         F.when(F.col("total_tokens").isNotNull(), usage).alias("usage"),
-        F.lit(None).cast("string").alias("raw_response_sha256"),
+        digest("arm", "case_id").alias("raw_response_sha256"),
     )
-    lines = broken_lines(t.predictions, "S02", "case_id", row, "case_id")
+    wrong = {"latency_ms": -1.0, "raw_response_sha256": "abc"}
+    lines = broken_lines(t.predictions, "S02", "case_id", row, "case_id", wrong, "status")
     judged = S.judge_lines(lines.select(F.col("arm").alias("run_id"), "case_id", "value"), schemas.PREDICTION)
     good = F.col("reason").isNull()
     paths = ["status", "decision", "latency_ms", "usage.total_tokens"]
@@ -126,26 +162,38 @@ def s02(t):
 @query(
     "s03_call_scan",
     f"""WITH r AS (SELECT *, {reason_sql('S03', 'event_id')} AS reason FROM calls)
-    SELECT event_id, reason, CASE WHEN reason IS NULL THEN stage END AS stage, CASE WHEN reason IS NULL THEN call_index END AS call_index,
-      CASE WHEN reason IS NULL THEN latency_ms END AS latency_ms, CASE WHEN reason IS NULL THEN total_tokens END AS total_tokens FROM r""",
+    SELECT event_id, reason, CASE WHEN reason IS NULL THEN CASE event_id % 4 WHEN 0 THEN 'call_1_one_stage' WHEN 1 THEN 'call_2_verifier' WHEN 2 THEN 'stage_a' ELSE 'stage_b' END END AS stage,
+      CASE WHEN reason IS NULL THEN event_id % 2 + 1 END AS call_index, CASE WHEN reason IS NULL THEN latency_ms END AS latency_ms,
+      CASE WHEN reason IS NULL THEN total_tokens END AS total_tokens,
+      CASE WHEN reason IS NULL AND total_tokens IS NOT NULL THEN CASE WHEN {mut('S03g', 'event_id')} THEN 0 ELSE retry_input_tokens END END AS retry_input_tokens FROM r""",
     "calls",
 )
 def s03(t):
     usage = F.struct("input_tokens", "output_tokens", "total_tokens", "retry_input_tokens", "retry_output_tokens")
     nothing = F.lit(None).cast("string")
+    kind = F.pmod("event_id", F.lit(4)).cast("int")
     row = F.struct(
+        F.lit(1).alias("schema_version"),
         F.col("case_id").cast("string").alias("case_id"),
-        "arm",
-        "stage",
-        "call_index",
-        nothing.alias("cache_key"),
+        F.when(kind < 2, "B2b").otherwise("B3").alias("arm"),
+        F.get(F.array(*[F.lit(x) for x in schemas.STAGES]), kind).alias("stage"),
+        (kind % 2 + 1).alias("call_index"),
+        digest("event_id").alias("cache_key"),
+        digest("case_id").alias("call_contract_sha256"),
+        F.lit("m").alias("requested_model"),
+        nothing.alias("reported_model"),
         "status",
         F.when(F.col("total_tokens").isNotNull(), usage).alias("usage"),
         "latency_ms",
         nothing.alias("raw_response_sha256"),
         nothing.alias("error_type"),
+        F.lit("provider_call").alias("cache_origin"),
+        nothing.alias("source_cache_key"),
+        (kind == 0).alias("one_stage_cache_compatible"),
     )
-    judged = S.judge_lines(broken_lines(t.calls, "S03", "event_id", row, "status").select("event_id", "value"), schemas.CALL)
+    wrong = {"cache_origin": "elsewhere", "call_index": 3}
+    lines = broken_lines(t.calls, "S03", "event_id", row, "status", wrong, "usage.retry_input_tokens")
+    judged = S.judge_lines(lines.select("event_id", "value"), schemas.CALL)
     good = F.col("reason").isNull()
     return judged.select(
         "event_id",
@@ -154,6 +202,7 @@ def s03(t):
         F.when(good, F.col("row.call_index").cast("bigint")).alias("call_index"),
         F.when(good, F.col("row.latency_ms")).alias("latency_ms"),
         F.when(good, F.col("row.usage.total_tokens")).alias("total_tokens"),
+        F.when(good, F.col("row.usage.retry_input_tokens")).alias("retry_input_tokens"),
     )
 
 
@@ -168,21 +217,24 @@ def s04(t):
         F.col("human_decision").alias("decision"),
         F.col("human_target").alias("target_intent"),
         F.lit("quote").alias("evidence_quote"),
-        F.array().cast("array<string>").alias("near_oos_sibling_intents"),
         F.struct(
             F.lit(None).cast("string").alias("desired_experience"),
             F.lit(None).cast("string").alias("object"),
             F.col("human_horizon").alias("horizon"),
         ).alias("slots"),
     )
+    number = F.lpad(F.pmod("item_id", F.lit(10000)).cast("string"), 4, "0")
     row = F.struct(
-        F.concat(F.lit("review-initial-"), F.col("item_id").cast("string")).alias("review_item_id"),
+        F.lit(1).alias("schema_version"),
+        F.concat(F.lit("review-initial-"), number).alias("review_item_id"),
+        F.lit("initial").alias("review_pass"),
         F.lit("r1").alias("reviewer_id"),
         F.lit("2026-01-01T00:00:00Z").alias("reviewed_at"),
         label.alias("label"),
         F.lit(None).cast("string").alias("review_note"),
     )
-    lines = broken_lines(t.reviews, "S04", "item_id", row, "review_item_id")
+    wrong = {"review_pass": "third", "reviewed_at": "2026-01-01T00:00:00"}
+    lines = broken_lines(t.reviews, "S04", "item_id", row, "review_item_id", wrong, "schema_version")
     return S.scan_summary(S.judge_lines(lines.select("value"), schemas.REVIEW))
 
 

@@ -71,95 +71,160 @@ REWRITE = "重写或删除样本"
 MIN_CLUSTERS = 8
 CONFIDENCE = 0.95
 
-SLOTS = T.StructType(
+
+def _field(name, kind, nullable=True, **rules):
+    """A stored field. ``rules`` say which values it may hold (see ``sources/scan.py``) and its ``default`` where it is absent."""
+    return T.StructField(name, kind, nullable, rules)
+
+
+def _text(name, nullable=True, **rules):
+    return _field(name, T.StringType(), nullable, **rules)
+
+
+def _texts(name, **rules):
+    return _field(name, T.ArrayType(T.StringType()), **rules)
+
+
+def _count(name, nullable=False, **rules):
+    return _field(name, T.LongType(), nullable, least=0, **rules)
+
+
+# The names of stored fields, the values they may hold, and the forms of identifiers and digests.
+SPLITS = ["dev", "test"]
+CASE_ID = r"^[a-z0-9][a-z0-9-]{2,79}\z"
+DIGEST = r"^[0-9a-f]{64}\z"
+REVIEW_ID = r"^review-(initial|blind-retest)-[0-9]{4}\z"
+PACKET_ID = r"^adjudication-[0-9]{4}\z"
+POLICY_ID = r"^policy-[0-9]{4}\z"
+CANDIDATE_NAME = r"^[a-z][a-z0-9_]{2,63}\z"
+#: A date and time with its zone.
+MOMENT = r"^\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d(:\d\d(\.\d+)?)?([Zz]|[+-]\d\d:?\d\d)\z"
+STAGES = ["call_1_one_stage", "call_2_verifier", "stage_a", "stage_b"]
+
+SLOTS = T.StructType([_text("desired_experience"), _text("object"), _text("horizon", False, values=HORIZONS)])
+TURN = T.StructType([_text("role", False, values=["user", "assistant"]), _text("content", False, shortest=1)])
+CONTEXT = T.StructType(
     [
-        T.StructField("desired_experience", T.StringType()),
-        T.StructField("object", T.StringType()),
-        T.StructField("horizon", T.StringType(), False),
+        _text("state_summary", False, shortest=1),
+        _field("conversation", T.ArrayType(TURN), default=[]),
+        _texts("recent_activities", default=[]),
     ]
 )
-CONTEXT = T.StructType(
+PERTURBATION = T.StructType(
+    [_text("id", False, pattern=CASE_ID), _text("state_summary_prefix", False, shortest=1), _texts("recent_activities_added", default=[])]
+)
+OPEN_CANDIDATE = T.StructType(
+    [
+        _text("name", False, pattern=CANDIDATE_NAME),
+        _text("evidence_quote", False, shortest=1),
+        _text("horizon", False, values=HORIZONS),
+        _text("catalog_status", False, values=["not_in_catalog", "underspecified_for_catalog"]),
+        _text("routing_effect", values=["none"], default="none"),
+        _text("observability", values=["log_candidate"], default="log_candidate"),
+    ]
+)
+PROVENANCE = T.StructType(
     [
-        T.StructField("state_summary", T.StringType(), False),
-        T.StructField(
-            "conversation",
-            T.ArrayType(
-                T.StructType(
-                    [T.StructField("role", T.StringType()), T.StructField("content", T.StringType())]
-                )
-            ),
+        _text("review_item_id", False, pattern=REVIEW_ID),
+        _text("reviewer_id", False, shortest=1),
+        _text("reviewed_at", False, pattern=MOMENT),
+        _text(
+            "routing_label_source",
+            False,
+            values=["blind_human_review", "adjudicated_human", "adjudicated_draft", "policy_dual_channel_draft"],
         ),
-        T.StructField("recent_activities", T.ArrayType(T.StringType())),
+        _text("supporting_fields_source", values=["llm_assisted_draft"], default="llm_assisted_draft"),
+        _text("adjudication_packet_item_id", pattern=PACKET_ID),
+        _text("adjudication_action", shortest=1),
+        _text("adjudicator_id", shortest=1),
+        _text("adjudicated_at", pattern=MOMENT),
+        _text("policy_resolution_id", pattern=POLICY_ID),
     ]
 )
-GOLD = T.StructType(
+LABEL = T.StructType(
     [
-        T.StructField("decision", T.StringType(), False),
-        T.StructField("target_intent", T.StringType()),
-        T.StructField("evidence_quote", T.StringType(), False),
-        T.StructField("near_oos_sibling_intents", T.ArrayType(T.StringType())),
-        T.StructField("slots", SLOTS, False),
+        _text("decision", False, values=DECISIONS),
+        _text("target_intent"),
+        _text("evidence_quote", False, shortest=1),
+        _field("slots", SLOTS, False),
     ]
 )
+GOLD = T.StructType([*LABEL.fields[:3], _texts("near_oos_sibling_intents", default=[]), LABEL["slots"]])
 USAGE = T.StructType(
     [
-        T.StructField("input_tokens", T.LongType(), False),
-        T.StructField("output_tokens", T.LongType(), False),
-        T.StructField("total_tokens", T.LongType(), False),
-        T.StructField("retry_input_tokens", T.LongType()),
-        T.StructField("retry_output_tokens", T.LongType()),
+        _count("input_tokens"),
+        _count("output_tokens"),
+        _count("total_tokens"),
+        _count("retry_input_tokens", True, default=0),
+        _count("retry_output_tokens", True, default=0),
     ]
 )
 CASE = T.StructType(
     [
-        T.StructField("id", T.StringType(), False),
-        T.StructField("split", T.StringType(), False),
-        T.StructField("context", CONTEXT, False),
-        T.StructField("gold", GOLD, False),
-        T.StructField("tags", T.ArrayType(T.StringType())),
-        T.StructField("hard_negative_against", T.ArrayType(T.StringType())),
-        T.StructField("scenario_family_id", T.StringType(), False),
-        T.StructField("contrast_group_id", T.StringType(), False),
-        T.StructField("paraphrase_cluster_id", T.StringType(), False),
-        T.StructField("split_group_id", T.StringType()),
-        T.StructField("bootstrap_cluster_id", T.StringType()),
+        _text("id", False, pattern=CASE_ID),
+        _text("split", False, values=SPLITS),
+        _field("context", CONTEXT, False),
+        _field("gold", GOLD, False),
+        _texts("tags", default=[]),
+        _texts("hard_negative_against", default=[]),
+        _field("context_perturbation", PERTURBATION),
+        _text("scenario_family_id", False, shortest=1),
+        _text("contrast_group_id", False, shortest=1),
+        _text("paraphrase_cluster_id", False, shortest=1),
+        _text("split_group_id"),
+        _text("bootstrap_cluster_id"),
+        _field("open_intent_candidate", OPEN_CANDIDATE),
+        _field("review_provenance", PROVENANCE),
+        _text("source", False, values=["human_authored", "llm_assisted_human_reviewed", "synthetic_fixture"]),
+        _text("annotator_id", False, shortest=1),
+        _text("adjudication_status", False, values=["draft", "reviewed", "adjudicated"]),
+        _text("annotation_note", False, shortest=1),
     ]
 )
 PREDICTION = T.StructType(
     [
-        T.StructField("case_id", T.StringType(), False),
-        T.StructField("status", T.StringType()),
-        T.StructField("decision", T.StringType()),
-        T.StructField("predicted_intent", T.StringType()),
-        T.StructField("candidate_intents", T.ArrayType(T.StringType())),
-        T.StructField("slots", SLOTS),
-        T.StructField("reason_short", T.StringType()),
-        T.StructField("error_type", T.StringType()),
-        T.StructField("latency_ms", T.DoubleType()),
-        T.StructField("usage", USAGE),
-        T.StructField("raw_response_sha256", T.StringType()),
+        _text("case_id", False, pattern=CASE_ID),
+        _text("status", values=STATUSES, default="success"),
+        _text("decision", values=DECISIONS),
+        _text("predicted_intent"),
+        _texts("candidate_intents"),
+        _field("slots", SLOTS),
+        _text("reason_short", shortest=1, longest=200),
+        _text("error_type"),
+        _field("latency_ms", T.DoubleType(), least=0),
+        _field("usage", USAGE),
+        _text("raw_response_sha256", pattern=DIGEST),
     ]
 )
 CALL = T.StructType(
     [
-        T.StructField("case_id", T.StringType(), False),
-        T.StructField("arm", T.StringType(), False),
-        T.StructField("stage", T.StringType(), False),
-        T.StructField("call_index", T.IntegerType(), False),
-        T.StructField("cache_key", T.StringType()),
-        T.StructField("status", T.StringType(), False),
-        T.StructField("usage", USAGE),
-        T.StructField("latency_ms", T.DoubleType()),
-        T.StructField("raw_response_sha256", T.StringType()),
-        T.StructField("error_type", T.StringType()),
+        _field("schema_version", T.IntegerType(), values=[1], default=1),
+        _text("case_id", False),
+        _text("arm", False, values=["B2b", "B3"]),
+        _text("stage", False, values=STAGES),
+        _field("call_index", T.IntegerType(), False, values=[1, 2]),
+        _text("cache_key", False, pattern=DIGEST),
+        _text("call_contract_sha256", False, pattern=DIGEST),
+        _text("requested_model", False),
+        _text("reported_model"),
+        _text("status", False, values=STATUSES),
+        _field("usage", USAGE),
+        _field("latency_ms", T.DoubleType(), False, least=0),
+        _text("raw_response_sha256", pattern=DIGEST),
+        _text("error_type"),
+        _text("cache_origin", False, values=["provider_call", "validated_contract_migration"]),
+        _text("source_cache_key", pattern=DIGEST),
+        _field("one_stage_cache_compatible", T.BooleanType(), default=False),
     ]
 )
 REVIEW = T.StructType(
     [
-        T.StructField("review_item_id", T.StringType(), False),
-        T.StructField("reviewer_id", T.StringType()),
-        T.StructField("reviewed_at", T.StringType()),
-        T.StructField("label", GOLD),
-        T.StructField("review_note", T.StringType()),
+        _field("schema_version", T.IntegerType(), values=[1], default=1),
+        _text("review_item_id", False, pattern=REVIEW_ID),
+        _text("review_pass", False, values=["initial", "blind_retest"]),
+        _text("reviewer_id", shortest=1),
+        _text("reviewed_at", pattern=MOMENT),
+        _field("label", LABEL),
+        _text("review_note", shortest=1),
     ]
 )

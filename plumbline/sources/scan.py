@@ -15,25 +15,90 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumn("file", F.col("_metadata.file_path"))
 
 
+def _objects(fields: Column, field: T.StructField, fault) -> Column | None:
+    """``fault`` of the object in ``field``, or of any in a list of them, read from its own text only."""
+    raw = fields[field.name]
+    if isinstance(field.dataType, T.StructType):
+        return F.coalesce(fault(F.from_json(raw, "map<string,string>"), field.dataType), F.lit(False))
+    if isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.StructType):
+        each = F.from_json(raw, "array<map<string,string>>")
+        return F.coalesce(F.exists(each, lambda m: fault(m, field.dataType.elementType)), F.lit(False))
+    return None
+
+
 def _undeclared(fields: Column, schema: T.StructType) -> Column:
     """Some field here, or in any nested object, is not declared (JSON null and absent objects are fine).
 
-    ``fields`` maps the names to the raw text of their values, so a nested object is parsed from its own text only.
+    ``fields`` maps the names to the raw text of their values.
     """
     declared = F.array(*[F.lit(f.name) for f in schema.fields])
     unknown = F.size(F.array_except(F.map_keys(fields), declared)) > 0
     for field in schema.fields:
-        if isinstance(field.dataType, T.StructType):
-            inner = fields[field.name]
-            if any(isinstance(f.dataType, T.StructType) for f in field.dataType.fields):
-                unknown = unknown | _undeclared(F.from_json(inner, "map<string,string>"), field.dataType)
-            else:
-                names = F.array(*[F.lit(f.name) for f in field.dataType.fields])
-                unknown = unknown | (F.size(F.array_except(F.json_object_keys(inner), names)) > 0)
-            unknown = F.coalesce(unknown, F.lit(False))
+        inner = _objects(fields, field, _undeclared)
+        unknown = unknown if inner is None else unknown | inner
     return F.coalesce(unknown, F.lit(False))
 
 
+def _null_default(fields: Column, schema: T.StructType) -> Column:
+    """Some field with a default is there, but null: only an absent one takes the default."""
+    null = F.lit(False)
+    for field in schema.fields:
+        if "default" in field.metadata:
+            null = null | (F.map_contains_key(fields, field.name) & fields[field.name].isNull())
+        inner = _objects(fields, field, _null_default)
+        null = null if inner is None else null | inner
+    return F.coalesce(null, F.lit(False))
+
+
+def _outside(row: Column, schema: T.StructType) -> Column:
+    """Some value breaks a rule of its field: ``values``, ``pattern``, ``shortest``, ``longest`` (in letters) or ``least``."""
+    wrong = F.lit(False)
+    for field in schema.fields:
+        column, rules = row[field.name], field.metadata
+        if "values" in rules:
+            wrong = wrong | F.coalesce(~column.isin(rules["values"]), F.lit(False))
+        if "pattern" in rules:
+            wrong = wrong | F.coalesce(~column.rlike(rules["pattern"]), F.lit(False))
+        if "shortest" in rules:
+            wrong = wrong | F.coalesce(F.char_length(column) < rules["shortest"], F.lit(False))
+        if "longest" in rules:
+            wrong = wrong | F.coalesce(F.char_length(column) > rules["longest"], F.lit(False))
+        if "least" in rules:
+            wrong = wrong | F.coalesce(column < rules["least"], F.lit(False))
+        if isinstance(field.dataType, T.StructType):
+            wrong = wrong | _outside(column, field.dataType)
+        elif isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.StructType):
+            wrong = wrong | _any_outside(column, field.dataType.elementType)
+    return wrong
+
+
+def _any_outside(objects: Column, schema: T.StructType) -> Column:
+    return F.coalesce(F.exists(objects, lambda x: _null_inside(x, schema) | _outside(x, schema)), F.lit(False))
+
+
+def _null_inside(row: Column, schema: T.StructType) -> Column:
+    """A null member of a list of objects, or one without a required field."""
+    missing = row.isNull()
+    for field in schema.fields:
+        missing = missing if field.nullable else missing | row[field.name].isNull()
+    return missing
+
+
+def _filled(row: Column, schema: T.StructType) -> Column:
+    """The row with the defaults of absent fields, in nested objects too."""
+    columns = []
+    for field in schema.fields:
+        column = row[field.name]
+        if isinstance(field.dataType, T.StructType):
+            column = _filled(column, field.dataType)
+        elif "default" in field.metadata:
+            value = field.metadata["default"]
+            other = F.array() if value == [] else F.lit(value)
+            column = F.coalesce(column, other.cast(field.dataType))
+        columns.append(column.alias(field.name))
+    return F.when(row.isNotNull(), F.struct(*columns))
+
+
 def _required_null(row: str, schema: T.StructType) -> Column:
     missing = F.lit(False)
     for field in schema.fields:
@@ -56,7 +121,11 @@ def _open(schema: T.StructType) -> T.StructType:
 
 
 def judge_lines(lines: DataFrame, schema: T.StructType, text: str = "value") -> DataFrame:
-    """Each line with its parsed ``row`` and a ``reason`` that is null for a good line."""
+    """Each line with its parsed ``row`` and a ``reason`` that is null for a good line.
+
+    Absent fields take the ``default`` in the metadata of ``schema``; the other rules there bound their values. A nullable
+    field may be absent or null, one with a default may not be null.
+    """
     with_corrupt = T.StructType([*_open(schema).fields, T.StructField(CORRUPT, T.StringType())])
     parsed = lines.withColumn(
         "row", F.from_json(text, with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
@@ -65,9 +134,10 @@ def judge_lines(lines: DataFrame, schema: T.StructType, text: str = "value") ->
         F.when(F.trim(text) == "", "blank_line")
         .when(F.col("row").isNull() | F.col(f"row.{CORRUPT}").isNotNull(), "invalid_json")
         .when(_undeclared(F.col("_fields"), schema), "unknown_field")
-        .when(_required_null("row", schema), "missing_field")
+        .when(_required_null("row", schema) | _null_default(F.col("_fields"), schema), "missing_field")
+        .when(_outside(F.col("row"), schema), "bad_value")
     )
-    return parsed.withColumn("reason", reason).withColumn("row", F.col("row").dropFields(CORRUPT)).drop("_fields")
+    return parsed.withColumn("reason", reason).withColumn("row", _filled(F.col("row"), schema)).drop("_fields")
 
 
 def good_rows(judged: DataFrame, carry: list[str] = ()) -> DataFrame:

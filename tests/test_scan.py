@@ -40,6 +40,52 @@ def test_bad_lines_are_kept_with_their_reason(spark, tmp_path):
     assert S.bad_lines(result).count() == 7
 
 
+TURN = {"role": "user", "content": "x"}
+CASE = {
+    "id": "case-1", "split": "dev", "context": {"state_summary": "s", "conversation": [TURN]},
+    "gold": {"decision": "oos", "target_intent": None, "evidence_quote": "s", "slots": {"desired_experience": None, "object": None, "horizon": "now"}},
+    "scenario_family_id": "f", "contrast_group_id": "c", "paraphrase_cluster_id": "p",
+    "source": "human_authored", "annotator_id": "a", "adjudication_status": "draft", "annotation_note": "n",
+}
+
+
+def test_values_of_cases_are_held_to_their_fields(spark):
+    lines = [
+        (CASE, None),
+        ({**CASE, "split": "train"}, "bad_value"),
+        ({**CASE, "id": "A"}, "bad_value"),
+        ({**CASE, "id": "case-1\n"}, "bad_value"),
+        ({**CASE, "annotator_id": ""}, "bad_value"),
+        ({**CASE, "tags": None}, "missing_field"),
+        ({**CASE, "context": {"state_summary": "s", "conversation": [TURN, {**TURN, "role": "system"}]}}, "bad_value"),
+        ({**CASE, "context": {"state_summary": "s", "conversation": [{"role": "user"}]}}, "bad_value"),
+        ({**CASE, "context": {"state_summary": "s", "conversation": [{**TURN, "at": 1}]}}, "unknown_field"),
+        ({**CASE, "context_perturbation": {"id": "p-1", "state_summary_prefix": ""}}, "bad_value"),
+        ({k: v for k, v in CASE.items() if k != "source"}, "missing_field"),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(line)) for i, (line, _) in enumerate(lines)], "i int, value string")
+    rows = {r["i"]: r for r in S.judge_lines(df, schemas.CASE).collect()}
+    assert [rows[i]["reason"] for i in range(len(lines))] == [reason for _, reason in lines]
+    assert (rows[0]["row"]["tags"], rows[0]["row"]["gold"]["near_oos_sibling_intents"]) == ([], [])
+    assert rows[0]["row"]["context_perturbation"] is None
+
+
+def test_values_of_predictions_and_defaults(spark):
+    usage = {"input_tokens": 1, "output_tokens": 2, "total_tokens": 3}
+    lines = [
+        ({**GOOD, "usage": usage}, None),
+        ({**GOOD, "reason_short": "r" * 201}, "bad_value"),
+        ({**GOOD, "usage": {**usage, "input_tokens": -1}}, "bad_value"),
+        ({**GOOD, "usage": {**usage, "retry_input_tokens": None}}, "missing_field"),
+        ({**GOOD, "raw_response_sha256": "A" * 64}, "bad_value"),
+        ({"case_id": "case-1"}, None),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(line)) for i, (line, _) in enumerate(lines)], "i int, value string")
+    rows = {r["i"]: r for r in S.judge_lines(df, schemas.PREDICTION).collect()}
+    assert [rows[i]["reason"] for i in range(len(lines))] == [reason for _, reason in lines]
+    assert (rows[0]["row"]["usage"]["retry_input_tokens"], rows[5]["row"]["status"], rows[5]["row"]["usage"]) == (0, "success", None)
+
+
 def test_a_scan_without_a_good_row_says_so(spark, tmp_path):
     outcomes = {r["outcome"] for r in S.scan_summary(judged(spark, tmp_path, ["", "{"])).collect()}
     assert outcomes == {"blank_line", "invalid_json", "empty"}
