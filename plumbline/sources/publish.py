@@ -47,9 +47,9 @@ def check_digests(manifest: DataFrame, actual: DataFrame, key: str) -> DataFrame
     return joined.select(key, state.alias("state"))
 
 
-def write(df: DataFrame, path: str, kind: str, partitions: list[str] = ()) -> None:
+def write(df: DataFrame, path: str, kind: str, partitions: list[str] = (), mode: str = "errorifexists") -> None:
     """S06-S08, S12. CSV gets a header; JSON keeps nulls so that every row has the same fields."""
-    writer = df.write.mode("errorifexists")
+    writer = df.write.mode(mode)
     if partitions:
         writer = writer.partitionBy(*partitions)
     if kind == "csv":
@@ -73,11 +73,20 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def publish(df: DataFrame, path: str, kind: str = "parquet") -> str:
-    """``created`` the first time, ``unchanged`` when the same rows come again, ``conflict`` when they differ."""
+def publish(df: DataFrame, path: str, kind: str = "parquet", replace_incomplete: bool = False) -> str:
+    """``created`` the first time, ``unchanged`` when the same rows come again, ``conflict`` when they differ.
+
+    A folder without the mark of a finished write is ``incomplete``: it is left as it is, or written anew and ``created``
+    with ``replace_incomplete``.
+    """
     spark = df.sparkSession
     if not _exists(spark, path):
         write(df, path, kind)
         return "created"
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        if not replace_incomplete:
+            return "incomplete"
+        write(df, path, kind, mode="overwrite")
+        return "created"
     old = fingerprint(read(spark, path, kind, df.schema)).first()["digest"]
     return "unchanged" if old == fingerprint(df).first()["digest"] else "conflict"

@@ -100,6 +100,15 @@ def test_publishing_twice(spark, tmp_path):
     assert spark.read.parquet(path).count() == 50
 
 
+def test_a_half_written_output_is_named_and_can_be_replaced(spark, tmp_path):
+    path = tmp_path / "half"
+    path.mkdir()
+    df = spark.range(5)
+    assert P.publish(df, str(path)) == "incomplete"
+    assert P.publish(df, str(path), replace_incomplete=True) == "created"
+    assert P.publish(df, str(path)) == "unchanged"
+
+
 def test_csv_and_json_keep_nulls_and_empty_strings(spark, tmp_path):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "a,\"b")], "i int, s string")
     for kind in ["csv", "json", "parquet"]:
