@@ -13,7 +13,7 @@ from plumbline.schemas import DECISIONS
 from plumbline.sources.views import ARMS, INTENTS
 
 PAIRS = [("A", "B"), ("A", "C"), ("B", "C")]
-ITERATIONS, SEED = 100, 20260820
+ITERATIONS, SEED = 10_000, 20260820
 
 
 @query(

@@ -6,6 +6,8 @@ once, and only cluster rows are drawn from.
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from plumbline.schemas import CONFIDENCE, MIN_CLUSTERS
 DOMAINS = ["full_hem", "gold_in_scope_intent_macro_f1", "near_oos_recall", "no_intent_recall"]
 BROADCAST_BYTES = 64 * 1024 * 1024
 DRAWS_PER_TASK = 2_000_000
+#: Draws that one task makes in memory, and how many of them at a time.
+LOCAL_DRAWS, DRAWS_AT_ONCE = 20_000_000, 500_000
 #: Keeps seeds apart from iterations, which go through the same mixer.
 SEED_SIDE = 0x9E3779B9
 
@@ -164,26 +168,90 @@ def numbered_clusters(labelled: DataFrame, arms: list[str], intents: list[str])
     return cut(slots(cut(cluster_statistics(labelled, arms, intents))))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """``hashing.mixed`` for arrays of uint32, which wrap by themselves; works in place."""
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(H.MIX_1)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(H.MIX_2 & H.LOW_32)
+    x ^= x >> np.uint32(16)
+    return x
+
+
+def vector_classes(values: DataFrame, columns: list[str]) -> DataFrame:
+    """Clusters of a domain with equal counts as one row, with their slots: a resample needs only how often it drew the row."""
+    return values.groupBy("domain", *columns).agg(F.collect_list(F.col("slot").cast("int")).alias("members"))
+
+
+def local_sums(classes: DataFrame, columns: list[str], iterations: int, seed: int, blocks: int) -> DataFrame:
+    """(domain, iteration, sums): the draws of ``draw``, made in memory by blocks of iterations, so that no draw is a row.
+
+    Every block gets all classes by broadcast; the sums of an iteration are its draws per class times the classes.
+    """
+    listed = F.collect_list(F.struct(*columns, "members"))
+    parts = [F.col(f"all.{c}").alias(c) for c in columns]
+    packed = classes.groupBy("domain").agg(listed.alias("all")).select(
+        "domain", *parts, F.flatten("all.members").alias("slots"), F.transform("all.members", F.size).alias("sizes")
+    )
+    spans = classes.sparkSession.range(0, blocks, 1, blocks).withColumnRenamed("id", "block")
+    wanted = ", ".join(f"{c} bigint" for c in columns)
+
+    def sums(batches):
+        side = _mixed(np.array([(seed & H.LOW_32) ^ SEED_SIDE], dtype=np.uint32))
+        turns = _mixed(np.arange(iterations, dtype=np.uint32)) ^ side
+        for batch in batches:
+            for i in range(batch.num_rows):
+                got = {n: batch.column(n)[i] for n in batch.schema.names}
+                table = np.stack([got[c].values.to_numpy() for c in columns], axis=1).astype(np.float64)
+                sizes = got["sizes"].values.to_numpy()
+                class_of = np.empty(sizes.sum(), dtype=np.int64)
+                class_of[got["slots"].values.to_numpy() - 1] = np.repeat(np.arange(len(sizes)), sizes)
+                clusters, block = len(class_of), got["block"].as_py()
+                positions = _mixed(np.arange(1, clusters + 1, dtype=np.uint32))
+                first, end = block * iterations // blocks, (block + 1) * iterations // blocks
+                step = max(1, DRAWS_AT_ONCE // max(clusters, len(sizes)))
+                for start in range(first, end, step):
+                    here = range(start, min(start + step, end))
+                    drawn = np.empty((len(here), len(sizes)))
+                    for k, iteration in enumerate(here):
+                        h = _mixed(positions ^ turns[iteration]).astype(np.uint64)
+                        slot = ((h * np.uint64(clusters)) >> np.uint64(32)).astype(np.int64)
+                        drawn[k] = np.bincount(class_of[slot], minlength=len(sizes))
+                    found = np.rint(drawn @ table).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([got["domain"].as_py()] * len(here)), pa.array(np.array(here, dtype=np.int32))]
+                        + [pa.array(np.ascontiguousarray(found[:, j])) for j in range(len(columns))],
+                        names=["domain", "iteration", *columns],
+                    )
+
+    return spans.crossJoin(F.broadcast(packed)).mapInArrow(sums, f"domain string, iteration int, {wanted}")
+
+
 def resampled_differences(
     numbered: DataFrame, arms: list[str], pairs: list[tuple[str, str]], intents: list[str], iterations: int, seed: int
 ) -> DataFrame:
     """Per (domain, iteration, pair) the metric difference over the drawn clusters.
 
-    The label tallies are only carried for the domain that needs them.
+    The label tallies are only carried for the domain that needs them. Where slots and distinct rows fit in memory, draws
+    are made there; beyond that they are rows, joined by a shuffle.
     """
     macro = F.col("domain") == "gold_in_scope_intent_macro_f1"
     rates = ["n", *[f"hits_{arm}" for arm in arms]]
     clusters = {r["domain"]: r["count"] for r in numbered.groupBy("domain").count().collect()}  # a row per domain
+    cores = numbered.sparkSession.sparkContext.defaultParallelism
     found = []
     for part, columns in [(macro, tally_columns(arms, intents)), (~macro, rates)]:
         values = numbered.filter(part).select("domain", "slot", *columns)
         wanted = [d for d in clusters if (d == "gold_in_scope_intent_macro_f1") == (part is macro)]
         rows = sum(clusters[d] for d in wanted)
-        tasks = max(numbered.sparkSession.sparkContext.defaultParallelism, rows * iterations // DRAWS_PER_TASK)
-        small = rows * 8 * (len(columns) + 2) <= BROADCAST_BYTES
-        drawn = draw(values, iterations, seed, tasks)
-        joined = drawn.join(F.broadcast(values) if small else values, ["domain", "slot"])
-        sums = _summed(joined, ["domain", "iteration"], columns)
+        classes = cut(vector_classes(values, columns)) if rows * 4 <= BROADCAST_BYTES else None
+        if classes is not None and rows * 4 + classes.count() * 8 * (len(columns) + 1) <= BROADCAST_BYTES:
+            blocks = min(iterations, max(cores, rows * iterations // LOCAL_DRAWS))
+            sums = local_sums(classes, columns, iterations, seed, blocks)
+        else:
+            tasks = max(cores, rows * iterations // DRAWS_PER_TASK)
+            joined = draw(values, iterations, seed, tasks).join(values, ["domain", "slot"])
+            sums = _summed(joined, ["domain", "iteration"], columns)
         rest = [c for c in [*rates, *tally_columns(arms, intents)] if c not in columns]
         sums = sums.select("*", *[F.lit(0).alias(c) for c in rest])
         found.append(_differences(sums, ["domain", "iteration"], pairs, intents))

@@ -7,9 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import plumbline.catalog  # noqa: F401  (registers the queries)
+from plumbline.catalog.registry import QUERIES
 from plumbline.functions.quantiles import exact_quantiles
 from plumbline.operators import compare as C
 from plumbline.operators import evaluate as E
+from tests.harness import DATA
 
 BASE = {
     "valid": True,
@@ -120,3 +123,35 @@ def test_identical_arms_have_a_zero_interval(spark):
     both = rows.unionByName(rows.withColumn("arm", F.lit("B")))
     got = intervals(both)["full_hem"]
     assert (got["point"], got["lower"], got["upper"]) == (0.0, 0.0, 0.0)
+
+
+def test_draws_in_memory_equal_draws_as_rows(spark, monkeypatch):
+    rows = labelled(spark, 23, per_cluster=5)
+    numbered = C.numbered_clusters(rows, ["A", "B"], ["x"])
+
+    def differences():
+        got = C.resampled_differences(numbered, ["A", "B"], [("A", "B")], ["x"], 70, 9).collect()
+        return sorted((r["domain"], r["iteration"], round(r["d"], 12)) for r in got)
+
+    local = differences()
+    monkeypatch.setattr(C, "BROADCAST_BYTES", 0)
+    assert local == differences()
+    assert len({i for d, i, _ in local if d == "full_hem"}) == 70
+    # The draws again, in plain Python.
+    cells = numbered.filter("domain = 'full_hem'").orderBy("slot").collect()
+
+    def mix(x):
+        x = ((x ^ x >> 16) * 0x7FEB352D) % 2**32
+        x = ((x ^ x >> 15) * 0x846CA68B) % 2**32
+        return x ^ x >> 16
+
+    for domain, iteration, d in local:
+        if domain == "full_hem":
+            taken = [cells[mix(mix(p) ^ mix(iteration) ^ mix(9 ^ C.SEED_SIDE)) * 23 >> 32] for p in range(1, 24)]
+            n = sum(c["n"] for c in taken)
+            assert d == pytest.approx(sum(c["hits_B"] - c["hits_A"] for c in taken) / n, abs=1e-9)
+
+
+def test_registered_bootstrap_makes_the_whole_number_of_draws(spark):
+    got = QUERIES["t03_bootstrap_draws"](spark, f"{DATA}/sf0.001").groupBy("domain").agg(F.count_distinct("iteration").alias("n"))
+    assert {r["n"] for r in got.collect()} == {10_000}
