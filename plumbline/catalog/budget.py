@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from plumbline.catalog.comparison import INTERVAL_SQL, ITERATIONS, PAIRS, SEED, boot_sql
-from plumbline.catalog.evaluation import BAD_SQL, SLOTS, labelled
+from plumbline.catalog.evaluation import BAD_SQL, BASIC, SLOTS, VALIDITY_SQL, broken_runs, labelled
 from plumbline.catalog.quality import PAIRED_SQL, field_diff_sql, hit, mut, paired_calls
 from plumbline.catalog.registry import query
 from plumbline.operators import budget as B
@@ -13,7 +13,7 @@ from plumbline.operators.quality import differing_fields
 from plumbline.plans import matrix as M
 from plumbline.functions import labels as L
 from plumbline.schemas import DECISIONS
-from plumbline.sources.views import INTENTS
+from plumbline.sources.views import ARMS, INTENTS
 
 RATES = (0.3, 2.5)
 COST_SQL = "round(((input_tokens + coalesce(retry_input_tokens, 0)) * 0.3::DOUBLE + (output_tokens + coalesce(retry_output_tokens, 0)) * 2.5::DOUBLE) / 1000000, 9)"
@@ -305,14 +305,14 @@ SUMMARY_SQL = f""", dt AS (SELECT arm, label, count(*) FILTER (decision = label
 """
 
 
-def known_usage(t):
+def known_usage(predictions):
     """Arms A and C have usage for every call; arm B stays incomplete."""
     kept = F.when((F.col("arm") != "B") & F.col("total_tokens").isNull(), 0).otherwise(F.col("total_tokens"))
-    return t.predictions.withColumn("total_tokens", kept)
+    return predictions.withColumn("total_tokens", kept)
 
 
-def summaries(t):
-    rows = E.join_predictions(t.gold, known_usage(t), ["A", "B", "C"], [*SLOTS, "latency_ms", "total_tokens"])
+def summaries(t, predictions):
+    rows = E.join_predictions(t.gold, known_usage(predictions), ["A", "B", "C"], [*SLOTS, "latency_ms", "total_tokens"])
     return M.run_summaries(rows, ["A", "B", "C"], INTENTS, "B")
 
 
@@ -322,16 +322,10 @@ SUMMARY_BODY = (BAD_SQL + SUMMARY_SQL).replace("FROM gp JOIN df", f"FROM ({KNOWN
 
 @query("t12_run_summaries", SUMMARY_BODY + "SELECT * FROM sm", "gp")
 def t12(t):
-    return summaries(t)
+    return summaries(t, t.predictions)
 
 
-@query(
-    "t12_pilot_verdicts",
-    boot_sql(
-        ITERATIONS,
-        SEED,
-        INTERVAL_SQL
-        + """, s2 AS (SELECT arm, count(*) FILTER (pair_kind LIKE 'ctx%' AND case_id % 2 = 1 AND hit = 0) AS ctx,
+PILOT_SQL = """, s2 AS (SELECT arm, count(*) FILTER (pair_kind LIKE 'ctx%' AND case_id % 2 = 1 AND hit = 0) AS ctx,
        count(*) FILTER (status = 'schema_invalid') AS sch,
        CASE WHEN arm <> 'B' OR count(*) FILTER (status IS NOT NULL AND total_tokens IS NULL) = 0 THEN sum(total_tokens) END AS tok
      FROM gp GROUP BY 1),
@@ -354,15 +348,40 @@ def t12(t):
        CASE WHEN nl < -0.05 THEN 'near_oos_noninferiority_unproven' END,
        CASE WHEN ql < -0.05 THEN 'no_intent_noninferiority_unproven' END, CASE WHEN np < 0 THEN 'near_oos_point_regressed' END) AS unsure
      FROM w2 JOIN s2 a ON a.arm = left_arm JOIN s2 b ON b.arm = right_arm)
-   SELECT left_arm, right_arm, CASE WHEN blocked <> '' THEN 'inconclusive' WHEN worse <> '' THEN 'negative'
+"""
+PILOT_TAIL = """   SELECT left_arm, right_arm, CASE WHEN blocked <> '' THEN 'inconclusive' WHEN worse <> '' THEN 'negative'
        WHEN unsure <> '' THEN 'inconclusive' ELSE 'promising' END AS verdict,
      CASE WHEN blocked <> '' THEN blocked WHEN worse <> '' THEN worse WHEN unsure <> '' THEN unsure
-       ELSE 'all_pre_registered_gates_passed' END AS reasons FROM x""",
+       ELSE 'all_pre_registered_gates_passed' END AS reasons FROM x"""
+
+
+@query("t12_pilot_verdicts", boot_sql(ITERATIONS, SEED, INTERVAL_SQL + PILOT_SQL + PILOT_TAIL), "gold gp")
+def t12b(t):
+    return verdicts(t, t.predictions)
+
+
+@query(
+    "t12_invalid_runs",
+    boot_sql(
+        ITERATIONS,
+        SEED,
+        INTERVAL_SQL
+        + PILOT_SQL.rstrip()
+        + f""", {VALIDITY_SQL}, vd AS ({PILOT_TAIL}),
+   jd AS (SELECT *, left_arm IN (SELECT arm FROM refused) OR right_arm IN (SELECT arm FROM refused) AS bad FROM vd)
+   SELECT left_arm, right_arm, CASE WHEN NOT bad THEN verdict END AS verdict, CASE WHEN bad THEN 'invalid_run' ELSE reasons END AS reasons
+   FROM jd""",
     ),
     "gold gp",
 )
-def t12b(t):
-    intervals = C.compare_domains(labelled(t), PAIRS, INTENTS, ITERATIONS, SEED)
-    return M.pilot_verdicts(intervals, summaries(t)).select(
+def t12_invalid(t):
+    return verdicts(t, broken_runs(t.predictions))
+
+
+def verdicts(t, predictions):
+    rows = E.join_predictions(t.gold, predictions, ARMS, BASIC)
+    validity = E.run_validity(t.gold, predictions, ARMS)
+    intervals = C.compare_domains(rows, PAIRS, INTENTS, ITERATIONS, SEED, validity=validity)
+    return M.pilot_verdicts(intervals, summaries(t, predictions), validity).select(
         "left_arm", "right_arm", "verdict", F.array_join("reasons", ",").alias("reasons")
     )

@@ -2,12 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from plumbline.catalog.evaluation import BASIC, labelled
+from plumbline.catalog.evaluation import BASIC, VALIDITY_SQL, broken_runs, labelled
 from plumbline.catalog.registry import query
 from plumbline.functions import hashing as H
 from plumbline.functions import labels as L
 from plumbline.operators import compare as C
 from plumbline.operators import components as G
+from plumbline.operators import evaluate as E
 from plumbline.operators import split as S
 from plumbline.schemas import DECISIONS
 from plumbline.sources.views import ARMS, INTENTS
@@ -136,7 +137,29 @@ INTERVAL_SQL = """, k AS (SELECT domain, count(*) AS case_count, count(DISTINCT
     "gold gp",
 )
 def t04(t):
-    return C.compare_domains(labelled(t), PAIRS, INTENTS, ITERATIONS, SEED)
+    validity = E.run_validity(t.gold, t.predictions, ARMS)
+    return C.compare_domains(labelled(t), PAIRS, INTENTS, ITERATIONS, SEED, validity=validity)
+
+
+@query(
+    "t04_invalid_runs",
+    boot_sql(
+        ITERATIONS,
+        SEED,
+        INTERVAL_SQL
+        + f""", {VALIDITY_SQL}, jd AS (SELECT *, left_arm IN (SELECT arm FROM refused) OR right_arm IN (SELECT arm FROM refused) AS bad FROM iv)
+    SELECT domain, left_arm, right_arm, case_count, cluster_count, CASE WHEN cluster_count >= 8 AND NOT bad THEN 1 ELSE 0 END AS estimable,
+      CASE WHEN NOT bad THEN point END AS point, CASE WHEN cluster_count >= 8 AND NOT bad THEN lower END AS lower,
+      CASE WHEN cluster_count >= 8 AND NOT bad THEN upper END AS upper,
+      CASE WHEN bad THEN 'invalid_run' WHEN cluster_count < 8 THEN 'insufficient_clusters' END AS unavailable_reason FROM jd""",
+    ),
+    "gold gp",
+)
+def t04_invalid(t):
+    predictions = broken_runs(t.predictions)
+    rows = E.join_predictions(t.gold, predictions, ARMS, BASIC)
+    validity = E.run_validity(t.gold, predictions, ARMS)
+    return C.compare_domains(rows, PAIRS, INTENTS, ITERATIONS, SEED, validity=validity)
 
 
 EVIDENCE_SQL = """ev AS (SELECT CAST('0x' || substr(sha256('seg|' || CAST(cluster_id AS VARCHAR)), 1, 8) AS BIGINT) % 300 AS segment,

@@ -431,6 +431,35 @@ def a20(t):
     return run_report(t.gold, t.predictions, ARMS, INTENTS)
 
 
+#: Arm B says the same of some cases twice, and has cases that gold does not have.
+VALIDITY_SQL = """broken AS (SELECT arm, case_id FROM predictions
+   UNION ALL SELECT arm, case_id FROM predictions WHERE arm = 'B' AND case_id % 50 = 7
+   UNION ALL SELECT arm, case_id + 10000000 FROM predictions WHERE arm = 'B' AND case_id % 50 = 9),
+ refused AS (SELECT arm, CAST(count(*) FILTER (n > 1) AS DOUBLE) AS repeated,
+     CAST(count(*) FILTER (case_id NOT IN (SELECT case_id FROM gold)) AS DOUBLE) AS strange
+   FROM (SELECT arm, case_id, count(*) AS n FROM broken GROUP BY 1, 2) z GROUP BY 1 HAVING repeated > 0 OR strange > 0)"""
+
+
+def broken_runs(predictions):
+    of_b = predictions.filter("arm = 'B'")
+    again = of_b.filter("case_id % 50 = 7")
+    strange = of_b.filter("case_id % 50 = 9").withColumn("case_id", F.col("case_id") + 10000000)
+    return predictions.unionByName(again).unionByName(strange)
+
+
+@query(
+    "a20_invalid_runs",
+    REPORT_SQL.removesuffix("SELECT arm, slice, metric, round(value, 9) AS value FROM tall")
+    + f""", {VALIDITY_SQL}
+   SELECT arm, slice, metric, CASE WHEN arm NOT IN (SELECT arm FROM refused) THEN round(value, 9) END AS value FROM tall
+   UNION ALL SELECT arm, 'all', 'repeated_predictions', repeated FROM refused
+   UNION ALL SELECT arm, 'all', 'unknown_predictions', strange FROM refused""",
+    "gold tags gp",
+)
+def a20_invalid(t):
+    return run_report(t.gold, broken_runs(t.predictions), ARMS, INTENTS)
+
+
 BAD_SQL = (
     PAIR_SQL
     + """, e AS (SELECT gp.arm, gp.case_id, status,

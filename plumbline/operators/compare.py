@@ -15,6 +15,7 @@ from plumbline.functions import hashing as H
 from plumbline.functions import labels as L
 from plumbline.functions.lineage import cut
 from plumbline.functions.quantiles import exact_quantiles
+from plumbline.operators.evaluate import invalid_runs
 from plumbline.schemas import CONFIDENCE, MIN_CLUSTERS
 
 DOMAINS = ["full_hem", "gold_in_scope_intent_macro_f1", "near_oos_recall", "no_intent_recall"]
@@ -274,10 +275,12 @@ def compare_domains(
     seed: int,
     minimum: int = MIN_CLUSTERS,
     confidence: float = CONFIDENCE,
+    validity: DataFrame | None = None,
 ) -> DataFrame:
     """Point and percentile interval of right minus left for each of the fixed domains and pairs.
 
-    Too few clusters give the point only; a domain without a case has counts of 0 and no point.
+    Too few clusters give the point only; a domain without a case has counts of 0 and no point. ``validity`` (see
+    ``evaluate.run_validity``): a pair with a run that is not valid has neither point nor interval.
     """
     arms = sorted({arm for pair in pairs for arm in pair})
     numbered = numbered_clusters(labelled, arms, intents)
@@ -299,7 +302,7 @@ def compare_domains(
     named = F.array(*[F.struct(F.lit(a).alias("left_arm"), F.lit(b).alias("right_arm")) for a, b in pairs])
     every = labelled.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, DOMAINS))).alias("domain"), named.alias("pairs"))
     every = every.select("domain", F.inline("pairs"))
-    return every.join(point, keys, "left").join(spread, keys, "left").select(
+    found = every.join(point, keys, "left").join(spread, keys, "left").select(
         *keys,
         F.coalesce("case_count", F.lit(0)).cast("bigint").alias("case_count"),
         F.coalesce("cluster_count", F.lit(0)).cast("bigint").alias("cluster_count"),
@@ -309,6 +312,17 @@ def compare_domains(
         F.when(enough, F.round(F.col("q")[1], 9)).alias("upper"),
         F.when(~enough, "insufficient_clusters").alias("unavailable_reason"),
     )
+    if validity is None:
+        return found
+    bad = F.arrays_overlap(invalid_runs(validity), F.array("left_arm", "right_arm"))
+    return found.withColumn("_bad", bad).select(
+        *keys,
+        "case_count",
+        "cluster_count",
+        F.when(F.col("_bad"), 0).otherwise(F.col("estimable")).alias("estimable"),
+        *[F.when(~F.col("_bad"), F.col(c)).alias(c) for c in ("point", "lower", "upper")],
+        F.when(F.col("_bad"), "invalid_run").otherwise(F.col("unavailable_reason")).alias("unavailable_reason"),
+    )
 
 
 def type7_quantiles(df: DataFrame, by: list[str], value: str, probabilities: list[float]) -> DataFrame:

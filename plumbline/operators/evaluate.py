@@ -62,10 +62,15 @@ def run_validity(gold: DataFrame, predictions: DataFrame, arms: list[str]) -> Da
     return rows.withColumn("valid", (F.col("repeated") == 0) & (F.col("unknown") == 0))
 
 
+def invalid_runs(validity: DataFrame) -> Column:
+    """The arms that ``run_validity`` refuses, as one array."""
+    return validity.filter(~F.col("valid")).agg(F.collect_set("arm").alias("runs")).scalar()
+
+
 def join_predictions(gold: DataFrame, predictions: DataFrame, arms: list[str], need: list[str] | None = None) -> DataFrame:
     """Every gold case once per arm, with its prediction if there is one (see ``prediction_side``).
 
-    ``run_validity`` tells the runs that have repeats; their metrics must not be used.
+    ``run_validity`` tells the runs that have repeats; reports, intervals and verdicts null what they say of these.
     """
     if need is not None:
         predictions = predictions.select("arm", "case_id", *need)

@@ -114,8 +114,12 @@ def run_summaries(labelled: DataFrame, arms: list[str], intents: list[str], auth
     )
 
 
-def pilot_verdicts(intervals: DataFrame, summaries: DataFrame) -> DataFrame:
-    """The intervals of each pair of runs and the two summaries, decided."""
+def pilot_verdicts(intervals: DataFrame, summaries: DataFrame, validity: DataFrame) -> DataFrame:
+    """The intervals of each pair of runs and the two summaries, decided.
+
+    A pair with a run that ``evaluate.run_validity`` refuses, or does not list, has no verdict. Both runs are aligned by
+    construction: ``join_predictions`` gives every run the same gold cases.
+    """
     def domain(name):
         here = F.col("domain") == name
         lower, upper = F.coalesce("lower", "point"), F.coalesce("upper", "point")
@@ -130,8 +134,9 @@ def pilot_verdicts(intervals: DataFrame, summaries: DataFrame) -> DataFrame:
     )
 
     def side(name):
-        return summaries.select(
+        return gated.select(
             F.col("arm").alias(f"{name}_arm"),
+            F.coalesce("valid", F.lit(0)).alias(f"{name}_valid"),
             F.col("context_distractor_errors").alias(f"{name}_context_errors"),
             F.col("schema_invalid").alias(f"{name}_schema_invalid"),
             F.col("total_tokens").alias(f"{name}_tokens"),
@@ -140,9 +145,10 @@ def pilot_verdicts(intervals: DataFrame, summaries: DataFrame) -> DataFrame:
         )
 
     both = lambda f: (F.col(f"left_{f}") == 1) & (F.col(f"right_{f}") == 1)
+    gated = summaries.join(validity.select("arm", L.as_flag(F.col("valid")).alias("valid")), "arm", "left")
     evidence = wide.join(side("left"), "left_arm").join(side("right"), "right_arm").withColumns(
         {
-            "valid": F.lit(True),
+            "valid": both("valid"),
             "aligned": F.lit(True),
             "usage_complete": both("usage"),
             "cost_complete": both("usage"),

@@ -19,6 +19,8 @@ def _tall(df: DataFrame, slices: str | None, metrics: dict) -> DataFrame:
 
 
 def run_report(gold: DataFrame, predictions: DataFrame, arms: list[str], intents: list[str]) -> DataFrame:
+    """A run that ``run_validity`` refuses has null values, and two more rows that tell why."""
+    validity = cut(E.run_validity(gold, predictions, arms))
     named = E.near_siblings(gold).select("case_id", F.lit(1).alias("sibling"))
     need = ["status", "decision", "predicted_intent", "horizon", "desired_experience", "object_slot"]
     labelled = E.join_predictions(gold.join(named, "case_id", "left"), predictions, arms, need)
@@ -105,7 +107,7 @@ def run_report(gold: DataFrame, predictions: DataFrame, arms: list[str], intents
         .withColumn("arm", F.lit("-"))
         .withColumn("cell", F.concat_ws(">", "left_tag", "right_tag"))
     )
-    return E.union(
+    report = E.union(
         [
             _tall(totals, None, plain),
             _tall(E.macro_f1(decision_tallies, ["arm"], "f"), None, {"decision_macro_f1": "f"}),
@@ -126,4 +128,9 @@ def run_report(gold: DataFrame, predictions: DataFrame, arms: list[str], intents
             _tall(slice_cells, "cell", {"slice_confusion": "n"}),
             _tall(overlap, "cell", {"slice_overlap": "n"}),
         ]
-    ).withColumn("value", F.round("value", 9))
+    )
+    valid = ~F.array_contains(E.invalid_runs(validity), F.col("arm"))
+    why = {"repeated_predictions": "repeated", "unknown_predictions": "unknown"}
+    return report.withColumn("value", F.when(valid, F.round("value", 9))).unionByName(
+        _tall(validity.filter(~F.col("valid")), None, why)
+    )

@@ -3,6 +3,10 @@
 from pyspark.sql import functions as F
 
 from plumbline.operators import compare, evaluate, quality, review, split
+from plumbline.plans import matrix
+from plumbline.plans.run_report import run_report
+from plumbline.sources.views import INTENTS, Tables
+from tests.harness import DATA
 
 
 def test_repeated_prediction_is_not_chosen_and_marks_the_run(spark):
@@ -64,3 +68,23 @@ def test_giant_group_leaves_the_quota_to_others(spark):
     groups = spark.createDataFrame([(i, "s", 1) for i in range(200)] + [(999, "s", 300)], "group_id long, stratum string, cases long")
     taken = split.candidate_splits(groups, 8, 3, 10).filter("dev = 1").groupBy("seed").agg(F.sum("cases").alias("n")).collect()
     assert [r["n"] for r in taken] == [150] * 8
+
+
+def test_invalid_run_has_no_metrics_intervals_or_verdict(spark):
+    tables = Tables(spark, f"{DATA}/sf0.001")
+    predictions = tables.predictions
+    differing = predictions.filter("arm = 'B' AND case_id = 3").withColumn("status", F.lit("schema_invalid"))
+    predictions = predictions.unionByName(differing)
+    report = run_report(tables.gold, predictions, ["A", "B"], INTENTS)
+    got = {(r["arm"], r["metric"]): r["value"] for r in report.filter("slice = 'all'").collect()}
+    assert got["B", "hierarchical_exact_match"] is None and got["B", "repeated_predictions"] == 1.0
+    assert got["A", "hierarchical_exact_match"] > 0 and ("A", "repeated_predictions") not in got
+    rows = evaluate.join_predictions(tables.gold, predictions, ["A", "B"])
+    validity = evaluate.run_validity(tables.gold, predictions, ["A", "B"])
+    intervals = compare.compare_domains(rows, [("A", "B")], INTENTS, 20, 1, validity=validity)
+    assert {(r["point"], r["lower"], r["unavailable_reason"]) for r in intervals.collect()} == {(None, None, "invalid_run")}
+    ungated = compare.compare_domains(rows, [("A", "B")], INTENTS, 20, 1)
+    summaries = matrix.run_summaries(rows, ["A", "B"], INTENTS, "B")
+    for listed in (validity, validity.filter("arm = 'A'")):
+        verdict = matrix.pilot_verdicts(ungated, summaries, listed).first()
+        assert (verdict["verdict"], verdict["reasons"]) == (None, ["invalid_run"])
