@@ -502,6 +502,35 @@ def v17b(t):
     return Q.final_turn_rules(t.conversations, quotes(t), "conv_id")
 
 
+@query(
+    "v17_final_turn_tagged",
+    f"""WITH {QUOTE_SQL},
+      kept AS (SELECT * FROM conversations WHERE NOT ({mut('V17f', 'conv_id', 10)} AND turn > (SELECT min(turn) FROM conversations))),
+      l AS (SELECT conv_id, role, text, count(*) OVER (PARTITION BY conv_id) AS n,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM kept WHERE NOT {mut('V17g', 'conv_id', 10)}),
+      tg AS (SELECT conv_id FROM conversations GROUP BY 1 HAVING count(*) > 1),
+      p AS (SELECT tg.conv_id, n, role, text, quote FROM tg LEFT JOIN l ON l.conv_id = tg.conv_id AND rn = 1
+         LEFT JOIN (SELECT * FROM quotes WHERE NOT {mut('V17e', 'conv_id', 10)}) q ON q.conv_id = tg.conv_id) """
+    + clauses(
+        "p",
+        "V17",
+        "conv_id",
+        {
+            "turns_missing": "n IS NULL OR n < 2",
+            "final_role": "role <> 'assistant' OR (n IS NOT NULL AND role IS NULL)",
+            "quote_missing": "quote IS NULL",
+            "final_without_quote": "NOT contains(text, quote)",
+        },
+    ),
+)
+def v17c(t):
+    """Tagged conversations, of which some have lost their quote, all turns but the first, or all turns."""
+    tagged = t.conversations.groupBy("conv_id").agg((F.count("*") > 1).alias("multi_turn"))
+    first = t.conversations.agg(F.min("turn")).scalar()
+    turns = t.conversations.filter(~(hit("V17f", "conv_id", 10) & (F.col("turn") > first)) & ~hit("V17g", "conv_id", 10))
+    return Q.final_turn_rules(turns, quotes(t).filter(~hit("V17e", "conv_id", 10)), "conv_id", tagged)
+
+
 @query(
     "v18_sibling_relation",
     """WITH e AS (SELECT DISTINCT o_custkey AS name, CAST(floor(o_orderkey / 10) AS BIGINT) AS sibling FROM orders),

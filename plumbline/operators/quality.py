@@ -293,15 +293,29 @@ def draft_rules(gold: DataFrame, slice_targets: dict[str, list[str]]) -> DataFra
     return violations(gold, "V17", "case_id", clauses)
 
 
-def final_turn_rules(turns: DataFrame, quotes: DataFrame, id_column: str) -> DataFrame:
-    """A multi-turn case ends with the assistant, and that turn carries the quote."""
-    last = turns.groupBy(id_column).agg(
-        F.count("*").alias("n"), F.max(F.struct("turn", "role", "text")).alias("t")
-    ).filter("n > 1")
-    joined = last.join(quotes, id_column)
+def final_turn_rules(turns: DataFrame, quotes: DataFrame, id_column: str, tagged: DataFrame | None = None) -> DataFrame:
+    """A multi-turn case ends with the assistant, and that turn carries the quote.
+
+    ``tagged`` (id, multi_turn) tells which cases are multi-turn; only where no tags are stored, those with several turns are.
+    """
+    last = turns.groupBy(id_column).agg(F.count("*").alias("n"), F.max(F.struct("turn", "role", "text")).alias("t"))
+    if tagged is None:
+        cases = last.filter("n > 1")
+    else:
+        cases = tagged.filter("multi_turn").select(id_column).distinct().join(last, id_column, "left")
+    joined = cases.join(quotes, id_column, "left")
     quoted = F.contains(normalise_evidence(F.col("t.text")), normalise_evidence(F.col("quote")))
+    few = F.coalesce(F.col("n"), F.lit(0)) < 2
     return violations(
-        joined, "V17", id_column, {"final_role": F.col("t.role") != "assistant", "final_without_quote": ~quoted}
+        joined,
+        "V17",
+        id_column,
+        {
+            "turns_missing": few,
+            "final_role": ~F.col("t.role").eqNullSafe(F.lit("assistant")) & F.col("n").isNotNull(),
+            "quote_missing": F.col("quote").isNull(),
+            "final_without_quote": ~quoted,
+        },
     )
 
 

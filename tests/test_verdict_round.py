@@ -88,3 +88,16 @@ def test_invalid_run_has_no_metrics_intervals_or_verdict(spark):
     for listed in (validity, validity.filter("arm = 'A'")):
         verdict = matrix.pilot_verdicts(ungated, summaries, listed).first()
         assert (verdict["verdict"], verdict["reasons"]) == (None, ["invalid_run"])
+
+
+def test_tagged_cases_without_turns_or_quote_are_judged(spark):
+    turns = spark.createDataFrame(
+        [(1, 0, "user", "a"), (1, 1, "user", "b"), (2, 0, "assistant", "q"), (4, 0, "user", "a"), (4, 1, "assistant", "q")],
+        "id long, turn long, role string, text string",
+    )
+    quotes = spark.createDataFrame([(2, "q"), (3, "q"), (4, "q")], "id long, quote string")
+    tagged = spark.createDataFrame([(1, True), (2, True), (3, True), (4, True), (5, False)], "id long, multi_turn boolean")
+    got = {(r["key"], r["detail"]) for r in quality.final_turn_rules(turns, quotes, "id", tagged).collect()}
+    assert got == {("1", "final_role"), ("1", "quote_missing"), ("2", "turns_missing"), ("3", "turns_missing")}
+    untagged = {(r["key"], r["detail"]) for r in quality.final_turn_rules(turns, quotes, "id").collect()}
+    assert untagged == {("1", "final_role"), ("1", "quote_missing")}
