@@ -170,13 +170,44 @@ def v06(t):
         }
     )
     named = Q.label_references(gold).withColumn("key", F.concat(F.lit("case|"), "key"))
-    predicted = t.predictions.filter("predicted_intent IS NOT NULL").select(
-        F.concat_ws("|", "arm", "case_id").alias("key"),
-        F.lit("predicted").alias("kind"),
-        F.when(hit("V06c", "case_id"), "intent_7").otherwise(c("predicted_intent")).alias("label"),
+    changed = F.when(hit("V06c", "case_id") & c("predicted_intent").isNotNull(), "intent_7").otherwise(c("predicted_intent"))
+    predicted = Q.prediction_references(t.predictions.withColumn("predicted_intent", changed))
+    return Q.unknown_labels(named.unionByName(predicted), known_intents(t))
+
+
+def known_intents(t):
+    return t.gold.filter("target_intent IS NOT NULL").select(F.col("target_intent").alias("name")).distinct()
+
+
+@query(
+    "v06_unknown_activities",
+    f"""WITH r AS (
+      SELECT 'case|' || case_id AS key, 'perturbation' AS kind,
+        CASE WHEN {mut('V06d', 'case_id', 10)} AND perturbation IS NOT NULL THEN 'intent_9' ELSE perturbation END AS label FROM gold
+      UNION ALL SELECT 'case|' || case_id, 'recent_activity', CASE WHEN {mut('V06e', 'case_id', 10)} AND recent_activity IS NOT NULL
+        THEN 'intent_8' ELSE recent_activity END FROM gold
+      UNION ALL SELECT arm || '|' || case_id, 'candidate', CASE WHEN {mut('V06f', 'case_id', 3)} THEN 'intent_7' ELSE 'intent_1' END
+        FROM predictions WHERE candidates = 'intent_0|intent_1')
+    SELECT 'V06' AS rule, key, kind || ':' || label AS detail FROM r WHERE label IN ('intent_7', 'intent_8', 'intent_9')""",
+    "gold predictions",
+)
+def v06_activities(t):
+    """Mutated perturbations, recent activities and second candidates."""
+    c = F.col
+
+    def unknown(rule, column, label):
+        return F.when(hit(rule, "case_id", 10) & c(column).isNotNull(), label).otherwise(c(column))
+
+    gold = t.gold.withColumns(
+        {
+            "perturbation": unknown("V06d", "perturbation", "intent_9"),
+            "recent_activity": unknown("V06e", "recent_activity", "intent_8"),
+        }
     )
-    known = t.gold.filter("target_intent IS NOT NULL").select(F.col("target_intent").alias("name")).distinct()
-    return Q.unknown_labels(named.unionByName(predicted), known)
+    named = Q.label_references(gold).withColumn("key", F.concat(F.lit("case|"), "key"))
+    second = F.transform("candidate_intents", lambda s: F.when((s == "intent_1") & hit("V06f", "case_id", 3), "intent_7").otherwise(s))
+    predicted = Q.prediction_references(t.predictions.withColumn("candidate_intents", second))
+    return Q.unknown_labels(named.unionByName(predicted), known_intents(t))
 
 
 QUOTE_SQL = f"""quotes AS (SELECT conv_id, CASE WHEN {mut('V07', 'conv_id', 10)} THEN '#' ELSE '' END

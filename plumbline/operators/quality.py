@@ -95,13 +95,25 @@ def unknown_labels(references: DataFrame, taxonomy: DataFrame) -> DataFrame:
 
 
 def label_references(gold: DataFrame) -> DataFrame:
-    """Targets, siblings and competitors of each case in one pass."""
-    named = F.transform(F.col("siblings"), lambda s: F.struct(F.lit("sibling").alias("kind"), s.alias("label")))
-    rivals = F.transform(
-        F.col("hard_negative_against"), lambda s: F.struct(F.lit("competitor").alias("kind"), s.alias("label"))
-    )
-    target = F.array(F.struct(F.lit("target").alias("kind"), F.col("target_intent").alias("label")))
-    return gold.select(F.col("case_id").cast("string").alias("key"), F.inline(F.concat(target, named, rivals)))
+    """Targets, siblings, competitors, and the activities of the perturbation and of the context, of each case in one pass."""
+
+    def each(column, kind):
+        return F.transform(F.col(column), lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("label")))
+
+    def one(column, kind):
+        return F.array(F.struct(F.lit(kind).alias("kind"), F.col(column).alias("label")))
+
+    single = {"target_intent": "target", "perturbation": "perturbation", "recent_activity": "recent_activity"}
+    lists = [each("siblings", "sibling"), each("hard_negative_against", "competitor")]
+    facts = F.concat(*[one(c, kind) for c, kind in single.items()], *[F.coalesce(x, F.array()) for x in lists])
+    return gold.select(F.col("case_id").cast("string").alias("key"), F.inline(facts))
+
+
+def prediction_references(predictions: DataFrame) -> DataFrame:
+    """The predicted intent and every candidate of each prediction."""
+    said = F.array(F.struct(F.lit("predicted").alias("kind"), F.col("predicted_intent").alias("label")))
+    listed = F.transform("candidate_intents", lambda s: F.struct(F.lit("candidate").alias("kind"), s.alias("label")))
+    return predictions.select(F.concat_ws("|", "arm", "case_id").alias("key"), F.inline(F.concat(said, F.coalesce(listed, F.array()))))
 
 
 def evidence_in_turns(quotes: DataFrame, turns: DataFrame, id_column: str) -> DataFrame:
