@@ -11,4 +11,5 @@ from plumbline.llm import (  # noqa: F401
     op8_mixing,
     op9_line_dedup,
     op10_language_id,
+    op11_hard_negatives,
 )
