@@ -12,4 +12,6 @@ from plumbline.llm import (  # noqa: F401
     op9_line_dedup,
     op10_language_id,
     op11_hard_negatives,
+    op12_prefix_trie,
+    op13_embedding_dedup,
 )
