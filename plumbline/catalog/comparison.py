@@ -9,6 +9,7 @@ from plumbline.functions import labels as L
 from plumbline.operators import compare as C
 from plumbline.operators import components as G
 from plumbline.operators import evaluate as E
+from plumbline.operators import exact_split as X
 from plumbline.operators import split as S
 from plumbline.schemas import DECISIONS
 from plumbline.sources.views import ARMS, INTENTS
@@ -292,6 +293,26 @@ def w10(t):
     return S.choose_split(t.gold, "cluster_id")
 
 
+REACHED_SQL = f"""{GROUP_SQL},
+ sz AS (SELECT stratum, cases, count(*) AS n, row_number() OVER (PARTITION BY stratum ORDER BY cases) AS place FROM gr GROUP BY 1, 2),
+ qu AS (SELECT stratum, CAST(floor((sum(cases) * 3 + 5) / 10) AS BIGINT) AS quota FROM gr GROUP BY 1),
+ reached AS (SELECT stratum, 0 AS place, CAST(0 AS BIGINT) AS total FROM qu
+   UNION SELECT r.stratum, s.place, r.total + k.range * s.cases FROM reached r JOIN qu USING (stratum)
+     JOIN sz s ON s.stratum = r.stratum AND s.place = r.place + 1, range(0, s.n + 1) k WHERE r.total + k.range * s.cases <= qu.quota)"""
+
+
+@query(
+    "w10_exact_split",
+    f"""WITH RECURSIVE {REACHED_SQL} SELECT stratum, any_value(quota) AS quota, max(total) AS dev_cases, any_value(quota) - max(total) AS unfilled
+    FROM reached JOIN qu USING (stratum) GROUP BY 1""",
+    "gold tags",
+)
+def w10_quotas(t):
+    dev = F.sum(F.when(F.col("split") == "dev", F.col("cases")).otherwise(0)).cast("bigint")
+    rows = X.exact_split(t.gold, "cluster_id").groupBy("stratum", "quota", "unfilled").agg(dev.alias("dev_cases"))
+    return rows.select("stratum", "quota", "dev_cases", "unfilled")
+
+
 STATISTICS_SQL = """facts AS (SELECT split, cluster_id, 'all' AS dimension, 'cases' AS value FROM sg
    UNION ALL SELECT split, cluster_id, 'decision', decision FROM sg
    UNION ALL SELECT split, cluster_id, 'intent', target_intent FROM sg WHERE target_intent IS NOT NULL

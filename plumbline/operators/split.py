@@ -38,15 +38,16 @@ def half_up_share(count: Column, share: int, whole: int) -> Column:
     return F.floor((count * share + F.lit(whole // 2)) / whole).cast("bigint")
 
 
-def candidate_splits(groups: DataFrame, seeds: int, share: int, whole: int) -> DataFrame:
-    """Per seed and stratum, whole groups in hash order while they fit the quota.
+def candidate_splits(groups: DataFrame, seeds: int | list[int], share: int, whole: int) -> DataFrame:
+    """Per seed (so many from 0 on, or those given) and stratum, whole groups in hash order while they fit the quota.
 
     A group larger than the quota can never fit; it stays out of the running sum, so the others still fill it.
     """
     quota = groups.groupBy("stratum").agg(half_up_share(F.sum("cases"), share, whole).alias("quota"))
     fits = F.col("cases") <= F.col("quota")
     sized = groups.join(F.broadcast(quota), "stratum").withColumn("_cases", F.when(fits, F.col("cases")).otherwise(0))
-    seeded = sized.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    tried = range(seeds) if isinstance(seeds, int) else seeds
+    seeded = sized.withColumn("seed", F.explode(F.array(*map(F.lit, tried))))
     keyed = seeded.withColumn(
         "key", F.sha2(F.concat_ws("|", F.col("seed").cast("string"), F.col("group_id").cast("string")), 256)
     )
@@ -83,9 +84,9 @@ ALL_FEATURES = [*FEATURES, "open_intent_candidate", "horizon_later", "horizon_un
 
 def choose_split(cases: DataFrame, group: str, seeds: int = 8, share: int = 3, whole: int = 10) -> DataFrame:
     """(group_id, split, stratum, cases) of the best seed."""
-    candidates = candidate_splits(cut(group_table(cases, group)), seeds, share, whole)
-    best = best_seed(score_seeds(candidates, ALL_FEATURES, share, whole)).select("seed")
-    chosen = candidates.join(best, "seed", "left_semi")
+    groups = cut(group_table(cases, group))
+    best = best_seed(score_seeds(candidate_splits(groups, seeds, share, whole), ALL_FEATURES, share, whole)).first()
+    chosen = candidate_splits(groups, [best["seed"] if best else 0], share, whole)
     return chosen.select("group_id", F.when(F.col("dev") == 1, "dev").otherwise("test").alias("split"), "stratum", "cases")
 
 

@@ -11,11 +11,11 @@ from plumbline.operators.evaluate import union
 from plumbline.sources.publish import fingerprint
 
 
-def freeze(gold: DataFrame, intents: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(cases with cluster and split, tall summary of the freeze)."""
+def freeze(gold: DataFrame, intents: list[str], split=S.choose_split) -> tuple[DataFrame, DataFrame]:
+    """(cases with cluster and split, tall summary of the freeze); ``split`` gives group_id and split of the cases' groups."""
     found = G.components(gold)
     cases = gold.drop("cluster_id").join(found.withColumnRenamed("component", "cluster_id"), "case_id")
-    chosen = S.choose_split(cases, "cluster_id").select(F.col("group_id").alias("cluster_id"), "split")
+    chosen = split(cases, "cluster_id").select(F.col("group_id").alias("cluster_id"), "split")
     frozen = cut(cases.join(chosen, "cluster_id"))
     leaks = Q.split_leakage(frozen, found)
     sample = S.audit_sample(frozen.filter("split = 'test'"), intents, "audit-v1")
