@@ -70,30 +70,39 @@ def duck_mix(x):
 
 
 def boot_sql(iterations, seed, final):
-    """Long form: one row per (domain, cluster, arm, label); independent of the wide form the Spark job uses."""
+    """Clusters as lists of counts; a draw is counted by the list that it falls on, and only then multiplied."""
     arms = ", ".join(f"('{a}')" for a in ARMS)
     intents = ", ".join(f"('{i}')" for i in INTENTS)
     pairs = ", ".join(f"('{a}', '{b}')" for a, b in PAIRS)
     return f"""WITH {DOMAIN_SQL},
- cl AS (SELECT domain, cluster_id, row_number() OVER (PARTITION BY domain ORDER BY sha256(CAST(cluster_id AS VARCHAR)), cluster_id) AS slot,
-     count(*) OVER (PARTITION BY domain) AS clusters FROM (SELECT DISTINCT domain, cluster_id FROM dom) z),
- dr AS (SELECT c.domain, i.range AS iteration,
-     ((({duck_mix(f"xor(xor({duck_mix('(c.slot & 4294967295)')}, {duck_mix('i.range')}), {duck_mix(f'({(seed & H.LOW_32) ^ C.SEED_SIDE}::BIGINT)')})")}) * clusters) >> 32) + 1 AS slot
-   FROM cl c, range({iterations}) i),
- w AS (SELECT d.domain, d.iteration, c.cluster_id, count(*) AS m FROM dr d JOIN cl c ON c.domain = d.domain AND c.slot = d.slot GROUP BY 1, 2, 3
-   UNION ALL SELECT domain, -1, cluster_id, 1 FROM cl),
  r AS (SELECT dom.domain, x.cluster_id, x.arm,
      count(*) FILTER (dom.domain = 'full_hem' OR dom.domain = 'near_oos_recall' AND decision = 'oos' OR dom.domain = 'no_intent_recall') AS n,
      count(*) FILTER (dom.domain = 'full_hem' AND hit = 1 OR dom.domain = 'near_oos_recall' AND decision = 'oos' AND pred_decision = 'oos'
         OR dom.domain = 'no_intent_recall' AND pred_decision = 'no_intent') AS h
    FROM gp x JOIN dom ON dom.case_id = x.case_id WHERE dom.domain <> 'gold_in_scope_intent_macro_f1' GROUP BY 1, 2, 3),
- rate AS (SELECT w.domain, iteration, arm, CASE WHEN sum(n * m) > 0 THEN sum(h * m) / sum(n * m) ELSE 0 END AS v
-   FROM w JOIN r ON w.domain = r.domain AND w.cluster_id = r.cluster_id GROUP BY 1, 2, 3),
  il AS (SELECT x.cluster_id, x.arm, l.label, count(*) FILTER (target_intent = label AND pred_intent = label) AS tp,
      count(*) FILTER (pred_intent = label) AS np, count(*) FILTER (target_intent = label) AS ng
    FROM gp x CROSS JOIN (VALUES {intents}) l(label) WHERE decision = 'in_scope' GROUP BY 1, 2, 3),
- iw AS (SELECT iteration, arm, label, sum(tp * m) AS tp, sum(np * m) AS np, sum(ng * m) AS ng
-   FROM w JOIN il ON w.cluster_id = il.cluster_id WHERE w.domain = 'gold_in_scope_intent_macro_f1' GROUP BY 1, 2, 3),
+ il2 AS (SELECT cluster_id, label, arm, 'p' AS kind, np AS x FROM il UNION ALL SELECT cluster_id, label, arm, 't', tp FROM il
+   UNION ALL SELECT cluster_id, label, arm, 'g', ng FROM il WHERE arm = 'A'),
+ cl AS (SELECT domain, cluster_id, list_concat([min(n)], list(h ORDER BY arm)) AS v FROM r GROUP BY 1, 2
+   UNION ALL SELECT 'gold_in_scope_intent_macro_f1', cluster_id, list(x ORDER BY kind <> 'g', label, kind, arm) FROM il2 GROUP BY 2),
+ vk AS (SELECT domain, v, count(*) AS copies, sum(count(*)) OVER (PARTITION BY domain ORDER BY v) AS upto, sum(count(*)) OVER (PARTITION BY domain) AS clusters,
+     row_number() OVER (PARTITION BY domain ORDER BY v) AS k FROM cl GROUP BY 1, 2),
+ sl AS (SELECT domain, k, clusters, CAST(upto - copies + i.range AS BIGINT) AS slot FROM vk, range(0, copies) i),
+ dr AS (SELECT s.domain, i.range AS iteration,
+     (({duck_mix(f"xor(xor({duck_mix('((s.slot + 1) & 4294967295)')}, {duck_mix('i.range')}), {duck_mix(f'({(seed & H.LOW_32) ^ C.SEED_SIDE}::BIGINT)')})")}) * CAST(clusters AS BIGINT)) >> 32 AS slot
+   FROM sl s, range({iterations}) i),
+ w AS (SELECT d.domain, d.iteration, s.k, count(*) AS m FROM dr d JOIN sl s ON s.domain = d.domain AND s.slot = d.slot GROUP BY 1, 2, 3
+   UNION ALL SELECT domain, -1, k, copies FROM vk),
+ wv AS (SELECT w.domain, iteration, m, v FROM w JOIN vk ON vk.domain = w.domain AND vk.k = w.k),
+ am AS (SELECT arm, row_number() OVER (ORDER BY arm) AS i FROM (VALUES {arms}) z(arm)),
+ lb AS (SELECT label, row_number() OVER (ORDER BY label) AS i FROM (VALUES {intents}) z(label)),
+ rate AS (SELECT domain, iteration, arm, CASE WHEN sum(v[1] * m) > 0 THEN sum(v[1 + i] * m) / sum(v[1] * m) ELSE 0 END AS v
+   FROM wv CROSS JOIN am WHERE domain <> 'gold_in_scope_intent_macro_f1' GROUP BY 1, 2, 3),
+ iw AS (SELECT iteration, arm, label, sum(m * v[{len(INTENTS)} + (lb.i - 1) * {2 * len(ARMS)} + {len(ARMS)} + am.i]) AS tp,
+     sum(m * v[{len(INTENTS)} + (lb.i - 1) * {2 * len(ARMS)} + am.i]) AS np, sum(m * v[lb.i]) AS ng
+   FROM wv CROSS JOIN am CROSS JOIN lb WHERE domain = 'gold_in_scope_intent_macro_f1' GROUP BY 1, 2, 3),
  f AS (SELECT iteration, arm, avg(CASE WHEN tp = 0 THEN 0 ELSE 2 * (tp / np) * (tp / ng) / (tp / np + tp / ng) END) AS v
    FROM iw GROUP BY 1, 2),
  m AS (SELECT domain, iteration, arm, v FROM rate UNION ALL SELECT 'gold_in_scope_intent_macro_f1', iteration, arm, v FROM f),

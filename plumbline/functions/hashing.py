@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.ranges import range_rank
+
 
 def stable_key(namespace: str, value) -> Column:
     return F.sha2(F.concat(F.lit(namespace + "|"), F.col(value).cast("string") if isinstance(value, str) else value.cast("string")), 256)
@@ -75,11 +77,7 @@ def hash_rank(df: DataFrame, by: list[str], key: str, tie: str, name: str) -> Da
     return out.drop("_one", "_all")
 
 
-def number_rank(df: DataFrame, by: list[str], key: str, name: str, parts: int = 4096) -> DataFrame:
-    """1-based rank by a unique whole number, in ``parts`` equal ranges between the least and the largest."""
-    ends = df.agg(F.struct(F.min(key).alias("low"), F.max(key).alias("high")).alias("ends")).scalar()
-    low, high = F.col("_ends.low"), F.col("_ends.high")
-    part = F.floor((F.col(key) - low) * F.lit(float(parts)) / (high - low + 1))
-    base = df.withColumns({"_ends": ends, "_one": F.lit(1).cast("bigint"), "_all": F.lit(0)})
-    out = running_total(base, by or ["_all"], key, key, "_one", name, bucket_of=part)
-    return out.drop("_one", "_ends", "_all")
+def number_rank(df: DataFrame, by: list[str], key: str, name: str) -> DataFrame:
+    """1-based rank by a unique key, in ranges that are even however the keys lie; only the keys are written and sorted."""
+    ranked = range_rank(df.select(*by, key), by, [key], name)
+    return df.join(ranked, [*by, key]) if set(df.columns) != {*by, key} else ranked

@@ -15,14 +15,15 @@ from plumbline.functions import hashing as H
 from plumbline.functions import labels as L
 from plumbline.functions.lineage import cut
 from plumbline.functions.quantiles import exact_quantiles
+from plumbline.functions.ranges import range_totals
 from plumbline.operators.evaluate import invalid_runs
 from plumbline.schemas import CONFIDENCE, MIN_CLUSTERS
 
 DOMAINS = ["full_hem", "gold_in_scope_intent_macro_f1", "near_oos_recall", "no_intent_recall"]
-BROADCAST_BYTES = 64 * 1024 * 1024
-DRAWS_PER_TASK = 2_000_000
-#: Draws that one task makes in memory, and how many of them at a time.
-LOCAL_DRAWS, DRAWS_AT_ONCE = 20_000_000, 500_000
+#: Draws that a task makes, positions and classes it does so for, and draws (or counts of classes) that it holds at a time.
+DRAWS_PER_TASK, POSITIONS_AT_ONCE, CLASSES_AT_ONCE, DRAWS_AT_ONCE = 20_000_000, 1 << 20, 65_536, 500_000
+#: Cells in which draws are looked up, and partitions of one job at most.
+CELLS, MOST_TASKS = 1 << 20, 10_000
 #: Keeps seeds apart from iterations, which go through the same mixer.
 SEED_SIDE = 0x9E3779B9
 
@@ -136,37 +137,20 @@ def _summed(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in columns])
 
 
-def slots(statistics: DataFrame) -> DataFrame:
-    """Number the clusters of each domain by the hash of their id."""
-    keyed = statistics.withColumn("key", F.sha2(F.col("cluster_id").cast("string"), 256))
-    return H.hash_rank(keyed, ["domain"], "key", "cluster_id", "slot").drop("key")
+def cluster_rows(labelled: DataFrame, arms: list[str], intents: list[str]) -> DataFrame:
+    """The cluster rows, written once: they are small, and every later step reads them."""
+    return cut(cluster_statistics(labelled, arms, intents))
 
 
-def draw(numbered: DataFrame, iterations: int, seed: int, parts: int) -> DataFrame:
-    """(domain, iteration, slot): as many draws with replacement as the domain has clusters, the same for every arm.
+def vector_classes(clusters: DataFrame, columns: list[str]) -> DataFrame:
+    """(domain, start, copies, place, *columns): clusters of a domain with equal counts as one class.
 
-    A draw is 32 mixed bits of its position, iteration and seed, each mixed by itself first, so neighbouring seeds share
-    no draws; it is scaled to the number of clusters, and one serves all domains. Holds for up to 2^31 clusters.
-    The positions are dealt out before they are multiplied by the iterations.
+    Slots of a domain are numbered class by class, in the order of the counts, so a class is the run of ``copies`` slots after ``start``;
+    which of its clusters has which slot does not matter. ``place`` numbers the classes from 1.
     """
-    sizes = numbered.groupBy("domain").agg(F.count("*").alias("clusters"))
-    packed = sizes.agg(F.collect_list(F.struct("domain", "clusters")).alias("sizes"))
-    position = numbered.groupBy("slot").agg(F.lit(1).alias("one")).select(F.col("slot").alias("position"))
-    fits = F.filter("sizes", lambda s: s["clusters"] >= F.col("position"))
-    dealt = position.withColumn("sizes", packed.scalar()).select("position", fits.alias("open")).repartition(parts, "position")
-    placed = H.mixed(dealt, "hp", F.col("position").bitwiseAND(F.lit(H.LOW_32)))
-    spread = placed.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    turned = H.mixed(spread, "hi", F.col("iteration").cast("bigint"))
-    seeded = H.mixed(turned, "hs", F.lit((seed & H.LOW_32) ^ SEED_SIDE).cast("bigint"))
-    drawn = H.mixed(seeded, "h", F.col("hp").bitwiseXOR(F.col("hi")).bitwiseXOR(F.col("hs")))
-    return drawn.select("iteration", "h", F.inline("open")).select(
-        "domain", "iteration", (F.shiftright(F.col("h") * F.col("clusters"), 32) + 1).alias("slot")
-    )
-
-
-def numbered_clusters(labelled: DataFrame, arms: list[str], intents: list[str]) -> DataFrame:
-    """The cluster rows with their slots, written once: they are small, and every later step reads them."""
-    return cut(slots(cut(cluster_statistics(labelled, arms, intents))))
+    same = clusters.groupBy("domain", *columns).agg(F.count("*").alias("copies"))
+    numbered = range_totals(same, ["domain"], columns, {"end": F.col("copies"), "place": F.lit(1).cast("bigint")})
+    return numbered.select("domain", (F.col("end") - F.col("copies")).alias("start"), "copies", "place", *columns)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -179,92 +163,118 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def vector_classes(values: DataFrame, columns: list[str]) -> DataFrame:
-    """Clusters of a domain with equal counts as one row, with their slots: a resample needs only how often it drew the row."""
-    return values.groupBy("domain", *columns).agg(F.collect_list(F.col("slot").cast("int")).alias("members"))
+class SlotClasses:
+    """Which class of a block a draw falls in; classes of other blocks are number ``len(starts)``.
 
+    The range of draws is cut into at most ``CELLS`` cells. A cell that lies in one class is looked up; draws of the others, of which there
+    are no more than classes, are searched for.
+    """
 
-def local_sums(classes: DataFrame, columns: list[str], iterations: int, seed: int, blocks: int) -> DataFrame:
-    """(domain, iteration, sums): the draws of ``draw``, made in memory by blocks of iterations, so that no draw is a row.
+    def __init__(self, starts: np.ndarray, end: int, clusters: int):
+        self.starts, self.end, self.clusters = starts, end, clusters
+        self.cells = min(clusters, CELLS)
+        edges = -((-np.arange(self.cells + 1, dtype=np.int64) << 32) // self.cells)  # the first draw of each cell
+        self.first = self._searched((edges[:-1] * clusters) >> 32)
+        self.whole = self.first == self._searched(((edges[1:] - 1) * clusters) >> 32)
+        self.all_whole = bool(self.whole.all())
+
+    def _searched(self, slots: np.ndarray) -> np.ndarray:
+        outside = (slots < self.starts[0]) | (slots >= self.end)
+        return np.where(outside, len(self.starts), np.searchsorted(self.starts, slots, side="right") - 1)
+
+    def __call__(self, draws: np.ndarray) -> np.ndarray:
+        cell = ((draws * np.uint64(self.cells)) >> np.uint64(32)).astype(np.int64)
+        found = self.first[cell]
+        if not self.all_whole:
+            open_draws = np.flatnonzero(~self.whole[cell])
+            slots = ((draws[open_draws] * np.uint64(self.clusters)) >> np.uint64(32)).astype(np.int64)
+            found[open_draws] = self._searched(slots)
+        return found
 
-    Every block gets all classes by broadcast; the sums of an iteration are its draws per class times the classes.
+
+def drawn_sums(classes: DataFrame, clusters: dict[str, int], columns: list[str], iterations: int, seed: int) -> DataFrame:
+    """(domain, iteration, *columns): the sums over the clusters that each iteration draws with replacement.
+
+    A draw is 32 mixed bits of its position, iteration and seed, each mixed by itself first, so neighbouring seeds share no draws; it is
+    scaled to the number of clusters of the domain. Holds for up to 2^31 clusters. No draw is ever a row: a task has one block of
+    classes, a range of positions and a range of iterations, counts its draws for each class and adds up the classes' counts, so one
+    row for each iteration leaves it. The work is dealt alike whatever the size; only the numbers of blocks and ranges grow.
     """
-    listed = F.collect_list(F.struct(*columns, "members"))
-    parts = [F.col(f"all.{c}").alias(c) for c in columns]
-    packed = classes.groupBy("domain").agg(listed.alias("all")).select(
-        "domain", *parts, F.flatten("all.members").alias("slots"), F.transform("all.members", F.size).alias("sizes")
-    )
-    spans = classes.sparkSession.range(0, blocks, 1, blocks).withColumnRenamed("id", "block")
+    block = F.floor((F.col("place") - 1) / CLASSES_AT_ONCE).alias("block")
+    packed = classes.groupBy("domain", block).agg(F.array_sort(F.collect_list(F.struct("start", "copies", *columns))).alias("all"))
+    parts = [F.col(f"all.{c}").alias(c) for c in ["start", "copies", *columns]]
+    # one row for each domain, so the ranges of a domain are two numbers in it
+    spans = []
+    for domain, count in clusters.items():
+        ranges = -(-count // POSITIONS_AT_ONCE)
+        turns = min(iterations, max(1, -(-min(count, POSITIONS_AT_ONCE) * iterations // DRAWS_PER_TASK)))
+        spans.append(F.struct(F.lit(domain).alias("domain"), *[F.lit(n).cast("bigint").alias(k) for k, n in (("clusters", count), ("ranges", ranges), ("turns", turns))]))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    dealt = classes.sparkSession.range(1).select(F.inline(F.array(*spans))).withColumn("range", every("ranges")).withColumn("turn", every("turns"))
+    tasks = sum(-(-count // POSITIONS_AT_ONCE) * -(-min(count, POSITIONS_AT_ONCE) * iterations // DRAWS_PER_TASK) for count in clusters.values())
+    work = packed.select("domain", *parts).join(dealt, "domain").repartition(min(tasks, MOST_TASKS))
     wanted = ", ".join(f"{c} bigint" for c in columns)
 
     def sums(batches):
         side = _mixed(np.array([(seed & H.LOW_32) ^ SEED_SIDE], dtype=np.uint32))
-        turns = _mixed(np.arange(iterations, dtype=np.uint32)) ^ side
+        turned = _mixed(np.arange(iterations, dtype=np.uint32)) ^ side
         for batch in batches:
             for i in range(batch.num_rows):
                 got = {n: batch.column(n)[i] for n in batch.schema.names}
                 table = np.stack([got[c].values.to_numpy() for c in columns], axis=1).astype(np.float64)
-                sizes = got["sizes"].values.to_numpy()
-                class_of = np.empty(sizes.sum(), dtype=np.int64)
-                class_of[got["slots"].values.to_numpy() - 1] = np.repeat(np.arange(len(sizes)), sizes)
-                clusters, block = len(class_of), got["block"].as_py()
-                positions = _mixed(np.arange(1, clusters + 1, dtype=np.uint32))
-                first, end = block * iterations // blocks, (block + 1) * iterations // blocks
-                step = max(1, DRAWS_AT_ONCE // max(clusters, len(sizes)))
-                for start in range(first, end, step):
-                    here = range(start, min(start + step, end))
-                    drawn = np.empty((len(here), len(sizes)))
-                    for k, iteration in enumerate(here):
-                        h = _mixed(positions ^ turns[iteration]).astype(np.uint64)
-                        slot = ((h * np.uint64(clusters)) >> np.uint64(32)).astype(np.int64)
-                        drawn[k] = np.bincount(class_of[slot], minlength=len(sizes))
+                starts, count = got["start"].values.to_numpy(), got["clusters"].as_py()
+                class_of = SlotClasses(starts, int(starts[-1]) + got["copies"].values[-1].as_py(), count)
+                share = lambda n, k, of: range(n * k // of, n * (k + 1) // of)
+                here = share(count, got["range"].as_py(), got["ranges"].as_py())
+                positions = _mixed(np.arange(here.start + 1, here.stop + 1, dtype=np.uint32))
+                wanted_turns = share(iterations, got["turn"].as_py(), got["turns"].as_py())
+                step = max(1, DRAWS_AT_ONCE // max(len(here), len(starts)))
+                for start in range(wanted_turns.start, wanted_turns.stop, step):
+                    some = range(start, min(start + step, wanted_turns.stop))
+                    drawn = np.empty((len(some), len(starts)))
+                    for k, iteration in enumerate(some):
+                        draws = _mixed(positions ^ turned[iteration]).astype(np.uint64)
+                        drawn[k] = np.bincount(class_of(draws), minlength=len(starts) + 1)[:-1]
                     found = np.rint(drawn @ table).astype(np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([got["domain"].as_py()] * len(here)), pa.array(np.array(here, dtype=np.int32))]
+                        [pa.array([got["domain"].as_py()] * len(some)), pa.array(np.array(some, dtype=np.int32))]
                         + [pa.array(np.ascontiguousarray(found[:, j])) for j in range(len(columns))],
                         names=["domain", "iteration", *columns],
                     )
 
-    return spans.crossJoin(F.broadcast(packed)).mapInArrow(sums, f"domain string, iteration int, {wanted}")
+    made = work.mapInArrow(sums, f"domain string, iteration int, {wanted}")
+    return _summed(made, ["domain", "iteration"], columns)
 
 
 def resampled_differences(
-    numbered: DataFrame, arms: list[str], pairs: list[tuple[str, str]], intents: list[str], iterations: int, seed: int
+    clusters: DataFrame, arms: list[str], pairs: list[tuple[str, str]], intents: list[str], iterations: int, seed: int
 ) -> DataFrame:
     """Per (domain, iteration, pair) the metric difference over the drawn clusters.
 
-    The label tallies are only carried for the domain that needs them. Where slots and distinct rows fit in memory, draws
-    are made there; beyond that they are rows, joined by a shuffle.
+    The label tallies are only carried for the domain that needs them.
     """
-    macro = F.col("domain") == "gold_in_scope_intent_macro_f1"
+    macro = "gold_in_scope_intent_macro_f1"
     rates = ["n", *[f"hits_{arm}" for arm in arms]]
-    clusters = {r["domain"]: r["count"] for r in numbered.groupBy("domain").count().collect()}  # a row per domain
-    cores = numbered.sparkSession.sparkContext.defaultParallelism
+    tallies = tally_columns(arms, intents)
+    counts = {r["domain"]: r["count"] for r in clusters.groupBy("domain").count().collect()}  # a row per domain
     found = []
-    for part, columns in [(macro, tally_columns(arms, intents)), (~macro, rates)]:
-        values = numbered.filter(part).select("domain", "slot", *columns)
-        wanted = [d for d in clusters if (d == "gold_in_scope_intent_macro_f1") == (part is macro)]
-        rows = sum(clusters[d] for d in wanted)
-        classes = cut(vector_classes(values, columns)) if rows * 4 <= BROADCAST_BYTES else None
-        if classes is not None and rows * 4 + classes.count() * 8 * (len(columns) + 1) <= BROADCAST_BYTES:
-            blocks = min(iterations, max(cores, rows * iterations // LOCAL_DRAWS))
-            sums = local_sums(classes, columns, iterations, seed, blocks)
-        else:
-            tasks = max(cores, rows * iterations // DRAWS_PER_TASK)
-            joined = draw(values, iterations, seed, tasks).join(values, ["domain", "slot"])
-            sums = _summed(joined, ["domain", "iteration"], columns)
-        rest = [c for c in [*rates, *tally_columns(arms, intents)] if c not in columns]
-        sums = sums.select("*", *[F.lit(0).alias(c) for c in rest])
-        found.append(_differences(sums, ["domain", "iteration"], pairs, intents))
-    return found[0].unionByName(found[1])
+    for wanted, columns in [([d for d in counts if d == macro], tallies), ([d for d in counts if d != macro], rates)]:
+        if wanted:
+            classes = vector_classes(clusters.filter(F.col("domain").isin(wanted)).select("domain", *columns), columns)
+            sums = drawn_sums(cut(classes), {d: counts[d] for d in wanted}, columns, iterations, seed)
+            sums = sums.select("*", *[F.lit(0).alias(c) for c in [*rates, *tallies] if c not in columns])
+            found.append(_differences(sums, ["domain", "iteration"], pairs, intents))
+    return reduce(DataFrame.unionByName, found) if found else _differences(
+        clusters.select("domain", F.lit(0).alias("iteration"), *rates, *tallies).filter("false"), ["domain", "iteration"], pairs, intents
+    )
 
 
 def iteration_differences(
     labelled: DataFrame, pairs: list[tuple[str, str]], intents: list[str], iterations: int, seed: int
 ) -> DataFrame:
     arms = sorted({arm for pair in pairs for arm in pair})
-    numbered = numbered_clusters(labelled, arms, intents)
-    return resampled_differences(numbered, arms, pairs, intents, iterations, seed)
+    clusters = cluster_rows(labelled, arms, intents)
+    return resampled_differences(clusters, arms, pairs, intents, iterations, seed)
 
 
 def compare_domains(
@@ -283,10 +293,10 @@ def compare_domains(
     ``evaluate.run_validity``): a pair with a run that is not valid has neither point nor interval.
     """
     arms = sorted({arm for pair in pairs for arm in pair})
-    numbered = numbered_clusters(labelled, arms, intents)
-    columns = [c for c in numbered.columns if c not in ("domain", "cluster_id", "slot")]
+    clusters = cluster_rows(labelled, arms, intents)
+    columns = [c for c in clusters.columns if c not in ("domain", "cluster_id")]
     keys = ["domain", "left_arm", "right_arm"]
-    whole = numbered.groupBy("domain").agg(
+    whole = clusters.groupBy("domain").agg(
         F.count("*").alias("cluster_count"), *[F.sum(c).alias(c) for c in columns]
     )
     point = _differences(
@@ -294,7 +304,7 @@ def compare_domains(
     ).withColumnRenamed("d", "point")
     alpha = 1 - confidence
     spread = (
-        resampled_differences(numbered, arms, pairs, intents, iterations, seed)
+        resampled_differences(clusters, arms, pairs, intents, iterations, seed)
         .groupBy(*keys)
         .agg(F.percentile("d", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"))
     )

@@ -105,16 +105,24 @@ def test_bootstrap_does_not_depend_on_order_or_partitions(spark):
     assert a["full_hem"]["point"] == pytest.approx(a["no_intent_recall"]["point"])
 
 
-def test_draws_are_uniform_with_replacement(spark):
-    numbered = spark.range(40).select(F.lit("d").alias("domain"), (F.col("id") + 1).alias("slot"))
-    drawn = C.draw(numbered, 500, 11, 4)
-    assert drawn.count() == 40 * 500
-    counts = [r["count"] for r in drawn.groupBy("slot").count().collect()]
+def drawn_slots(clusters, iterations, seed, name="full_hem"):
+    """The draws again, in plain Python: 0-based slots of each iteration."""
+
+    def mix(x):
+        x = ((x ^ x >> 16) * 0x7FEB352D) % 2**32
+        x = ((x ^ x >> 15) * 0x846CA68B) % 2**32
+        return x ^ x >> 16
+
+    return [[mix(mix(p) ^ mix(i) ^ mix(seed ^ C.SEED_SIDE)) * clusters >> 32 for p in range(1, clusters + 1)] for i in range(iterations)]
+
+
+def test_draws_are_uniform_with_replacement():
+    drawn = drawn_slots(40, 500, 11)
+    counts = np.bincount(np.ravel(drawn), minlength=40)
     assert len(counts) == 40
     assert sum((c - 500) ** 2 / 500 for c in counts) < 80  # chi-square, 39 degrees of freedom
     # Multiplicities inside one resample spread like a multinomial: variance near 1 - 1/40.
-    per = drawn.groupBy("iteration", "slot").count().collect()
-    squares = sum(r["count"] ** 2 for r in per) / (40 * 500) - 1
+    squares = sum(c**2 for d in drawn for c in np.bincount(d)) / (40 * 500) - 1
     assert squares == pytest.approx(1 - 1 / 40, abs=0.08)
 
 
@@ -125,31 +133,54 @@ def test_identical_arms_have_a_zero_interval(spark):
     assert (got["point"], got["lower"], got["upper"]) == (0.0, 0.0, 0.0)
 
 
-def test_draws_in_memory_equal_draws_as_rows(spark, monkeypatch):
-    rows = labelled(spark, 23, per_cluster=5)
-    numbered = C.numbered_clusters(rows, ["A", "B"], ["x"])
-
-    def differences():
-        got = C.resampled_differences(numbered, ["A", "B"], [("A", "B")], ["x"], 70, 9).collect()
-        return sorted((r["domain"], r["iteration"], round(r["d"], 12)) for r in got)
-
-    local = differences()
-    monkeypatch.setattr(C, "BROADCAST_BYTES", 0)
-    assert local == differences()
-    assert len({i for d, i, _ in local if d == "full_hem"}) == 70
-    # The draws again, in plain Python.
-    cells = numbered.filter("domain = 'full_hem'").orderBy("slot").collect()
-
-    def mix(x):
-        x = ((x ^ x >> 16) * 0x7FEB352D) % 2**32
-        x = ((x ^ x >> 15) * 0x846CA68B) % 2**32
-        return x ^ x >> 16
-
-    for domain, iteration, d in local:
-        if domain == "full_hem":
-            taken = [cells[mix(mix(p) ^ mix(iteration) ^ mix(9 ^ C.SEED_SIDE)) * 23 >> 32] for p in range(1, 24)]
-            n = sum(c["n"] for c in taken)
-            assert d == pytest.approx(sum(c["hits_B"] - c["hits_A"] for c in taken) / n, abs=1e-9)
+def differences(clusters, iterations=70, seed=9):
+    got = C.resampled_differences(clusters, ["A", "B"], [("A", "B")], ["x"], iterations, seed).collect()
+    return sorted((r["domain"], r["iteration"], round(r["d"], 12)) for r in got)
+
+
+SMALLER = [{"DRAWS_PER_TASK": 50}, {"POSITIONS_AT_ONCE": 5}, {"CLASSES_AT_ONCE": 2}, {"CELLS": 3}, {"DRAWS_AT_ONCE": 1}]
+
+
+@pytest.mark.parametrize("limits", [{}, *SMALLER, {k: v for d in SMALLER for k, v in d.items()}])
+def test_draws_do_not_depend_on_how_they_are_dealt(spark, monkeypatch, limits):
+    clusters = C.cluster_rows(labelled(spark, 23, per_cluster=5), ["A", "B"], ["x"])
+    for name, value in limits.items():
+        monkeypatch.setattr(C, name, value)
+    got = [(i, d) for domain, i, d in differences(clusters) if domain == "full_hem"]
+    rows = sorted((r["n"], r["hits_A"], r["hits_B"]) for r in clusters.filter("domain = 'full_hem'").collect())
+    want = []
+    for i, slots in enumerate(drawn_slots(23, 70, 9)):
+        taken = [rows[s] for s in slots]
+        want.append((i, pytest.approx(sum(b - a for _, a, b in taken) / sum(n for n, _, _ in taken), abs=1e-9)))
+    assert got == want
+
+
+def test_no_draw_is_a_row(spark):
+    """What leaves the tasks is a row for each iteration, domain, range and block of classes, not one for each draw."""
+    clusters = C.cluster_rows(labelled(spark, 400), ["A", "B"], ["x"])
+    df = C.resampled_differences(clusters, ["A", "B"], [("A", "B")], ["x"], 200, 9)
+    df.write.format("noop").mode("overwrite").save()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    classes = C.vector_classes(clusters.select("domain", "n", "hits_A", "hits_B"), ["n", "hits_A", "hits_B"])
+    assert classes.count() < 60 < clusters.count()
+    assert {r["domain"]: r["n"] for r in classes.groupBy("domain").agg(F.sum("copies").alias("n")).collect()} == {
+        r["domain"]: r["count"] for r in clusters.groupBy("domain").count().collect()
+    }
+
+
+@pytest.mark.parametrize("clusters,cells", [(7, 3), (1000, 64), (1000, 1000), (2**31 - 1, 5000)])
+def test_classes_of_draws_are_those_of_their_slots(monkeypatch, clusters, cells):
+    monkeypatch.setattr(C, "CELLS", cells)
+    rng = np.random.default_rng(clusters)
+    starts = np.unique(rng.integers(0, clusters, 5))
+    draws = rng.integers(0, 2**32, 4000).astype(np.uint64)
+    end = int(starts[-1]) + max(1, (clusters - int(starts[-1])) // 2)
+    got = C.SlotClasses(starts, end, clusters)(draws)
+    for h, k in zip(draws.tolist(), got.tolist()):
+        slot = h * clusters >> 32
+        inside = starts[0] <= slot < end
+        assert k == (max(i for i, s in enumerate(starts) if s <= slot) if inside else len(starts))
 
 
 def test_registered_bootstrap_makes_the_whole_number_of_draws(spark):
