@@ -63,14 +63,40 @@ def test_verdict_boundaries(spark):
         assert (row["verdict"], row["reasons"]) == (verdict, reasons), change
 
 
-@pytest.mark.parametrize("values", [[5.0], [1.0, 2.0], [-3.0, -3.0, 7.0, 7.0, 7.0, 1e9], [random.Random(3).gauss(0, 1) for _ in range(997)]])
-@pytest.mark.parametrize("small", [10**6, 0])
-def test_quantiles_both_ways(spark, values, small):
-    df = spark.createDataFrame([(v,) for v in values], "v double")
-    got = exact_quantiles(df, [], "v", [0.0, 0.025, 0.5, 0.95, 1.0], list("abcde"), small=small).first()
+SHAPES = [
+    [5.0],
+    [1.0, 2.0],
+    [-3.0, -3.0, 7.0, 7.0, 7.0, 1e9],
+    [random.Random(3).gauss(0, 1) for _ in range(997)],
+    [1e-300, -1e-300, 0.0, -0.0, 5e-324, -5e-324, 1e300, 1.7e308, -1.7e308],
+    [1.0 + 2.0**-52 * k for k in range(50)] + [1e18] * 3,
+]
+
+
+@pytest.mark.parametrize("values", SHAPES)
+def test_quantiles_of_any_shape(spark, values):
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(3)
+    got = exact_quantiles(df, [], "v", [0.0, 0.025, 0.5, 0.95, 1.0], list("abcde")).first()
     assert list(got) == pytest.approx(list(np.quantile(values, [0.0, 0.025, 0.5, 0.95, 1.0])), rel=1e-12)
 
 
+def test_quantiles_of_groups_with_null_keys_and_infinities(spark):
+    inf = float("inf")
+    rows = [("a", 1.0), ("a", inf), ("a", -inf), (None, 2.0), (None, 4.0), ("b", None), ("c", inf), ("c", inf), ("d", 1.0), ("d", inf)]
+    got = exact_quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", [0.0, 0.5, 1.0], ["x", "y", "z"]).collect()
+    assert {r["g"]: tuple(r)[1:] for r in got} == {"a": (-inf, 1.0, inf), None: (2.0, 3.0, 4.0), "c": (inf, inf, inf), "d": (1.0, inf, inf)}
+    assert exact_quantiles(spark.createDataFrame([], "g string, v double"), ["g"], "v", [0.5], ["x"]).collect() == []
+
+
+def test_quantiles_bring_no_group_into_one_task(spark):
+    df = spark.range(50_000).select(F.lit("one").alias("g"), (F.col("id") * 7919 % 50_021).cast("double").alias("v"))
+    got = exact_quantiles(df, ["g"], "v", [0.1, 0.5], ["x", "y"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan and "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+    values = [i * 7919 % 50_021 for i in range(50_000)]
+    assert list(got.first())[1:] == pytest.approx(list(np.quantile(values, [0.1, 0.5])))
+
+
 def labelled(spark, clusters, per_cluster=3):
     rows, said = [], []
     for k, j in itertools.product(range(clusters), range(per_cluster)):
