@@ -238,6 +238,178 @@ def s04(t):
     return S.scan_summary(S.judge_lines(lines.select("value"), schemas.REVIEW))
 
 
+def file_scan(t, lines, schema, kind):
+    """The lines written to text files and scanned there: how many of each outcome, good rows by ``kind``."""
+    path = P.scratch_folder(t.spark)
+    lines.select("value").write.text(path)
+    judged = S.scan_files(t.spark, path, schema)
+    good = F.col("reason").isNull()
+    named = judged.select(F.coalesce("reason", F.lit("good")).alias("outcome"), F.when(good, F.col(f"row.{kind}")).alias("kind"))
+    return named.groupBy("outcome", "kind").agg(F.count("*").alias("lines"))
+
+
+def file_scan_sql(rule, key, table, kind):
+    return f"""WITH r AS (SELECT *, {reason_sql(rule, key)} AS reason FROM {table})
+    SELECT coalesce(reason, 'good') AS outcome, CASE WHEN reason IS NULL THEN {kind} END AS kind, count(*) AS lines FROM r GROUP BY 1, 2"""
+
+
+def draft_fields(t):
+    text = lambda c: F.col(c).cast("string")
+    turn = F.struct(F.lit("user").alias("role"), F.col("dialogue").alias("content"))
+    perturbation = F.struct(F.lit("walk-1").alias("id"), F.lit("before").alias("state_summary_prefix"), F.array(F.lit("walk")).alias("recent_activities_added"))
+    return [
+        F.concat(F.lit("draft-"), F.lpad(text("case_id"), 6, "0")).alias("id"),
+        F.struct("state_summary", F.array(turn).alias("conversation"), F.array_compact(F.array("recent_activity")).alias("recent_activities")).alias("context"),
+        F.struct(
+            "decision",
+            "target_intent",
+            F.col("base_state").alias("evidence_quote"),
+            F.col("siblings").alias("near_oos_sibling_intents"),
+            F.struct("desired_experience", F.col("object_slot").alias("object"), "horizon").alias("slots"),
+        ).alias("gold"),
+        "tags",
+        "hard_negative_against",
+        F.when(F.col("case_id") % 3 == 0, perturbation).alias("context_perturbation"),
+        text("scenario_id").alias("scenario_family_id"),
+        text("contrast_id").alias("contrast_group_id"),
+        text("paraphrase_id").alias("paraphrase_cluster_id"),
+        F.lit(schemas.REVIEWED).alias("source"),
+        F.lit("a1").alias("annotator_id"),
+        F.lit("adjudicated").alias("adjudication_status"),
+        F.lit("note").alias("annotation_note"),
+    ]
+
+
+@query("s04_draft_scan", file_scan_sql("S4D", "case_id", "gold", "decision"), "gold")
+def s04_drafts(t):
+    wrong = {"id": "case-1", "adjudication_status": "done"}
+    lines = broken_lines(t.gold, "S4D", "case_id", F.struct(*draft_fields(t)), "annotator_id", wrong, "context.recent_activities")
+    return file_scan(t, lines, schemas.DRAFT, "gold.decision")
+
+
+ROUTING_SOURCE = "CASE WHEN case_id % 4 = 0 THEN 'blind_human_review' ELSE 'adjudicated_human' END"
+
+
+@query("s04_adjudicated_scan", file_scan_sql("S4A", "case_id", "gold", ROUTING_SOURCE), "gold")
+def s04_adjudicated(t):
+    blind = F.col("case_id") % 4 == 0
+    unless = lambda v: F.when(~blind, v)
+    provenance = F.struct(
+        F.lit("review-initial-0001").alias("review_item_id"),
+        F.lit("r1").alias("reviewer_id"),
+        F.lit("2026-01-01T00:00:00Z").alias("reviewed_at"),
+        F.expr(ROUTING_SOURCE).alias("routing_label_source"),
+        F.lit("llm_assisted_draft").alias("supporting_fields_source"),
+        unless("adjudication-0001").alias("adjudication_packet_item_id"),
+        unless(schemas.ACCEPT).alias("adjudication_action"),
+        unless("j1").alias("adjudicator_id"),
+        unless("2026-01-02T00:00:00+08:00").alias("adjudicated_at"),
+    )
+    row = F.struct(*draft_fields(t), provenance.alias("review_provenance"))
+    wrong = {"source": "human_authored", "review_provenance.adjudication_packet_item_id": "packet-1"}
+    lines = broken_lines(t.gold, "S4A", "case_id", row, "review_provenance.reviewer_id", wrong, "review_provenance.supporting_fields_source")
+    return file_scan(t, lines, schemas.ADJUDICATED, "review_provenance.routing_label_source")
+
+
+def numbered(prefix):
+    return F.concat(F.lit(prefix), F.lpad(F.pmod("item_id", F.lit(10000)).cast("string"), 4, "0"))
+
+
+SAMPLE_KIND = "CASE WHEN human_decision = draft_decision AND (draft_decision <> 'in_scope' OR human_target = draft_target) THEN 'agreement_audit' ELSE 'hierarchical_disagreement' END"
+
+
+@query("s04_packet_scan", file_scan_sql("S4P", "item_id", "reviews", SAMPLE_KIND), "reviews")
+def s04_packet(t):
+    side = lambda who, *more: F.struct(
+        F.col(f"{who}_decision").alias("decision"),
+        F.col(f"{who}_target").alias("target_intent"),
+        F.col(f"{who}_quote").alias("evidence_quote"),
+        *more,
+        F.struct(F.col(f"{who}_experience").alias("desired_experience"), F.col(f"{who}_object").alias("object"), F.col(f"{who}_horizon").alias("horizon")).alias("slots"),
+    )
+    none = F.array().cast("array<string>")
+    agrees = F.expr(SAMPLE_KIND) == "agreement_audit"
+    row = F.struct(
+        F.lit(1).alias("schema_version"),
+        numbered("adjudication-").alias("packet_item_id"),
+        F.expr(SAMPLE_KIND).alias("sample_kind"),
+        numbered("review-initial-").alias("review_item_id"),
+        F.col("item_id").cast("string").alias("candidate_id"),
+        F.struct(F.col("human_quote").alias("state_summary"), F.array(F.struct(F.lit("user").alias("role"), F.col("draft_quote").alias("content"))).alias("conversation")).alias("context"),
+        side("human").alias("human_label"),
+        F.lit(None).cast("string").alias("human_review_note"),
+        side("draft", none.alias("near_oos_sibling_intents")).alias("draft_label"),
+        F.lit("note").alias("draft_annotation_note"),
+        F.array(F.lit("single_turn")).alias("tags"),
+        none.alias("hard_negative_against"),
+        F.lit("f").alias("scenario_family_id"),
+        F.lit("c").alias("contrast_group_id"),
+        (F.col("human_decision") == F.col("draft_decision")).alias("decision_matches"),
+        F.col("human_target").eqNullSafe(F.col("draft_target")).alias("target_matches"),
+        (F.col("human_horizon") == F.col("draft_horizon")).alias("horizon_matches"),
+        agrees.alias("hierarchical_matches"),
+        F.lit("decision_rule_boundary").alias("review_focus"),
+        F.lit("confirm_agreement").alias("recommendation"),
+        F.lit("why").alias("recommendation_reason"),
+        (~agrees).alias("requires_user_decision"),
+    )
+    wrong = {"review_focus": "other", "human_label.slots.horizon": "soon"}
+    lines = broken_lines(t.reviews, "S4P", "item_id", row, "draft_label.evidence_quote", wrong, "schema_version")
+    return file_scan(t, lines, schemas.PACKET_ITEM, "sample_kind")
+
+
+@query("s04_resolution_scan", file_scan_sql("S4R", "item_id", "resolutions", "action"), "resolutions")
+def s04_resolutions(t):
+    row = F.struct(
+        F.lit(1).alias("schema_version"),
+        numbered("adjudication-").alias("packet_item_id"),
+        F.col("item_id").cast("string").alias("candidate_id"),
+        "action",
+        "final_decision",
+        F.col("final_target").alias("final_target_intent"),
+        "final_horizon",
+        F.lit("why").alias("rationale"),
+        F.col("note").alias("taxonomy_change_note"),
+        F.lit("j1").alias("adjudicator_id"),
+        F.lit("2026-01-02T03:04:05.678+08:00").alias("adjudicated_at"),
+        digest("item_id").alias("source_workbook_sha256"),
+        F.lit("none").alias("policy_impact"),
+    )
+    wrong = {"action": "accept", "adjudicated_at": "2026-01-02"}
+    lines = broken_lines(t.resolutions, "S4R", "item_id", row, "rationale", wrong, "policy_impact")
+    return file_scan(t, lines, schemas.RESOLUTION, "action")
+
+
+@query("s04_formed_scan", file_scan_sql("S4F", "event_id", "calls", "status"), "calls")
+def s04_formed(t):
+    many = F.transform(F.sequence(F.lit(1), (F.pmod("event_id", F.lit(6)) + 1).cast("int")), lambda i: F.concat(F.lit("q"), i.cast("string")))
+    intention = F.struct(
+        F.lit("clear").alias("evidence_status"),
+        F.lit("walk").alias("action"),
+        F.lit(None).cast("string").alias("object"),
+        F.lit("calm").alias("desired_experience"),
+        many.alias("qualifiers"),
+        F.array().cast("array<string>").alias("alternative_actions"),
+        F.lit("now").alias("horizon"),
+        F.lit("said so").alias("reason_short"),
+    )
+    success = F.col("status") == "success"
+    usage = F.struct("input_tokens", "output_tokens", "total_tokens", "retry_input_tokens", "retry_output_tokens")
+    row = F.struct(
+        F.lit(1).alias("schema_version"),
+        F.col("case_id").cast("string").alias("case_id"),
+        "status",
+        F.when(success, intention).alias("formed_intention"),
+        F.when(~success, "timeout").alias("error_type"),
+        F.when(F.col("total_tokens").isNotNull(), usage).alias("usage"),
+        "latency_ms",
+        digest("event_id").alias("raw_response_sha256"),
+    )
+    wrong = {"latency_ms": -0.5, "raw_response_sha256": "ABC"}
+    lines = broken_lines(t.calls, "S4F", "event_id", row, "case_id", wrong, "schema_version")
+    return file_scan(t, lines, schemas.FORMED, "status")
+
+
 @query(
     "s05_taxonomy_order",
     f"""WITH n AS (SELECT p_partkey AS position, CASE WHEN {mut('S05', 'p_partkey')} THEN 'part-0' ELSE 'part-' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') END AS name FROM part)

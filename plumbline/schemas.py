@@ -228,3 +228,100 @@ REVIEW = T.StructType(
         _text("review_note", shortest=1),
     ]
 )
+# The names, values and forms of the fields of drafts, packet items, resolutions and formed intentions.
+DRAFT_ID = r"^draft-[a-z0-9-]{3,73}\z"
+REVIEWED = "llm_assisted_human_reviewed"
+ACTIONS = [CONFIRM, ACCEPT, KEEP, RULE_CHANGE, REWRITE]
+DRAFT = T.StructType(
+    [
+        _text("id", False, pattern=DRAFT_ID),
+        *[CASE[name] for name in ["context", "gold", "tags", "hard_negative_against", "context_perturbation"]],
+        *[CASE[name] for name in ["scenario_family_id", "contrast_group_id", "paraphrase_cluster_id"]],
+        _text("source", False, values=["human_authored", "llm_assisted_pending_human_review", REVIEWED]),
+        *[CASE[name] for name in ["annotator_id", "adjudication_status", "annotation_note"]],
+    ]
+)
+ADJUDICATED = T.StructType(
+    [
+        *DRAFT.fields[:9],
+        _text("source", False, values=[REVIEWED]),
+        CASE["annotator_id"],
+        _text("adjudication_status", False, values=["adjudicated"]),
+        CASE["annotation_note"],
+        CASE["open_intent_candidate"],
+        _field("review_provenance", PROVENANCE, False),
+    ]
+)
+PACKET_ITEM = T.StructType(
+    [
+        _field("schema_version", T.IntegerType(), values=[1], default=1),
+        _text("packet_item_id", False, pattern=PACKET_ID),
+        _text("sample_kind", False, values=["hierarchical_disagreement", "agreement_audit"]),
+        _text("review_item_id", False, pattern=REVIEW_ID),
+        _text("candidate_id", False),
+        _field("context", CONTEXT, False),
+        _field("human_label", LABEL, False),
+        _text("human_review_note"),
+        _field("draft_label", GOLD, False),
+        _text("draft_annotation_note", False),
+        _texts("tags", nullable=False),
+        _texts("hard_negative_against", nullable=False),
+        _text("scenario_family_id", False),
+        _text("contrast_group_id", False),
+        *[_field(f"{name}_matches", T.BooleanType(), False) for name in ["decision", "target", "horizon", "hierarchical"]],
+        _text(
+            "review_focus",
+            False,
+            values=["near_oos_grounding_boundary", "target_selection", "decision_rule_boundary", "agreement_audit"],
+        ),
+        _text(
+            "recommendation",
+            False,
+            values=["grounding_evidence_required", "likely_reviewer_input_error", "current_rule_lean_keep_draft", "confirm_agreement"],
+        ),
+        _text("recommendation_reason", False),
+        _field("requires_user_decision", T.BooleanType(), False),
+    ]
+)
+RESOLUTION = T.StructType(
+    [
+        _field("schema_version", T.IntegerType(), values=[1], default=1),
+        _text("packet_item_id", False, pattern=PACKET_ID),
+        _text("candidate_id", False),
+        _text("action", False, values=ACTIONS),
+        _text("final_decision", values=DECISIONS),
+        _text("final_target_intent"),
+        _text("final_horizon", values=HORIZONS),
+        _text("rationale", False, shortest=1),
+        _text("taxonomy_change_note", shortest=1),
+        _text("adjudicator_id", False, shortest=1),
+        _text("adjudicated_at", False, pattern=MOMENT),
+        _text("source_workbook_sha256", False, pattern=DIGEST),
+        _text("policy_impact", values=["none", "taxonomy_or_decision_rule_review_required"], default="none"),
+        _text("policy_impact_reason", shortest=1),
+    ]
+)
+INTENTION = T.StructType(
+    [
+        _text("evidence_status", False, values=["clear", "ambiguous", "deferred", "none"]),
+        _text("action", longest=120),
+        _text("object", longest=120),
+        _text("desired_experience", longest=160),
+        _texts("qualifiers", nullable=False, most=6),
+        _texts("alternative_actions", default=[], most=4),
+        _text("horizon", False, values=HORIZONS),
+        _text("reason_short", False, shortest=1, longest=200),
+    ]
+)
+FORMED = T.StructType(
+    [
+        _field("schema_version", T.IntegerType(), values=[1], default=1),
+        _text("case_id", False),
+        _text("status", False, values=STATUSES),
+        _field("formed_intention", INTENTION),
+        _text("error_type"),
+        _field("usage", USAGE),
+        _field("latency_ms", T.DoubleType(), False, least=0),
+        _text("raw_response_sha256", pattern=DIGEST),
+    ]
+)

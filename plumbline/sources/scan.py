@@ -7,51 +7,71 @@ from pyspark.sql import types as T
 from plumbline.functions.labels import as_flag
 from plumbline.operators.quality import violation
 
-CORRUPT = "_corrupt"
-
-
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """All lines with their file; partition columns of the path (such as run_id) come along."""
     return spark.read.text(path).withColumn("file", F.col("_metadata.file_path"))
 
 
-def _objects(fields: Column, field: T.StructField, fault) -> Column | None:
-    """``fault`` of the object in ``field``, or of any in a list of them, read from its own text only."""
-    raw = fields[field.name]
-    if isinstance(field.dataType, T.StructType):
-        return F.coalesce(fault(F.from_json(raw, "map<string,string>"), field.dataType), F.lit(False))
-    if isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.StructType):
-        each = F.from_json(raw, "array<map<string,string>>")
-        return F.coalesce(F.exists(each, lambda m: fault(m, field.dataType.elementType)), F.lit(False))
-    return None
+#: Types of values that are no object or list, and a member's name, as ``schema_of_variant`` writes them.
+PLAIN, NAME = r"[A-Z]+(?:\(\d+,\d+\))?", r"(?:\w+|`(?:[^`]|``)*`)"
+#: Levels of objects and lists that are looked through below an undeclared member.
+DEEPEST = 6
+_SCALARS = {
+    T.StringType(): "STRING",
+    T.LongType(): "BIGINT",
+    T.IntegerType(): "BIGINT",
+    T.DoubleType(): r"(?:BIGINT|DOUBLE|DECIMAL\(\d+,\d+\))",
+    T.BooleanType(): "BOOLEAN",
+}
+
+
+def _members(each: list[str], times: str) -> str:
+    """An object of such members; what follows a member is a comma or the end."""
+    return f"OBJECT<(?:(?:{'|'.join(each)})(?:, |(?=>))){times}>" if each else "OBJECT<>"
+
 
+def _anything(levels: int = DEEPEST) -> str:
+    inner = _anything(levels - 1) if levels else None
+    return f"(?:{PLAIN}|ARRAY<{inner}>|{_members([f'{NAME}: {inner}'], '*')})" if levels else PLAIN
 
-def _undeclared(fields: Column, schema: T.StructType) -> Column:
-    """Some field here, or in any nested object, is not declared (JSON null and absent objects are fine).
 
-    ``fields`` maps the names to the raw text of their values.
+def _shape(kind: T.DataType, of_object) -> str:
+    """How a value of this type is written, null aside; ``of_object`` writes an object."""
+    if isinstance(kind, T.StructType):
+        return of_object(kind)
+    if isinstance(kind, T.ArrayType):
+        return f"ARRAY<(?:VOID|{_shape(kind.elementType, of_object)})>"
+    return _SCALARS[kind]
+
+
+def _right(schema: T.StructType) -> str:
+    """Objects with all that is required, nothing undeclared, every value of its type and no null where a default would stand.
+
+    The objects of a list are written as one, so what a single one lacks shows in the row only.
     """
-    declared = F.array(*[F.lit(f.name) for f in schema.fields])
-    unknown = F.size(F.array_except(F.map_keys(fields), declared)) > 0
-    for field in schema.fields:
-        inner = _objects(fields, field, _undeclared)
-        unknown = unknown if inner is None else unknown | inner
-    return F.coalesce(unknown, F.lit(False))
+    members = []
+    for field in sorted(schema.fields, key=lambda f: f.name):
+        kept = "default" in field.metadata
+        kind = _shape(field.dataType, _declared if isinstance(field.dataType, T.ArrayType) else _right)
+        kind = f"(?:VOID|{kind})" if field.nullable and not kept else kind
+        members.append(f"(?:{field.name}: {kind}(?:, |(?=>)))" + ("?" if field.nullable or kept else ""))
+    return f"OBJECT<{''.join(members)}>"
 
 
-def _null_default(fields: Column, schema: T.StructType) -> Column:
-    """Some field with a default is there, but null: only an absent one takes the default."""
-    null = F.lit(False)
-    for field in schema.fields:
-        if "default" in field.metadata:
-            null = null | (F.map_contains_key(fields, field.name) & fields[field.name].isNull())
-        inner = _objects(fields, field, _null_default)
-        null = null if inner is None else null | inner
-    return F.coalesce(null, F.lit(False))
+def _declared(schema: T.StructType) -> str:
+    """Objects whose members are declared and of their types, or null."""
+    return _members([f"{f.name}: (?:VOID|{_shape(f.dataType, _declared)})" for f in schema.fields], "*")
+
+
+def _typed(schema: T.StructType) -> str:
+    """Objects whose declared members are of their types, or null."""
+    names = "|".join(f.name for f in schema.fields)
+    known = [f"{f.name}: (?:VOID|{_shape(f.dataType, _typed)})" for f in schema.fields]
+    return _members([*known, f"(?!(?:{names}):){NAME}: {_anything()}"], "*")
 
 
 def _outside(row: Column, schema: T.StructType) -> Column:
-    """Some value breaks a rule of its field: ``values``, ``pattern``, ``shortest``, ``longest`` (in letters) or ``least``."""
+    """Some value breaks a rule of its field: ``values``, ``pattern``, ``shortest``, ``longest`` (in letters), ``most`` (of a list) or ``least``."""
     wrong = F.lit(False)
     for field in schema.fields:
         column, rules = row[field.name], field.metadata
@@ -63,6 +83,8 @@ def _outside(row: Column, schema: T.StructType) -> Column:
             wrong = wrong | F.coalesce(F.char_length(column) < rules["shortest"], F.lit(False))
         if "longest" in rules:
             wrong = wrong | F.coalesce(F.char_length(column) > rules["longest"], F.lit(False))
+        if "most" in rules:
+            wrong = wrong | F.coalesce(F.size(column) > rules["most"], F.lit(False))
         if "least" in rules:
             wrong = wrong | F.coalesce(column < rules["least"], F.lit(False))
         if isinstance(field.dataType, T.StructType):
@@ -99,17 +121,6 @@ def _filled(row: Column, schema: T.StructType) -> Column:
     return F.when(row.isNotNull(), F.struct(*columns))
 
 
-def _required_null(row: str, schema: T.StructType) -> Column:
-    missing = F.lit(False)
-    for field in schema.fields:
-        column = F.col(f"{row}.{field.name}")
-        if not field.nullable:
-            missing = missing | column.isNull()
-        if isinstance(field.dataType, T.StructType):
-            missing = missing | (column.isNotNull() & _required_null(f"{row}.{field.name}", field.dataType))
-    return missing
-
-
 def _open(schema: T.StructType) -> T.StructType:
     """The same fields, all nullable, so that a missing one is seen instead of refused."""
     return T.StructType(
@@ -123,21 +134,28 @@ def _open(schema: T.StructType) -> T.StructType:
 def judge_lines(lines: DataFrame, schema: T.StructType, text: str = "value") -> DataFrame:
     """Each line with its parsed ``row`` and a ``reason`` that is null for a good line.
 
-    Absent fields take the ``default`` in the metadata of ``schema``; the other rules there bound their values. A nullable
-    field may be absent or null, one with a default may not be null.
+    Absent fields take the ``default`` in the metadata of ``schema``; the other rules there bound their values. A nullable field may be
+    absent or null, one with a default may not be null, and a number is no text. A line is parsed once, into a variant. Names, types
+    and nulls of all its objects are read off the variant's schema, which is one text; values off the row taken from it.
     """
-    with_corrupt = T.StructType([*_open(schema).fields, T.StructField(CORRUPT, T.StringType())])
-    parsed = lines.withColumn(
-        "row", F.from_json(text, with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    ).withColumn("_fields", F.from_json(text, "map<string,string>"))
+    parsed = lines.withColumn("_json", F.try_parse_json(text))
+    parsed = parsed.withColumns({"row": F.try_variant_get("_json", "$", _open(schema).simpleString()), "_shape": F.schema_of_variant("_json")})
+    shape = F.col("_shape")
     reason = (
         F.when(F.trim(text) == "", "blank_line")
-        .when(F.col("row").isNull() | F.col(f"row.{CORRUPT}").isNotNull(), "invalid_json")
-        .when(_undeclared(F.col("_fields"), schema), "unknown_field")
-        .when(_required_null("row", schema) | _null_default(F.col("_fields"), schema), "missing_field")
-        .when(_outside(F.col("row"), schema), "bad_value")
+        .when(shape.isNull() | ~F.startswith(shape, F.lit("OBJECT<")) | ~F.endswith(F.rtrim(text), F.lit("}")), "invalid_json")
+        .when(shape.rlike(f"^{_right(schema)}$"), F.when(_outside(F.col("row"), schema), "bad_value"))
+        .when(~shape.rlike(f"^{_typed(schema)}$"), "invalid_json")
+        .when(~shape.rlike(f"^{_declared(schema)}$"), "unknown_field")
+        .otherwise("missing_field")
     )
-    return parsed.withColumn("reason", reason).withColumn("row", _filled(F.col("row"), schema)).drop("_fields")
+    judged = parsed.withColumn("reason", reason).withColumn("row", _filled(F.col("row"), schema))
+    return judged.drop("_json", "_shape")
+
+
+def scan_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """``judge_lines`` over all lines of the files in a path."""
+    return judge_lines(read_lines(spark, path), schema)
 
 
 def good_rows(judged: DataFrame, carry: list[str] = ()) -> DataFrame:

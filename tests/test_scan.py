@@ -86,6 +86,37 @@ def test_values_of_predictions_and_defaults(spark):
     assert (rows[0]["row"]["usage"]["retry_input_tokens"], rows[5]["row"]["status"], rows[5]["row"]["usage"]) == (0, "success", None)
 
 
+INTENTION = {"evidence_status": "clear", "action": "walk", "qualifiers": ["a"], "horizon": "now", "reason_short": "r"}
+FORMED = {"case_id": "case-1", "status": "success", "formed_intention": INTENTION, "error_type": None, "usage": None, "latency_ms": 3}
+
+
+def test_values_of_formed_intentions(spark):
+    lines = [
+        (FORMED, None),
+        ({**FORMED, "formed_intention": None, "status": "schema_invalid", "error_type": "x"}, None),
+        ({**FORMED, "formed_intention": {**INTENTION, "qualifiers": list("abcdefg")}}, "bad_value"),
+        ({**FORMED, "formed_intention": {**INTENTION, "alternative_actions": list("abcde")}}, "bad_value"),
+        ({**FORMED, "formed_intention": {**INTENTION, "alternative_actions": None}}, "missing_field"),
+        ({**FORMED, "formed_intention": {**INTENTION, "action": "w" * 121}}, "bad_value"),
+        ({**FORMED, "formed_intention": {**INTENTION, "mood": {"deep": [{"er": 1}]}}}, "unknown_field"),
+        ({**FORMED, "formed_intention": {k: v for k, v in INTENTION.items() if k != "qualifiers"}}, "missing_field"),
+        ({**FORMED, "formed_intention": [INTENTION]}, "invalid_json"),
+        ({**FORMED, "case_id": 7}, "invalid_json"),
+        ({**FORMED, "formed_intention": {**INTENTION, "qualifiers": [1]}}, "invalid_json"),
+        ({**FORMED, "odd name, `of` it": 1}, "unknown_field"),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(line)) for i, (line, _) in enumerate(lines)], "i int, value string")
+    rows = {r["i"]: r for r in S.judge_lines(df, schemas.FORMED).collect()}
+    assert [rows[i]["reason"] for i in range(len(lines))] == [reason for _, reason in lines]
+    assert (rows[0]["row"]["formed_intention"]["alternative_actions"], rows[0]["row"]["schema_version"]) == ([], 1)
+
+
+def test_a_line_is_parsed_once(spark):
+    df = S.judge_lines(spark.createDataFrame([(json.dumps(FORMED),)], "value string"), schemas.FORMED)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") == 1 and "from_json" not in plan
+
+
 def test_a_scan_without_a_good_row_says_so(spark, tmp_path):
     outcomes = {r["outcome"] for r in S.scan_summary(judged(spark, tmp_path, ["", "{"])).collect()}
     assert outcomes == {"blank_line", "invalid_json", "empty"}
