@@ -7,6 +7,8 @@ from plumbline.functions import hashing as H
 from plumbline.functions import labels as L
 from plumbline.functions.lineage import cut
 
+#: Units of a sample that are broadcast at most; a larger sample is joined by a shuffle.
+BROADCAST_UNITS = 100_000
 FEATURES = [
     "near_oos",
     "far_oos",
@@ -112,49 +114,36 @@ def split_statistics(cases: DataFrame) -> DataFrame:
 # ---- samples that never take two cases of a cluster ------------------------------------------------------------
 
 
-def _fold(candidates: DataFrame, limit: int | None) -> DataFrame:
-    """Greedy choice over a short list: in (phase, rank) order take an item unless its phase is full or its unit taken.
-
-    ``candidates`` holds at most (phases x total sample) rows, whatever the table's size, so one small array is enough.
-    """
-    listed = candidates.agg(
-        F.array_sort(F.collect_list(F.struct("phase", "rank", "item", "unit", "quota"))).alias("rows")
-    )
-    types = dict(candidates.dtypes)
-    start = F.array().cast(f"array<struct<phase:int,item:{types['item']},unit:{types['unit']}>>")
-
-    def step(state, r):
-        used = F.exists(state, lambda s: s["unit"] == r["unit"])
-        full = F.size(F.filter(state, lambda s: s["phase"] == r["phase"])) >= r["quota"]
-        done = F.size(state) >= limit if limit is not None else F.lit(False)
-        add = F.array(F.struct(r["phase"].alias("phase"), r["item"].alias("item"), r["unit"].alias("unit")))
-        return F.when(used | full | done, state).otherwise(F.concat(state, add))
-
-    chosen = listed.select(F.posexplode(F.aggregate("rows", start, step)).alias("position", "c"))
-    return chosen.select("position", "c.phase", "c.item")
-
-
 def phased_sample(
     rows: DataFrame, phases: list[tuple[Column, int]], order: list[str], unit: str, item: str, limit: int | None = None
 ) -> DataFrame:
-    """Phase after phase, the first ``quota`` items in order whose unit is not taken yet.
+    """(position, phase, item): phase after phase, the first ``quota`` items in order whose unit is not taken yet.
 
-    At most ``total`` units can be taken before a phase, so its best ``total`` units decide it: each phase is cut to
-    that many rows by a grouped minimum and a top-k, then the short lists are folded together.
+    One aggregation finds each unit's best item for every phase. A phase is then one job: a top-k over the units that are open,
+    written, whose units are closed for the next phases. Only what is chosen is numbered. Phases that no row is in, or that ``limit``
+    leaves nothing for, add no rows.
     """
-    total = sum(quota for _, quota in phases)  # also with a limit: no phase can need more rows than this
-    member = F.array_compact(
-        F.array(*[F.when(condition, F.struct(F.lit(i).alias("phase"), F.lit(q).alias("quota"))) for i, (condition, q) in enumerate(phases)])
-    )
-    spread = rows.select(*order, F.col(unit).alias("unit"), F.col(item).alias("item"), F.inline(member))
-    best = (
-        spread.groupBy("phase", "quota", "unit")
-        .agg(F.min(F.struct(*order, "item")).alias("b"))
-        .select("phase", "quota", "unit", *[F.col(f"b.{c}").alias(c) for c in [*order, "item"]])
-    )
-    rank = F.row_number().over(Window.partitionBy("phase").orderBy(*order))
-    short = best.withColumn("rank", rank).filter(F.col("rank") <= total)
-    return _fold(short, limit).withColumnRenamed("item", item)
+    candidate = F.struct(*order, F.col(item).alias("item"))
+    best = [F.min(F.when(condition, candidate)).alias(f"b{i}") for i, (condition, _) in enumerate(phases)]
+    units = cut(rows.groupBy(F.col(unit).alias("unit")).agg(*best))
+    few = sum(quota for _, quota in phases) <= BROADCAST_UNITS
+    taken, count = None, 0
+    for i, (_, quota) in enumerate(phases):
+        quota = quota if limit is None else min(quota, limit - count)
+        if quota <= 0:
+            break
+        left = units.filter(F.col(f"b{i}").isNotNull()).select("unit", F.col(f"b{i}").alias("b"))
+        if taken is not None:
+            closed = taken.select("unit")
+            left = left.join(F.broadcast(closed) if few else closed, "unit", "left_anti")
+        place = F.row_number().over(Window.orderBy("b")) - 1
+        chosen = left.orderBy("b").limit(quota).select((place + count).cast("int").alias("position"), F.lit(i).alias("phase"), F.col("b.item").alias("item"), "unit")
+        chosen = cut(chosen)
+        count += chosen.count()
+        taken = chosen if taken is None else taken.unionByName(chosen)
+    if taken is None:
+        return units.select(F.lit(0).alias("position"), F.lit(0).alias("phase"), F.col("unit").alias(item)).filter("false")
+    return taken.select("position", "phase", F.col("item").alias(item))
 
 
 def audit_sample(cases: DataFrame, intents: list[str], namespace: str) -> DataFrame:
