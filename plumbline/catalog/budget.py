@@ -27,23 +27,26 @@ def dist(value, name):
       max({value})::DOUBLE AS {name}_max"""
 
 
-@query(
-    "p12_token_cost",
-    f"SELECT event_id, {COST_SQL} AS cost FROM calls",
-    "calls",
-)
+NANO_SQL = "(input_tokens + coalesce(retry_input_tokens, 0)) * input_nano + (output_tokens + coalesce(retry_output_tokens, 0)) * output_nano"
+#: Calls beside their cost in billionths of a dollar.
+PRICED_SQL = f"pc AS (SELECT calls.*, {NANO_SQL} AS nano FROM calls LEFT JOIN pricing ON pricing.requested_model = calls.requested_model)"
+COST_SUM = "round(sum(nano)::DOUBLE / 1e9, 9) AS cost"
+
+
+@query("p12_token_cost", f"WITH {PRICED_SQL} SELECT event_id, round(nano::DOUBLE / 1e9, 9) AS cost FROM pc", "calls pricing")
 def p12(t):
-    cost = L.token_cost(*[F.lit(r) for r in RATES])
-    return t.calls.select("event_id", F.round(cost, 9).alias("cost"))
+    return B.priced(t.calls, t.pricing).select("event_id", B.dollars(F.col("nano")).alias("cost"))
 
 
+KNOWN_SUMS = ", ".join(f"CASE WHEN count(total_tokens) = count(*) THEN CAST(sum({c}) AS BIGINT) END AS {c}" for c in B.TOKEN_FIELDS)
 MERGED_SQL = f"""{PAIRED_SQL}, mg AS (SELECT arm, case_id, count(*) AS calls,
      CASE WHEN bool_or(status <> 'success' AND call_index = 1) THEN 'provider_failure'
           WHEN bool_or(status <> 'success') THEN max(CASE WHEN status <> 'success' THEN status END) ELSE 'success' END AS status,
-     CASE WHEN bool_or(status <> 'success' AND call_index = 1) THEN 'stage_a:' || max(CASE WHEN status <> 'success' AND call_index = 1 THEN status END)
-          WHEN bool_or(status <> 'success') THEN max(CASE WHEN status <> 'success' THEN status END) END AS error_type,
-     CASE WHEN count(total_tokens) = count(*) THEN CAST(sum(total_tokens) AS BIGINT) END AS total_tokens,
-     round(sum(latency_ms), 6) AS latency_ms FROM fc GROUP BY 1, 2)"""
+     CASE WHEN bool_or(status <> 'success' AND call_index = 1) THEN 'stage_a:' || max(CASE WHEN status <> 'success' AND call_index = 1 THEN error_type END)
+          WHEN bool_or(status <> 'success') THEN max(CASE WHEN status <> 'success' THEN error_type END) END AS error_type,
+     {KNOWN_SUMS}, round(sum(latency_ms), 6) AS latency_ms,
+     sha256('["' || string_agg(coalesce(raw_response_sha256, call_contract_sha256 || ':' || error_type), '","' ORDER BY call_index) || '"]') AS raw_response_sha256
+   FROM fc GROUP BY 1, 2)"""
 
 
 @query("p19_merged_predictions", f"WITH {MERGED_SQL} SELECT * FROM mg", "calls")
@@ -51,7 +54,7 @@ def p19(t):
     return B.merged_predictions(paired_calls(t))
 
 
-FIELDS = ["status", "error_type", "total_tokens"]
+FIELDS = ["status", "error_type", *B.TOKEN_FIELDS, "raw_response_sha256"]
 
 
 @query(
@@ -134,23 +137,24 @@ def a25(t):
     return B.distribution(t.calls, ["arm", "stage"], "total_tokens", "tokens")
 
 
-CASE_SQL = f"""cb AS (SELECT arm, case_id, count(*) AS calls, {SUMS}, round(sum(latency_ms), 6) AS latency_ms FROM calls GROUP BY 1, 2)"""
+CASE_SQL = f"""{PRICED_SQL}, cb AS (SELECT arm, case_id, count(*) AS calls, {SUMS}, round(sum(latency_ms), 6) AS latency_ms, sum(nano) AS nano
+   FROM pc GROUP BY 1, 2)"""
 
 
-@query("a26_case_budgets", f"WITH {CASE_SQL} SELECT *, {COST_SQL} AS cost FROM cb", "calls")
+@query("a26_case_budgets", f"WITH {CASE_SQL} SELECT * EXCLUDE (nano), round(nano::DOUBLE / 1e9, 9) AS cost FROM cb", "calls pricing")
 def a26(t):
-    return B.case_budgets(t.calls, RATES)
+    return B.case_budgets(t.calls, t.pricing)
 
 
 @query(
     "a27_stage_summary",
-    f"""WITH s AS (SELECT arm, stage, count(*) FILTER (status = 'success') AS success_count,
-        count(*) FILTER (status <> 'success') AS failure_count, {SUMS}, {dist('latency_ms', 'latency')},
-        round(avg(total_tokens), 6) AS tokens_mean FROM calls GROUP BY 1, 2) SELECT *, {COST_SQL} AS cost FROM s""",
-    "calls",
+    f"""WITH {PRICED_SQL} SELECT arm, stage, count(*) FILTER (status = 'success') AS success_count,
+        count(*) FILTER (status <> 'success') AS failure_count, {SUMS}, {dist('latency_ms', 'latency')}, {dist('total_tokens', 'tokens')}, {COST_SUM}
+    FROM pc GROUP BY 1, 2""",
+    "calls pricing",
 )
 def a27(t):
-    return B.stage_summary(t.calls, RATES)
+    return B.stage_summary(t.calls, t.pricing)
 
 
 def keyed_calls(t):
@@ -161,17 +165,17 @@ def keyed_calls(t):
 @query(
     "a28_arm_summary",
     f"""WITH {CASE_SQL},
-     s AS (SELECT arm, {SUMS}, {dist('total_tokens', 'case_tokens')}, {dist('latency_ms', 'case_latency')} FROM cb GROUP BY 1),
+     s AS (SELECT arm, {SUMS}, {dist('total_tokens', 'case_tokens')}, {dist('latency_ms', 'case_latency')}, {COST_SUM} FROM cb GROUP BY 1),
      c AS (SELECT arm, count(*) FILTER (status = 'success') AS success_calls, count(*) FILTER (status <> 'success') AS failed_calls
        FROM calls GROUP BY 1),
      i AS (SELECT first_arm AS arm, count(*) AS incremental_calls FROM (SELECT case_id, coalesce(input_tokens, -1) AS k, min(arm) AS first_arm
        FROM calls GROUP BY 1, 2) z GROUP BY 1)
-    SELECT s.*, {COST_SQL} AS cost, success_calls, failed_calls, coalesce(incremental_calls, 0) AS incremental_calls
+    SELECT s.*, success_calls, failed_calls, coalesce(incremental_calls, 0) AS incremental_calls
     FROM s JOIN c ON s.arm = c.arm LEFT JOIN i ON i.arm = s.arm""",
-    "calls",
+    "calls pricing",
 )
 def a28(t):
-    return B.arm_summary(keyed_calls(t), RATES)
+    return B.arm_summary(keyed_calls(t), t.pricing)
 
 
 GAP = ", ".join(
@@ -181,11 +185,12 @@ GAP = ", ".join(
 
 @query(
     "a29_stage_gaps",
-    f"WITH {PAIRED_SQL}, g AS (SELECT call_index, {GAP} FROM fc GROUP BY 1) SELECT *, {COST_SQL} AS cost FROM g",
-    "calls",
+    f"""WITH {PAIRED_SQL} SELECT call_index, {GAP}, round(sum(CASE WHEN arm = 'C' THEN {NANO_SQL} ELSE -({NANO_SQL}) END)::DOUBLE / 1e9, 9) AS cost
+    FROM fc LEFT JOIN pricing ON pricing.requested_model = fc.requested_model GROUP BY 1""",
+    "calls pricing",
 )
 def a29(t):
-    return B.stage_gaps(paired_calls(t), "B", "C", RATES)
+    return B.stage_gaps(paired_calls(t), "B", "C", t.pricing)
 
 
 @query(
@@ -219,8 +224,8 @@ def a30(t):
 
 @query(
     "a31_cap_pressure",
-    """SELECT arm, count(*) FILTER (status <> 'success') AS incomplete_calls,
-      count(*) FILTER (status <> 'success' AND output_tokens >= 39) AS within_one_of_cap FROM calls GROUP BY 1""",
+    """SELECT arm, count(*) FILTER (error_type = 'incomplete') AS incomplete_calls,
+      count(*) FILTER (error_type = 'incomplete' AND output_tokens >= 39) AS within_one_of_cap FROM calls GROUP BY 1""",
     "calls",
 )
 def a31(t):

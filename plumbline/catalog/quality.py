@@ -7,6 +7,7 @@ from plumbline.functions import hashing as H
 from plumbline.functions import labels as L
 from plumbline.functions import text as X
 from plumbline.operators import quality as Q
+from plumbline.operators.budget import TOKEN_FIELDS, merged_predictions
 from plumbline.operators.components import components
 from plumbline.schemas import DECISIONS, PATTERN_TAGS, SLICE_TAGS
 from plumbline.sources.views import ARMS, INTENTS
@@ -615,6 +616,17 @@ def paired_calls(t):
     )
 
 
+TOKEN_SUMS = ", ".join(f"CAST(sum({c}) AS BIGINT) AS sum_{c}" for c in TOKEN_FIELDS)
+SAID_SUMS = ", ".join(
+    f"CASE WHEN count(total_tokens) = count(*) THEN CAST(sum({c}) AS BIGINT)"
+    + (f" + CASE WHEN {mut('V19c', 'case_id')} THEN 1 ELSE 0 END" if c == "output_tokens" else "")
+    + f" END AS said_{c}"
+    for c in TOKEN_FIELDS
+)
+SAID_FIELDS = ", ".join(f"said_{c}" for c in TOKEN_FIELDS)
+USAGE_DIFFERS = " OR ".join(f"sum_{c} IS DISTINCT FROM said_{c}" for c in TOKEN_FIELDS)
+
+
 @query(
     "v19_call_sequences",
     f"""WITH {PAIRED_SQL},
@@ -624,16 +636,19 @@ def paired_calls(t):
         count(*) FILTER (arm = 'B' AND call_index = 1 AND stage <> 'click' OR arm = 'B' AND call_index = 2 AND stage <> 'view'
           OR arm = 'C' AND call_index = 1 AND stage NOT IN ('purchase', 'error') OR arm = 'C' AND call_index = 2 AND stage <> 'purchase')
           AS wrong,
-        count(*) FILTER (status <> 'success') AS failed, count(*) AS n,
-        coalesce(sum(retry_input_tokens + retry_output_tokens), 0) AS retries FROM c GROUP BY 1, 2) """
+        count(*) AS n, count(total_tokens) = count(*) AS known, {TOKEN_SUMS},
+        coalesce(sum(retry_input_tokens + retry_output_tokens), 0) AS retries FROM c GROUP BY 1, 2),
+      o AS (SELECT arm, case_id, CASE WHEN bool_and(status = 'success') THEN 'success' ELSE 'other' END AS said, {SAID_SUMS} FROM fc GROUP BY 1, 2),
+      gs AS (SELECT g.*, said, {SAID_FIELDS} FROM g LEFT JOIN o ON o.arm = g.arm AND o.case_id = g.case_id) """
     + clauses(
-        "g",
+        "gs",
         "V19",
         "k",
         {
             "indexes": "idx <> [1] AND idx <> [1, 2]",
             "stage": "wrong > 0",
-            "success_needs_two_calls": "failed = 0 AND n < 2",
+            "success_needs_two_calls": "said = 'success' AND n <> 2",
+            "usage_differs": f"known AND said_total_tokens IS NOT NULL AND ({USAGE_DIFFERS})",
             "retry_usage": "retries > 0",
             "unknown_case": "case_id NOT IN (SELECT case_id FROM fc)",
         },
@@ -647,10 +662,15 @@ def v19(t):
     broken = calls.filter(~((F.col("call_index") == 1) & hit("V19", "event_id", 10))).withColumn(
         "case_id", F.col("case_id") + F.when(hit("V19b", "case_id"), 99000000000).otherwise(0)
     )
-    return Q.call_sequences(broken, calls, STAGES)
+    said = merged_predictions(calls)
+    said = said.withColumn("output_tokens", F.col("output_tokens") + F.when(hit("V19c", "case_id"), 1).otherwise(0))
+    return Q.call_sequences(broken, calls, STAGES, said)
 
 
-REUSE_FIELDS = ["stage", "status", "input_tokens", "output_tokens", "total_tokens", "latency_ms"]
+REUSE_FIELDS = [
+    *["cache_key", "call_contract_sha256", "requested_model", "reported_model", "status", *TOKEN_FIELDS],
+    *["raw_response_sha256", "error_type", "cache_origin", "source_cache_key"],
+]
 
 
 def field_diff_sql(rule, left, right, keys, fields):
@@ -670,8 +690,10 @@ def field_diff_sql(rule, left, right, keys, fields):
     "v20_reused_calls",
     f"""WITH {PAIRED_SQL}, f1 AS (SELECT * FROM fc WHERE call_index = 1),
      a0 AS (SELECT * FROM f1 WHERE NOT {mut('V20c', 'event_id')}),
-     b0 AS (SELECT * REPLACE (CASE WHEN {mut('V20', 'event_id')} THEN latency_ms + 1 ELSE latency_ms END AS latency_ms,
-        CASE WHEN {mut('V20b', 'event_id')} THEN NULL ELSE input_tokens END AS input_tokens)
+     b0 AS (SELECT * REPLACE (CASE WHEN {mut('V20', 'event_id')} THEN NULL ELSE source_cache_key END AS source_cache_key,
+        CASE WHEN {mut('V20e', 'event_id')} THEN 'other' ELSE raw_response_sha256 END AS raw_response_sha256,
+        CASE WHEN {mut('V20f', 'event_id')} THEN 'model-x' ELSE requested_model END AS requested_model,
+        latency_ms + 1 AS latency_ms, CASE WHEN {mut('V20b', 'event_id')} THEN NULL ELSE input_tokens END AS input_tokens)
        FROM f1 WHERE NOT {mut('V20d', 'event_id')}) """
     + field_diff_sql("V20", "a0", "b0", ["arm", "case_id"], REUSE_FIELDS),
     "calls",
@@ -680,7 +702,10 @@ def v20(t):
     first = paired_calls(t).filter("call_index = 1")
     reused = first.filter(~hit("V20d", "event_id")).withColumns(
         {
-            "latency_ms": F.col("latency_ms") + F.when(hit("V20", "event_id"), 1.0).otherwise(0.0),
+            "source_cache_key": F.when(~hit("V20", "event_id"), F.col("source_cache_key")),
+            "raw_response_sha256": F.when(hit("V20e", "event_id"), "other").otherwise(F.col("raw_response_sha256")),
+            "requested_model": F.when(hit("V20f", "event_id"), "model-x").otherwise(F.col("requested_model")),
+            "latency_ms": F.col("latency_ms") + 1,  # no field that a reused call has to share
             "input_tokens": F.when(hit("V20b", "event_id"), None).otherwise(F.col("input_tokens")),
         }
     )

@@ -757,8 +757,8 @@ def a39(t):
     f"""WITH {ROLE_SQL}, {AUDIT_SQL}
     SELECT 'delta' AS part, a.arm AS name, 'hem' AS metric, round(a.hem - b.hem, 9) AS value FROM rs a JOIN rs b ON a.arm = b.arm AND a.role = 'weak' AND b.role = 'primary'
     UNION ALL SELECT 'delta', a.arm, 'success_count', a.success - b.success FROM rs a JOIN rs b ON a.arm = b.arm AND a.role = 'weak' AND b.role = 'primary'
-    UNION ALL SELECT 'cap', arm, 'incomplete_calls', count(*) FILTER (status <> 'success') FROM calls GROUP BY 2
-    UNION ALL SELECT 'cap', arm, 'within_one_of_cap', count(*) FILTER (status <> 'success' AND output_tokens >= 39) FROM calls GROUP BY 2
+    UNION ALL SELECT 'cap', arm, 'incomplete_calls', count(*) FILTER (error_type = 'incomplete') FROM calls GROUP BY 2
+    UNION ALL SELECT 'cap', arm, 'within_one_of_cap', count(*) FILTER (error_type = 'incomplete' AND output_tokens >= 39) FROM calls GROUP BY 2
     UNION ALL SELECT 'audit', role, stage_status, count(*) FROM au GROUP BY 2, 3""",
     "gp predictions calls reviews",
 )

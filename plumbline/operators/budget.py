@@ -57,39 +57,69 @@ def distribution(df: DataFrame, by: list[str], value: str, name: str, digits: in
     return both.withColumns(rounded).drop("_p50", "_p95")
 
 
-def case_budgets(calls: DataFrame, rates: tuple[float, float]) -> DataFrame:
-    """Usage, cost and end-to-end latency of each case in each arm."""
-    return calls.groupBy("arm", "case_id").agg(
+def priced(calls: DataFrame, pricing: DataFrame, model: str = "requested_model") -> DataFrame:
+    """Calls with ``nano``, their cost in billionths of a dollar, retries included; null without a price or a known usage.
+
+    ``pricing`` has one row for each model: ``input_nano`` and ``output_nano`` for a token. Whole numbers add up alike in any order.
+    ``unpriced`` is 1 where the model has no price.
+    """
+    joined = calls.join(pricing.select(model, "input_nano", "output_nano"), model, "left")
+    tokens_in = F.col("input_tokens") + F.coalesce("retry_input_tokens", F.lit(0))
+    tokens_out = F.col("output_tokens") + F.coalesce("retry_output_tokens", F.lit(0))
+    nano = tokens_in * F.col("input_nano") + tokens_out * F.col("output_nano")
+    return joined.withColumns({"nano": nano, "unpriced": L.as_flag(F.col("input_nano").isNull())}).drop("input_nano", "output_nano")
+
+
+def dollars(nano: Column) -> Column:
+    return F.round(nano / F.lit(1e9), 9)
+
+
+def _cost() -> list[Column]:
+    """The sum of ``nano``, and how many calls it leaves out for want of a price."""
+    return [F.sum("nano").alias("nano"), F.sum("unpriced").alias("unpriced")]
+
+
+def _with_cost(df: DataFrame) -> DataFrame:
+    """A cost in dollars that is null where any call has no price."""
+    return df.withColumn("cost", F.when(F.col("unpriced") == 0, dollars(F.col("nano")))).drop("nano", "unpriced")
+
+
+def _case_sums(calls: DataFrame, pricing: DataFrame) -> DataFrame:
+    return priced(calls, pricing).groupBy("arm", "case_id").agg(
         F.count("*").alias("calls"),
         *[F.sum(c).alias(c) for c in TOKEN_FIELDS],
         F.round(F.sum("latency_ms"), 6).alias("latency_ms"),
-    ).withColumn("cost", F.round(L.token_cost(*[F.lit(r) for r in rates]), 9))
+        *_cost(),
+    )
+
+
+def case_budgets(calls: DataFrame, pricing: DataFrame) -> DataFrame:
+    """Usage, cost and end-to-end latency of each case in each arm."""
+    return _with_cost(_case_sums(calls, pricing))
 
 
-def stage_summary(calls: DataFrame, rates: tuple[float, float]) -> DataFrame:
-    """A27."""
+def stage_summary(calls: DataFrame, pricing: DataFrame) -> DataFrame:
+    """Outcomes, totals and cost of each stage, and how tokens and latency spread over its calls."""
     won = F.sum(L.as_flag(F.col("status") == "success"))
-    return calls.groupBy("arm", "stage").agg(
+    totals = priced(calls, pricing).groupBy("arm", "stage").agg(
         won.alias("success_count"),
         (F.count("*") - won).alias("failure_count"),
         *[F.sum(c).alias(c) for c in TOKEN_FIELDS],
-        F.round(F.avg("total_tokens"), 6).alias("tokens_mean"),
-    ).withColumn("cost", F.round(L.token_cost(*[F.lit(r) for r in rates]), 9)).join(
-        distribution(calls, ["arm", "stage"], "latency_ms", "latency"), ["arm", "stage"]
+        *_cost(),
     )
+    spread = [distribution(calls, ["arm", "stage"], value, name) for value, name in (("total_tokens", "tokens"), ("latency_ms", "latency"))]
+    return _with_cost(totals).join(spread[0], ["arm", "stage"]).join(spread[1], ["arm", "stage"])
 
 
-def arm_summary(calls: DataFrame, rates: tuple[float, float]) -> DataFrame:
+def arm_summary(calls: DataFrame, pricing: DataFrame) -> DataFrame:
     """Totals of calls beside distributions over cases. A call is incremental in the first arm that has its key."""
-    cases = case_budgets(calls, rates)
+    cases = _case_sums(calls, pricing)
     won = F.sum(L.as_flag(F.col("status") == "success"))
     per_call = calls.groupBy("arm").agg(won.alias("success_calls"), (F.count("*") - won).alias("failed_calls"))
     incremental = (
         calls.groupBy("cache_key").agg(F.min("arm").alias("arm")).groupBy("arm").agg(F.count("*").alias("incremental_calls"))
     )
-    per_case = cases.groupBy("arm").agg(
-        *[F.sum(c).alias(c) for c in TOKEN_FIELDS],
-    ).withColumn("cost", F.round(L.token_cost(*[F.lit(r) for r in rates]), 9))
+    per_case = _with_cost(cases.groupBy("arm").agg(*[F.sum(c).alias(c) for c in TOKEN_FIELDS], *_cost()))
     return (
         per_case.join(distribution(cases, ["arm"], "total_tokens", "case_tokens"), "arm")
         .join(distribution(cases, ["arm"], "latency_ms", "case_latency"), "arm")
@@ -99,15 +129,17 @@ def arm_summary(calls: DataFrame, rates: tuple[float, float]) -> DataFrame:
     )
 
 
-def stage_gaps(calls: DataFrame, left: str, right: str, rates: tuple[float, float]) -> DataFrame:
+def stage_gaps(calls: DataFrame, left: str, right: str, pricing: DataFrame) -> DataFrame:
     """Right minus left, by position of the call."""
     def gap(column):
         side = lambda arm: F.sum(F.when(F.col("arm") == arm, F.col(column)).otherwise(0))
         return (side(right) - side(left)).alias(column)
 
-    return calls.filter(F.col("arm").isin(left, right)).groupBy("call_index").agg(
-        *[gap(c) for c in TOKEN_FIELDS]
-    ).withColumn("cost", F.round(L.token_cost(*[F.lit(r) for r in rates]), 9))
+    return _with_cost(
+        priced(calls.filter(F.col("arm").isin(left, right)), pricing).groupBy("call_index").agg(
+            *[gap(c) for c in [*TOKEN_FIELDS, "nano"]], F.sum("unpriced").alias("unpriced")
+        )
+    )
 
 
 def latency_gap(calls: DataFrame, left: str, right: str) -> DataFrame:
@@ -132,34 +164,42 @@ def fairness(totals: DataFrame, maximum: float) -> DataFrame:
 
 
 def cap_pressure(calls: DataFrame, cap: int) -> DataFrame:
-    """A31."""
-    failed = F.col("status") != "success"
+    """Calls that broke off as incomplete, and those of them whose output came within one token of the cap."""
+    cut_off = F.coalesce(F.col("error_type") == "incomplete", F.lit(False))
+    near = cut_off & F.coalesce(F.col("output_tokens") >= cap - 1, F.lit(False))
     return calls.groupBy("arm").agg(
-        F.sum(L.as_flag(failed)).alias("incomplete_calls"),
-        F.sum(L.as_flag(failed & (F.col("output_tokens") >= cap - 1))).alias("within_one_of_cap"),
+        F.sum(L.as_flag(cut_off)).alias("incomplete_calls"), F.sum(L.as_flag(near)).alias("within_one_of_cap")
     )
 
 
 def merged_predictions(calls: DataFrame) -> DataFrame:
-    """The calls of a case as one prediction. Usage is known only if every call's is."""
+    """The two calls of a case as one prediction.
+
+    Each usage field is known only if every call's usage is. A case that fails at its first call is a provider failure of ``stage_a``.
+    The identity of the response is a digest of the calls' own, in order; a call without a response goes by its contract and error.
+    """
     failed = F.col("status") != "success"
+    own = F.coalesce("raw_response_sha256", F.concat_ws(":", "call_contract_sha256", "error_type"))
+    at = lambda index: F.max(F.when(F.col("call_index") == index, own))
     merged = calls.groupBy("arm", "case_id").agg(
         F.count("*").alias("calls"),
         complete().alias("_complete"),
-        F.sum("total_tokens").alias("_total"),
+        *[F.sum(c).alias(f"_{c}") for c in TOKEN_FIELDS],
         F.round(F.sum("latency_ms"), 6).alias("latency_ms"),
-        F.min_by(F.struct("call_index", "status"), F.when(failed, F.col("call_index"))).alias("_bad"),
+        F.min_by(F.struct("call_index", "status", "error_type"), F.when(failed, F.col("call_index"))).alias("_bad"),
+        F.array_compact(F.array(at(1), at(2))).alias("_ids"),
     )
     first = F.col("_bad.call_index") == 1
-    error = F.when(first, F.concat(F.lit("stage_a:"), "_bad.status")).otherwise(F.col("_bad.status"))
+    error = F.when(first, F.concat(F.lit("stage_a:"), "_bad.error_type")).otherwise(F.col("_bad.error_type"))
     return merged.select(
         "arm",
         "case_id",
         "calls",
         F.when(F.col("_bad").isNull(), "success").when(first, "provider_failure").otherwise(F.col("_bad.status")).alias("status"),
         F.when(F.col("_bad").isNotNull(), error).alias("error_type"),
-        F.when(F.col("_complete"), F.col("_total")).alias("total_tokens"),
+        *[F.when(F.col("_complete"), F.col(f"_{c}")).alias(c) for c in TOKEN_FIELDS],
         "latency_ms",
+        F.sha2(F.to_json("_ids"), 256).alias("raw_response_sha256"),
     )
 
 

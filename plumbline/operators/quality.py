@@ -1,10 +1,13 @@
 """Data-quality rules. Each returns violations (rule, key, detail); a table is valid when there are none."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import labels as L
 from plumbline.functions.skew import skew_join
+from plumbline.operators.budget import TOKEN_FIELDS
 from plumbline.functions.text import context_text, normalise_evidence
 from plumbline.schemas import PATTERN_TAGS, PROBE_TAGS, SLICE_TAGS
 
@@ -347,10 +350,14 @@ def sibling_relation(edges: DataFrame, names: DataFrame) -> DataFrame:
 # ---- calls and runs --------------------------------------------------------------------------------------------
 
 
-def call_sequences(calls: DataFrame, cases: DataFrame, stages: dict[tuple[str, int], list[str]]) -> DataFrame:
+def call_sequences(
+    calls: DataFrame, cases: DataFrame, stages: dict[tuple[str, int], list[str]], predictions: DataFrame | None = None
+) -> DataFrame:
     """V19 from counts per (arm, case); nothing is collected, so a case with very many calls is no harder.
 
     ``cases`` (case_id, and arm where it matters) must have been called; one that has no call at all is reported as such.
+    ``predictions`` (arm, case_id, status and usage) say which cases succeeded and must have two calls, and where all usage is known, theirs is
+    the sum of the calls'. Without them a case succeeded whose calls all did.
     """
     expected = F.lit(None)
     for (arm, index), names in stages.items():
@@ -362,10 +369,18 @@ def call_sequences(calls: DataFrame, cases: DataFrame, stages: dict[tuple[str, i
         F.sum(L.as_flag(F.col("call_index") == 1)).alias("first"),
         F.sum(L.as_flag(F.col("call_index") == 2)).alias("second"),
         F.sum(L.as_flag(~F.col("_stage_ok"))).alias("wrong_stage"),
-        F.sum(L.as_flag(F.col("status") != "success")).alias("failed"),
+        F.bool_and(F.col("status") == "success").alias("won"),
+        *([] if predictions is None else [F.bool_and(F.col("total_tokens").isNotNull()).alias("known"), *[F.sum(c).alias(f"sum_{c}") for c in TOKEN_FIELDS]]),
         F.sum(F.coalesce(F.col("retry_input_tokens") + F.col("retry_output_tokens"), F.lit(0))).alias("retries"),
     )
     key = F.concat_ws("|", "arm", "case_id")
+    won, usage = F.col("won"), {}
+    if predictions is not None:
+        said = predictions.select("arm", "case_id", F.col("status").alias("said"), *[F.col(c).alias(f"said_{c}") for c in TOKEN_FIELDS])
+        grouped = grouped.join(said, ["arm", "case_id"], "left")
+        won = F.col("said") == "success"
+        other = reduce(Column.__or__, [~F.col(f"sum_{c}").eqNullSafe(F.col(f"said_{c}")) for c in TOKEN_FIELDS])
+        usage = {"usage_differs": F.col("known") & F.col("said_total_tokens").isNotNull() & other}
     good = (F.col("first") == 1) & (F.col("second") == F.col("n") - 1) & (F.col("n") <= 2)
     rows = violations(
         grouped,
@@ -374,8 +389,9 @@ def call_sequences(calls: DataFrame, cases: DataFrame, stages: dict[tuple[str, i
         {
             "indexes": ~good,
             "stage": F.col("wrong_stage") > 0,
-            "success_needs_two_calls": (F.col("failed") == 0) & (F.col("n") < 2),
+            "success_needs_two_calls": won & (F.col("n") != 2),
             "retry_usage": F.col("retries") > 0,
+            **usage,
         },
     )
     extra = grouped.join(cases.select("case_id").distinct(), "case_id", "left_anti")

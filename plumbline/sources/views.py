@@ -118,10 +118,26 @@ SELECT event_id, user_id AS case_id,
        CASE WHEN event_id % 97 <> 0 THEN event_id % 2 END AS retry_output_tokens,
        CASE WHEN event_id % 97 <> 0 THEN CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) * 10
             + CAST(floor(value) AS BIGINT) + event_id % 4 + event_id % 2 END AS total_tokens,
-       value AS latency_ms
+       value AS latency_ms,
+       CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'timeout' ELSE 'incomplete' END END AS error_type,
+       'key-' || CAST(event_id AS STRING) AS cache_key,
+       'contract-' || CAST(user_id AS STRING) AS call_contract_sha256,
+       'model-' || CAST(user_id % 25 AS STRING) AS requested_model,
+       CASE WHEN event_type <> 'error' THEN 'model-' || CAST(user_id % 25 AS STRING) END AS reported_model,
+       CASE WHEN event_type <> 'error' THEN 'raw-' || CAST(event_id AS STRING) END AS raw_response_sha256,
+       CASE WHEN event_id % 10 = 0 THEN 'validated_contract_migration' ELSE 'provider_call' END AS cache_origin,
+       CASE WHEN event_id % 10 = 0 THEN 'source-' || CAST(event_id AS STRING) END AS source_cache_key
 FROM {events}"""
 
 
+def _pricing(b, arms):
+    """Whole billionths of a dollar for a token, by model."""
+    return """
+SELECT 'model-' || CAST(n_nationkey AS STRING) AS requested_model,
+       CAST(100 + n_nationkey * 17 AS BIGINT) AS input_nano, CAST(1000 + n_regionkey * 750 + n_nationkey AS BIGINT) AS output_nano
+FROM {nation}"""
+
+
 def _reviews(b, arms):
     return f"""
 SELECT item_id, human_label, human_flag, draft_label, draft_flag,
@@ -200,6 +216,7 @@ _BUILDERS = {
     "predictions": (_predictions, ["gold"]),
     "gp": (_gp, ["gold", "predictions"]),
     "calls": (_calls, []),
+    "pricing": (_pricing, []),
     "reviews": (_reviews, []),
     "resolutions": (_resolutions, ["reviews"]),
     "vectors": (_vectors, []),
@@ -305,6 +322,10 @@ class Tables:
     def reviews(self) -> DataFrame:
         return self._view("reviews")
 
+    @functools.cached_property
+    def pricing(self) -> DataFrame:
+        return self._view("pricing")
+
     @functools.cached_property
     def resolutions(self) -> DataFrame:
         return self._view("resolutions")

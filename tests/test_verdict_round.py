@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import compare, evaluate, quality, review, split
+from plumbline.operators import budget, compare, evaluate, quality, review, split
 from plumbline.plans import matrix
 from plumbline.plans.run_report import run_report
 from plumbline.sources.views import INTENTS, Tables
@@ -101,3 +101,23 @@ def test_tagged_cases_without_turns_or_quote_are_judged(spark):
     assert got == {("1", "final_role"), ("1", "quote_missing"), ("2", "turns_missing"), ("3", "turns_missing")}
     untagged = {(r["key"], r["detail"]) for r in quality.final_turn_rules(turns, quotes, "id").collect()}
     assert untagged == {("1", "final_role"), ("1", "quote_missing")}
+
+
+def test_a_prediction_decides_whether_two_calls_are_needed_and_its_usage_is_their_sum(spark):
+    fields = "input_tokens bigint, output_tokens bigint, retry_input_tokens bigint, retry_output_tokens bigint, total_tokens bigint"
+    rows = [("A", 1, 1, "x", "success", 5, 1, 0, 0, 6), ("A", 2, 1, "x", "success", 5, 1, 0, 0, 6), ("A", 2, 2, "y", "success", 5, 1, 0, 0, 6)]
+    rows += [("A", 3, 1, "x", "success", 5, 1, 0, 0, 6), ("A", 4, 1, "x", "success", None, None, None, None, None), ("A", 4, 2, "y", "success", 5, 1, 0, 0, 6)]
+    calls = spark.createDataFrame(rows, f"arm string, case_id bigint, call_index bigint, stage string, status string, {fields}")
+    said = [("A", 1, "schema_invalid", 5, 1, 0, 0, 6), ("A", 2, "success", 10, 3, 0, 0, 12), ("A", 3, "success", 5, 1, 0, 0, 6), ("A", 4, "success", 9, 9, 0, 0, 18)]
+    predictions = spark.createDataFrame(said, f"arm string, case_id bigint, status string, {fields}")
+    got = quality.call_sequences(calls, calls, {("A", 1): ["x"], ("A", 2): ["y"]}, predictions).collect()
+    assert {(r["key"], r["detail"]) for r in got} == {("A|2", "usage_differs"), ("A|3", "success_needs_two_calls")}
+
+
+def test_calls_without_a_price_leave_the_cost_open(spark):
+    fields = "input_tokens bigint, output_tokens bigint, retry_input_tokens bigint, retry_output_tokens bigint, total_tokens bigint, latency_ms double"
+    rows = [("A", 1, "m", 10, 2, None, 1, 13, 5.0), ("A", 1, "m", 1, 1, 0, 0, 2, 5.0), ("A", 2, "other", 1, 1, 0, 0, 2, 1.0), ("B", 1, "m", None, None, None, None, None, 1.0)]
+    calls = spark.createDataFrame(rows, f"arm string, case_id bigint, requested_model string, {fields}")
+    pricing = spark.createDataFrame([("m", 100, 1000)], "requested_model string, input_nano bigint, output_nano bigint")
+    got = {(r["arm"], r["case_id"]): r["cost"] for r in budget.case_budgets(calls, pricing).collect()}
+    assert got == {("A", 1): 5.1e-06, ("A", 2): None, ("B", 1): None}
