@@ -35,11 +35,14 @@ def test_unknown_evidence_is_never_promising(spark):
 
 
 def test_neighbouring_seeds_share_no_more_than_distant_ones(spark):
-    clusters = spark.range(1, 101).select(F.lit("d").alias("domain"), F.col("id").alias("slot"))
+    columns = ["a", "b", "c"]
+    powers = [F.pow("id", F.lit(k)).cast("long").alias(c) for k, c in enumerate(columns, 1)]
+    clusters = spark.range(1, 101).select(F.lit("d").alias("domain"), *powers)
+    classes = compare.vector_classes(clusters, columns).cache()
 
     def draws(seed):
-        rows = compare.draw(clusters, 40, seed, 2).groupBy("iteration").agg(F.array_sort(F.collect_list("slot")).alias("s")).collect()
-        return {tuple(r["s"]) for r in rows}
+        rows = compare.drawn_sums(classes, {"d": 100}, columns, 40, seed).collect()
+        return {tuple(r[c] for c in columns) for r in rows}
 
     first = draws(7)
     assert len(first) == 40 and not first & draws(8) and not first & draws(900)
