@@ -1,11 +1,19 @@
 """Embedding prototypes: selection, centroids, scores, gates and the threshold grid."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import labels as L
+from plumbline.functions.lineage import cut
 from plumbline.schemas import DECISIONS
 
+#: Components, and rows, of a block of queries or of centroids at most.
+NUMBERS, ROWS = 1 << 20, 2048
+#: What a meeting of a block of queries and one of centroids returns.
+MET = [("_row", pa.int64()), *[(f"{p}_{c}", k) for p in ("first", "second") for c, k in (("score", pa.float64()), ("label", pa.string()))]]
+MET += [("no_intent_score", pa.float64()), ("oos_score", pa.float64())]
 AXES = ["tau_actionability", "tau_oos_margin", "tau_activity_min", "tau_ambiguity"]
 
 
@@ -52,35 +60,82 @@ def centroids(vectors: DataFrame, label: str) -> DataFrame:
     return lined.select(label, let(F.transform("pv", lambda p: p["v"]), unit).alias("embedding"))
 
 
-def scores(queries: DataFrame, centers: DataFrame, label: str, digits: int = 9) -> DataFrame:
-    """Cosine with every centroid in one row. The centroids (labels x dimensions) come in as one value."""
-    packed = centers.agg(F.collect_list(F.struct(F.col(label).alias("label"), F.col("embedding").alias("e"))).alias("c"))
-
-    def cosine(q, e):
-        return F.round(F.aggregate(F.zip_with(q, e, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x), digits)
-
-    def all_labels(q):
-        return F.transform("_c", lambda c: F.struct((-cosine(q, c["e"])).alias("neg"), c["label"].alias("label")))
-
-    scored = queries.withColumn("_c", packed.scalar()).withColumn("_s", let(unit(F.col("embedding")), all_labels))
-    named = lambda name: -F.filter("_s", lambda s: s["label"] == name)[0]["neg"]
-    rivals = F.array_sort(F.filter("_s", lambda s: ~s["label"].isin("oos", "no_intent")))
-    out = scored.withColumns({"_r": rivals, "no_intent_score": named("no_intent"), "oos_score": named("oos")}).withColumns(
+def _packed(column, dims: int) -> np.ndarray:
+    """A list column as a matrix of unit rows; short lists are filled up with zeros."""
+    column = column.combine_chunks()
+    sizes = np.diff(column.offsets.to_numpy())
+    out = np.zeros((len(column), dims))
+    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[np.repeat(np.arange(len(column)), sizes), place] = column.flatten().to_numpy(zero_copy_only=False)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
+def _products(dims: int, digits: int):
+    """The best two labels of each query among a block of centroids, and its scores with the two that are no intents."""
+
+    def meet(queries: pa.Table, centers: pa.Table) -> pa.Table:
+        if not len(queries) or not len(centers):
+            return pa.table({name: pa.array([], kind) for name, kind in MET})
+        order = np.argsort(np.array(centers["label"].to_pylist(), object), kind="stable")  # of equal scores the first label wins
+        names = np.array(centers["label"].to_pylist(), object)[order]
+        # the whole product is in blocks; + 0.0 makes every zero the same one
+        found = np.round(_packed(queries["e"], dims) @ _packed(centers["e"], dims)[order].T, digits) + 0.0
+        rivals = np.flatnonzero(~np.isin(names, ["oos", "no_intent"]))
+        best = rivals[np.argsort(-found[:, rivals], axis=1, kind="stable")[:, :2]] if len(rivals) else np.empty((len(queries), 0), int)
+        rows = np.arange(len(queries))
+        columns = {"_row": queries["_row"].to_pylist()}
+        for i, place in enumerate(("first", "second")):
+            here = best[:, i] if best.shape[1] > i else None
+            columns[f"{place}_score"] = [None] * len(rows) if here is None else found[rows, here].tolist()
+            columns[f"{place}_label"] = [None] * len(rows) if here is None else names[here].tolist()
+        for name in ("no_intent", "oos"):
+            at = np.flatnonzero(names == name)
+            columns[f"{name}_score"] = found[:, at[0]].tolist() if len(at) else [None] * len(rows)
+        return pa.table([pa.array(columns[name], kind) for name, kind in MET], names=[name for name, _ in MET])
+
+    return meet
+
+
+def scores(queries: DataFrame, centers: DataFrame, label: str, digits: int = 9, numbers: int = NUMBERS) -> DataFrame:
+    """Cosines with all centroids as matrix products of blocks; a meeting keeps a query's best two labels only.
+
+    Blocks of queries and of centroids hold ``numbers`` components, so neither the centroids nor anything else is in one place, and
+    the plan is the same for five labels and for a million.
+    """
+    rows = cut(queries.withColumn("_row", F.monotonically_increasing_id()))
+    named = cut(centers.select(F.col(label).alias("label"), F.col("embedding").alias("e")))
+    n, dims = rows.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    labels, other = named.agg(F.count("*"), F.max(F.size("e"))).first()
+    dims = max(dims or 1, other or 1, 1)
+    in_block = max(1, min(numbers // dims, ROWS))
+    wide, long = max(1, -(-n // in_block)), max(1, -(-labels // in_block))
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    deal = lambda by, parts: F.pmod(F.xxhash64(by), F.lit(parts)).cast("int")
+    left = rows.select("_row", F.col("embedding").alias("e"), deal("_row", wide).alias("i"), every(long).alias("j"))
+    right = named.select("label", "e", deal("label", long).alias("j")).withColumn("i", every(wide))
+    kinds = ", ".join(f"{name} {'string' if kind == pa.string() else 'bigint' if kind == pa.int64() else 'double'}" for name, kind in MET)
+    met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_products(dims, digits), kinds)
+    pair = lambda place: F.struct((-F.col(f"{place}_score")).alias("neg"), F.col(f"{place}_label").alias("label"))
+    both = F.array_compact(F.flatten(F.collect_list(F.array(*[F.when(F.col(f"{p}_label").isNotNull(), pair(p)) for p in ("first", "second")]))))
+    found = met.groupBy("_row").agg(F.array_sort(both).alias("_r"), F.max("no_intent_score").alias("no_intent_score"), F.max("oos_score").alias("oos_score"))
+    found = found.withColumns(
         {
-            "top_intent": F.col("_r")[0]["label"],
-            "second_intent": F.col("_r")[1]["label"],
-            "activity_score": -F.col("_r")[0]["neg"],
-            "second_score": -F.col("_r")[1]["neg"],
+            "top_intent": F.get("_r", F.lit(0))["label"],
+            "second_intent": F.get("_r", F.lit(1))["label"],
+            "activity_score": -F.get("_r", F.lit(0))["neg"],
+            "second_score": -F.get("_r", F.lit(1))["neg"],
         }
-    )
+    ).drop("_r")
     best = F.greatest("activity_score", "oos_score") - F.col("no_intent_score")
+    out = rows.drop("embedding").join(found, "_row", "left").drop("_row")
     return out.withColumns(
         {
             "actionability": F.round(best, digits),
             "oos_margin": F.round(F.col("oos_score") - F.col("activity_score"), digits),
             "ambiguity_margin": F.round(F.col("activity_score") - F.col("second_score"), digits),
         }
-    ).drop("_c", "_s", "_r", "embedding")
+    )
 
 
 def gated(taus: dict[str, Column]) -> Column:
