@@ -762,12 +762,15 @@ LEAK_NAMES = ["ther", "eaux", "tion", "oron", "hain the"]
 
 @query(
     "v24_leaked_names",
-    "SELECT 'V24' AS rule, CAST(doc_id AS VARCHAR) AS key, name AS detail FROM documents, (VALUES "
+    "WITH n AS (SELECT DISTINCT regexp_extract(text, '^[^ ]+ [^ ]+') AS name FROM benchmark UNION VALUES "
     + ", ".join(f"('{n}')" for n in LEAK_NAMES)
-    + ") n(name) WHERE contains(text, name)",
+    + ") SELECT 'V24' AS rule, CAST(doc_id AS VARCHAR) AS key, name AS detail FROM documents, n WHERE name <> '' AND contains(text, name)",
 )
 def v24(t):
-    return Q.leaked_names(t.documents, "doc_id", "text", LEAK_NAMES)
+    """Names are the first two words of each benchmark item, and a few that are known to occur."""
+    opening = t.benchmark.select(F.regexp_extract("text", "^[^ ]+ [^ ]+", 0).alias("name"))
+    names = opening.unionByName(t.spark.range(1).select(F.explode(F.array(*map(F.lit, LEAK_NAMES))).alias("name")))
+    return Q.leaked_names(t.documents, "doc_id", "text", names)
 
 
 @query(

@@ -2,10 +2,12 @@
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import labels as L
+from plumbline.functions.lineage import cut
 from plumbline.functions.skew import skew_join
 from plumbline.operators.budget import TOKEN_FIELDS
 from plumbline.functions.text import context_text, normalise_evidence
@@ -430,10 +432,44 @@ def formed_truth_table(formed: DataFrame) -> DataFrame:
     )
 
 
-def leaked_names(df: DataFrame, key: str, text: str, names: list[str]) -> DataFrame:
-    """Whole texts against the taxonomy's names, inside the JVM and without pairing rows with names."""
-    hits = F.array_compact(F.array(*[F.when(F.contains(F.col(text), F.lit(n)), F.lit(n)) for n in names]))
-    return violation(df.withColumn("_name", F.explode(hits)), "V24", key, F.col("_name"))
+#: Bytes of the names that are looked for in one pass over the texts.
+NAME_BYTES = 8 << 20
+
+
+def leaked_names(df: DataFrame, key: str, text: str, names: DataFrame, name_bytes: int = NAME_BYTES) -> DataFrame:
+    """Every name of a taxonomy table (``name``) that occurs anywhere in a whole text.
+
+    An automaton finds all names of a block in one pass over a text, however many they are, so no text is paired with names and
+    none is shuffled. A block of names is sent to the executors; blocks hold ``name_bytes`` at most, but for single longer names, and a
+    table of more is gone through block by block. Null and empty names and null texts match nothing.
+    """
+    known = cut(names.select(F.col("name").cast("string").alias("name")).filter("name <> ''").distinct())
+    total = known.agg(F.sum(F.octet_length("name"))).first()[0] or 0
+    blocks = max(1, -(-total // name_bytes))
+    context, found = df.sparkSession.sparkContext, None
+    texts = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).filter("text IS NOT NULL")
+    for block in range(blocks):
+        part = known.filter(F.pmod(F.xxhash64("name"), F.lit(blocks)) == block)
+        sent = context.broadcast(sorted(r["name"] for r in part.collect()))
+        hits = texts.mapInArrow(_names_in(sent), "key string, name string")
+        found = hits if found is None else found.unionByName(hits)
+    return violation(found, "V24", "key", F.col("name"))
+
+
+def _names_in(sent):
+    def hits(batches):
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for name in sent.value:
+            automaton.add_word(name, name)
+        automaton.make_automaton()
+        for batch in batches:
+            keys, texts = batch.column("key").to_pylist(), batch.column("text").to_pylist()
+            pairs = [(k, n) for k, t in zip(keys, texts, strict=True) if len(automaton) for n in sorted({n for _, n in automaton.iter(t)})]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)], names=["key", "name"])
+
+    return hits
 
 
 def catalog_difference(wanted: DataFrame, found: DataFrame, references: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Cases the registered tables do not hold: repeats, unknown evidence, neighbouring seeds, missing calls, giant groups."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from plumbline.operators import budget, compare, evaluate, quality, review, split
@@ -124,3 +126,19 @@ def test_calls_without_a_price_leave_the_cost_open(spark):
     pricing = spark.createDataFrame([("m", 100, 1000)], "requested_model string, input_nano bigint, output_nano bigint")
     got = {(r["arm"], r["case_id"]): r["cost"] for r in budget.case_budgets(calls, pricing).collect()}
     assert got == {("A", 1): 5.1e-06, ("A", 2): None, ("B", 1): None}
+
+
+def test_names_of_a_table_of_any_size_are_found_in_whole_texts(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcé") for _ in range(rng.randrange(1, 7))) for _ in range(400)]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(40)))) for i in range(60)] + [(60, ""), (61, None), (62, "x" * 5000 + words[0])]
+    names = [(w,) for w in words[:200]] + [(f"{words[3]} {words[4]}",), ("",), (None,), ("not there",), (words[1],)]
+    want = {(str(i), n) for i, t in texts if t for (n,) in names if n and n in t}
+    df, table = spark.createDataFrame(texts, "id int, text string").repartition(3), spark.createDataFrame(names, "name string")
+    for limit in (quality.NAME_BYTES, 100):
+        got = [(r["key"], r["detail"]) for r in quality.leaked_names(df, "id", "text", table, limit).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    many = spark.range(100_000).select(F.concat(F.lit("name "), "id", F.lit(" of it")).alias("name"))
+    one = spark.createDataFrame([(1, "so name 4711 of it, and name 99999 of it."), (2, "name 100000 of it")], "id int, text string")
+    assert {r["detail"] for r in quality.leaked_names(one, "id", "text", many).collect()} == {"name 4711 of it", "name 99999 of it"}
+    assert quality.leaked_names(df, "id", "text", table.filter("false")).collect() == []
