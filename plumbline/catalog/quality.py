@@ -517,6 +517,50 @@ def v17(t):
     )
 
 
+@query(
+    "v17_candidate_rules",
+    f"""WITH d AS (SELECT case_id, decision, target_intent,
+       case_id IN (SELECT case_id FROM tags WHERE tag = 'multi_turn') AS multi,
+       CASE WHEN {mut('V17h', 'case_id')} THEN 'human_authored' ELSE 'llm_assisted_pending_human_review' END AS source,
+       CASE WHEN {mut('V17i', 'case_id')} THEN 'reviewed' ELSE 'draft' END AS status,
+       CASE WHEN {mut('V17j', 'case_id')} THEN 'replace-me' ELSE CAST(scenario_id AS VARCHAR) END AS relation,
+       {mut('V17k', 'case_id')} AS turned, CASE WHEN {mut('V17l', 'case_id')} THEN 'fly_kite' ELSE recent_activity END AS recent,
+       {mut('V17m', 'case_id', 4)} AS brandless, state_summary || CASE WHEN {mut('V17n', 'case_id', 5)} THEN ' with the kite' ELSE '' END AS state, dialogue
+     FROM gold) """
+    + clauses(
+        "d",
+        "V17",
+        "case_id",
+        {
+            "source_not_pending": "source <> 'llm_assisted_pending_human_review'",
+            "status_not_draft": "status <> 'draft'",
+            "relation_placeholder": "contains(relation, 'replace-')",
+            "turn_shape_disagrees": "turned",
+            "unknown_recent_activity": "recent NOT IN (" + ", ".join(f"'{i}'" for i in INTENTS) + ")",
+            "brandless_xhs_candidate": "brandless AND (decision <> 'in_scope' OR target_intent IS DISTINCT FROM 'intent_0' OR contains(state, 'kite') OR contains(dialogue, 'kite'))",
+        },
+    ),
+    "gold tags",
+)
+def v17d(t):
+    """Drafts as they should be, with known slices that are not."""
+    multi = F.array_contains("tags", "multi_turn")
+    kept = F.filter("tags", lambda x: x != "brandless_xhs")
+    drafts = t.gold.select(
+        "case_id",
+        "decision",
+        "target_intent",
+        F.when(hit("V17m", "case_id", 4), F.concat(kept, F.array(F.lit("brandless_xhs")))).otherwise(kept).alias("tags"),
+        F.when(hit("V17h", "case_id"), "human_authored").otherwise("llm_assisted_pending_human_review").alias("source"),
+        F.when(hit("V17i", "case_id"), "reviewed").otherwise("draft").alias("adjudication_status"),
+        F.array(F.when(hit("V17j", "case_id"), "replace-me").otherwise(F.col("scenario_id").cast("string")), F.col("contrast_id").cast("string")).alias("relations"),
+        F.when(multi != hit("V17k", "case_id"), 2).otherwise(0).alias("n_turns"),
+        F.array_compact(F.array(F.when(hit("V17l", "case_id"), "fly_kite").otherwise(F.col("recent_activity")))).alias("recent"),
+        F.array(F.concat("state_summary", F.when(hit("V17n", "case_id", 5), " with the kite").otherwise("")), F.col("dialogue")).alias("carriers"),
+    )
+    return Q.candidate_rules(drafts, INTENTS, {"brandless_xhs": ("intent_0", "kite")})
+
+
 @query(
     "v17_final_turn",
     f"""WITH {QUOTE_SQL},

@@ -616,6 +616,36 @@ def p16(t):
     )
 
 
+FORMED_JSON = """'{"action":"walk","alternative_actions":[],"desired_experience":' || ex || ',"evidence_status":"clear","horizon":"' || horizon
+   || '","object":null,"qualifiers":["' || decision || '"],"reason_short":"formed"}'"""
+ROUTED_JSON = f"""'{{"candidate_intents":[],"decision":"' || decision || '","predicted_intent":' || {_quoted('target_intent')} || ',"reason_short":"first of ' || decision
+   || '","slots":{{"desired_experience":' || ex || ',"horizon":"' || horizon || '","object":' || {_quoted('object_slot')} || '}}}}'"""
+CONTEXT_TEXT = """'{"state_summary":' || CAST(to_json(base_state) AS VARCHAR) || '}'"""
+STAGE_SQL = f"""fs AS (SELECT decision, case_id, {CONTEXT_TEXT} AS context, {FORMED_JSON} AS formed, {ROUTED_JSON} AS routed
+     FROM (SELECT *, {_quoted('desired_experience')} AS ex FROM gold) g WHERE case_id IN (SELECT min(case_id) FROM gold GROUP BY decision)),
+ sl AS (SELECT 'stage_a' AS form, string_agg('{{"context":' || context || ',"output":' || formed || '}}', chr(10) ORDER BY decision) AS shots FROM fs
+   UNION ALL SELECT 'stage_b', string_agg('{{"formed_intention":' || formed || ',"output":' || routed || '}}', chr(10) ORDER BY decision) FROM fs),
+ px AS (SELECT form, doc_id, 'Labels: ' || '{TAXONOMY}' || chr(10) || 'Examples:' || chr(10) || shots || chr(10) || 'Case: ' || text || chr(10) AS prompt
+   FROM documents CROSS JOIN sl)"""
+
+
+@query("p16_stage_prompts", f"WITH {STAGE_SQL} SELECT form, doc_id, sha256(prompt) AS prompt_hash, length(prompt) AS characters FROM px", "gold")
+def p16_stages(t):
+    """The requests of both stages, with few shots that carry formed intentions."""
+    formed = F.struct(
+        F.lit("clear").alias("evidence_status"), F.lit("walk").alias("action"), F.lit(None).cast("string").alias("object"), "desired_experience",
+        F.array("decision").alias("qualifiers"), F.array().cast("array<string>").alias("alternative_actions"), "horizon", F.lit("formed").alias("reason_short"),
+    )
+    examples = shots(t).withColumn("formed", formed)
+    parts = [
+        K.prompts(t.documents, TEMPLATE, TAXONOMY, examples, "text", form).select(
+            F.lit(form).alias("form"), "doc_id", F.sha2("prompt", 256).alias("prompt_hash"), F.char_length("prompt").cast("bigint").alias("characters")
+        )
+        for form in ("stage_a", "stage_b")
+    ]
+    return E.union(parts)
+
+
 IDENTITY_TEXT = {
     "adapter": "'\"adapter_v1beta\"'",
     "adapter_revision": "'\"v1\"'",

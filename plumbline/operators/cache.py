@@ -25,26 +25,40 @@ IDENTITY = [
 ]
 
 
-def few_shot_lines(shots: DataFrame) -> DataFrame:
-    """The few shots (at most a dozen rows) as JSON lines in order, one value."""
-    output = F.struct(
+#: The forms of a few shot: what a request shows of a case, and what it should answer. ``routing`` is that of one call; a case that is routed
+#: in two goes through ``stage_a``, which forms the intention from the context, and ``stage_b``, which routes it without the context.
+FORMS = {"routing": ("context", "routed"), "stage_a": ("context", "formed"), "stage_b": ("formed", "routed")}
+
+
+def few_shot_lines(shots: DataFrame, form: str = "routing") -> DataFrame:
+    """The few shots (at most a dozen rows) as JSON lines in order, one value.
+
+    ``shots`` has position, text, decision, target_intent, reason_short and the slots; for the two stages ``formed`` as well, a formed
+    intention. Gold evidence, review fields and relations have no place in any form.
+    """
+    routed = F.struct(
         F.array().cast("array<string>").alias("candidate_intents"),
         "decision",
         F.col("target_intent").alias("predicted_intent"),
         "reason_short",
         F.struct("desired_experience", "horizon", F.col("object_slot").alias("object")).alias("slots"),
     )
-    context = F.struct(F.col("text").alias("state_summary"))
-    shot = F.to_json(F.struct(context.alias("context"), output.alias("output")), {"ignoreNullFields": "false"})
+    parts = {"context": F.struct(F.col("text").alias("state_summary")), "routed": routed}
+    shown, answer = FORMS[form]
+    if "formed" in (shown, answer):
+        names = ["action", "alternative_actions", "desired_experience", "evidence_status", "horizon", "object", "qualifiers", "reason_short"]
+        parts["formed"] = F.struct(*[F.col(f"formed.{n}").alias(n) for n in names])
+    given = "context" if shown == "context" else "formed_intention"
+    shot = F.to_json(F.struct(parts[shown].alias(given), parts[answer].alias("output")), {"ignoreNullFields": "false"})
     ordered = F.array_sort(F.collect_list(F.struct("position", shot.alias("line"))))
     return shots.agg(F.array_join(F.transform(ordered, lambda s: s["line"]), "\n").alias("few_shots"))
 
 
-def prompts(contexts: DataFrame, template: str, taxonomy_json: str, shots: DataFrame, context: str) -> DataFrame:
-    """One rendered request per case, from its context alone."""
+def prompts(contexts: DataFrame, template: str, taxonomy_json: str, shots: DataFrame, context: str, form: str = "routing") -> DataFrame:
+    """One rendered request per case, from its context alone (its formed intention in ``stage_b``)."""
     filled = F.replace(F.lit(template), F.lit("{{TAXONOMY_JSON}}"), F.lit(taxonomy_json))
     filled = F.replace(filled, F.lit("{{FEW_SHOTS_JSONL}}"), F.col("_shots"))
-    return contexts.withColumn("_shots", few_shot_lines(shots).scalar()).withColumn(
+    return contexts.withColumn("_shots", few_shot_lines(shots, form).scalar()).withColumn(
         "prompt", F.replace(filled, F.lit("{{CONTEXT_JSON}}"), F.col(context))
     ).drop("_shots")
 

@@ -310,6 +310,29 @@ def draft_rules(gold: DataFrame, slice_targets: dict[str, list[str]]) -> DataFra
     return violations(gold, "V17", "case_id", clauses)
 
 
+def candidate_rules(drafts: DataFrame, intents: list[str], word_slices: dict[str, tuple[str, str]]) -> DataFrame:
+    """What a candidate must be before anybody has reviewed it.
+
+    ``drafts`` has case_id, decision, target_intent, tags, source, adjudication_status, relations (its relation ids), n_turns (of the
+    conversation), recent (activities) and carriers (the state and every turn). ``word_slices``: for a tag, the only target it may have,
+    in scope, and a word that no carrier of it may hold.
+    """
+    unknown = lambda names: F.size(F.array_except(names, F.array(*[F.lit(i) for i in intents]))) > 0
+    multi = F.coalesce(L.has_tag("multi_turn"), F.lit(False))
+    clauses = {
+        "source_not_pending": ~F.col("source").eqNullSafe("llm_assisted_pending_human_review"),
+        "status_not_draft": ~F.col("adjudication_status").eqNullSafe("draft"),
+        "relation_placeholder": F.exists("relations", lambda r: F.contains(r, F.lit("replace-"))),
+        "turn_shape_disagrees": multi != (F.coalesce("n_turns", F.lit(0)) > 0),
+        "unknown_recent_activity": unknown(F.col("recent")),
+    }
+    for tag, (target, word) in word_slices.items():
+        right = (F.col("decision") == "in_scope") & F.col("target_intent").eqNullSafe(target)
+        said = F.exists("carriers", lambda c: F.contains(c, F.lit(word)))  # noqa: B023
+        clauses[f"{tag}_candidate"] = L.has_tag(tag) & (~F.coalesce(right, F.lit(False)) | F.coalesce(said, F.lit(False)))
+    return violations(drafts, "V17", "case_id", clauses)
+
+
 def final_turn_rules(turns: DataFrame, quotes: DataFrame, id_column: str, tagged: DataFrame | None = None) -> DataFrame:
     """A multi-turn case ends with the assistant, and that turn carries the quote.
 
