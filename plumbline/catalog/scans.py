@@ -1,11 +1,13 @@
 """Queries for strict scans, publishing, batches, prompts, caches and whole pipelines."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from plumbline import schemas
-from plumbline.catalog.budget import CELLS, RATES, ROLE_SQL, role_labelled
+from plumbline.catalog.budget import CELLS, RATES, ROLE_SQL, SUMMARY_SQL, role_labelled
 from plumbline.catalog.comparison import GROUP_SQL, RISK, SPLIT_SQL, STATISTICS_SQL, greedy_sql  # noqa: F401
-from plumbline.catalog.evaluation import BAD_SQL, NORMAL_SQL, bad, counted
+from plumbline.catalog.evaluation import BAD_SQL, NORMAL_SQL, SLOTS, bad, counted
 from plumbline.catalog.quality import hit, mut
 from plumbline.catalog.registry import query
 from plumbline.catalog.review import AUDIT_SQL, ROLES, audit
@@ -20,7 +22,7 @@ from plumbline.plans.freeze import freeze
 from plumbline.schemas import DECISIONS
 from plumbline.sources import publish as P
 from plumbline.sources import scan as S
-from plumbline.sources.views import INTENTS, duck_bucket
+from plumbline.sources.views import ARMS, INTENTS, duck_bucket
 
 # ---- strict scans ----------------------------------------------------------------------------------------------
 
@@ -782,21 +784,32 @@ def a39(t):
 # ---- pipelines -------------------------------------------------------------------------------------------------
 
 
+_SUMMARY = re.sub(r"\bgp\b", "gw", (BAD_SQL + SUMMARY_SQL).removeprefix("WITH "))
+_METRICS = " ".join(f"UNION ALL SELECT 'summary', arm, '{m}', round({m}::DOUBLE, 9) FROM sm" for m in M.SUMMARY_METRICS)
+
+
 @query(
     "t13_robustness",
-    f"""WITH {ROLE_SQL}, {AUDIT_SQL}
+    f"""WITH gw AS (SELECT * FROM gp WHERE cluster_id % 16 >= 8), {_SUMMARY.rstrip()}, {ROLE_SQL}, {AUDIT_SQL}
     SELECT 'delta' AS part, a.arm AS name, 'hem' AS metric, round(a.hem - b.hem, 9) AS value FROM rs a JOIN rs b ON a.arm = b.arm AND a.role = 'weak' AND b.role = 'primary'
     UNION ALL SELECT 'delta', a.arm, 'success_count', a.success - b.success FROM rs a JOIN rs b ON a.arm = b.arm AND a.role = 'weak' AND b.role = 'primary'
     UNION ALL SELECT 'cap', arm, 'incomplete_calls', count(*) FILTER (error_type = 'incomplete') FROM calls GROUP BY 2
     UNION ALL SELECT 'cap', arm, 'within_one_of_cap', count(*) FILTER (error_type = 'incomplete' AND output_tokens >= 39) FROM calls GROUP BY 2
-    UNION ALL SELECT 'audit', role, stage_status, count(*) FROM au GROUP BY 2, 3""",
+    UNION ALL SELECT 'audit', role, stage_status, count(*) FROM au GROUP BY 2, 3 {_METRICS}
+    UNION ALL SELECT 'summary', arm, 'incomplete_prediction_count', count(*) FILTER (status <> 'success' AND {mut('T13', 'case_id', 5)}) FROM gw GROUP BY 2
+    UNION ALL SELECT 'formed', arm, 'formed_success_count', count(*) FILTER (status = 'success') FROM calls WHERE case_id % 2 = 0 GROUP BY 2
+    UNION ALL SELECT 'formed', arm, 'formed_failure_count', count(*) FILTER (status <> 'success') FROM calls WHERE case_id % 2 = 0 GROUP BY 2""",
     "gp predictions calls reviews",
 )
 def t13(t):
-    from plumbline.plans.matrix import robustness_report
-
+    """The weak role's runs; some of its failed predictions broke off, and half of the users' calls formed an intention."""
+    broken = (F.col("status") != "success") & hit("T13", "case_id", 5)
+    said = t.predictions.withColumn("error_type", F.when(broken, F.concat(F.lit("stage_a:"), F.lit("incomplete"))).otherwise(F.col("error_type")))
+    weak = t.gold.filter(F.col("cluster_id") % 16 >= 8)
+    rows = E.join_predictions(weak, said, ARMS, [*SLOTS, "latency_ms", "total_tokens"])
     matrix = M.run_matrix(role_labelled(t), CELLS, RATES)
-    return robustness_report(matrix, "weak", "primary", t.calls, 40, audit(t))
+    formed = t.calls.filter("case_id % 2 = 0").select("arm", "status")
+    return M.robustness_report(matrix, "weak", "primary", t.calls, 40, audit(t), rows, said.join(weak, "case_id", "left_semi"), formed, ARMS, INTENTS)
 
 
 _FREEZE_PHASES = [(f"target_intent = '{i}'", 1) for i in INTENTS] + [(f"decision = '{d}'", 4) for d in DECISIONS]

@@ -158,19 +158,44 @@ def pilot_verdicts(intervals: DataFrame, summaries: DataFrame, validity: DataFra
     return C.decide(evidence)
 
 
+SUMMARY_METRICS = ["prediction_count", "success_count", "failure_count", "hem", "decision_macro_f1", "intent_macro_f1", "near_oos_recall"]
+SUMMARY_METRICS += ["no_intent_recall", "context_distractor_errors", "schema_invalid", "p50", "p95", "total_tokens"]
+
+
 def robustness_report(
-    matrix: DataFrame, role: str, reference: str, calls: DataFrame, cap: int, audit_rows: DataFrame
+    matrix: DataFrame,
+    role: str,
+    reference: str,
+    calls: DataFrame,
+    cap: int,
+    audit_rows: DataFrame,
+    labelled: DataFrame,
+    predictions: DataFrame,
+    formed: DataFrame,
+    arms: list[str],
+    intents: list[str],
 ) -> DataFrame:
-    """Deltas of one role against its reference, pressure on the output cap, and audit coverage."""
+    """Each run of a role summarised, its deltas against the reference, pressure on the output cap, formed intentions, audit coverage.
+
+    ``labelled`` are the role's rows as ``run_summaries`` takes them, ``predictions`` (arm, error_type) what it stored, and ``formed``
+    (arm, status) its formed intentions. A total that is not known has a null value.
+    """
     def tall(df, part, name, metrics):
         entries = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]
         return df.select(F.lit(part).alias("part"), F.col(name).alias("name"), F.inline(F.array(*entries)))
 
     fields = ["hem", "success_count"]
     deltas = B.run_deltas(matrix, role, reference, fields).select("arm", *[F.col(f"{f}_delta").alias(f) for f in fields])
+    ended = F.coalesce(F.endswith("error_type", F.lit("incomplete")), F.lit(False))
+    cut_off = predictions.groupBy("arm").agg(F.sum(L.as_flag(ended)).alias("incomplete_prediction_count"))
+    won = L.as_flag(F.col("status") == "success")
+    shaped = formed.groupBy("arm").agg(F.sum(won).alias("formed_success_count"), F.sum(1 - won).alias("formed_failure_count"))
     coverage = audit_rows.groupBy("role", "stage_status").agg(F.count("*").alias("n"))
     return E.union(
         [
+            tall(run_summaries(labelled, arms, intents, reference), "summary", "arm", SUMMARY_METRICS),
+            tall(cut_off, "summary", "arm", ["incomplete_prediction_count"]),
+            tall(shaped, "formed", "arm", ["formed_success_count", "formed_failure_count"]),
             tall(deltas, "delta", "arm", fields),
             tall(B.cap_pressure(calls, cap), "cap", "arm", ["incomplete_calls", "within_one_of_cap"]),
             coverage.select(
