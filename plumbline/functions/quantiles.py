@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from plumbline.functions.lineage import cut
 
 BITS, PASSES = 16, 4
+#: Wanted ranks that are broadcast at most.
+BROADCAST_RANKS = 100_000
 LOWER = np.int64(2**63 - 1)
 
 
@@ -58,12 +60,16 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probabilities: lis
             ranks.append(F.struct(F.lit(2 * i + j).alias("t"), edge.cast("long").alias("rank"), (place - F.floor(place)).alias("part")))
     wanted = total.select("_g", F.inline(F.array(*ranks)))
     held = cut(_held(wanted.join(first, "_g"), ["_g", "t"]))
+    # as many rows in every pass; where they are few, the values need no shuffle to meet them
+    few = held.count() <= BROADCAST_RANKS
     for level in range(1, PASSES):
         shift = 64 - BITS * (level + 1)
         open_rows = rows.withColumn("prefix", F.shiftright("bits", shift + BITS))
-        open_rows = open_rows.join(held.select("_g", F.col("bits").alias("prefix")).distinct(), ["_g", "prefix"], "left_semi")
+        wanted = held.withColumnRenamed("bits", "prefix")
+        wanted = F.broadcast(wanted) if few else wanted
+        open_rows = open_rows.join(wanted.select("_g", "prefix"), ["_g", "prefix"], "left_semi")
         counted = open_rows.groupBy("_g", "prefix", F.shiftright("bits", shift).alias("bits")).agg(F.count("*").alias("n"))
-        held = cut(_held(held.withColumnRenamed("bits", "prefix").join(counted, ["_g", "prefix"]), ["_g", "t"]))
+        held = cut(_held(counted.join(wanted, ["_g", "prefix"]), ["_g", "t"]))
     found = held.select("_g", "t", "part", from_bits("bits").alias("v"))
     at = lambda t, c: F.max(F.when(F.col("t") == t, F.col(c)))
     columns = []

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import labels as L
+from plumbline.functions.lineage import cut
 from plumbline.functions.quantiles import exact_quantiles
 
 TOKEN_FIELDS = ["input_tokens", "output_tokens", "retry_input_tokens", "retry_output_tokens", "total_tokens"]
@@ -57,6 +58,22 @@ def distribution(df: DataFrame, by: list[str], value: str, name: str, digits: in
     return both.withColumns(rounded).drop("_p50", "_p95")
 
 
+def distributions(df: DataFrame, by: list[str], values: dict[str, str], digits: int = 6) -> DataFrame:
+    """A25 for several values of the same groups (name to column), whose quantiles are found together."""
+    basic = []
+    for name, value in values.items():
+        basic += [
+            F.count(value).alias(f"{name}_count"),
+            F.min(F.col(value).cast("double")).alias(f"{name}_min"),
+            F.round(F.avg(value), digits).alias(f"{name}_mean"),
+            F.max(F.col(value).cast("double")).alias(f"{name}_max"),
+        ]
+    each = F.array(*[F.struct(F.lit(name).alias("_name"), F.col(value).cast("double").alias("_v")) for name, value in values.items()])
+    found = exact_quantiles(df.select(*by, F.inline(each)), [*by, "_name"], "_v", [0.5, 0.95], ["p50", "p95"])
+    wide = [F.round(F.max(F.when(F.col("_name") == name, F.col(q))), digits).alias(f"{name}_{q}") for name in values for q in ("p50", "p95")]
+    return df.groupBy(*by).agg(*basic).join(found.groupBy(*by).agg(*wide), by, "left")
+
+
 def priced(calls: DataFrame, pricing: DataFrame, model: str = "requested_model") -> DataFrame:
     """Calls with ``nano``, their cost in billionths of a dollar, retries included; null without a price or a known usage.
 
@@ -107,13 +124,13 @@ def stage_summary(calls: DataFrame, pricing: DataFrame) -> DataFrame:
         *[F.sum(c).alias(c) for c in TOKEN_FIELDS],
         *_cost(),
     )
-    spread = [distribution(calls, ["arm", "stage"], value, name) for value, name in (("total_tokens", "tokens"), ("latency_ms", "latency"))]
-    return _with_cost(totals).join(spread[0], ["arm", "stage"]).join(spread[1], ["arm", "stage"])
+    spread = distributions(calls, ["arm", "stage"], {"tokens": "total_tokens", "latency": "latency_ms"})
+    return _with_cost(totals).join(spread, ["arm", "stage"])
 
 
 def arm_summary(calls: DataFrame, pricing: DataFrame) -> DataFrame:
     """Totals of calls beside distributions over cases. A call is incremental in the first arm that has its key."""
-    cases = _case_sums(calls, pricing)
+    cases = cut(_case_sums(calls, pricing))
     won = F.sum(L.as_flag(F.col("status") == "success"))
     per_call = calls.groupBy("arm").agg(won.alias("success_calls"), (F.count("*") - won).alias("failed_calls"))
     incremental = (
@@ -121,8 +138,7 @@ def arm_summary(calls: DataFrame, pricing: DataFrame) -> DataFrame:
     )
     per_case = _with_cost(cases.groupBy("arm").agg(*[F.sum(c).alias(c) for c in TOKEN_FIELDS], *_cost()))
     return (
-        per_case.join(distribution(cases, ["arm"], "total_tokens", "case_tokens"), "arm")
-        .join(distribution(cases, ["arm"], "latency_ms", "case_latency"), "arm")
+        per_case.join(distributions(cases, ["arm"], {"case_tokens": "total_tokens", "case_latency": "latency_ms"}), "arm")
         .join(per_call, "arm")
         .join(incremental, "arm", "left")
         .fillna(0, ["incremental_calls"])
