@@ -21,7 +21,9 @@ GROUP_WORDS, KEPT_WORDS = 400_000, 400_000
 
 
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    """Runs of letters, in lower case; the pattern takes digits such as a raised two for letters, which ``isalpha`` does not."""
+    found = LETTERS.findall(text.lower()) if text else []
+    return [p for w in found for p in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def features(word: str) -> tuple[list[int], list[float]]:
