@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.lineage import cut
 from plumbline.functions.skew import skew_join
 from plumbline.llm import setjoin
-from plumbline.llm.common import LOWER, UPPER, query, table
+from plumbline.llm.common import LOWER, UPPER, query, row_key, table
 from plumbline.llm.words import rolling_hashes, texts
 
 
@@ -26,14 +26,14 @@ def _key(tokens: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(digest, np.int64).tolist())
 
 
-def _keys(k: int):
+def _keys(k: int, keep: list[str]):
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, k) for t in texts(batch)]
             both = [_key(s) for s in sets]
             columns = [pa.array([b[i] for b in both], pa.int64()) for i in (0, 1)]
             sizes = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns, sizes], names=["doc_id", "k", "k2", "n"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keep), *columns, sizes], names=[*keep, "k", "k2", "n"])
 
     return keys
 
@@ -64,31 +64,35 @@ def _sets(k: int):
 
 
 def join_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id) of every row of ``docs`` (doc_id, text).
+    """(doc_id, key, n_shingles, class_id, component, component_id) of every row of ``docs`` (doc_id, text).
 
     Rows of equal sets are a class, named by its smallest doc_id; the join runs over classes (see ``setjoin``), and
-    component_id is the smallest doc_id that links lead to. Null and empty texts have no shingle and link with
-    nothing, themselves aside. Rows that repeat a doc_id are rows of their own; a row without an id takes part in its
-    class only, and a class without any id has none. Texts are read three times, but only hashes are shuffled.
+    component_id is the smallest doc_id that links lead to. Sets decide and not ids: rows that repeat a doc_id with other
+    texts are linked by their own texts, and rows without an id take part like others; a component of such rows only has no
+    component_id, but a name in ``component``. ``key`` is the ``row_key``. Null and empty texts have no shingle, no component
+    name, and link with nothing, themselves aside. Within the join a set goes by 64 bits of its digest. Texts are read three
+    times, but only hashes are shuffled.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = cut(rows.mapInArrow(_keys(k), "doc_id long, k long, k2 long, n long"))
-    classes = keyed.filter("n > 0").groupBy("k", "k2", "n").agg(F.min("doc_id").alias("class_id"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
+    keyed = cut(rows.mapInArrow(_keys(k, ["doc_id", "key"]), "doc_id long, key string, k long, k2 long, n long"))
+    classes = keyed.filter("n > 0").groupBy("k", "k2", "n").agg(F.min("doc_id").alias("class_id"), F.min("key").alias("key"))
     lone = setjoin.unlinked(rows.select("text").mapInArrow(_sampled_tokens(k), "k long, token long"))
-    open_sets = classes.filter("n > 3 AND class_id IS NOT NULL").join(lone, "k", "left").filter("coalesce(lone, 0) <= floor(n / 5)")
-    open_sets = cut(open_sets.select(F.col("class_id").alias("doc_id"), "k"))
-    chosen = open_sets.select("doc_id")
+    open_sets = classes.filter("n > 3").join(lone, "k", "left").filter("coalesce(lone, 0) <= floor(n / 5)")
+    chosen = cut(open_sets.select("key", F.col("k").alias("node")))
     if chosen.count() <= setjoin.BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
-    first = rows.join(chosen, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
-    # where a doc_id repeats with other texts, only the text of the class counts
-    sets = cut(first.mapInArrow(_sets(k), "node long, n long, tokens array<long>").dropDuplicates(["node", "n"]))
-    found = setjoin.linked_components(sets, percent).select(F.col("node").alias("class_id"), "component")
-    named = cut(classes.join(found, "class_id", "left"))
-    named = named.select("k", "k2", "n", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    first = rows.select("key", "text").join(chosen, "key").select("node", "text")
+    sets = cut(first.mapInArrow(_sets(k), "node long, n long, tokens array<long>").dropDuplicates(["node"]))
+    found = setjoin.linked_components(sets, percent).select(F.col("node").alias("k"), "component")
+    named = skew_join(classes.drop("key"), found, ["k"], "left").withColumn("component", F.coalesce("component", "k"))
+    named = cut(named)
+    least = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    named = skew_join(named, least, ["component"])
     full = skew_join(keyed.filter("n > 0"), named, ["k", "k2", "n"])
-    none = keyed.filter("n = 0").select("*", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
-    return full.unionByName(none).select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
+    columns = ["doc_id", "key", F.col("n").alias("n_shingles"), "class_id", "component", "component_id"]
+    own = F.col("doc_id")
+    none = keyed.filter("n = 0").select("*", own.alias("class_id"), F.lit(None).cast("long").alias("component"), own.alias("component_id"))
+    return full.select(columns).unionByName(none.select(columns))
 
 
 SQL = rf"""
@@ -108,4 +112,4 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN m USING (
 
 @query("op2_jaccard", SQL)
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_documents(table(spark, sf_dir, "documents"))
+    return join_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "class_id", "component_id")

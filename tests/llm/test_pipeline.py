@@ -1,5 +1,7 @@
 """Each stage of the pipeline against what the operators say on brute force, and the run as a whole."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as p
 from tests import harness
 from tests.llm.test_operators import brute_components, make, shingle_set
@@ -21,6 +23,25 @@ def test_stages_keep_columns_and_decide(spark):
     assert p.mixture(spark, docs, SF).columns == docs.columns
 
 
+def test_stages_pass_clashing_columns_and_decide_by_row(spark):
+    """Own columns named like those of a stage, ids that rows share, rows without an id."""
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:59], "other"])
+    texts = [" ".join(words), near, "a clean text that shares the id of a near copy", "without an id here", "without an id here", near + " more"]
+    docs = make(spark, texts, [1, 2, 2, None, None, None])
+    names = ["key", "_key", "_copies", "_source", "row", "stays", "component", "copies", "n"]
+    docs = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(names) if c not in docs.columns])
+    kept = p.near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted([("1", texts[0]), ("2", texts[2]), ("None", texts[3])])
+    clean = p.decontaminate(spark, docs, SF)
+    assert clean.columns == docs.columns and clean.count() == 6
+    taken = p.mixture(spark, docs, SF)
+    assert taken.columns == docs.columns and {r["_key"] for r in taken.collect()} <= {r["_key"] for r in docs.collect()}
+    tagged = p.language(spark, docs.unionByName(docs.withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType))), SF)
+    assert tagged.columns == docs.columns
+
+
 def test_stages_take_no_rows(spark):
     docs = make(spark, [])
     for _, stage in p.STAGES:
