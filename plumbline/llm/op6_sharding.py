@@ -18,6 +18,12 @@ def _unit(name: str) -> Column:
     return F.coalesce(F.xxhash64(F.col(name)) / F.lit(2.0**64) + F.lit(0.5), F.lit(-1.0))
 
 
+def _small_table(spark: SparkSession, rows: list[tuple], schema: dict[str, str]) -> DataFrame:
+    """A table of a few rows the driver knows, one a node of the tree, marked for broadcast; made of literals, without Python workers."""
+    cells = [F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, schema.items())]) for row in rows]
+    return F.broadcast(spark.range(1).select(F.inline(F.array(*cells))))
+
+
 def _medians(points: DataFrame, nodes: list[dict], tolerance: float) -> list[dict]:
     """For each node, the key that its first ``share`` of the weight lies below.
 
@@ -31,7 +37,7 @@ def _medians(points: DataFrame, nodes: list[dict], tolerance: float) -> list[dic
         open_nodes = [(n["node"], n["prefix"], n["share"] * n["weight"] - n["below"]) for n in nodes if not n["done"]]
         if not open_nodes:
             break
-        wanted = F.broadcast(spark.createDataFrame(open_nodes, "node int, prefix long, want double"))
+        wanted = _small_table(spark, open_nodes, {"node": "int", "prefix": "long", "want": "double"})
         inside = points.join(wanted, "node").filter(F.shiftright("key", shift + BITS) == F.col("prefix"))
         digit = F.shiftright("key", shift).bitwiseAND(F.lit((1 << BITS) - 1))
         sums = inside.groupBy("node", "want", digit.alias("digit")).agg(F.sum("w").alias("w"))
@@ -89,7 +95,8 @@ def kd_leaves(points: DataFrame, dims: list[str], leaves: int) -> DataFrame:
                 )
         if not nodes:
             break
-        plan = F.broadcast(spark.createDataFrame([(n["node"], n["dim"], n["lo"], n["hi"]) for n in nodes], "node int, dim string, lo double, hi double"))
+        splits = [(n["node"], n["dim"], n["lo"], n["hi"]) for n in nodes]
+        plan = _small_table(spark, splits, {"node": "int", "dim": "string", "lo": "double", "hi": "double"})
         value = F.coalesce(*[F.when(F.col("dim") == d, F.col(d)) for d in dims])
         place = F.when(F.col("hi") > F.col("lo"), (value - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.lit(0.0))
         half = KEY_BITS // 2
@@ -110,7 +117,7 @@ def kd_leaves(points: DataFrame, dims: list[str], leaves: int) -> DataFrame:
                 step[node] = (base, base, 0)
                 new[base] = k
                 base += 1
-        moves = F.broadcast(spark.createDataFrame([(n, *s) for n, s in step.items()], "node int, left int, right int, at long"))
+        moves = _small_table(spark, [(n, *s) for n, s in step.items()], {"node": "int", "left": "int", "right": "int", "at": "long"})
         side = F.when(F.col("key") < F.col("at"), F.col("left")).otherwise(F.col("right")).cast("int")
         points = cut(keyed.join(moves, "node").withColumn("node", side).drop("key", "left", "right", "at"))
         width = new
