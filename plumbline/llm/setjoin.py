@@ -11,13 +11,17 @@ n tokens that links, at most n // 5 are missing in the other, and the two differ
   follow each other in both sets: the pairs of neighbours of the frequent class are the signatures. Both
   numbers grow with the set, not with its square.
 
-Sets that share a signature and are of fitting size are compared in rounds. While comparing all is much work, each bucket
-compares its members with one of them only; members found in one component need no further comparison. Then every
-pair of different components that is left in a bucket is compared, so no link is lost. What two sets differ in at least
+Sets that share a signature and are of fitting size are compared in rounds. Of buckets with the same members one is kept, as
+it holds the same pairs; members are told by two 64-bit sums of their names. While comparing all is much work, each bucket
+compares its members with one of them only; members found in one component need no further comparison, and only buckets
+that still hold a pair to compare go on to the next round. Then every pair of different components that is left in a
+bucket is compared, so no link is lost. What two sets differ in at least
 is told before by the tokens that no other set has and by bitmaps: each shared token flips one bit of a set's bitmap, so
 bitmaps of two sets differ in no more bits than the sets do in shared tokens.
 """
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +29,8 @@ from plumbline.functions.lineage import cut
 from plumbline.functions.skew import skew_join
 from plumbline.operators.components import components
 
-#: Tokens of at most so many sets are of the rare class.
+#: Tokens of at most so many sets, or of the square root of all sets if that is more, are of the rare class. So the class of a
+#: token hardly changes as groups of copies grow with the input, and a bucket of a rare token stays small beside it.
 RARE = 16
 #: All pairs left are compared when they are at most so many for each membership of a bucket, or a round has left most of them.
 PAIRS = 8
@@ -57,13 +62,14 @@ def _ranked(sets: DataFrame) -> DataFrame:
     return shared.withColumn("u", F.col("n") - F.size("shared")).filter("u <= floor(n / 5)")
 
 
-def _buckets(ranked: DataFrame) -> DataFrame:
+def _buckets(ranked: DataFrame, rare: int = RARE) -> DataFrame:
     """(bucket, own, node, n, u, i): one row for each signature and each of two bands of sizes, the set's own and the next.
 
     ``i`` is the place of the signature's (first) token among the shared tokens of the set. Sets of one band meet in their
     own, sets of neighbouring bands in the upper one, so of two that are to be compared one is in its own band.
 
-    Only buckets with two members or more are kept of which one is light (see ``_light``) and one in its own band.
+    Only buckets with two members or more are kept of which one is light (see ``_light``) and one in its own band, and
+    one bucket only of those that have the same members.
     """
     reach = F.floor(F.col("n") / 4) + F.floor(F.col("n") / 5) + 2 - F.col("u")
     first = F.slice("shared", 1, F.greatest(reach, F.lit(0)).cast("int"))
@@ -72,8 +78,8 @@ def _buckets(ranked: DataFrame) -> DataFrame:
 
     def signature(x: Column, i: Column) -> Column:
         after = F.get("s", i + 1)
-        single = F.when((x["df"] <= RARE) & (i <= near), F.xxhash64(F.lit(1), x["token"]))
-        pair = F.when((x["df"] > RARE) & after.isNotNull(), F.xxhash64(F.lit(2), x["token"], after["token"]))
+        single = F.when((x["df"] <= rare) & (i <= near), F.xxhash64(F.lit(1), x["token"]))
+        pair = F.when((x["df"] > rare) & after.isNotNull(), F.xxhash64(F.lit(2), x["token"], after["token"]))
         return F.struct(F.coalesce(single, pair).alias("sig"), (i + 1).alias("i"))
 
     signed = F.filter(F.transform("s", signature), lambda x: x["sig"].isNotNull())
@@ -81,9 +87,10 @@ def _buckets(ranked: DataFrame) -> DataFrame:
     rows = rows.select("node", "n", "u", band.alias("band"), F.inline(signed))
     both = [F.struct(F.xxhash64("sig", F.col("band") + up).alias("bucket"), F.lit(up == 0).alias("own")) for up in (0, 1)]
     rows = rows.select("node", "n", "u", "i", F.inline(F.array(*both)))
-    several = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.max(_light()).alias("any"), F.max("own").alias("home"))
-    several = several.filter("m > 1 AND any AND home").select("bucket")
-    return skew_join(rows, several, ["bucket"])
+    names = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
+    several = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.max(_light()).alias("any"), F.max("own").alias("home"), *names)
+    apart = several.filter("m > 1 AND any AND home").groupBy("m", "x0", "x1").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return skew_join(rows, apart, ["bucket"])
 
 
 def _verified(pairs: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
@@ -145,27 +152,29 @@ def linked_components(sets: DataFrame, percent: int = 80) -> DataFrame:
     ``component`` is the smallest node that links lead to; sets that link with none have no row.
     """
     ranked = cut(_ranked(sets))
-    members = cut(_buckets(ranked))
+    members = cut(_buckets(ranked, max(RARE, math.isqrt(ranked.count()))))
     allowed = PAIRS * members.count()
     labels = members.select("node", F.col("node").alias("component")).filter("false")
     links = members.select(F.col("node").alias("a"), F.col("node").alias("b")).filter("false")
+    state = members.withColumn("comp", F.col("node"))
     before, last = None, False
     rounds = 0
     while not last:
-        state = skew_join(members, labels, ["node"], "left").select("bucket", "own", "node", "n", "u", "i", F.coalesce("component", "node").alias("comp"))
         sizes = state.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.sum(_light().cast("int")).alias("light"))
         facts = sizes.groupBy("bucket").agg(
             F.sum("c").alias("all"), F.sum("light").alias("lights"), F.count("*").alias("comps"), F.max(F.struct("c", "light", "comp")).alias("m")
         )
-        facts = cut(facts.filter("comps > 1").select("bucket", "all", "lights", "m.c", "m.light", F.col("m.comp").alias("main")))
-        pairs_left = "(lights - light) * double(all) + (all - lights - c + light) * double(lights)"
-        work = facts.agg(F.sum(F.expr(pairs_left))).first()[0] or 0.0
+        pairs_left = "(lights - m.light) * double(all) + (all - lights - m.c + m.light) * double(lights)"
+        facts = facts.filter("comps > 1").select("bucket", F.col("m.comp").alias("main"), F.expr(pairs_left).alias("work"))
+        facts = cut(facts.filter("work > 0"))
+        work = facts.agg(F.sum("work")).first()[0] or 0.0
         if not work:
             break
         rounds += 1
         last = work <= allowed or before is not None and work > 0.8 * before
         before = work
-        open_rows = skew_join(state, facts.select("bucket", "main"), ["bucket"])
+        left = cut(skew_join(state, facts.select("bucket", "main"), ["bucket"]))
+        open_rows = left
         columns = ["own", "n", "u", "i", "comp"]
         if last:
             bitmap = [f"b{w}" for w in range(WORDS)]
@@ -187,4 +196,6 @@ def linked_components(sets: DataFrame, percent: int = 80) -> DataFrame:
         new = cut(_verified(pairs, ranked, percent))
         links = links.unionByName(new)
         labels = _lowered(labels, links, 1 if last else 2)
+        known = skew_join(left.drop("main", "comp"), labels, ["node"], "left")
+        state = known.select("bucket", "own", "node", "n", "u", "i", F.coalesce("component", "node").alias("comp"))
     return _closed(labels, links)
