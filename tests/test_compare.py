@@ -181,6 +181,22 @@ def test_draws_do_not_depend_on_how_they_are_dealt(spark, monkeypatch, limits):
     assert got == want
 
 
+@pytest.mark.parametrize("in_row,at_once", [(1, 1 << 20), (2, 4), (1 << 16, 3)])
+def test_a_block_of_classes_goes_to_a_bounded_number_of_tasks(spark, monkeypatch, in_row, at_once):
+    """However many draws there are, and with counts that need one, two, four and eight bytes."""
+    for name, value in {"DRAWS_PER_TASK": 5, "MOST_TASKS": 6, "CLASSES_IN_ROW": in_row, "CLASSES_AT_ONCE": at_once}.items():
+        monkeypatch.setattr(C, name, value)
+    counts = [(3, 1), (200, 0), (60_000, 7), (4_000_000_000, 2), (5_000_000_000, 1), (9, 9), (10, 1)]
+    rows = [("d", *counts[i % 7]) for i in range(40)]
+    classes = C.vector_classes(spark.createDataFrame(rows, "domain string, n bigint, h bigint"), ["n", "h"]).cache()
+    packs = C.packed_classes(classes, ["n", "h"]).count()
+    dealt = C.dealt_classes(classes, {"d": 40}, ["n", "h"], 30)
+    assert dealt.count() == packs * 6 and dealt.rdd.getNumPartitions() == 6 * -(-7 // at_once)
+    got = {r["iteration"]: (r["n"], r["h"]) for r in C.drawn_sums(classes, {"d": 40}, ["n", "h"], 30, 4).collect()}
+    rows = sorted(rows)
+    assert got == {i: tuple(sum(rows[s][k] for s in slots) for k in (1, 2)) for i, slots in enumerate(drawn_slots(40, 30, 4))}
+
+
 def test_no_draw_is_a_row(spark):
     """What leaves the tasks is a row for each iteration, domain, range and block of classes, not one for each draw."""
     clusters = C.cluster_rows(labelled(spark, 400), ["A", "B"], ["x"])
