@@ -3,8 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+import plumbline.catalog  # noqa: F401  (registers the queries)
+from plumbline.catalog.registry import QUERIES
 from plumbline.operators import evaluate as E
 from plumbline.schemas import DECISIONS, SLICE_TAGS
+from tests.harness import DATA
 
 GOLD = """case_id bigint, decision string, target_intent string, tags array<string>, hard_negative_against array<string>,
  siblings array<string>, contrast_id bigint, cluster_id bigint, horizon string, desired_experience string, object_slot string"""
@@ -117,3 +120,27 @@ def test_half_of_all_predictions_on_one_id(spark):
         F.lit(None).cast("string").alias("predicted_intent"),
     )
     assert E.join_predictions(gold, many, ["A"]).agg(F.sum("hit")).first()[0] == 199
+
+
+def test_badcases_make_the_joined_rows_twice(spark):
+    """Once for the cases and once for the controls of their pairs; wrong distractors without a group, or whose control is wrong, flip nothing."""
+    plan = QUERIES["a21_badcases"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 4  # gold and predictions of each, both made from orders
+    tags = lambda *names: list(names)
+    rows = [
+        (1, "oos", tags("context_control"), 7, 1),
+        (2, "oos", tags("context_distractor"), 7, 0),
+        (3, "oos", tags("context_distractor"), 7, 1),
+        (4, "oos", tags("context_distractor"), None, 0),
+        (5, "oos", tags("context_control"), None, 1),
+        (6, "oos", tags("context_control"), 8, 1),
+        (9, "oos", tags("context_control"), 8, 0),
+        (8, "oos", tags("context_distractor"), 8, 0),
+        (10, "oos", tags(), 7, 0),
+    ]
+    gold = spark.createDataFrame([r[:4] for r in rows], "case_id bigint, decision string, tags array<string>, contrast_id bigint")
+    said = spark.createDataFrame([("A", r[0], "success", "oos" if r[4] else "no_intent", None) for r in rows], "arm string, case_id bigint, status string, decision string, predicted_intent string")
+    gold = gold.selectExpr("*", "CAST(NULL AS STRING) AS target_intent")
+    labelled = E.join_predictions(gold, said.selectExpr("*", "CAST(NULL AS ARRAY<STRING>) AS candidate_intents"), ["A"])
+    got = {r["case_id"]: r["adverse"] for r in E.with_adverse(labelled).collect()}
+    assert got == {r[0]: 1 if r[0] == 2 else None for r in rows}
