@@ -226,3 +226,13 @@ def test_vector_rules(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [1.0]), (5, [float("inf"), 1.0])]
     got = {(r["key"], r["detail"]) for r in Q.vector_validity(spark.createDataFrame(rows, "i int, embedding array<double>"), "i", 2).collect()}
     assert got == {("2", "zero_norm"), ("3", "not_finite"), ("4", "dimension"), ("5", "not_finite")}
+
+
+def test_a_table_that_is_published_again_is_counted_once(spark, monkeypatch):
+    from plumbline.catalog import scans
+    from plumbline.catalog.registry import QUERIES
+
+    plans = []
+    monkeypatch.setattr(scans.P, "publish", lambda df, path: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or "created")
+    QUERIES["s09_idempotent_publish"](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 4 and not any("Join" in plan or "parquet" in plan for plan in plans)
