@@ -14,6 +14,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 #: Types of values that are no object or list, and a member's name, as ``schema_of_variant`` writes them.
 PLAIN, NAME = r"[A-Z]+(?:\(\d+,\d+\))?", r"(?:\w+|`(?:[^`]|``)*`)"
+#: More partitions than any table has.
+MANY = 2**31 - 1
 #: Levels of objects and lists that are looked through below an undeclared member.
 DEEPEST = 6
 _SCALARS = {
@@ -138,7 +140,9 @@ def judge_lines(lines: DataFrame, schema: T.StructType, text: str = "value") ->
     absent or null, one with a default may not be null, and a number is no text. A line is parsed once, into a variant. Names, types
     and nulls of all its objects are read off the variant's schema, which is one text; values off the row taken from it.
     """
-    parsed = lines.withColumn("_json", F.try_parse_json(text))
+    # narrow and into no fewer partitions: it only keeps what makes the lines out of the method that judges them, too long to be compiled with it
+    apart = lines.coalesce(MANY)
+    parsed = apart.withColumn("_json", F.try_parse_json(text))
     parsed = parsed.withColumns({"row": F.try_variant_get("_json", "$", _open(schema).simpleString()), "_shape": F.schema_of_variant("_json")})
     shape = F.col("_shape")
     reason = (

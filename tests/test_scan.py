@@ -1,6 +1,7 @@
 """Strict scans of real files, publishing, text normal forms and rule mutations."""
 
 import json
+import re
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -236,3 +237,23 @@ def test_a_table_that_is_published_again_is_counted_once(spark, monkeypatch):
     monkeypatch.setattr(scans.P, "publish", lambda df, path: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or "created")
     QUERIES["s09_idempotent_publish"](spark, "/root/testdata/sf0.001")
     assert len(plans) == 4 and not any("Join" in plan or "parquet" in plan for plan in plans)
+
+
+def test_rows_of_orders_are_dealt_out_by_their_number(spark, monkeypatch):
+    from plumbline.sources import views
+
+    monkeypatch.setattr(views, "PIECE_ROWS", {"orders": 100}, raising=False)
+    tables = views.Tables(spark, "/root/testdata/sf0.001")
+    assert tables.gold.rdd.getNumPartitions() == -(-tables.orders.count() // 100) > 8
+    assert tables.gold.select("case_id").exceptAll(tables.orders.select("o_orderkey")).isEmpty() and tables.gold.count() == tables.orders.count()
+
+
+def test_lines_are_made_and_judged_in_methods_of_their_own(spark):
+    from plumbline.catalog.registry import QUERIES
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = QUERIES["s02_prediction_scan"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert re.search(r"Coalesce \d+\n\W*\*\(\d+\) Project", plan)
