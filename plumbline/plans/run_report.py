@@ -20,15 +20,15 @@ def _tall(df: DataFrame, slices: str | None, metrics: dict) -> DataFrame:
 
 def run_report(gold: DataFrame, predictions: DataFrame, arms: list[str], intents: list[str]) -> DataFrame:
     """A run that ``run_validity`` refuses has null values, and two more rows that tell why."""
-    validity = cut(E.run_validity(gold, predictions, arms))
     named = E.near_siblings(gold).select("case_id", F.lit(1).alias("sibling"))
     need = ["status", "decision", "predicted_intent", "horizon", "desired_experience", "object_slot"]
-    labelled = E.join_predictions(gold.join(named, "case_id", "left"), predictions, arms, need)
-    # One pass over the joined rows, down to one small table; every metric but the pairs is read off that. Only what
-    # the keys do not tell is summed by row.
+    marked = gold.withColumn("tagset", E.tag_set()).join(named, "case_id", "left")
+    labelled = E.join_all_predictions(marked, predictions, arms, need)
+    # One pass over the joined rows, down to one small table; every metric but the pairs, and the validity of the runs, is read
+    # off that. Only what the keys do not tell is summed by row.
     missing = E._slot_missing("desired_experience", "p_experience") | E._slot_missing("object_slot", "p_object")
-    keys = ["arm", "decision", "target_intent", "pred_decision", "pred_intent", "status", E.tag_set().alias("tagset")]
-    cells = cut(
+    keys = ["arm", "known", "decision", "target_intent", "pred_decision", "pred_intent", "status", "tagset"]
+    every = cut(
         labelled.groupBy(*keys).agg(
             F.count("*").alias("n"),
             F.sum("hit").alias("hits"),
@@ -36,8 +36,12 @@ def run_report(gold: DataFrame, predictions: DataFrame, arms: list[str], intents
             F.sum(E.competitor_hit()).alias("rival"),
             F.sum(L.as_flag(L.ok() & ~missing)).alias("full"),
             F.sum(L.as_flag(L.ok() & F.col("horizon").eqNullSafe(F.col("p_horizon")))).alias("on_time"),
+            F.sum(L.as_flag(F.col("times") > 1)).alias("repeated"),
+            F.sum(L.as_flag(F.col("times") > 0)).alias("predicted"),
         )
     )
+    validity = E.validity_from(every, arms)
+    cells = every.filter("known").drop("known", "repeated", "predicted")
 
     def where(condition, value="n"):
         return F.when(condition, F.col(value)).otherwise(F.lit(0).cast("bigint"))
