@@ -43,7 +43,9 @@ def half_up_share(count: Column, share: int, whole: int) -> Column:
 def candidate_splits(groups: DataFrame, seeds: int | list[int], share: int, whole: int) -> DataFrame:
     """Per seed (so many from 0 on, or those given) and stratum, whole groups in hash order while they fit the quota.
 
-    A group larger than the quota can never fit; it stays out of the running sum, so the others still fill it.
+    A group larger than the quota can never fit; it stays out of the running sum, so the others still fill it. The sum only grows, so what
+    is taken ends at one place of the order. The first hex digits of the hash deal the groups of a seed and stratum to 4096 buckets:
+    their totals tell the bucket of that place, and only that bucket's groups are put in order.
     """
     quota = groups.groupBy("stratum").agg(half_up_share(F.sum("cases"), share, whole).alias("quota"))
     fits = F.col("cases") <= F.col("quota")
@@ -52,9 +54,22 @@ def candidate_splits(groups: DataFrame, seeds: int | list[int], share: int, whol
     seeded = sized.withColumn("seed", F.explode(F.array(*map(F.lit, tried))))
     keyed = seeded.withColumn(
         "key", F.sha2(F.concat_ws("|", F.col("seed").cast("string"), F.col("group_id").cast("string")), 256)
-    )
-    filled = H.running_total(keyed, ["seed", "stratum"], "key", "group_id", "_cases", "running")
-    return filled.withColumn("dev", L.as_flag(fits & (F.col("running") <= F.col("quota")))).drop("_cases")
+    ).withColumn("_bucket", F.substring("key", 1, 3))
+    by = ["seed", "stratum"]
+    running = lambda *parts: Window.partitionBy(*by, *parts)
+    totals = keyed.groupBy(*by, "quota", "_bucket").agg(F.sum("_cases").alias("_total"))
+    up_to = totals.withColumn("_up_to", F.sum("_total").over(running().orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)))
+    over = up_to.filter("_up_to > quota").withColumn("_before", F.col("_up_to") - F.col("_total"))
+    edge = cut(over.groupBy(*by).agg(F.min(F.struct("_bucket", "_before")).alias("_e")).select(*by, F.col("_e._bucket").alias("_edge"), "_e._before"))
+    there = keyed.join(F.broadcast(edge), by).filter("_bucket = _edge")
+    inside = F.sum("_cases").over(running().orderBy("key", "group_id").rowsBetween(Window.unboundedPreceding, 0))
+    place = F.struct("key", "group_id")
+    taken = there.withColumn("_inside", F.col("_before") + inside).filter("_inside <= quota")
+    ends = edge.join(taken.groupBy(*by).agg(F.max(place).alias("_last")), by, "left").drop("_before")
+    placed = keyed.join(F.broadcast(cut(ends)), by, "left")
+    early = F.col("_edge").isNull() | (F.col("_bucket") < F.col("_edge"))
+    last = (F.col("_bucket") == F.col("_edge")) & F.coalesce(place <= F.col("_last"), F.lit(False))
+    return placed.withColumn("dev", L.as_flag(fits & (early | last))).drop("_cases", "_bucket", "_edge", "_last")
 
 
 def score_seeds(candidates: DataFrame, features: list[str], share: int, whole: int) -> DataFrame:
