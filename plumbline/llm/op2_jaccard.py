@@ -38,15 +38,15 @@ def _keys(k: int, keep: list[str]):
     return keys
 
 
-def _sampled_tokens(k: int):
+def _first_tokens(k: int):
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 sets = [s for s in (shingles(t, k) for t in texts(batch.slice(at, 1000))) if len(s) > 3]
-                halves = [s[s & np.uint64(1) == 0].view(np.int64) for s in sets]
-                keys = [np.full(len(h), _key(s)[0]) for s, h in zip(sets, halves)]
+                firsts = [s[: setjoin.first_tokens(len(s))].view(np.int64) for s in sets]
+                keys = [np.full(len(f), _key(s)[0]) for s, f in zip(sets, firsts)]
                 if sets:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys), pa.int64()), pa.array(np.concatenate(halves))], names=["k", "token"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys), pa.int64()), pa.array(np.concatenate(firsts))], names=["k", "token"])
 
     return tokens
 
@@ -76,8 +76,8 @@ def join_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
     keyed = cut(rows.mapInArrow(_keys(k, ["doc_id", "key"]), "doc_id long, key string, k long, k2 long, n long"))
     classes = keyed.filter("n > 0").groupBy("k", "k2", "n").agg(F.min("doc_id").alias("class_id"), F.min("key").alias("key"))
-    lone = setjoin.unlinked(rows.select("text").mapInArrow(_sampled_tokens(k), "k long, token long"))
-    open_sets = classes.filter("n > 3").join(lone, "k", "left").filter("coalesce(lone, 0) <= floor(n / 5)")
+    lone = setjoin.unlinked(rows.select("text").mapInArrow(_first_tokens(k), "k long, token long"))
+    open_sets = classes.filter("n > 3").join(lone, "k", "left").filter(setjoin.passes("n", "lone"))
     chosen = cut(open_sets.select("key", F.col("k").alias("node")))
     if chosen.count() <= setjoin.BROADCAST_ROWS:
         chosen = F.broadcast(chosen)

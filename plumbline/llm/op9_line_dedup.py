@@ -46,9 +46,9 @@ def remove_lines(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     keyed = cut(keyed)
     place = F.struct("doc_id", "line", "h")
     classes = cut(keyed.groupBy("k", "k2", "n").agg(F.min(place).alias("first")))
-    seen = lines.select(F.xxhash64("s").alias("k"), F.explode_outer(F.filter("s", setjoin.sampled)).alias("token")).filter("token IS NOT NULL")
+    seen = lines.select(F.xxhash64("s").alias("k"), F.explode_outer(F.slice("s", 1, setjoin.first_tokens("size(s)"))).alias("token")).filter("token IS NOT NULL")
     node = F.concat_ws("-", F.hex("k"), F.hex("k2")).alias("node")
-    open_sets = classes.filter("n > 3").join(setjoin.unlinked(seen), "k", "left").filter("coalesce(lone, 0) <= floor(n / 5)")
+    open_sets = classes.filter("n > 3").join(setjoin.unlinked(seen), "k", "left").filter(setjoin.passes("n", "lone"))
     open_sets = cut(open_sets.select(node, "n", "first.*"))
     wanted = F.broadcast(open_sets) if open_sets.count() <= setjoin.BROADCAST_ROWS else open_sets
     same = F.col("l.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("l.h") == F.col("w.h")) & (F.col("l.line") == F.col("w.line"))

@@ -3,8 +3,10 @@
 Two sets link when 100 times their common tokens is at least ``percent`` (80) times the tokens of both. Of a set x of
 n tokens that links, at most n // 5 are missing in the other, and the two differ in n // 4 tokens at most. From this follow
 
-* the sieve: a set more than n // 5 of whose tokens occur in no other set links with none. A fixed half of the
-  token space is enough to tell most such sets, and cannot tell it wrongly;
+* the sieve: of the first n // 5 + t tokens of x, ordered by their value, t or more are common, and the first t common ones are among
+  the first m // 5 + t of the other set's m tokens too. With t = n // 8 + 1, and a set of at least 4/5 n tokens on the other side, a set links with
+  none if fewer of those first tokens are also among the first ones of another set than t is for 4/5 n tokens. A third of
+  the tokens so tells most sets that link with none, and cannot tell it wrongly;
 * the signatures. Tokens are ordered from rare to frequent, and the first common one is among the first n // 5 + 1.
   If it is of the rare class it is a signature itself. If not, all common tokens are of the frequent class, and
   of the first n // 4 + n // 5 + 2 so many are common that, with n // 4 tokens to stand in between, two of them
@@ -40,25 +42,34 @@ WORDS = 4
 BROADCAST_ROWS = 400_000
 
 
-def sampled(token: Column) -> Column:
-    """The half of the token space that the sieve looks at."""
-    return token.bitwiseAND(F.lit(1)) == 0
+def first_tokens(n):
+    """How many tokens, from the least on, the sieve looks at in a set of ``n``; for whole numbers and for SQL names of them."""
+    if isinstance(n, str):
+        return F.expr(f"int({n} div 5 + {n} div 8 + 1)")
+    return n // 5 + n // 8 + 1
+
+
+def passes(n: str, lone: str) -> Column:
+    """Whether a set of ``n`` tokens can link, by the number (or null) of its first tokens that ``unlinked`` found to be lone."""
+    return first_tokens(n) - F.coalesce(F.col(lone), F.lit(0)) >= F.expr(f"({n} - {n} div 5) div 8 + 1")
 
 
 def unlinked(tokens: DataFrame) -> DataFrame:
-    """(k, lone): how many sampled tokens of a set occur in no other one; ``tokens`` (k, token) can repeat rows."""
+    """(k, lone): how many of a set's first tokens are not among those of another one; ``tokens`` (k, token) can repeat rows."""
     owners = tokens.groupBy("token").agg(F.min("k").alias("k"), F.max("k").alias("other"))
     return owners.filter("k = other").groupBy("k").agg(F.count("*").alias("lone"))
 
 
 def _ranked(sets: DataFrame) -> DataFrame:
-    """(node, n, u, shared, b0, ...): the tokens a set shares with others, from rare to frequent, and the bitmap of them; ``u`` it shares with none."""
+    """(node, n, u, shared, df, b0, ...): the tokens a set shares with others, from rare to frequent, in how many sets each is,
+    and the bitmap of them; ``u`` it shares with none. Two flat arrays take a third of the room of one array of structs."""
     each = sets.select("node", "n", F.explode("tokens").alias("token"))
-    counts = each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    counts = each.groupBy("token").agg(F.least(F.count("*"), F.lit(2**31 - 1)).cast("int").alias("df")).filter("df > 1")
     bit = F.expr("shiftleft(1L, int(shiftrightunsigned(token, 1) & 63))")
     word = F.pmod(F.shiftrightunsigned("token", 7), F.lit(WORDS))
     bitmap = [F.bit_xor(F.when(word == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{w}") for w in range(WORDS)]
-    shared = skew_join(each, counts, ["token"]).groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"), *bitmap)
+    ranked = skew_join(each, counts, ["token"]).groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("s"), *bitmap)
+    shared = ranked.select("node", "n", F.col("s.token").alias("shared"), F.col("s.df").alias("df"), *[f"b{w}" for w in range(WORDS)])
     return shared.withColumn("u", F.col("n") - F.size("shared")).filter("u <= floor(n / 5)")
 
 
@@ -72,14 +83,14 @@ def _buckets(ranked: DataFrame, rare: int = RARE) -> DataFrame:
     one bucket only of those that have the same members.
     """
     reach = F.floor(F.col("n") / 4) + F.floor(F.col("n") / 5) + 2 - F.col("u")
-    first = F.slice("shared", 1, F.greatest(reach, F.lit(0)).cast("int"))
-    rows = ranked.select("node", "n", "u", first.alias("s"))
+    first = lambda c: F.slice(c, 1, F.greatest(reach, F.lit(0)).cast("int"))
+    rows = ranked.select("node", "n", "u", first("shared").alias("s"), first("df").alias("df"))
     near = F.floor(F.col("n") / 5) - F.col("u")
 
     def signature(x: Column, i: Column) -> Column:
-        after = F.get("s", i + 1)
-        single = F.when((x["df"] <= rare) & (i <= near), F.xxhash64(F.lit(1), x["token"]))
-        pair = F.when((x["df"] > rare) & after.isNotNull(), F.xxhash64(F.lit(2), x["token"], after["token"]))
+        after, df = F.get("s", i + 1), F.get("df", i)
+        single = F.when((df <= rare) & (i <= near), F.xxhash64(F.lit(1), x))
+        pair = F.when((df > rare) & after.isNotNull(), F.xxhash64(F.lit(2), x, after))
         return F.struct(F.coalesce(single, pair).alias("sig"), (i + 1).alias("i"))
 
     signed = F.filter(F.transform("s", signature), lambda x: x["sig"].isNotNull())
@@ -94,7 +105,7 @@ def _buckets(ranked: DataFrame, rare: int = RARE) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
-    sets = ranked.select(F.col("node"), F.col("n"), F.transform("shared", lambda x: x["token"]).alias("t"))
+    sets = ranked.select(F.col("node"), F.col("n"), F.col("shared").alias("t"))
     side = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("t").alias(f"t_{c}"))
     both = skew_join(skew_join(pairs, side("a"), ["a"]), side("b"), ["b"])
     common = F.size(F.array_intersect("t_a", "t_b"))
