@@ -3,8 +3,8 @@
 import numpy as np
 
 
-def suffix_order(text: np.ndarray) -> np.ndarray:
-    """The order of all suffixes, by doubling the length that ranks speak for."""
+def suffix_order(text: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """The order of all suffixes, or of their first ``depth`` words at least, by doubling the length that ranks speak for."""
     n = len(text)
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
     step = 1
@@ -16,9 +16,9 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
         fresh = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
         rank = np.empty(n, np.int64)
         rank[order] = fresh
-        if fresh[-1] == n - 1 or step >= n:
-            return order
         step *= 2
+        if fresh[-1] == n - 1 or step >= (depth or 2 * n):
+            return order
 
 
 class Wavelet:
@@ -55,10 +55,10 @@ class Wavelet:
 
 
 class FMIndex:
-    """The index of ``text``, whole numbers from 0; 0 stands between runs and is never searched for."""
+    """The index of ``text``, whole numbers from 0; 0 stands between runs and is never searched for. ``depth``: most words searched for."""
 
-    def __init__(self, text: np.ndarray):
-        order = suffix_order(text)
+    def __init__(self, text: np.ndarray, depth: int | None = None):
+        order = suffix_order(text, depth)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text))])
         self.wavelet = Wavelet(text[order - 1], int(text.max()))
         self.size = len(text)
