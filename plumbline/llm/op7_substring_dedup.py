@@ -1,7 +1,7 @@
 """Substring deduplication: runs of words that also stand earlier in the corpus, by FM-indexes of shards."""
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,6 +28,13 @@ PIECES = "route long, doc_id long, start int, h int, words string"
 FIRSTS = "doc_id long, h int, code long"
 
 
+def _slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches, as texts and words of whole ones take much memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def anchors_of(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of ANCHOR words; for each window, the place of the least one in it (the first of equals)."""
     hashes = rolling_hashes(words, ANCHOR)
@@ -47,7 +54,7 @@ def _anchors(window: int, frequent: np.ndarray):
     width = window - ANCHOR + 1
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             parts = []
             for doc, h, text in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), texts(batch)):
                 words = text.split()
@@ -89,7 +96,8 @@ def _pieces(window: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first: dict[bytes, list] = {}
-            for doc, h, marks, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "marks")), texts(batch)):
+            documents = (row for part in _slices([batch]) for row in zip(*(part.column(c).to_pylist() for c in ("doc_id", "h", "marks")), texts(part)))
+            for doc, h, marks, text in documents:
                 words = text.split()
                 line = b" ".join(words)
                 low, n, offset = _read(marks, window)
@@ -197,7 +205,7 @@ def _near(docs: DataFrame, marks: DataFrame, places: str, how: str) -> DataFrame
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         counts, removed, left = [], [], []
         for text, gone in zip(texts(batch), batch.column("gone").to_pylist()):
             words = (text or b"").split()
